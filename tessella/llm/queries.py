@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup
+from . import langid, linededup, neardup
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return linededup.dedup(docs).select("row.doc_id", "n_lines", "n_dropped", F.col("kept_text").alias("text"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.groups(_read(spark, root, "documents"), k=2)
+
+
 def op9_language_id(spark: SparkSession, root: str) -> DataFrame:
     docs = _read(spark, root, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(_id_mod(3) != 1))
@@ -32,6 +36,7 @@ def op9_language_id(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "op5_line_dedup": op5_line_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
 
