@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, neardup
+from . import langid, linededup, mixing, neardup, packing
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def _id_mod(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op1_mix_sources(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.shares(_read(spark, root, "documents"))
+
+
+def op4_pack(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(_read(spark, root, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     """doc_id, n_lines, n_dropped and the remaining text of every document."""
     docs = _read(spark, root, "documents").select("doc_id", "text")
@@ -35,9 +43,13 @@ def op9_language_id(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op4_pack": op4_pack,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_language_id": op9_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.SHARES_SQL,
+}
