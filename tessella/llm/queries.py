@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, packing
+from . import langid, linededup, mixing, neardup, packing, secrets, urlfilter
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op1_mix_sources(spark: SparkSession, root: str) -> DataFrame:
     return mixing.shares(_read(spark, root, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    docs = _read(spark, root, "documents").select("doc_id", "text")
+    rows = secrets.scan(docs, secrets.train(docs))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)]
+    return rows.select("doc_id", *counts, F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
+
+
 def op4_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(_read(spark, root, "documents"))
 
@@ -42,14 +50,21 @@ def op9_language_id(spark: SparkSession, root: str) -> DataFrame:
     return langid.predict(rows, model, key=F.struct("doc_id", "held_out").alias("k")).select("k.doc_id", "k.held_out", "lang_pred", "score")
 
 
+def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    return urlfilter.judge(_read(spark, root, "pages"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_secret_scan": op2_secret_scan,
     "op4_pack": op4_pack,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op9_language_id": op9_language_id,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SHARES_SQL,
+    "op10_url_filter": urlfilter.JUDGE_SQL,
 }
