@@ -25,7 +25,7 @@ def op2_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     docs = _read(spark, root, "documents").select("doc_id", "text")
     rows = secrets.scan(docs, secrets.train(docs))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.KINDS)]
+    counts = [secrets.count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in secrets.KINDS]
     return rows.select("doc_id", *counts, F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 

@@ -5,7 +5,7 @@ runs of 16 or more token characters that no base span touches and that a first-o
 Markov model of random strings explains better than one of ordinary identifiers, by a log-likelihood
 ratio of at least ``least`` nats. Both models are trained from labelled samples: random strings are
 the secrets that the base patterns find plus strings made from hashes; ordinary ones are the words
-of letters, ``_`` and ``-`` in a bounded, hash-chosen sample of documents. The trained model is one
+of letters, ``_`` and ``-``, and the numbers, in a bounded, hash-chosen sample of documents. The trained model is one
 number per pair of characters (about 4,300), whatever the corpus.
 
 Positions count code points, ends exclusive: a text split at a pattern's matches gives the gaps, and
@@ -83,7 +83,7 @@ def train(docs: DataFrame, *, max_docs: int = 2000, made: int = 2000) -> list[fl
     random = spark.range(made).select(F.explode(tokens).alias("v"))
     allowed = F.regexp_replace("v", "[^A-Za-z0-9+/_=-]", "")
     positive = _steps(known.unionByName(random).select(allowed.alias("v")).where("v != ''"))
-    ordinary = sample.select(F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])[A-Za-z_-]{5,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("v"))
+    ordinary = sample.select(F.explode(F.regexp_extract_all("text", F.lit("(?<![A-Za-z0-9+/_=-])(?:[A-Za-z_-]{5,}|[0-9]{2,})(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("v"))
     negative = _steps(ordinary)
 
     def logs(counts: dict[str, int]) -> list[list[float]]:
@@ -117,6 +117,10 @@ def scan(docs: DataFrame, model: list[float], *, least: float = 10.0) -> DataFra
     return rows.select("doc_id", "base", _as_spans(F.filter("runs", added), "markov").cast(SPAN).alias("more")).select("doc_id", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def digest(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     names = F.array(*map(F.lit, KINDS))

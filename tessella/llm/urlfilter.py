@@ -102,8 +102,8 @@ t AS (SELECT host || rest AS a, host, unnest([
     FROM parsed WHERE good AND html IS NOT NULL),
 u AS (SELECT a, CASE WHEN target LIKE '%://%' THEN target WHEN target LIKE '//%' THEN 'http:' || target WHEN target LIKE '/%' THEN 'http://' || host || target END AS b FROM t WHERE target <> ''),
 e AS (SELECT a, translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(b, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b FROM u WHERE b IS NOT NULL),
-both AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach AS (SELECT a AS node, a AS other FROM both UNION SELECT r.node, x.b FROM reach r JOIN both x ON r.other = x.a),
+twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS node, a AS other FROM twoway UNION SELECT r.node, x.b FROM reach r JOIN twoway x ON r.other = x.a),
 rules(verdict, h, pa) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 n AS (SELECT DISTINCT node, translate(regexp_extract(node, '^[^/?]*'), '', '') AS host, regexp_extract(node, '(?s)^[^/?]*([^?]*)', 1) AS path FROM reach),
 nv AS (SELECT node, arg_max(verdict, length(h || pa)) AS verdict FROM n JOIN rules ON (n.host = h OR suffix(n.host, '.' || h)) AND prefix(n.path, pa) GROUP BY node),
