@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, packing, secrets, urlfilter
+from . import langid, linededup, mixing, neardup, packing, quality, secrets, urlfilter
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op2_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     return rows.select("doc_id", *counts, F.sha2(secrets.digest(base).cast("binary"), 256).alias("base_sha256"), secrets.digest(F.col("spans")).alias("spans"))
 
 
+def op3_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    docs = _read(spark, root, "documents")
+    return quality.judge(docs, quality.fit(docs, _read(spark, root, "labels")))
+
+
 def op4_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack(_read(spark, root, "documents"))
 
@@ -57,6 +62,7 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
+    "op3_quality_rules": op3_quality_rules,
     "op4_pack": op4_pack,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
