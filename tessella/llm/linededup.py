@@ -19,19 +19,20 @@ from pyspark.sql import functions as F
 
 from ._spark import cut, small
 
-WS = "[\\x20\\x09-\\x0D]+"
-
-
 def _lines(docs: DataFrame) -> DataFrame:
-    """i (doc_id), d (hash of the whole row's identity), pos, line of every line with a key."""
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").alias("i"), F.xxhash64("text").alias("d"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
-    )
-    return rows.withColumn("line", F.trim(F.regexp_replace("line", WS, " "))).where("line != ''")
+    """i (doc_id), d (hash of the text), pos, line and n (its tokens) of every line with a token.
 
-
-def _masked(line: Column) -> Column:
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", "<*>")).otherwise(line)
+    Lines have single spaces and masked variable fields; both are done on whole texts, and only on
+    those that need it.
+    """
+    t = F.col("t")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("d"), F.col("text").alias("t"))
+    rows = rows.withColumn("t", F.when(t.rlike("[\\x09\\x0B-\\x0D]"), F.regexp_replace(t, "[\\x09\\x0B-\\x0D]", " ")).otherwise(t))
+    rows = rows.withColumn("t", F.when(t.contains("  "), F.regexp_replace(t, " +", " ")).otherwise(t))
+    rows = rows.withColumn("t", F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[^ \n0-9]*[0-9][^ \n]*", "<*>")).otherwise(t))
+    rows = rows.select("i", "d", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    rows = rows.select("i", "d", "pos", F.trim("line").alias("line")).where("line != ''")
+    return rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
 
 
 def recurring_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 3, lead: int = 4, share: float = 0.6, fit: float = 0.8) -> DataFrame:
@@ -40,8 +41,7 @@ def recurring_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 3,
     share: of a leaf's lines, what must agree on a token for it to stay in the template; fit: of a
     template's fixed tokens, what a line must have. A template needs half its positions fixed.
     """
-    lines = _lines(docs).withColumn("line", _masked(F.col("line")))
-    lines = lines.withColumn("n", F.size(F.split("line", " "))).where(F.col("n") >= min_tokens)
+    lines = _lines(docs).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", F.substring_index("line", " ", lead))
     slim = cut(lines.select("i", "d", "pos", "n", F.xxhash64("n", "line").alias("m"), leaf.alias("leaf")))
 
@@ -78,14 +78,14 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
     drops = recurring_lines(docs, **options).distinct().groupBy("i", "d").agg(F.array_sort(F.collect_list("pos")).alias("gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     rows = rows.select("row", F.col("row.doc_id").alias("i"), F.xxhash64("row.text").alias("d"))
-    lines = F.split(F.col("row.text"), "\n")
+    joined = rows.join(drops, ["i", "d"], "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("row.text", "\n")))
     before = F.concat(F.array(F.lit(-1)), F.col("gone"))
-    after = F.concat(F.col("gone"), F.array(F.size(lines)))
-    kept = F.flatten(F.zip_with(before, after, lambda p, q: F.slice(lines, p + 2, q - p - 1)))
-    joined = rows.join(drops, ["i", "d"], "left")
+    after = F.concat(F.col("gone"), F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(before, after, lambda p, q: F.slice("lines", p + 2, q - p - 1)))
+    breaks = F.length("row.text") - F.length(F.replace("row.text", F.lit("\n"), F.lit("")))
     return joined.select(
         "row",
-        F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
