@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, packing, ppm, quality, secrets, urlfilter
+from . import langid, linededup, mixing, neardup, packing, ppm, quality, secrets, urlfilter, vectors
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op6_minhash_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return neardup.groups(_read(spark, root, "documents"), k=2)
 
 
+def op7_vector_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.links(_read(spark, root, "embeddings"))
+
+
 def op8_ppm_score(spark: SparkSession, root: str) -> DataFrame:
     docs = _read(spark, root, "documents")
     held_out = F.coalesce(_id_mod(7) == 2, F.lit(False))
@@ -72,6 +76,7 @@ QUERIES = {
     "op4_pack": op4_pack,
     "op5_line_dedup": op5_line_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_vector_near_dedup": op7_vector_near_dedup,
     "op8_ppm_score": op8_ppm_score,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
