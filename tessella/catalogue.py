@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import spatial
+from .plans import learning, relational, spatial, statistics
 
-_PLANS = (spatial,)
+_PLANS = (spatial, statistics, relational, learning)
 QUERIES = {name: fn for plan in _PLANS for name, fn in plan.QUERIES.items()}
 ORACLE_SQL = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

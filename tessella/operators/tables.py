@@ -45,8 +45,10 @@ def spread(long: DataFrame, key: str, name: str, value: str, names: Sequence) ->
 
 def grid(spark: SparkSession, params: Mapping[str, Sequence[float]]) -> DataFrame:
     """All combinations of parameter values."""
-    frames = [spark.createDataFrame([(float(v),) for v in values], [name]) for name, values in params.items()]
-    return reduce(DataFrame.crossJoin, frames)
+    out = spark.range(1)
+    for name, values in params.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    return out.drop("id")
 
 
 def parse_param(text: str) -> list[float]:
