@@ -16,7 +16,7 @@ EVENT = "event_id long, ts timestamp, user_id long, event_type string, value dou
 def read_events(spark: SparkSession, folder: str, *, glob: str = "events*.parquet", files: int = 1) -> DataFrame:
     """A stream of event files (or partitions) that appear in a folder."""
     schema = spark.read.parquet(f"{folder}/{glob}").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", glob).parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", glob).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
