@@ -126,7 +126,7 @@ def _one_vs_one(x: np.ndarray, y: np.ndarray) -> list[tuple[str, str, np.ndarray
     return out
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2000) -> Model:
     """Fits on labelled rows: those with a text and a language, at most about ``max_rows`` of them.
 
     Rows are chosen by a hash of their key, as many of each language as the bound allows, so the
