@@ -46,14 +46,16 @@ def tokenizer(json_path: str, ranks_path: str):
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(json_path)
+    slow: list[Tokenizer] = []
     ends = np.zeros(max(ranks.values()) + 2, bool)
     for piece, k in ranks.items():
         ends[k] = piece.rstrip(b" ")[-1:] in (b".", b"!", b"?") or b"\n" in piece
 
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+            if not slow:
+                slow.append(Tokenizer.from_file(json_path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode, ends
