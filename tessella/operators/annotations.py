@@ -75,9 +75,10 @@ def shrink(items: DataFrame, factor: float = 0.5, least_density: float = 0.1, le
     follow = F.slice(p, 2, F.greatest(n - 1, F.lit(0)))
     gaps = F.transform(F.zip_with(F.slice(p, F.lit(1), n - 1), follow, lambda a, c: F.hypot(a["x"] - c["x"], a["y"] - c["y"])), lambda d, i: F.struct(d.alias("d"), i.alias("i")))
     gone = F.transform(F.slice(F.array_sort(gaps), F.lit(1), n - keep), lambda e: e["i"])
-    rows = items.where(n > 1).withColumn("_gone", F.when(thin | (n <= least_points), F.array().cast("array<int>")).otherwise(gone))
-    kept = F.filter(F.transform(p, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda e: ~F.array_contains("_gone", e["i"]))
-    return rows.withColumn("points", F.transform(kept, lambda e: e["v"])).drop("_gone")
+    numbered = F.transform(p, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+    kept = F.transform(F.array(gone), lambda g: F.filter(numbered, lambda e: ~F.array_contains(g, e["i"])))[0]  # g is found once
+    small = F.transform(kept, lambda e: e["v"])
+    return items.where(n > 1).withColumn("points", F.when(thin | (n <= least_points), p).otherwise(small))
 
 
 def layer_summary(items: DataFrame) -> DataFrame:
