@@ -39,10 +39,20 @@ def duck():
     return d
 
 
+def _cell(v):
+    import numbers
+
+    import numpy as np
+    import pandas as pd
+
+    if v is None or v is pd.NA or v != v:
+        return None
+    if isinstance(v, (bool, np.bool_)):
+        return str(bool(v))
+    return f"{round(float(v), 6) + 0.0:.6f}" if isinstance(v, numbers.Number) else str(v)
+
+
 def rows_of(frame):
     """Order-free rows with columns by name and numbers rounded, for comparing engines."""
     names = sorted(frame.columns)
-    out = []
-    for rec in frame[names].astype(object).values.tolist():
-        out.append(tuple(None if v is None or v != v else (f"{round(float(v), 6) + 0.0:.6f}" if isinstance(v, float) else str(v)) for v in rec))
-    return names, sorted(out, key=str)
+    return names, sorted((tuple(map(_cell, rec)) for rec in frame[names].astype(object).values.tolist()), key=str)
