@@ -100,3 +100,33 @@ def drop_recurring(docs: DataFrame, **options) -> DataFrame:
     out = dedup(docs, **options).where((F.col("n_dropped") == 0) | F.col("kept_text").rlike("[^\\x20\\x09-\\x0D]"))
     changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_dropped") == 0, F.col("row.n_chars")).otherwise(F.length("kept_text").cast(docs.schema["n_chars"].dataType))} if "n_chars" in names else {"text": F.col("kept_text")}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in names])
+
+
+#: The defaults' rows of ``dedup`` for documents (doc_id, n_lines, n_dropped, text).
+DEDUP_SQL = r"""
+WITH raw AS (SELECT doc_id AS i, md5(text) AS d, regexp_replace(regexp_replace(regexp_replace(text, '[\x09\x0B-\x0D]', ' ', 'g'), ' +', ' ', 'g'), '[^ \n0-9]*[0-9][^ \n]*', '<*>', 'g') AS t
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+cells AS (SELECT DISTINCT i, d, unnest(range(0, len(string_split(t, chr(10))))) AS pos, t FROM raw),
+lines AS (SELECT i, d, pos, trim(string_split(t, chr(10))[pos + 1], ' ') AS line FROM cells),
+l AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS n, array_to_string(string_split(line, ' ')[1:4], ' ') AS lead FROM lines WHERE line <> ''),
+k AS (SELECT * FROM l WHERE n >= 3),
+alone AS (SELECT line, min(row(i, d, pos)) AS first FROM k GROUP BY line HAVING count(DISTINCT i) >= 3),
+drop1 AS (SELECT k.i, k.d, k.pos FROM k JOIN alone USING (line) WHERE row(k.i, k.d, k.pos) <> first),
+rest AS (SELECT k.* FROM k ANTI JOIN alone USING (line) WHERE n > 4),
+leaves AS (SELECT n, lead FROM rest GROUP BY n, lead HAVING count(DISTINCT i) >= 3),
+own AS (SELECT rest.* FROM rest SEMI JOIN leaves USING (n, lead)),
+places AS (SELECT n, lead, i, d, pos, unnest(range(4, n)) AS place, line FROM own),
+tokens AS (SELECT n, lead, i, d, pos, place, string_split(line, ' ')[place + 1] AS token FROM places),
+tally AS (SELECT n, lead, place, token, count(*) AS c FROM tokens GROUP BY ALL),
+best AS (SELECT n, lead, place, max(row(c, token)) AS m, max(c) AS c, sum(c) AS total FROM tally GROUP BY ALL),
+fixed AS (SELECT n, lead, place, m[2] AS token FROM best WHERE m[2] <> '<*>' AND c >= 0.6::DOUBLE * total),
+need AS (SELECT n, lead, count(*) AS need FROM fixed GROUP BY ALL),
+got AS (SELECT t.n, t.lead, t.i, t.d, t.pos, count(*) AS got FROM tokens t JOIN fixed USING (n, lead, place, token) GROUP BY ALL),
+fits AS (SELECT got.* FROM got JOIN need USING (n, lead) WHERE got >= 0.8::DOUBLE * need AND need + 4 >= 0.5::DOUBLE * n),
+whole AS (SELECT n, lead, min(row(i, d, pos)) AS first FROM fits GROUP BY n, lead HAVING count(DISTINCT i) >= 3),
+drop2 AS (SELECT f.i, f.d, f.pos FROM fits f JOIN whole USING (n, lead) WHERE row(f.i, f.d, f.pos) <> first),
+gone AS (SELECT i, d, list(pos) AS gone FROM (SELECT * FROM drop1 UNION SELECT * FROM drop2) GROUP BY i, d)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+    CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, k: NOT list_contains(gone, k - 1)), chr(10)) END AS text
+FROM documents LEFT JOIN gone ON gone.i = doc_id AND gone.d = md5(text)
+"""

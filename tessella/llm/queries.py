@@ -84,5 +84,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SHARES_SQL,
+    "op5_line_dedup": linededup.DEDUP_SQL,
+    "op6_minhash_near_dedup": neardup.GROUPS_SQL,
+    "op7_vector_near_dedup": vectors.LINKS_SQL,
     "op10_url_filter": urlfilter.JUDGE_SQL,
 }

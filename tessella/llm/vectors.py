@@ -317,3 +317,14 @@ def links(vectors: DataFrame, *, least: float = 0.95, min_recall: float = 0.97,
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     n_links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("n"), F.lit(1)) - 1
     return out.select(F.col("id").alias("vec_id"), n_links.alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+#: The rows of ``links`` for embeddings, by all pairs.
+LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS m FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.m * b.m) >= 0.95::DOUBLE),
+reach AS (SELECT a AS node, a AS other FROM l UNION SELECT r.node, l.b FROM reach r JOIN l ON r.other = l.a),
+c AS (SELECT node, min(other) AS component FROM reach GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
+"""
