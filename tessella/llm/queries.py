@@ -84,6 +84,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SHARES_SQL,
+    "op2_secret_scan": secrets.SCAN_SQL,
     "op5_line_dedup": linededup.DEDUP_SQL,
     "op6_minhash_near_dedup": neardup.GROUPS_SQL,
     "op7_vector_near_dedup": vectors.LINKS_SQL,

@@ -74,8 +74,8 @@ def train(docs: DataFrame, *, max_docs: int = 2000, made: int = 2000) -> list[fl
     spark = docs.sparkSession
     rows = docs.where("text is not null").select("doc_id", "text")
     share = min(1.0, max_docs / max(1, rows.count()))
-    point = F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(point < share)
+    h = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":secrets")).cast("binary"))
+    sample = rows.where(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32)) < share)
     base = _base(F.col("text"))
     known = sample.select(F.explode(F.concat(*(F.transform(m, lambda x: x["value"]) for m in base.values()))).alias("v"))
     h = F.sha2(F.concat(F.lit("random"), F.col("id").cast("string")).cast("binary"), 256)
@@ -125,3 +125,35 @@ def digest(spans: Column) -> Column:
     """kind:start:end, joined by commas."""
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+
+
+#: The rows of the registered query, with its parameters.
+SCAN_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, text IS NOT NULL AS has FROM documents),
+pats(kind, pat, grp) AS (VALUES (0, '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), (1, 'AKIA[A-Z0-9]{12,}', 0), (2, '[0-9a-f]{32,}', 0), (3, '[A-Za-z0-9+/_=-]{16,}', 0)),
+m AS (SELECT r, doc_id, has, kind, regexp_extract_all(t, pat) AS m, CASE grp WHEN 0 THEN regexp_extract_all(t, pat) ELSE regexp_extract_all(t, pat, 2) END AS v, string_split_regex(t, pat) AS g FROM d, pats WHERE regexp_matches(t, pat)),
+places AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM m),
+found AS (SELECT r, doc_id, has, kind, v[k] AS v, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a, length(m[k]) AS n FROM places),
+spans AS (SELECT *, a + n AS b FROM found WHERE kind > 0 OR length(v) >= 8),
+sample AS (SELECT r, t FROM d WHERE has AND CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':secrets'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < least(1.0, 2000 / greatest(1, (SELECT count(*) FROM d WHERE has)))),
+h AS (SELECT sha256('random' || CAST(id AS VARCHAR)) AS h FROM range(0, 2000) x(id)),
+b64 AS (SELECT h, to_base64(unhex(h)) AS e FROM h),
+good AS (SELECT v FROM spans JOIN sample USING (r) WHERE kind < 3 UNION ALL SELECT substr(h, 1, 40) FROM b64 UNION ALL SELECT substr(e, 1, 40) FROM b64 UNION ALL SELECT translate(upper(substr(e, 1, 30)), '+/=', '247') FROM b64),
+bad AS (SELECT v FROM (SELECT unnest(regexp_extract_all(t, '[A-Za-z0-9+/_=-]+')) AS v FROM sample) WHERE regexp_full_match(v, '[A-Za-z_-]{5,}|[0-9]{2,}')),
+labelled AS (SELECT 1 AS s, regexp_replace(v, '[^A-Za-z0-9+/_=-]', '', 'g') AS v FROM good UNION ALL SELECT 0, v FROM bad),
+steps AS (SELECT s, substr(' ' || v, k, 2) AS p FROM (SELECT s, v, unnest(range(1, length(v) + 1)) AS k FROM labelled)),
+counts AS (SELECT s, p, count(*) AS c FROM steps GROUP BY ALL),
+abc AS (SELECT unnest(string_split('ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-', '')) AS x),
+grid AS (SELECT q.s, a.x AS a, b.x AS b FROM (VALUES (0), (1)) q(s), (SELECT x FROM abc UNION ALL SELECT ' ') a(x), abc b),
+full_ AS (SELECT g.s, g.a, g.b, coalesce(c, 0) + 0.5::DOUBLE AS c FROM grid g LEFT JOIN counts k ON k.s = g.s AND k.p = g.a || g.b),
+logs AS (SELECT s, a, b, ln(c / sum(c) OVER (PARTITION BY s, a)) AS l FROM full_),
+model AS (SELECT x.a || x.b AS p, round(x.l - y.l, 6) AS w FROM logs x JOIN logs y ON x.s = 1 AND y.s = 0 AND x.a = y.a AND x.b = y.b),
+runs AS (SELECT s.* FROM spans s WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = s.r AND b.kind < 3 AND b.a < s.b AND s.a < b.b)),
+scored AS (SELECT r, a, b, sum(w) AS w FROM (SELECT r, a, b, v, unnest(range(1, length(v) + 1)) AS k FROM runs) JOIN model ON p = substr(' ' || v, k, 2) GROUP BY ALL),
+kept AS (SELECT r, kind, a, b FROM spans WHERE kind < 3 UNION ALL SELECT r, 3, a, b FROM scored WHERE w >= 10),
+named AS (SELECT r, kind, a, ['assign', 'access', 'hex', 'markov'][kind + 1] || ':' || a || ':' || b AS s FROM kept),
+per AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_markov,
+    string_agg(s, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY a, kind) AS spans FROM named GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_markov, 0) AS n_markov, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per USING (r)
+"""
