@@ -149,3 +149,42 @@ def balanced(df: DataFrame, stratum: str, key: str, wanted: Mapping[str, float],
     quota = F.create_map(*[F.lit(v) for s, w in wanted.items() for v in (s, round(total * w / sum(wanted.values())))])
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
     return df.where(F.col(stratum).isin(list(wanted))).withColumn("_k", rank).where(F.col("_k") <= quota[F.col(stratum)]).drop("_k")
+
+
+def id_map(df: DataFrame, canonical: str, others: Sequence[str]) -> DataFrame:
+    """id_type, id_value, canonical_id for every id column of a table, itself included; nulls and repeats left out."""
+    own = df.select(F.col(canonical).cast("string").alias("canonical_id"), *[F.col(c).cast("string").alias(c) for c in dict.fromkeys([canonical, *others])])
+    return own.unpivot(["canonical_id"], list(dict.fromkeys([canonical, *others])), "id_type", "id_value").where("id_value is not null").select("id_type", "id_value", "canonical_id").distinct()
+
+
+def resolve(rows: DataFrame, ids: DataFrame, value: str, id_type: str | None = None) -> DataFrame:
+    """rows with canonical_id for an id of any (or the given) type; the smallest of several, null for none."""
+    known = ids if id_type is None else ids.where(F.col("id_type") == id_type)
+    return rows.join(known.groupBy(F.col("id_value").alias(value)).agg(F.min("canonical_id").alias("canonical_id")), value, "left")
+
+
+def first_of(df: DataFrame, by: Sequence[str], column: str, order: Sequence[Column]) -> DataFrame:
+    """Per group, the first non-null value of a column in the given order."""
+    return first_row(df.where(F.col(column).isNotNull()), by, order).select(*by, column)
+
+
+def hard_examples(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
+    """Rows whose metric is below their group's median (of the whole group, not only of earlier rows)."""
+    m = df.groupBy(*by).agg(F.median(metric).alias("_m"))
+    return df.join(m, list(by)).where(F.col(metric) < F.col("_m")).drop("_m")
+
+
+def filter_jobs(jobs: DataFrame, *, name: str | None = None, strict: bool = False, state: str | None = None, queue: str | None = None, older: float | None = None) -> DataFrame:
+    """Scheduler jobs (name, state, queue, age in seconds) that pass every given test; name is a pattern, or the whole name if strict."""
+    if name is not None:
+        jobs = jobs.where(F.col("name") == name if strict else F.col("name").rlike(name))
+    if state is not None:
+        jobs = jobs.where(F.col("state") == state)
+    if queue is not None:
+        jobs = jobs.where(F.col("queue").startswith(queue))
+    return jobs if older is None else jobs.where(F.col("age") > older)
+
+
+def mean_of_copies(df: DataFrame, order: str, copies: int, values: Sequence[str]) -> DataFrame:
+    """item, and the mean of each value over its ``copies`` consecutive rows (order counts from 0)."""
+    return df.groupBy(F.floor(F.col(order) / copies).alias("item")).agg(*(F.avg(v).alias(v) for v in values))

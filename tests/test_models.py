@@ -103,3 +103,18 @@ def test_polygon_filters(spark):
     assert [r["x"] for r in tiles.near_polygon(at, F.col("p"), 10).collect()] == [11]
     b = spark.createDataFrame([(1, 100, 100, 40, 40), (2, 2, 2, 40, 40), (3, 200, 200, 3, 3)], "id int, x int, y int, w int, h int")
     assert [tuple(r) for r in tiles.grown(b, 0.1, F.lit(1000), F.lit(1000), 50).collect()] == [(1, 96, 96, 48, 48)]
+
+
+def test_table_function(spark):
+    from tessella.functions import udtf
+
+    udtf.register(spark)
+    assert [tuple(r) for r in spark.sql("SELECT * FROM tile_grid(250, 120, 100, 100)").collect()] == [(0, 0, 100, 100), (100, 0, 100, 100)]
+
+
+def test_jobs(spark):
+    from tessella.operators import tables
+
+    df = spark.createDataFrame([("seg_1", "r", "gpu8.q", 50.0), ("seg", "qw", "long.qc", 5000.0)], "name string, state string, queue string, age double")
+    assert tables.filter_jobs(df, name="seg", strict=True).count() == 1 and tables.filter_jobs(df, name="^seg").count() == 2
+    assert tables.filter_jobs(df, state="r", queue="gpu", older=10).count() == 1
