@@ -83,9 +83,9 @@ def fuzzy_graph_weights(spark, root):
 
 
 def mcl_clusters(spark, root):
-    """Markov clusters of the codebook's fuzzy neighbour graph."""
-    v = vectors(spark, root).where("id < 100")
-    return clustering.markov(clustering.fuzzy_graph(nearest.k_nearest(v, 8)), inflation=1.4)
+    """Rows per Markov cluster of the vectors' fuzzy neighbour graph."""
+    m = clustering.markov(clustering.fuzzy_graph(nearest.k_nearest(vectors(spark, root), 8)), inflation=1.6, threshold=1e-3, rounds=12)
+    return m.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
 def som_assign(spark, root):

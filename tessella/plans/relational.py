@@ -41,7 +41,7 @@ def prefix_join_patient(spark, root):
     c = table(spark, root, "customer").select(F.concat(F.lpad(F.col("c_custkey").cast("string"), 12, "0"), F.lit("-X")).alias("patient"))
     c = c.unionByName(table(spark, root, "nation").select(F.col("n_name").alias("patient")))
     s = table(spark, root, "supplier").select(F.concat(F.lpad((F.col("s_suppkey") * 3).cast("string"), 12, "0"), F.lit("_1")).alias("slide"))
-    s = s.unionByName(table(spark, root, "nation").where("n_nationkey % 2 = 0").select(F.concat("n_name", F.lit("_a")).alias("slide")))
+    s = s.unionByName(table(spark, root, "nation").select(F.concat("n_name", F.lit("_a")).alias("slide")))
     return tables.prefix_join(s, c, "slide", "patient").select("slide", "patient")
 
 
@@ -213,7 +213,7 @@ ORACLE_SQL = {
 SELECT b AS a, r AS b FROM q UNION SELECT r, b FROM q""",
     "patients_with_both": f"WITH {SPECIMENS_SQL} SELECT patient FROM specimens WHERE kind = 'Biopsy' INTERSECT SELECT patient FROM specimens WHERE kind = 'RP'",
     "prefix_join_patient": """WITH c AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0') || '-X' AS patient FROM customer UNION ALL SELECT n_name FROM nation),
- s AS (SELECT lpad(CAST(s_suppkey * 3 AS VARCHAR), 12, '0') || '_1' AS slide FROM supplier UNION ALL SELECT n_name || '_a' FROM nation WHERE n_nationkey % 2 = 0)
+ s AS (SELECT lpad(CAST(s_suppkey * 3 AS VARCHAR), 12, '0') || '_1' AS slide FROM supplier UNION ALL SELECT n_name || '_a' FROM nation)
 SELECT slide, coalesce((SELECT min(patient) FROM c WHERE left(patient, 12) = left(slide, 12)), (SELECT min(patient) FROM c WHERE patient = split_part(slide, '_', 1))) AS patient FROM s WHERE patient IS NOT NULL""",
     "cna_unpivot_label": """SELECT l_suppkey AS sample, 'g' || l_linenumber AS gene, CAST(min(l_orderkey) % 5 - 2 AS INT) AS v, min(l_orderkey) % 5 - 2 = -2 AS lost, min(l_orderkey) % 5 - 2 < 0 AS reduced FROM lineitem GROUP BY l_suppkey, l_linenumber""",
     "kfold_ntile": "WITH t AS (SELECT o_orderkey, ntile(7) OVER (ORDER BY o_orderkey) - 1 AS part FROM orders) SELECT CAST(part AS INT) AS part, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM t GROUP BY ALL",

@@ -120,9 +120,9 @@ def slide_sample(spark, root):
 
 
 def join_criteria(spark, root):
-    """Orders and their customers' segment joined by the four criteria, counted."""
-    o = table(spark, root, "orders").where("o_orderkey % 3 != 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
-    c = table(spark, root, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), "c_mktsegment")
+    """Urgent orders per customer and the customers of a segment, joined by the four criteria, counted."""
+    o = table(spark, root, "orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
+    c = table(spark, root, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k"), "c_mktsegment")
     out = None
     for criterion in ("all", "minimal", "0", "1"):
         j = tables.join_by(o, c, "k", criterion).agg(F.count("*").alias("rows"), F.sum("n").alias("orders"), F.count("c_mktsegment").alias("named")).withColumn("criterion", F.lit(criterion))
@@ -193,7 +193,7 @@ WHERE (b.x BETWEEN a.x AND a.x + a.w AND b.y BETWEEN a.y AND a.y + a.h) OR (b.x
 SELECT slide_id, cx, cy, round(filled * 1e6, 6) AS filled FROM c WHERE filled > 0.000002::DOUBLE""",
     "tile_grid": f"""WITH {BOXES_SQL}, e AS (SELECT slide_id, max(x + w) AS ww, max(y + h) AS hh FROM boxes GROUP BY slide_id), t AS (SELECT slide_id, a.i * 512 AS x, b.j * 512 AS y FROM e, range(0, 60) a(i), range(0, 60) b(j) WHERE a.i * 512 < ww - 1024 AND b.j * 512 < hh - 1024)
 SELECT slide_id, count(*) AS n, CAST(max(x) AS INT) AS x, CAST(max(y) AS INT) AS y FROM t GROUP BY slide_id""",
-    "join_criteria": """WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey), c AS (SELECT c_custkey AS k, c_mktsegment FROM customer WHERE c_custkey % 2 = 0)
+    "join_criteria": """WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey), c AS (SELECT c_custkey AS k, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING')
 SELECT count(*) AS rows, CAST(sum(n) AS BIGINT) AS orders, count(c_mktsegment) AS named, 'all' AS criterion FROM o FULL JOIN c USING (k)
 UNION ALL SELECT count(*), CAST(sum(n) AS BIGINT), count(c_mktsegment), 'minimal' FROM o JOIN c USING (k)
 UNION ALL SELECT count(*), CAST(sum(n) AS BIGINT), count(c_mktsegment), '0' FROM o LEFT JOIN c USING (k)
