@@ -26,7 +26,8 @@ def _items(spark, root):
 def annotation_round_trip(spark, root):
     """Items nested to one document per slide and taken apart again: items and total area per layer."""
     docs = src.nest(_items(spark, root)).withColumn("stem", F.col("slide_id"))
-    rows = docs.select("slide_id", F.explode("layers").alias("l")).select("slide_id", F.col("l.name").alias("layer"), F.posexplode("l.items").alias("idx", "i"))
+    rows = docs.select("slide_id", F.explode("layers").alias("l")).select("slide_id", F.col("l.name").alias("layer"), F.col("l.items").alias("items"))
+    rows = rows.select("slide_id", "layer", F.posexplode("items").alias("idx", "i"))
     rows = rows.withColumn("points", F.transform("i.segments", lambda s: s["point"]))
     return rows.groupBy("slide_id", "layer").agg(F.count("*").alias("n"), F.sum(P.area(F.col("points"))).cast("long").alias("area"))
 

@@ -55,7 +55,9 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def items(docs: DataFrame, slides: list[str] | None = None) -> DataFrame:
     """slide_id, layer, layer_idx, idx, class, type, closed, color, points of every item; slides: exact file stems to keep."""
     rows = docs if slides is None else docs.where(F.col("stem").isin(slides))
-    rows = rows.select("slide_id", F.posexplode("layers").alias("layer_idx", "l")).select("slide_id", "layer_idx", F.col("l.name").alias("layer"), F.posexplode("l.items").alias("idx", "i"))
+    # name and items part before the items are exploded, so that no row carries its whole layer
+    rows = rows.select("slide_id", F.posexplode("layers").alias("layer_idx", "l")).select("slide_id", "layer_idx", F.col("l.name").alias("layer"), F.col("l.items").alias("items"))
+    rows = rows.select("slide_id", "layer_idx", "layer", F.posexplode("items").alias("idx", "i"))
     return rows.select("slide_id", "layer", "layer_idx", "idx", "i.class", "i.type", "i.closed", "i.color", outline(F.col("i")).alias("points"))
 
 
