@@ -132,19 +132,25 @@ def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: flo
     """
     rows = points.select(*on, "x", "y")
     rows = (rows.distinct() if distinct else rows).withColumn("_b", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int"))
-    left = rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_l", F.lit(True))
-    right = rows.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_l", F.lit(False))
+    # each pair of blocks meets once, the lower one on the left; unlike blocks stand for both orders
+    left = rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1)))).withColumn("_l", F.lit(True))
+    right = rows.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))).withColumn("_l", F.lit(False))
     kinds = dict(points.dtypes)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = (g[g["_l"] == s][["x", "y"]].to_numpy(float) for s in (True, False))
-        total = np.zeros(bins, np.int64)
-        for lo in range(0, len(a), 1024):
-            d = np.hypot(a[lo : lo + 1024, None, 0] - b[None, :, 0], a[lo : lo + 1024, None, 1] - b[None, :, 1])
-            total += np.histogram(d, bins=bins, range=(0, top))[0]
+        total = np.zeros(bins + 1, np.int64)
+        for lo in range(0, len(a), 256):
+            d = (a[lo : lo + 256, None, 0] - b[None, :, 0]) ** 2
+            d += (a[lo : lo + 256, None, 1] - b[None, :, 1]) ** 2
+            np.sqrt(d, out=d)
+            k = np.where(d > top, bins, np.minimum(d / (top / bins), bins - 1)).astype(np.int32)
+            total += np.bincount(k.ravel(), minlength=bins + 1)
+        total = total[:bins] * (1 if g["_i"].iloc[0] == g["_j"].iloc[0] else 2)
         at = np.flatnonzero(total)
         return pd.DataFrame({**{c: [g[c].iloc[0]] * len(at) for c in on}, "bin": at, "n": total[at]})
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in on), "bin int, n long"])
-    both = left.unionByName(right).repartition(*on, "_i", "_j")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced by size
+    both = left.unionByName(right).repartition(tasks, *on, "_i", "_j")
     return both.groupBy(*on, "_i", "_j").applyInPandas(run, schema).groupBy(*on, "bin").agg(F.sum("n").alias("n"))
