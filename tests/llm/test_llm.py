@@ -271,7 +271,11 @@ def test_vectors(spark, root, monkeypatch):
     assert all(got[k] == (0, k) for k in (1000, 1001, 1002, 1003)) and got[1004] == (1, 1004) and got[1005] == (1, 1004)
 
 
-def test_ppm(spark):
+@pytest.mark.parametrize("bits", [(ppm.WINDOW_BITS, ppm.WORD_BITS), (5, 3)])
+def test_ppm(spark, monkeypatch, bits):
+    """The second case broadcasts next to nothing: windows and words go by the joins."""
+    monkeypatch.setattr(ppm, "WINDOW_BITS", bits[0])
+    monkeypatch.setattr(ppm, "WORD_BITS", bits[1])
     rng = random.Random(3)
     vocab = ["the", "of", "and", "Wort", "été", "tion", "ing", "zebra", "zoo"]
     texts = {i: " ".join(rng.choices(vocab, k=rng.randint(0, 30))) for i in range(60)} | {60: None, 61: "", 62: "日本 zoo"}
