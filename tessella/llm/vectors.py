@@ -75,28 +75,36 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _block(i: int, salt: int) -> int:
+    return int(mix(np.array([i], np.int64).view(np.uint64) ^ np.uint64(salt))[0] >> np.uint64(1))
+
+
 def _route(by_len: dict[int, np.ndarray], blocks: dict[tuple[int, int], int], overlap: int, probes: int):
-    """Rows for the shards: part (length, shard, block), index or query, and the class's index shards."""
+    """Rows for the shards: part (length, shard, block, turn), index or query, and the class's index shards.
+
+    A class is indexed in one block of a shard; a shard's queries are dealt into as many turns as it
+    has blocks, and each turn meets every block, so no task holds a whole shard. Index rows have turn 0.
+    """
 
     def run(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("len", "shard", "block", "is_index", "id", "n", "v", "homes", "probes")}
+            out: dict[str, list] = {k: [] for k in ("len", "shard", "block", "turn", "is_index", "id", "n", "v", "homes", "probes")}
             for i, n, length, v in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "len", "v")), strict=True):
                 c = by_len.get(length)
                 near = [0] if c is None else np.argsort(-(c @ np.frombuffer(v, float)), kind="stable")[: max(overlap, probes)].tolist()
                 homes, asked = sorted(near[:overlap]), sorted(near[:probes])
-                block = int(mix(np.array([i], np.int64).view(np.uint64))[0] >> np.uint64(1))
+                block, turn = _block(i, 0), _block(i, 0x5BF03635) if probes else 0
                 for s in homes if not probes else asked:
                     dealt = blocks.get((length, s), 1)
                     for b in [block % dealt] if not probes else range(dealt):
-                        for k, value in zip(out, (length, s, b, not probes, i, n, v, homes, asked), strict=True):
+                        for k, value in zip(out, (length, s, b, turn % dealt, not probes, i, n, v, homes, asked), strict=True):
                             out[k].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out.values(), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], list(out))
 
     return run
 
 
-ROUTED = "len long, shard long, block long, is_index boolean, id long, n long, v binary, homes array<long>, probes array<long>"
+ROUTED = "len long, shard long, block long, turn long, is_index boolean, id long, n long, v binary, homes array<long>, probes array<long>"
 
 
 def prune(x: np.ndarray) -> list[np.ndarray]:
@@ -298,15 +306,20 @@ def links(vectors: DataFrame, *, least: float = 0.95, min_recall: float = 0.97,
     if dealt:
         index = cut(classes.mapInArrow(_route(by_len, dealt, OVERLAP, 0), ROUTED))
     part = ["len", "shard", "block"]
-    tasks = max(shuffle_partitions(spark), 2 * sum(dealt.get((d, k), 1) for d, c in by_len.items() for k in range(len(c))))
+    tasks = max(shuffle_partitions(spark), 2 * sum(dealt.get((d, k), 1) ** 2 for d, c in by_len.items() for k in range(len(c))))
     lists = index.repartition(tasks, *part).groupBy(*part).applyInPandas(_build, "id long, near array<long>")
     united = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     index = cut(index.join(united, "id"))
+    turns = F.lit(0).cast("long")
+    for (d, k), parts in dealt.items():
+        turns = F.when((F.col("len") == d) & (F.col("shard") == k), F.lit(parts - 1).cast("long")).otherwise(turns)
+    every_turn = index.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), turns)))
+    met = [*part, "turn"]
     probes = OVERLAP + 1
     while True:
         asked = classes.mapInArrow(_route(by_len, dealt, OVERLAP, min(probes, most)), ROUTED).withColumn("near", F.lit(None).cast("array<long>"))
-        both = index.unionByName(asked)
-        found = cut(both.repartition(tasks, *part).groupBy(*part).applyInPandas(_search(least), "id long, links long, other long"))
+        both = every_turn.unionByName(asked)
+        found = cut(both.repartition(tasks, *met).groupBy(*met).applyInPandas(_search(least), "id long, links long, other long"))
         counted = cut(found.where("links is not null").groupBy("id").agg(F.sum("links").alias("links")))
         if probes >= most or recall(classes, counted, least) >= min_recall:
             break

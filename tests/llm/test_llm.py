@@ -255,7 +255,10 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_vectors(spark, root, monkeypatch):
+@pytest.mark.parametrize("most", [vectors.MOST, 60])
+def test_vectors(spark, root, monkeypatch, most):
+    """With 60, shards are dealt into blocks and their queries into turns."""
+    monkeypatch.setattr(vectors, "MOST", most)
     monkeypatch.setattr(vectors, "SHARD", 60)
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 16))
