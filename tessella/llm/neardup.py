@@ -6,7 +6,9 @@
    sorted order the neighbours with the longest common prefix are adjacent. Depth adapts by region:
    a run that shares MIN_DEPTH values is a region if it has at most REGION rows, else its longer
    common prefixes are, up to the whole key; a run of equal whole keys is cut into blocks in a
-   random order that differs from tree to tree.
+   random order that differs from tree to tree. These give first links. Runs above REGION, and runs
+   that lie in more than one partition, are compared as wholes afterwards: dealt into blocks, every
+   block meets every other in a task of its own, but for rows that are connected already.
 3. Pairs of a region whose sketches (one bit of each signature value) and set sizes allow the
    similarity are candidates. A region with many of them first gives a sparse part that can
    connect it, verified as all are; afterwards it gives every candidate whose ends are not connected yet.
@@ -14,7 +16,7 @@
 4. Candidates are verified on the full sets of their whole texts; connected components of what
    remains (distributed, see ``_spark.components``) are the groups.
 
-With 24 trees of depth 4 a pair at a similarity of exactly 0.8 is missed with probability 3e-6; the
+With 24 trees of depth 4, all of whose runs are compared, a pair at a similarity of exactly 0.8 is missed with probability 3e-6; the
 sketch test misses it with probability 3e-7.
 
 Edge cases: a null text or one without words has an empty set, is linked with nothing and kept; a
@@ -38,6 +40,7 @@ from ._text import blocks, lower_ascii, mix, shingle_sets, span_hashes, text_byt
 
 HASHES, TREES, MIN_DEPTH, DEPTH = 128, 24, 4, 8
 REGION, DENSE, SPARSE_TREES = 512, 4, 3
+BLOCK = 1024  #: rows of a block of a run above REGION
 TOGETHER = 4_000_000  #: shingles of a region that are verified in one task
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -178,7 +181,8 @@ def _scan(num: int, den: int):
                 if len(i) <= DENSE * len(at):
                     pairs.append((at[i], at[j]))
                     continue
-                dense.append((base + len(dense), at[np.unique(np.concatenate([i, j]))]))
+                if b - a <= REGION:  # larger runs are compared as wholes afterwards
+                    dense.append((base + len(dense), at[np.unique(np.concatenate([i, j]))]))
                 if t[x] < SPARSE_TREES:
                     both = ok | ok.T
                     hub = int(both.sum(1).argmax())
@@ -191,10 +195,18 @@ def _scan(num: int, den: int):
         a = np.concatenate([p[0] for p in pairs] or [np.zeros(0, int)])
         b = np.concatenate([p[1] for p in pairs] or [np.zeros(0, int)])
         edge = np.unique(np.stack([np.minimum(r[a], r[b]), np.maximum(r[a], r[b])], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        names = ["region", "a", "b", "n", "s1", "s2"]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(edge), pa.int64()), pa.array(edge[:, 0]), pa.array(edge[:, 1]), *(pa.nulls(len(edge), pa.int64()) for _ in range(3))], names)
+        names = ["region", "a", "b", "n", "s1", "s2", "t", "key"]
+
+        def emit(size: int, **columns):
+            kinds = {"t": pa.int32(), "key": pa.binary()}
+            return pa.RecordBatch.from_arrays([pa.array(columns[c]) if c in columns else pa.nulls(size, kinds.get(c, pa.int64())) for c in names], names)
+
+        yield emit(len(edge), a=edge[:, 0], b=edge[:, 1])
         for k, at in dense:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(r[at]), pa.nulls(len(at), pa.int64()), pa.array(n[at].astype(np.int64)), pa.array(s1[at]), pa.array(s2[at])], names)
+            yield emit(len(at), region=np.full(len(at), k), a=r[at], n=n[at].astype(np.int64), s1=s1[at], s2=s2[at])
+        # runs that may be above REGION: those that are, and those that may go on in other partitions
+        wide = np.union1d(np.flatnonzero(ends - starts > REGION), [0, len(starts) - 1])
+        yield emit(len(wide), t=t[starts[wide]], key=_fixed_binary(key[starts[wide], :MIN_DEPTH].reshape(len(wide), 2 * MIN_DEPTH)), n=(ends - starts)[wide].astype(np.int64))
 
     return run
 
@@ -253,6 +265,127 @@ def _verify_region(k: int, num: int, den: int):
     return run
 
 
+def _open_blocks(num: int, den: int):
+    """Of two blocks of a run (side 0 and 1; 2 is both): the rows with a candidate in another component.
+
+    ``sub`` deals them out again where their sets are too large for one task.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        rows = _Rows(*(g[c].to_numpy() for c in ("r", "n", "s1", "s2")), num, den)
+        c, side = g["c"].to_numpy(), g["side"].to_numpy()
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        ok = rows.may(a[:, None], b[None, :]) & (c[a][:, None] != c[b][None, :])
+        a, b = a[ok.any(1)], b[ok.any(0)]
+        near, far = (np.cumsum(rows.n[at]) // (TOGETHER // 2) for at in (a, b))
+        out = []
+        for x in np.unique(near):
+            for y in np.unique(far):
+                p, q = a[near == x], b[far == y]
+                at = np.union1d(p, q)
+                where = np.where(~np.isin(at, q), 0, np.where(~np.isin(at, p), 1, 2))
+                out.append(pd.DataFrame({"region": g["region"].iloc[0], "sub": f"{x} {y}", "r": rows.r[at], "c": c[at], "side": where}))
+        return pd.concat(out) if out else pd.DataFrame({"region": [], "sub": [], "r": [], "c": [], "side": []})
+
+    return run
+
+
+def _shared(sets: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of shingles that each of the rows a shares with each of the rows b."""
+    n = len(first) - 1
+    names, column = np.unique(sets, return_inverse=True)
+    row = np.repeat(np.arange(n), np.diff(first))
+
+    def cells(at: np.ndarray):
+        place = np.full(n, -1)
+        place[at] = np.arange(len(at))
+        own = place[row]
+        order = np.argsort(column[own >= 0], kind="stable")
+        return own[own >= 0][order], column[own >= 0][order]
+
+    (ra, ca), (rb, cb) = cells(a), cells(b)
+    na, nb = np.bincount(ca, minlength=len(names)), np.bincount(cb, minlength=len(names))
+    out = np.zeros(len(a) * len(b), np.int64)
+    often = na * nb > max(64, len(a) * len(b) // 256)
+    # rare shingles: their pairs of rows; frequent ones: products of 0-1 matrices
+    start = np.cumsum(nb) - nb
+    some = np.flatnonzero(~often[ca] & (nb[ca] > 0))
+    total = np.cumsum(nb[ca[some]])
+    for lo in range(0, int(total[-1]) if len(total) else 0, 4_000_000):
+        cell = np.arange(lo, min(lo + 4_000_000, int(total[-1])))
+        at = np.searchsorted(total, cell, "right")
+        x = some[at]
+        out += np.bincount(ra[x] * len(b) + rb[start[ca[x]] + cell - (total[at] - nb[ca[x]])], minlength=len(out))
+    out = out.reshape(len(a), len(b))
+    number = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 2048):
+        part = []
+        for r, c, size in ((ra, ca, len(a)), (rb, cb, len(b))):
+            at = np.flatnonzero(often[c] & (number[c] >= lo) & (number[c] < lo + 2048))
+            m = np.zeros((size, 2048), np.float32)
+            m[r[at], number[c[at]] - lo] = 1
+            part.append(m)
+        out += (part[0] @ part[1].T).astype(np.int64)
+    return out
+
+
+def _verify_blocks(k: int, num: int, den: int):
+    """A forest of the links between components of two blocks' open rows, on the full sets of their texts."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        raw, off, _ = text_bytes(pa.array(g["text"], pa.string()))
+        sets, first = _sets(raw, off, k)
+        r, c, side = g["r"].to_numpy(), g["c"].to_numpy().copy(), g["side"].to_numpy()
+        a, b, size = np.flatnonzero(side != 1), np.flatnonzero(side != 0), np.diff(first)
+        out = []
+        if len(a) and len(b):
+            both = _shared(sets, first, a, b)
+            ok = (both > 0) & (den * both >= num * (size[a][:, None] + size[b][None, :] - both)) & (c[a][:, None] != c[b][None, :]) & (r[a][:, None] != r[b][None, :])
+            for x, y in zip(*np.nonzero(ok), strict=True):
+                x, y = a[x], b[y]
+                if c[x] != c[y]:
+                    out.append((min(r[x], r[y]), max(r[x], r[y])))
+                    c[c == c[x]] = c[y]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _wide_links(found: DataFrame, trees: DataFrame, texts: DataFrame, comps: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """Links between components within the runs that a region or a partition doesn't hold; None without such runs.
+
+    Rows of a component of BLOCK rows or more fill blocks of their own, which don't meet each other.
+    """
+    run = ["t", "key"]
+    runs = found.where("t is not null").groupBy(*run).agg(F.sum("n").alias("n"), F.count("*").alias("parts"))
+    runs = cut(runs.where((F.col("n") > REGION) | (F.col("parts") > 1)).select(*run))
+    if not runs.limit(1).count():
+        return None
+    rows = trees.withColumn("key", F.substring("key", 1, 2 * MIN_DEPTH)).join(small(runs), run)
+    rows = rows.join(comps.select(F.col("node").alias("r"), F.col("component").alias("c")), "r", "left").withColumn("c", F.coalesce("c", "r"))
+    rows = cut(rows.select(*run, "r", "n", "s1", "s2", "c"))
+    sizes = cut(rows.groupBy(*run, "c").agg(F.count("*").alias("size")))
+    mixed = sizes.groupBy(*run).agg(F.count("*").alias("cs"), F.sum(F.when(F.col("size") < BLOCK, F.col("size")).otherwise(0)).alias("mixed"))
+    mixed = small(cut(mixed.where("cs > 1").drop("cs")))
+    large = small(cut(sizes.where(F.col("size") >= BLOCK).withColumn("whole", F.col("c"))))
+    dealt = rows.join(mixed, run).join(large, [*run, "c"], "left")
+    own = F.xxhash64("c", F.pmod(F.xxhash64("r"), F.ceil(F.col("size") / BLOCK)))
+    block = F.when(F.col("whole").isNotNull(), own).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("mixed") / BLOCK)))
+    dealt = cut(dealt.select(*run, "r", "n", "s1", "s2", "c", "whole", block.alias("block")))
+    blocks = cut(dealt.select(*run, "block", "whole").distinct())
+    x, y = blocks.select(*run, F.col("block").alias("x"), F.col("whole").alias("wx")), blocks.select(*run, F.col("block").alias("y"), F.col("whole").alias("wy"))
+    meet = x.join(y, run).where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("wx") == F.col("wy"), F.lit(False)))
+    meet = cut(meet.select(*run, "x", "y", F.xxhash64(*run, "x", "y").alias("region")))
+    left = meet.select(*run, F.col("x").alias("block"), "region", F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    right = meet.where("x != y").select(*run, F.col("y").alias("block"), "region", F.lit(1).alias("side"))
+    sides = small(cut(left.unionByName(right).distinct()))
+    tasks = shuffle_partitions(texts.sparkSession)  # a given number isn't coalesced by size
+    met = dealt.join(sides, [*run, "block"]).select("region", "side", "r", "n", "s1", "s2", "c").repartition(tasks, "region")
+    open_rows = cut(met.groupBy("region").applyInPandas(_open_blocks(num, den), "region long, sub string, r long, c long, side int"))
+    near = texts.withColumnRenamed("i", "r").join(small(open_rows), "r").repartition(tasks, "region", "sub")
+    return cut(near.groupBy("region", "sub").applyInPandas(_verify_blocks(k, num, den), "a long, b long").distinct())
+
+
 def _verify(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -295,9 +428,9 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
     parts = max(shuffle_partitions(spark), -(-classes.count() * TREES // 200_000))
     order = ["t", "key", F.xxhash64("r", "t")]  # equal keys in an order that differs from tree to tree
     found = trees.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = cut(found.mapInArrow(_scan(num, den), "region long, a long, b long, n long, s1 long, s2 long"))
-    links = _links(found.where("region is null"), texts, k, num, den)
-    dense = found.where("region is not null")
+    found = cut(found.mapInArrow(_scan(num, den), "region long, a long, b long, n long, s1 long, s2 long, t int, key binary"))
+    links = _links(found.where("region is null and t is null"), texts, k, num, den)
+    dense = found.where("region is not null").drop("t", "key")
     comps = components(links)
     if dense.limit(1).count():
         label = dense.join(comps.select(F.col("node").alias("a"), F.col("component").alias("c")), "a", "left")
@@ -307,7 +440,11 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int =
         near = near.groupBy("region").applyInPandas(_verify_region(k, num, den), "a long, b long")
         more = cut(near.unionByName(_links(rows.where("b is not null"), texts, k, num, den)).distinct())
         if more.limit(1).count():
-            comps = components(links.unionByName(more))
+            links = links.unionByName(more)
+            comps = components(links)
+    wide = _wide_links(found, trees, texts, comps, k, num, den)
+    if wide is not None and wide.limit(1).count():
+        comps = components(links.unionByName(wide))
     out = feats.drop("sig").join(classes, ["n", "d1", "d2"], "left").join(comps.select(F.col("node").alias("r"), "component"), "r", "left")
     component = F.when(F.col("i").isNotNull(), F.coalesce("component", "r", "i"))
     return out.select(F.col("i").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("i") == component, F.lit(True)).alias("kept"))

@@ -237,6 +237,29 @@ def test_near_dedup_dense(spark, monkeypatch):
     assert kept.count() == len({c for _, c in got.values()})
 
 
+def test_near_dedup_hot_template(spark):
+    """Thousands of texts share most words and aren't near copies; the pairs among them that are all meet."""
+    rng = random.Random(3)
+    n, body = 9000, [f"word{k}" for k in range(106)]
+    texts = {i: body + [f"own{i}x{k}" for k in range(14)] for i in range(n)}  # two of them: 106 of 134 shingles
+    pairs = {i: n + i for i in range(0, 1200, 3)}
+    for i, j in pairs.items():  # such a pair: 107 of 133
+        texts[j] = texts[i][:107] + [f"new{j}x{k}" for k in range(13)]
+    order = list(texts)
+    rng.shuffle(order)
+    d = spark.createDataFrame([(i, " ".join(texts[i]), "", "", 0) for i in order], DOCS)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(d, k=1).collect()}
+    assert got == {i: i for i in range(n)} | {j: i for i, j in pairs.items()}
+
+
+def test_shared_counts():
+    rng = random.Random(4)
+    sets = [sorted(rng.sample(range(300), rng.randint(0, 40)) + list(range(500, 520))) for _ in range(70)]
+    first = np.cumsum([0, *map(len, sets)])
+    got = neardup._shared(np.array(sum(sets, []), np.uint64), first, np.arange(50), np.arange(30, 70))
+    assert got.tolist() == [[len(set(sets[x]) & set(sets[y])) for y in range(30, 70)] for x in range(50)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(600, 640)]
