@@ -1,6 +1,7 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line's variable fields (tokens with a digit) are masked; its path in the tree is its token count
+A line's variable fields (tokens with a digit) are masked, but in a line of which they are more than
+half (a row of figures); its path in the tree is its token count
 and its leading tokens. Lines whose masked text alone recurs are a template. The others of a leaf
 are generalised position by position: a token that most of them share stays, other positions become
 variable; lines that fit such a template belong to it. A template found in at least ``min_docs``
@@ -29,8 +30,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("d"), F.col("text").alias("t"))
     rows = rows.withColumn("t", F.when(t.rlike("[\\x09\\x0B-\\x0D]"), F.regexp_replace(t, "[\\x09\\x0B-\\x0D]", " ")).otherwise(t))
     rows = rows.withColumn("t", F.when(t.contains("  "), F.regexp_replace(t, " +", " ")).otherwise(t))
-    rows = rows.withColumn("t", F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[^ \n0-9]*[0-9][^ \n]*", "<*>")).otherwise(t))
-    rows = rows.select("i", "d", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    rows = rows.withColumn("m", F.when(t.rlike("[0-9]"), F.regexp_replace(t, "[^ \n0-9]*[0-9][^ \n]*", "<*>")).otherwise(t))
+    # a line has most tokens masked only if two of them are adjacent, or its first and last are
+    some = F.col("m").rlike("<\\*> <\\*>|(^|\n) ?<\\*> [^\n]*<\\*> ?(\n|$)")
+    mask = lambda m: F.length(m) - F.length(F.replace(m, F.lit("<*>"), F.lit("<>")))
+    tokens = lambda m: F.length(F.trim(m)) - F.length(F.replace(F.trim(m), F.lit(" "), F.lit(""))) + 1
+    lines = F.split("m", "\n")
+    lines = F.when(some, F.zip_with(lines, F.split("t", "\n"), lambda m, own: F.when(2 * mask(m) > tokens(m), own).otherwise(m))).otherwise(lines)
+    rows = rows.select("i", "d", F.posexplode(lines).alias("pos", "line"))
     rows = rows.select("i", "d", "pos", F.trim("line").alias("line")).where("line != ''")
     return rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
 

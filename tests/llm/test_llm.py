@@ -190,6 +190,14 @@ def test_line_dedup(spark):
     assert {r["text"] for r in linededup.drop_recurring(two).collect()} == {r[1] for r in rows[:2]}
 
 
+def test_line_dedup_keeps_tables(spark):
+    """Rows of unlike figures aren't a template; equal ones and masked lines with enough words still are."""
+    table = lambda k: "\n".join(f"{k}{j} {k + j}.5 {k * j}%" for j in range(10, 14))
+    rows = [(k, f"{table(k)}\n7 8 9\nvisit number {k} today", "en", "a", 0) for k in range(1, 6)]
+    out = {r["doc_id"]: r["text"] for r in linededup.drop_recurring(spark.createDataFrame(rows, DOCS)).collect()}
+    assert out == {1: rows[0][1]} | {k: table(k) for k in range(2, 6)}
+
+
 def exact_groups(texts, k):
     sets = {}
     for i, t in texts.items():
