@@ -126,14 +126,17 @@ def _one_vs_one(x: np.ndarray, y: np.ndarray) -> list[tuple[str, str, np.ndarray
     return out
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2000) -> Model:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2000, max_langs: int = 200) -> Model:
     """Fits on labelled rows: those with a text and a language, at most about ``max_rows`` of them.
 
     Rows are chosen by a hash of their key, as many of each language as the bound allows, so the
-    sample doesn't depend on partitions or reruns. The sample's vectors (8 KB each) go to the driver.
+    sample doesn't depend on partitions or reruns. A table with more than ``max_langs`` languages is
+    refused: every pair of them has an SVM. The sample's vectors (8 KB each) go to the driver.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(200).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs + 1).collect()}
+    if len(sizes) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     if not sizes:
         return Model()
     share = max_rows / len(sizes)

@@ -370,6 +370,12 @@ def test_language_id(spark, root, docs):
     assert kept.columns == odd_docs(spark).columns and kept.where("text is null").count() == 0
 
 
+def test_language_id_refuses_too_many(spark):
+    d = spark.createDataFrame([(k, f"text of language {k}", f"l{k}", "a", 0) for k in range(201)], DOCS)
+    with pytest.raises(ValueError, match="more than 200 languages"):
+        langid.fit(d)
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [
