@@ -62,8 +62,9 @@ def plan(rows: DataFrame, **options) -> DataFrame:
     named = rows.withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     sizes = cut(named.groupBy("s").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count("*").alias("n")))
     t = sizes.join(targets(sizes.select("source", "source_size"), **options).drop("source_size").withColumn("s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source"), "s")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    t = t.withColumn("epochs", epochs).withColumn("rest", F.greatest(F.lit(0), F.round("target").cast("long") - F.col("epochs") * F.col("source_size")))
+    # whole words first: a target that rounds up to a multiple of its source's size is that many epochs
+    t = t.withColumn("goal", F.round("target").cast("long"))
+    t = t.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("goal div source_size")).otherwise(0).cast("long")).withColumn("rest", F.col("goal") - F.col("epochs") * F.col("source_size"))
     t = cut(t.withColumn("ranges", F.ceil(F.sqrt("n")).cast("long")))
     few = small(t)
     ranged = named.join(few.select("s", "ranges", "rest"), "s").withColumn("range", F.shiftright(F.shiftright("key", 30) * F.col("ranges"), 30))
@@ -75,7 +76,8 @@ def plan(rows: DataFrame, **options) -> DataFrame:
     prior = F.col("before") + F.coalesce(F.sum("unit").over(Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = units.withColumn("prior", prior).where((F.col("prior") <= F.col("rest")) & (F.col("rest") < F.col("prior") + F.col("unit")))
     cuts = cuts.select("s", F.col("key").alias("cut_key"), "unit", (F.col("rest") - F.col("prior")).alias("wanted"))
-    return small(cut(t.join(cuts, "s", "left").select("s", "source_size", "target", "epochs", "cut_key", "unit", "wanted")))
+    lost = F.when((F.col("rest") > 0) & F.col("cut_key").isNull(), F.raise_error(F.lit("a source's cut was not found"))).otherwise(F.col("epochs"))
+    return small(cut(t.join(cuts, "s", "left").select("s", "source_size", "target", lost.alias("epochs"), "cut_key", "unit", "wanted")))
 
 
 def _part(size: Column) -> Column:
@@ -121,8 +123,8 @@ w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) %
 l AS (SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) - coalesce(CAST(sum(cap) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0))
     / CAST(sum(w) OVER (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM w),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * w) AS target FROM l),
-e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
-r AS (SELECT *, greatest(0, CAST(round(target) AS BIGINT) - epochs * source_size) AS rest FROM e),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+r AS (SELECT *, CAST(round(target) AS BIGINT) - epochs * source_size AS rest FROM e),
 p AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.epochs, r.rest,
     CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS upto,
     CAST(sum(d.size) OVER (PARTITION BY d.source, d.k) AS BIGINT) AS unit

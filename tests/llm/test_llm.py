@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import rows_of
@@ -65,6 +67,22 @@ def test_mixing_caps(spark):
     assert t == {20: (60.0, 60), 10: (30.0, 30), 1000: (940.0, 940)}
 
 
+def test_mixing_whole_epochs(spark):
+    """Targets that round to a multiple of their source's size, and many small sources, give the SQL's rows."""
+    rng = random.Random(8)
+    tables = [{"A": [2], "B": [3], "C": [5]}]
+    tables += [{f"s{k:02d}": [rng.randint(0, 6) for _ in range(rng.randint(1, 3))] for k in range(rng.choice([1, 2, 3, 7, 30]))} for _ in range(6)]
+    for t in tables:
+        rows = [(k, "w " * n, None, s, 0) for k, (s, n) in enumerate((s, n) for s, sizes in t.items() for n in sizes)]
+        frame = spark.createDataFrame(rows, DOCS)
+        other = duckdb.connect()
+        other.register("documents", frame.toPandas())
+        assert rows_of(mixing.shares(frame).toPandas()) == rows_of(other.sql(mixing.SHARES_SQL).df())
+    small = spark.createDataFrame([(0, "w w", None, "A", 0), (1, "w w w", None, "B", 0), (2, "w w w w w", None, "C", 0)], DOCS)
+    assert {r["doc_id"]: r["taken"] for r in mixing.shares(small).collect()} == {0: 2, 1: 3, 2: 5}
+    assert {r["doc_id"]: len(WORD.findall(r["text"])) for r in mixing.mix(small).collect()} == {0: 2, 1: 3, 2: 5}
+
+
 def base_spans(t):
     rx = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     kinds = [[m.span() for m in rx.finditer(t) if len(m.group(2)) >= 8], [m.span() for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m.group()) >= 16], [m.span() for m in re.finditer("[0-9a-f]+", t) if len(m.group()) >= 32]]
@@ -111,6 +129,40 @@ def test_quality(spark, root, docs, texts):
     assert sum(r["kept"] for r in fair) >= 0.97 * len(fair)
 
 
+def test_quality_held_out(spark, root):
+    """The verdict on labels that weren't fitted: it must drop the bad and keep the good."""
+    root = os.path.join(os.path.dirname(root), "sf0.01")
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    rows = quality.judge(docs, quality.fit(docs, labels.where(half))).where("not base_failed").join(labels.where(~half), "doc_id").collect()
+    bad, good = ([r["kept"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert len(bad) >= 5 and sum(bad) <= 0.1 * len(bad) and sum(good) >= 0.97 * len(good)
+
+
+def test_crf_fit_finds_the_likeliest_weights():
+    """No step from the fitted weights makes the marks likelier (log-likelihood by enumeration, with the ridge)."""
+    rng = np.random.default_rng(9)
+    width, truth = len(quality.FEATURES), quality.Crf(rng.normal(size=len(quality.FEATURES)), rng.normal(size=(2, 2)))
+    seqs = [(x, (truth.decode(x) ^ (rng.random(len(x)) < 0.2)).astype(int)) for x in (rng.normal(size=(rng.integers(1, 5), width)) for _ in range(40))]
+    crf = quality.fit_crf(seqs, rounds=600, ridge=0.05)
+    theta = np.concatenate([crf.weights, crf.steps.ravel()])
+
+    def worth(theta):
+        w, s, out = theta[:width], theta[width:].reshape(2, 2), 0.0
+        for x, y in seqs:
+            e, n = x @ w, len(x)
+            value = lambda p: sum(e[k] for k in range(n) if p[k]) + sum(s[p[k], p[k + 1]] for k in range(n - 1))  # noqa: B023, E731
+            out += value(y) - np.logaddexp.reduce([value([m >> k & 1 for k in range(n)]) for m in range(2**n)])
+        return out / sum(len(x) for x, _ in seqs) - 0.05 / 2 * (theta**2).sum()
+
+    best = worth(theta)
+    for k in range(len(theta)):
+        for step in (-0.1, 0.1):
+            moved = theta.copy()
+            moved[k] += step
+            assert worth(moved) <= best + 1e-7
+
+
 def test_crf_decodes_the_best_path():
     rng = np.random.default_rng(2)
     crf = quality.Crf(rng.normal(size=3), rng.normal(size=(2, 2)))
@@ -122,6 +174,11 @@ def test_crf_decodes_the_best_path():
 
         best = max(([int(b) for b in np.binary_repr(m, n)] for m in range(2**n)), key=value)
         assert value(crf.decode(x).astype(int).tolist()) == pytest.approx(value(best))
+    for sizes in ([0, 3, 0], [400, *rng.integers(0, 9, 60)], [2] * 20, rng.integers(0, 40, 50)):
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+        x = rng.normal(size=(first[-1], 3))
+        alone = [crf.decode(x[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+        assert (crf.decode(x, first) == np.concatenate(alone)).all()
 
 
 def check_pieces(rows, texts):
@@ -157,25 +214,44 @@ def test_packing(docs, texts):
     assert check_pieces(packing.pack(docs).collect(), list(texts.items())) < 0.05
 
 
-def test_packing_cuts_are_best():
+@pytest.mark.parametrize("sizes", [(1, 9, 6, 8), (20, 700, 5, 300)])
+def test_packing_cuts_are_best(sizes):
+    """The second case has windows of 128 and 256 tokens without padding and stretches without an end."""
     rng = np.random.default_rng(4)
+    low, high, docs, size = sizes
     for _ in range(20):
-        doc_ends = np.cumsum(rng.integers(1, 9, 6))
+        doc_ends = np.cumsum(rng.integers(low, high, docs))
         sentence = np.unique(rng.integers(1, doc_ends[-1] + 1, 5))
-        n, size = int(doc_ends[-1]), 8
+        n = int(doc_ends[-1])
         cost = {int(p): packing.SENTENCE for p in sentence} | {int(p): 0 for p in doc_ends} | {0: 0}
+        known = sorted(cost)
+        for p, q in zip(known, known[1:], strict=False):
+            cost |= {r: packing.INSIDE for r in range(p + packing.STRIDE, q, packing.STRIDE)}
+        part = lambda length: min([size - length] + [packing.SHORT] * (length in (128, 256, 512) and length < size))  # noqa: B023, E731
 
         def price(cuts):
-            return sum(cost[b] + size - (b - a) for a, b in zip([0, *cuts], cuts, strict=False))
+            assert all(b - a <= size for a, b in zip([0, *cuts], cuts, strict=False))
+            return sum(cost[b] + part(b - a) for a, b in zip([0, *cuts], cuts, strict=False))
 
         best = {0: 0}
         for p in sorted(cost)[1:]:
-            best[p] = min(best[q] + cost[p] + size - (p - q) for q in best if q < p and p - q <= size) if any(q < p and p - q <= size for q in best) else math.inf
+            best[p] = min((best[q] + cost[p] + part(p - q) for q in best if q < p and p - q <= size), default=math.inf)
         if best[n] < math.inf:
             got = packing.cuts(doc_ends, sentence, size)
             assert got[-1] == n and price(got) == best[n]
 
 
+def test_packing_long_runs(spark, monkeypatch):
+    """Runs of a million equal characters, texts of many parts, and documents longer than a block."""
+    monkeypatch.setattr(packing, "PART", 4000)
+    rng = random.Random(12)
+    mixed = "".join(rng.choice(["word ", "it's ", " \n", "\x85", "\x1c", "日本", "12 ", "!!", "  ", "<|endoftext|>", "\u3000"]) for _ in range(60_000))
+    n = 1_000_000
+    texts = [" " * n, "\n" * n, "ab" * (n // 2), "x" + " " * n + "y's", "é\u3000" * 30_000 + "<|endoftext|>" + "\t" * 20_000, mixed, "x" * 9 + " " * 10_000, " " * 9_999 + "y" + "\n" * 10_001 + "'ll"]
+    d = spark.createDataFrame([(k, t, "", "", 0) for k, t in enumerate(texts)], DOCS).coalesce(1)
+    assert check_pieces(packing.pack(d).collect(), list(enumerate(texts))) < 0.05
+
+
 def test_line_dedup(spark):
     head = "Posted by user{} on the site at 12:{}"
     rows = [(k, f"{head.format(k, 10 + k)}\nUnique body number {k} says thing{'abcdefghij'[k]} here\nAll rights reserved.\nok", "en", "a", 0) for k in range(8)]
@@ -370,6 +446,48 @@ def test_language_id(spark, root, docs):
     assert kept.columns == odd_docs(spark).columns and kept.where("text is null").count() == 0
 
 
+def test_language_votes():
+    """Family and language by counting votes one vector at a time."""
+    rng = np.random.default_rng(3)
+    langs = ["en", "de", "fr", "es", "it", "xx"]
+    families = {"germanic": ["en", "de"], "romance": ["fr", "es", "it"], "xx": ["xx"]}
+    duel = lambda names: [(a, b, rng.normal(size=langid.DIM + 1).astype(np.float32)) for k, a in enumerate(names) for b in names[k + 1 :]]
+    model = langid.Model(langs, duel(list(families)), {f: duel(own) for f, own in families.items()})
+    x = rng.normal(size=(200, langid.DIM)).astype(np.float32) / 30
+
+    def winner(v, names, pairs):
+        votes, margin, worst = collections.Counter(), collections.Counter(), {a: math.inf for a in names}
+        for a, b, w in pairs:
+            m = float(v @ w[:-1] + w[-1])
+            votes[a if m > 0 else b] += 1
+            for name, own in ((a, m), (b, -m)):
+                margin[name] += own
+                worst[name] = min(worst[name], own)
+        best = max(names, key=lambda a: (votes[a], margin[a]))
+        return best, 1.0 if len(names) == 1 else 1 / (1 + math.exp(-4 * worst[best]))
+
+    got, score = model.predict(x)
+    for v, lang, s in zip(x, got, score, strict=True):
+        family, sure = winner(v, list(families), model.family_pairs)
+        want, own = winner(v, families[family], model.lang_pairs[family])
+        assert lang == want and s == pytest.approx(min(sure, own), abs=1e-5)
+
+
+def test_language_svm_separates():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 20)).astype(np.float32)
+    w = rng.normal(size=20)
+    y = np.where(x @ w > 0, 1.0, -1.0)
+    fitted = langid.svm(x[:200], y[:200])
+    assert (np.sign(x[200:] @ fitted[:-1] + fitted[-1]) == y[200:]).mean() > 0.9
+
+
+def test_language_letters(spark):
+    """Texts without an ASCII letter: letters of other scripts count, symbols and emoji don't."""
+    d = spark.createDataFrame([(0, "日本 12", "en", "", 0), (1, "🎉 ¿ 12", "en", "", 0), (2, "é", "en", "", 0), (3, "12 34", "en", "", 0), (4, "z", "en", "", 0)], DOCS)
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(d, langid.fit(d)).collect()} == {0: "en", 1: "und", 2: "en", 3: "und", 4: "en"}
+
+
 def test_language_id_refuses_too_many(spark):
     d = spark.createDataFrame([(k, f"text of language {k}", f"l{k}", "a", 0) for k in range(201)], DOCS)
     with pytest.raises(ValueError, match="more than 200 languages"):
@@ -391,6 +509,25 @@ def test_urls(spark):
     assert got[10] == got[11] == ("", "", None, "allow") and got[12][3] == got[13][3] == "allow"
 
 
+def test_url_links(spark):
+    """Relative targets, entities, comments and further links of a page, as in the SQL."""
+    link = '<link rel="canonical" href="{}">'
+    bad = "http://x.net/es/"
+    pages = {
+        "http://x.net/es/a": "", "http://p.org/d/one?x": link.format("r"), "http://p.org/d/r": link.format(bad), "http://p.org/d/e/two": link.format("../../q/./r"), "http://p.org/q/r": link.format(bad),
+        "http://p.org/three": link.format("?a=1&amp;b=2"), "http://p.org/three?a=1&b=2": link.format(bad), "http://p.org/four": f"<!-- {link.format(bad)} -->", "http://p.org/five": link.format("http://p.org/six") + link.format(bad),
+        "http://p.org/seven": link.format("mailto:" + bad), "http://p.org/eight": link.format("#" + bad), "http://p.org/nine": link.format("go?u=" + bad), "http://p.org": link.format("up/.."), "http://p.org/": link.format("//x.net/es/"), "http://p.org/ten": "",
+    }
+    rows = [(k, u, h) for k, (u, h) in enumerate(pages.items())]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge(frame).collect()}
+    blocked = {u for k, u, _ in rows if got[k] == "block"}
+    assert blocked == set(pages) - {"http://p.org/four", "http://p.org/seven", "http://p.org/eight", "http://p.org/nine", "http://p.org/ten"}
+    other = duckdb.connect()
+    other.register("pages", frame.toPandas())
+    assert rows_of(urlfilter.judge(frame).toPandas()) == rows_of(other.sql(urlfilter.JUDGE_SQL).df())
+
+
 def test_odd_inputs(spark, root):
     d = odd_docs(spark)
     n = d.count()
