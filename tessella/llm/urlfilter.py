@@ -6,12 +6,13 @@ their connected components (see ``_spark.components``) share decisions. A url wi
 blocked if an alias is blocked by a rule and none is allowed by one: an explicit allow goes before a
 block that is only passed on. All other urls are allowed.
 
-Aliases are told from a page's own html (``<link rel=canonical>``, ``<meta http-equiv=refresh>``) and
-from a table of redirects, if one is given. Urls that differ only in scheme, fragment or the case of
-the host are one.
+Aliases are told from a page's own html (every ``<link rel=canonical>`` and ``<meta
+http-equiv=refresh>`` outside of comments, with ``&amp;`` decoded) and from a table of redirects, if
+one is given. Urls that differ only in scheme, fragment or the case of the host are one.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule, has no alias
-and is allowed; relative link targets are taken from the page's host; repeated rows are judged alike;
+and is allowed; relative link targets are resolved against the page's url (host, folder or query, dot
+segments removed), those of another kind (``mailto:``) are no alias; repeated rows are judged alike;
 an empty table gives an empty result. Only the named columns are read.
 """
 
@@ -54,6 +55,25 @@ def node_of(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(host_of(url), rest))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path (from its first slash) without its ``.`` and ``..`` segments."""
+    segments = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.regexp_replace(acc, "/[^/]*$", "")).otherwise(F.concat(acc, F.lit("/"), x))
+    out = F.aggregate(segments, F.lit(""), step)
+    return F.when(path.rlike("/[.]"), F.concat(out, F.when(path.rlike("/[.][.]?$"), F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """A link's target as a url with ``://``, seen from the page's url; null if it is none."""
+    path = path_of(url)
+    folder = F.when(path.contains("/"), F.regexp_extract(path, "(?s)^(.*/)", 1)).otherwise(F.lit("/"))
+    own, query = F.regexp_extract(target, "(?s)^([^?#]*)", 1), F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    at = F.when(own.startswith("/"), own).when(own == "", path).otherwise(F.concat(folder, own))
+    here = F.concat(F.lit("http://"), host_of(url), _without_dots(at), query)
+    out = F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+    return out.when(target.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:|#)"), F.lit(None)).otherwise(here)
+
+
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """The longest rule that fits, as a struct of rule (host and path) and verdict; else null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -66,11 +86,10 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def aliases(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between url nodes: canonical and refresh links of pages, and redirects (source, target)."""
     linked = pages.select("url", "html").where(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|http-equiv"))
-    targets = F.array(*(F.regexp_extract("html", p, 1) for p in [*_CANONICAL, _REFRESH]))
+    linked = linked.withColumn("html", F.regexp_replace("html", "(?s)<!--.*?-->", ""))
+    targets = F.array_distinct(F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in [*_CANONICAL, _REFRESH])))
     edges = linked.select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("target"))
-    target = F.when(F.col("target").contains("://"), F.col("target")).when(F.col("target").startswith("//"), F.concat(F.lit("http:"), F.col("target")))
-    target = target.when(F.col("target").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), F.col("target")))
-    edges = edges.select("url", target.alias("target"))
+    edges = edges.select("url", resolved(F.col("url"), F.regexp_replace("target", "(?i)&(?:amp|#38|#x26);", "&")).alias("target"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.col("source").alias("url"), "target"))
     return edges.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
@@ -95,12 +114,18 @@ parsed AS (SELECT page_id, html, url, good,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1), '') AS rest FROM p),
-t AS (SELECT host || rest AS a, host, unnest([
-    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*[''"]?([^"''\s>]+)', 1)]) AS target
-    FROM parsed WHERE good AND html IS NOT NULL),
-u AS (SELECT a, CASE WHEN target LIKE '%://%' THEN target WHEN target LIKE '//%' THEN 'http:' || target WHEN target LIKE '/%' THEN 'http://' || host || target END AS b FROM t WHERE target <> ''),
+links AS (SELECT host || rest AS a, host, path, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM parsed WHERE good AND html IS NOT NULL),
+t AS (SELECT a, host, path, regexp_replace(target, '(?i)&(?:amp|#38|#x26);', '&', 'g') AS target FROM (SELECT a, host, path, unnest(
+    regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    || regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1)
+    || regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*[''"]?([^"''\s>]+)', 1)) AS target FROM links) WHERE target <> ''),
+s AS (SELECT *, regexp_extract(target, '(?s)^([^?#]*)', 1) AS own FROM t),
+f AS (SELECT *, CASE WHEN own LIKE '/%' THEN own WHEN own = '' THEN path WHEN path LIKE '%/%' THEN regexp_extract(path, '(?s)^(.*/)', 1) || own ELSE '/' || own END AS full_path FROM s),
+u AS (SELECT a, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN target LIKE '//%' THEN 'http:' || target
+    WHEN regexp_matches(target, '^(?:[A-Za-z][A-Za-z0-9+.-]*:|#)') THEN NULL
+    ELSE 'http://' || host || CASE WHEN NOT regexp_matches(full_path, '/[.]') THEN full_path
+        ELSE list_reduce(list_concat([''], string_split(full_path, '/')[2:]), lambda acc, x: CASE x WHEN '.' THEN acc WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || x END)
+            || CASE WHEN regexp_matches(full_path, '/[.][.]?$') THEN '/' ELSE '' END END || substr(target, length(own) + 1) END AS b FROM f),
 e AS (SELECT a, translate(regexp_extract(b, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(b, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b FROM u WHERE b IS NOT NULL),
 twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT a AS node, a AS other FROM twoway UNION SELECT r.node, x.b FROM reach r JOIN twoway x ON r.other = x.a),
