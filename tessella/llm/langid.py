@@ -171,11 +171,14 @@ def predict(docs: DataFrame, model: Model, *, key: Column | str = "doc_id", text
             raw, off, null = text_bytes(col)
             lang, score = np.full(len(col), "und", object), np.zeros(len(col))
             for i, j in blocks(off):
+                part, own = raw[off[i] : off[j]], off[i : j + 1] - off[i]
                 if model.langs:
-                    lang[i:j], score[i:j] = model.predict(vectors(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
-            for i in range(len(col)):
-                if null[i] or not _LETTER.search(col[i].as_py()):
-                    lang[i], score[i] = "und", 0.0
+                    lang[i:j], score[i:j] = model.predict(vectors(part, own))
+                # most texts have an ASCII letter; only the others are searched one by one
+                letters = np.concatenate([[0], np.cumsum((part < 128) & (_FOLD[part] != 32))])
+                for k in i + np.flatnonzero(letters[own[1:]] == letters[own[:-1]]):
+                    if null[k] or not _LETTER.search(col[int(k)].as_py()):
+                        lang[k] = "und"
             score[lang == "und"] = 0.0
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(batch.num_columns - 1)), pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
 
