@@ -3,7 +3,7 @@
 Every line with a word is an observation (FEATURES); Viterbi decoding marks each as content or
 boilerplate, and a document stays if at least ``min_share`` of its words are in content lines. The
 CRF is fitted by maximum likelihood on a bounded, hash-chosen sample of labelled documents
-(``max_docs``): the lines of good ones are content, those of bad ones and lines that repeat an
+(``max_docs``, and at most ``max_lines`` lines of each, in windows spread over it): the lines of good ones are content, those of bad ones and lines that repeat an
 earlier one are boilerplate. Counting and decoding are one pass over whole texts without a shuffle.
 
 Edge cases: a null, empty or blank text has counts of 0 and fails the base rules; without labelled
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ._text import Words, blocks, mix, span_hashes, text_bytes, words
 
+MANY = 16  #: documents that are decoded together
 FEATURES = ["one", "log_words", "letters", "digits", "symbols", "capitals", "points", "repeats", "word_length", "ends", "short"]
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -106,19 +107,48 @@ class Crf:
     weights: np.ndarray
     steps: np.ndarray
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The likeliest marks (True: boilerplate) of a document's lines."""
-        e = (x @ self.weights).tolist()
+    def decode(self, x: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+        """The likeliest marks (True: boilerplate) of documents' lines; first: the documents' offsets in x."""
+        first = np.array([0, len(x)]) if first is None else first
+        own = x @ self.weights
+        marks = np.zeros(len(x), bool)
+        order = np.argsort(first[:-1] - first[1:], kind="stable")  # longest first: those still going are a prefix
+        start, size = first[:-1][order], np.diff(first)[order]
+        going = np.searchsorted(-size, -np.arange(1, 1 + (size[0] if len(size) else 0)), "right")
+        many = int((going >= MANY).sum())  # so many lines of all documents at once, then what is left one by one
         (s00, s01), (s10, s11) = self.steps.tolist()
-        a, b, back = 0.0, e[0], []
-        for v in e[1:]:
-            to1, to0 = a + s01 > b + s11, a + s00 >= b + s10
-            a, b = (a + s00 if to0 else b + s10), (a + s01 if to1 else b + s11) + v
-            back.append((0 if to0 else 1, 0 if to1 else 1))
-        out = [int(b > a)]
-        for step in reversed(back):
-            out.append(step[out[-1]])
-        return np.array(out[::-1], bool)
+        n = going[0] if len(going) else 0
+        a, b = np.zeros(n), own[start[:n]]
+        back0, back1 = np.zeros(len(x), bool), np.zeros(len(x), bool)  # whether the mark before was boilerplate
+        for k in range(1, many):
+            n = going[k]
+            at, a0, b0 = start[:n] + k, a[:n], b[:n]
+            back0[at], back1[at] = a0 + s00 < b0 + s10, a0 + s01 <= b0 + s11
+            a[:n], b[:n] = np.maximum(a0 + s00, b0 + s10), np.maximum(a0 + s01, b0 + s11) + own[at]
+        for r in np.flatnonzero(size > max(many, 1)):
+            p, q = start[r], start[r] + size[r]
+            e, f, g = own[p + max(many, 1) : q].tolist(), float(a[r]), float(b[r])
+            to0, to1 = [], []
+            for v in e:
+                to0.append(f + s00 < g + s10)
+                to1.append(f + s01 <= g + s11)
+                f, g = max(f + s00, g + s10), max(f + s01, g + s11) + v
+            back0[p + max(many, 1) : q], back1[p + max(many, 1) : q] = to0, to1
+            a[r], b[r] = f, g
+        last = b > a
+        for r in np.flatnonzero(size > max(many, 1)):
+            mark, own0, own1, out = bool(last[r]), back0[start[r] : start[r] + size[r]].tolist(), back1[start[r] : start[r] + size[r]].tolist(), []
+            for k in range(size[r] - 1, max(many, 1) - 1, -1):
+                out.append(mark)
+                mark = own1[k] if mark else own0[k]
+            marks[start[r] + max(many, 1) : start[r] + size[r]] = out[::-1]
+            last[r] = mark
+        for k in range(min(many, len(going)) - 1 if many else 0, -1, -1):
+            n = going[k] if len(going) else 0
+            at = start[:n] + k
+            marks[at] = last[:n]
+            last[:n] = np.where(last[:n], back1[at], back0[at])
+        return marks
 
 
 def fit_crf(sequences: list[tuple[np.ndarray, np.ndarray]], *, rounds: int = 150, ridge: float = 1e-3, window: int = 64) -> Crf:
@@ -159,10 +189,11 @@ def fit_crf(sequences: list[tuple[np.ndarray, np.ndarray]], *, rounds: int = 150
     return Crf(theta[:width], theta[width:].reshape(2, 2))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 2000) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 2000, max_lines: int = 2048) -> Crf:
     """Fits on about ``max_docs`` labelled documents, half of each quality (chosen by a hash of doc_id).
 
-    Their lines' features go to the driver: the bounded sample, nothing of the other documents.
+    Their lines' features go to the driver (of longer documents, windows of 64 lines at equal
+    distances, ``max_lines`` in all): the bounded sample, nothing of the other documents.
     """
     known = labels.where("doc_id is not null and quality is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
     sizes = {r["bad"]: r["n"] for r in known.groupBy("bad").agg(F.count("*").alias("n")).collect()}
@@ -177,7 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_docs: int = 2000) -> Crf:
         for batch in batches:
             raw, off, _ = text_bytes(batch.column("text"))
             b = measure(raw, off)
-            parts = [b.x[i:j].astype(np.float32).tobytes() for i, j in zip(b.first_line[:-1], b.first_line[1:], strict=True)]
+            parts = []
+            for i, j in zip(b.first_line[:-1], b.first_line[1:], strict=True):
+                if j - i > max_lines:
+                    starts = np.linspace(i, j - 64, max(1, max_lines // 64)).astype(int)
+                    parts.append(b.x[(starts[:, None] + np.arange(64)).ravel()].astype(np.float32).tobytes())
+                else:
+                    parts.append(b.x[i:j].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("bad"), pa.array(parts, pa.binary())], ["doc_id", "bad", "x"])
 
     table = rows.select("doc_id", "bad", "text").mapInArrow(lines, "doc_id long, bad boolean, x binary").toArrow().sort_by("doc_id")
@@ -198,10 +235,8 @@ def judge(docs: DataFrame, crf: Crf, *, min_share: float = 0.5, min_words: int =
             raw, off, _ = text_bytes(batch.column("text"))
             for i, j in blocks(off):
                 b = measure(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                share = np.zeros(j - i)
-                for k, (p, q) in enumerate(zip(b.first_line[:-1], b.first_line[1:], strict=True)):
-                    if q > p:
-                        share[k] = b.line_words[p:q][~crf.decode(b.x[p:q])].sum() / b.line_words[p:q].sum()
+                content = np.where(crf.decode(b.x, b.first_line), 0, b.line_words)
+                share = _sums(content, b.first_line[:-1], b.first_line[1:]) / np.maximum(_sums(b.line_words, b.first_line[:-1], b.first_line[1:]), 1)
                 failed = (b.n_words < min_words) | (100 * b.n_repeat_words > most_repeated * b.n_words)
                 counts = [pa.array(v.astype(np.int64)) for v in (b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *counts, pa.array(failed), pa.array(share), pa.array(~failed & (share >= min_share))], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share", "kept"])
