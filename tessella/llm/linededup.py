@@ -1,11 +1,18 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
 A line's variable fields (tokens with a digit) are masked, but in a line of which they are more than
-half (a row of figures); its path in the tree is its token count
-and its leading tokens. Lines whose masked text alone recurs are a template. The others of a leaf
-are generalised position by position: a token that most of them share stays, other positions become
-variable; lines that fit such a template belong to it. A template found in at least ``min_docs``
-documents is recurring: its first line (smallest doc_id, then line) stays, all others are dropped.
+half (a row of figures); its path in the tree is its token count and its leading tokens. Lines whose
+masked text alone recurs are a template. The others of a leaf are generalised position by position:
+a token that most lines of a group share stays, other positions become variable; lines that fit such
+a template belong to it. A leaf starts as one group. Its lines that are in no recurring template are
+split, each by the commonest of its tokens (with its position) that not all lines of the group have,
+and every part is generalised in its turn, until no part is left that could hold a template. So a
+leaf holds as many templates as there are, whatever other lines it has.
+
+A template found in at least ``min_docs`` documents, or ``long_docs`` for one of ``long_tokens``
+tokens or more, is recurring: its first line (smallest doc_id, then line) stays, all others are
+dropped. A template that a whole leaf shares needs half its positions fixed; one of a part, half of
+those after the leading ones, which is more.
 
 Edge cases: a null text stays null and an empty one empty; lines of fewer than ``min_tokens`` tokens
 are never dropped; repeated rows (same doc_id and text) count as one document and are treated alike;
@@ -20,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ._spark import cut, small
 
+
 def _lines(docs: DataFrame) -> DataFrame:
     """i (doc_id), d (hash of the text), pos, line and n (its tokens) of every line with a token.
 
@@ -42,38 +50,66 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
 
 
-def recurring_lines(docs: DataFrame, *, min_docs: int = 3, min_tokens: int = 3, lead: int = 4, share: float = 0.6, fit: float = 0.8) -> DataFrame:
+def recurring_lines(
+    docs: DataFrame, *, min_docs: int = 3, long_docs: int = 2, long_tokens: int = 50, min_tokens: int = 3, lead: int = 4, share: float = 0.6, fit: float = 0.8
+) -> DataFrame:
     """i, d, pos of every line to drop (see the module's text).
 
-    share: of a leaf's lines, what must agree on a token for it to stay in the template; fit: of a
-    template's fixed tokens, what a line must have. A template needs half its positions fixed.
+    share: of a group's lines, what must agree on a token for it to stay in the template; fit: of a
+    template's fixed tokens, what a line must have.
     """
-    lines = _lines(docs).where(F.col("n") >= min_tokens)
-    leaf = F.xxhash64("n", F.substring_index("line", " ", lead))
-    slim = cut(lines.select("i", "d", "pos", "n", F.xxhash64("n", "line").alias("m"), leaf.alias("leaf")))
-
-    def spread(df: DataFrame, by: str) -> DataFrame:
-        """The templates of at least min_docs documents, with their first line."""
-        each = df.groupBy(by, "i").agg(F.min(F.struct("i", "d", "pos")).alias("first"))
-        return each.groupBy(by).agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
-
-    alone = small(cut(spread(slim, "m").select("m", F.col("first"))))
-    drop_alone = slim.join(alone, "m").where(F.struct("i", "d", "pos") != F.col("first")).select("i", "d", "pos")
-
-    rest = slim.join(alone.select("m"), "m", "left_anti")
-    leaves = small(cut(spread(rest.where(F.col("n") > lead), "leaf").select("leaf")))
-    tokens = lines.withColumn("leaf", leaf).where(F.col("n") > lead).join(leaves, "leaf", "left_semi").withColumn("m", F.xxhash64("n", "line")).join(alone.select("m"), "m", "left_anti")
-    tokens = cut(tokens.select("leaf", "i", "d", "pos", "n", "line"))
-    places = tokens.select("leaf", "i", "d", "pos", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).where(F.col("at") >= lead)
-    tally = places.groupBy("leaf", "at", "token").agg(F.count("*").alias("c"))
-    fixed = tally.groupBy("leaf", "at").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("c"), F.sum("c").alias("all"))
-    fixed = fixed.where((F.col("token") != "<*>") & (F.col("c") >= share * F.col("all"))).select("leaf", "at", "token")
-    need = fixed.groupBy("leaf").agg(F.count("*").alias("need"))
-    fits = places.join(fixed, ["leaf", "at", "token"]).groupBy("leaf", "i", "d", "pos", "n").agg(F.count("*").alias("got"))
-    fits = fits.join(need, "leaf").where((F.col("got") >= fit * F.col("need")) & (F.col("need") + lead >= 0.5 * F.col("n")))
-    fits = cut(fits.select("leaf", "i", "d", "pos"))
-    drop_fits = fits.join(spread(fits, "leaf").select("leaf", "first"), "leaf").where(F.struct("i", "d", "pos") != F.col("first")).select("i", "d", "pos")
-    return drop_alone.unionByName(drop_fits)
+    enough = F.when(F.col("n") >= long_tokens, long_docs).otherwise(min_docs)
+    line = F.struct("i", "d", "pos")
+
+    def spread(df: DataFrame, *by: str) -> DataFrame:
+        """The templates of enough documents, with their first line."""
+        each = df.groupBy(*by, "i").agg(F.min(line).alias("first"), F.max("n").alias("n"))
+        each = each.groupBy(*by).agg(F.count("*").alias("docs"), F.min("first").alias("first"), F.max("n").alias("n"))
+        return each.where(F.col("docs") >= enough).select(*by, "first")
+
+    def named(lines: DataFrame) -> DataFrame:
+        """With m1, m2: 128 bits of the masked line, and its leaf."""
+        leaf = F.xxhash64("n", F.substring_index("line", " ", lead))
+        return lines.withColumns({"m1": F.xxhash64("line"), "m2": F.xxhash64(F.lit(1), "line"), "leaf": leaf})
+
+    lines = named(_lines(docs).where(F.col("n") >= min_tokens))
+    slim = cut(lines.select("i", "d", "pos", "n", "m1", "m2", "leaf"))
+    alone = small(cut(spread(slim, "m1", "m2")))
+    dropped = slim.join(alone, ["m1", "m2"]).where(line != F.col("first")).select("i", "d", "pos")
+
+    known = alone.select("m1", "m2")
+    rest = slim.where(F.col("n") > lead).join(known, ["m1", "m2"], "left_anti")
+    leaves = small(cut(spread(rest, "leaf").select("leaf")))
+    own = lines.where(F.col("n") > lead).join(leaves, "leaf", "left_semi").join(known, ["m1", "m2"], "left_anti")
+    token = lambda x: F.when(F.length(x) > 64, F.md5(x.cast("binary"))).otherwise(x)
+    after = F.slice(F.split("line", " "), lead + 1, F.col("n"))
+    pairs = F.filter(F.transform(after, lambda x, k: F.struct((k + lead).alias("at"), token(x).alias("token"))), lambda p: p["token"] != "<*>")
+    group = cut(own.select(F.col("leaf").alias("g"), "i", "d", "pos", "n", pairs.alias("pairs")))
+    turn = 0
+    while group.limit(1).count():
+        # a token that no two lines of a group share is of no use in it or its parts
+        places = group.select("g", "i", "d", "pos", "n", F.explode("pairs").alias("p")).select("g", "i", "d", "pos", "n", "p.at", "p.token")
+        tally = cut(places.groupBy("g", "at", "token").agg(F.count("*").alias("c")).where("c > 1"))
+        total = group.groupBy("g").agg(F.count("*").alias("total"))
+        best = tally.groupBy("g", "at").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("c"))
+        fixed = best.join(total, "g").where(F.col("c") >= share * F.col("total")).select("g", "at", "token", F.lit(True).alias("fixed"))
+        need = fixed.groupBy("g").agg(F.count("*").alias("need"))
+        marks = small(cut(tally.join(total, "g").join(fixed, ["g", "at", "token"], "left").join(need, "g", "left")))
+        top = F.max(F.when(F.col("c") < F.col("total"), F.struct("c", "at", "token")))
+        each = places.join(marks, ["g", "at", "token"]).groupBy("g", "i", "d", "pos", "n")
+        each = cut(each.agg(F.count_if("fixed").alias("got"), F.max("need").alias("need"), top.alias("top"), F.collect_list(F.struct("at", "token")).alias("pairs")))
+        whole = F.col("need") + lead >= 0.5 * F.col("n") if not turn else F.col("need") >= 0.5 * (F.col("n") - lead)
+        fits = F.coalesce((F.col("got") >= fit * F.col("need")) & whole, F.lit(False))
+        recurring = small(cut(spread(each.where(fits), "g")))
+        met = each.join(recurring, "g", "left")
+        taken = fits & F.col("first").isNotNull()
+        dropped = dropped.unionByName(met.where(taken & (line != F.col("first"))).select("i", "d", "pos"))
+        left = met.where(~taken & F.col("top").isNotNull() & (F.size("pairs") >= 0.5 * fit * (F.col("n") - lead)))
+        left = cut(left.select(F.xxhash64("g", "top.at", "top.token").alias("g"), "i", "d", "pos", "n", "pairs"))
+        large = left.groupBy("g").agg(F.count("*").alias("lines"), F.max("n").alias("n")).where(F.col("lines") >= enough)
+        group = cut(left.join(small(cut(large.select("g"))), "g", "left_semi"))
+        turn += 1
+    return dropped
 
 
 def dedup(docs: DataFrame, **options) -> DataFrame:
@@ -109,31 +145,47 @@ def drop_recurring(docs: DataFrame, **options) -> DataFrame:
     return out.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`") for c in names])
 
 
-#: The defaults' rows of ``dedup`` for documents (doc_id, n_lines, n_dropped, text).
-DEDUP_SQL = r"""
-WITH raw AS (SELECT doc_id AS i, md5(text) AS d, regexp_replace(regexp_replace(regexp_replace(text, '[\x09\x0B-\x0D]', ' ', 'g'), ' +', ' ', 'g'), '[^ \n0-9]*[0-9][^ \n]*', '<*>', 'g') AS t
+def _dedup_sql(rounds: int = 12) -> str:
+    """The defaults' rows of ``dedup`` for documents (doc_id, n_lines, n_dropped, text).
+
+    The rounds of splitting are written out; an input that needs more gives an error.
+    """
+    enough = "CASE WHEN max(n) >= 50 THEN 2 ELSE 3 END"
+    parts = [r"""WITH raw AS (SELECT doc_id AS i, md5(text) AS d, regexp_replace(regexp_replace(text, '[\x09\x0B-\x0D]', ' ', 'g'), ' +', ' ', 'g') AS t
     FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-cells AS (SELECT DISTINCT i, d, unnest(range(0, len(string_split(t, chr(10))))) AS pos, t FROM raw),
-lines AS (SELECT i, d, pos, trim(string_split(t, chr(10))[pos + 1], ' ') AS line FROM cells),
-l AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS n, array_to_string(string_split(line, ' ')[1:4], ' ') AS lead FROM lines WHERE line <> ''),
-k AS (SELECT * FROM l WHERE n >= 3),
-alone AS (SELECT line, min(row(i, d, pos)) AS first FROM k GROUP BY line HAVING count(DISTINCT i) >= 3),
-drop1 AS (SELECT k.i, k.d, k.pos FROM k JOIN alone USING (line) WHERE row(k.i, k.d, k.pos) <> first),
-rest AS (SELECT k.* FROM k ANTI JOIN alone USING (line) WHERE n > 4),
-leaves AS (SELECT n, lead FROM rest GROUP BY n, lead HAVING count(DISTINCT i) >= 3),
-own AS (SELECT rest.* FROM rest SEMI JOIN leaves USING (n, lead)),
-places AS (SELECT n, lead, i, d, pos, unnest(range(4, n)) AS place, line FROM own),
-tokens AS (SELECT n, lead, i, d, pos, place, string_split(line, ' ')[place + 1] AS token FROM places),
-tally AS (SELECT n, lead, place, token, count(*) AS c FROM tokens GROUP BY ALL),
-best AS (SELECT n, lead, place, max(row(c, token)) AS m, max(c) AS c, sum(c) AS total FROM tally GROUP BY ALL),
-fixed AS (SELECT n, lead, place, m[2] AS token FROM best WHERE m[2] <> '<*>' AND c >= 0.6::DOUBLE * total),
-need AS (SELECT n, lead, count(*) AS need FROM fixed GROUP BY ALL),
-got AS (SELECT t.n, t.lead, t.i, t.d, t.pos, count(*) AS got FROM tokens t JOIN fixed USING (n, lead, place, token) GROUP BY ALL),
-fits AS (SELECT got.* FROM got JOIN need USING (n, lead) WHERE got >= 0.8::DOUBLE * need AND need + 4 >= 0.5::DOUBLE * n),
-whole AS (SELECT n, lead, min(row(i, d, pos)) AS first FROM fits GROUP BY n, lead HAVING count(DISTINCT i) >= 3),
-drop2 AS (SELECT f.i, f.d, f.pos FROM fits f JOIN whole USING (n, lead) WHERE row(f.i, f.d, f.pos) <> first),
-gone AS (SELECT i, d, list(pos) AS gone FROM (SELECT * FROM drop1 UNION SELECT * FROM drop2) GROUP BY i, d)
-SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
+cells AS (SELECT DISTINCT i, d, unnest(range(0, len(string_split(t, chr(10))))) AS pos, t, regexp_replace(t, '[^ \n0-9]*[0-9][^ \n]*', '<*>', 'g') AS m FROM raw),
+both_ AS (SELECT i, d, pos, trim(string_split(t, chr(10))[pos + 1], ' ') AS own, trim(string_split(m, chr(10))[pos + 1], ' ') AS line FROM cells),
+counted AS (SELECT *, length(line) - length(replace(line, ' ', '')) + 1 AS n, length(line) - length(replace(line, '<*>', '<>')) AS masks FROM both_ WHERE line <> ''),
+k AS MATERIALIZED (SELECT i, d, pos, n, CASE WHEN 2 * masks > n THEN own ELSE line END AS line FROM counted WHERE n >= 3),
+alone AS MATERIALIZED (SELECT line, min(row(i, d, pos)) AS first FROM k GROUP BY line HAVING count(DISTINCT i) >= """ + enough + r"""),
+rest AS MATERIALIZED (SELECT k.*, n || ' ' || array_to_string(string_split(line, ' ')[1:4], ' ') AS g FROM k ANTI JOIN alone USING (line) WHERE n > 4),
+leaves AS (SELECT g FROM rest GROUP BY g HAVING count(DISTINCT i) >= """ + enough + r"""),
+s0 AS MATERIALIZED (SELECT rest.* FROM rest SEMI JOIN leaves USING (g)),
+cut_ AS (SELECT i, d, pos, string_split(line, ' ') AS w, unnest(range(4, n)) AS place FROM s0),
+places AS MATERIALIZED (SELECT i, d, pos, place, CASE WHEN length(w[place + 1]) > 64 THEN md5(w[place + 1]) ELSE w[place + 1] END AS token FROM cut_ WHERE w[place + 1] <> '<*>')"""]
+    for r in range(rounds):
+        whole = "need + 4 >= 0.5::DOUBLE * n" if not r else "need >= 0.5::DOUBLE * (n - 4)"
+        parts.append(f"""
+c{r} AS MATERIALIZED (SELECT g, place, token, count(*) AS c FROM s{r} JOIN places USING (i, d, pos) GROUP BY ALL HAVING count(*) > 1),
+t{r} AS MATERIALIZED (SELECT g, count(*) AS total FROM s{r} GROUP BY g),
+f{r} AS MATERIALIZED (SELECT g, place, m[2] AS token, TRUE AS fixed FROM (SELECT g, place, max(row(c, token)) AS m, max(c) AS c FROM c{r} GROUP BY g, place) JOIN t{r} USING (g) WHERE c >= 0.6::DOUBLE * total),
+n{r} AS MATERIALIZED (SELECT g, count(*) AS need FROM f{r} GROUP BY g),
+e{r} AS MATERIALIZED (SELECT g, i, d, pos, n, count(fixed) AS got, max(need) AS need, max(row(c, place, token)) FILTER (c < total) AS top, count(*) AS marked
+    FROM s{r} JOIN places USING (i, d, pos) JOIN c{r} USING (g, place, token) JOIN t{r} USING (g) LEFT JOIN f{r} USING (g, place, token) LEFT JOIN n{r} USING (g) GROUP BY g, i, d, pos, n),
+x{r} AS MATERIALIZED (SELECT g, i, d, pos, n FROM e{r} WHERE got >= 0.8::DOUBLE * need AND {whole}),
+w{r} AS MATERIALIZED (SELECT g, min(row(i, d, pos)) AS first FROM x{r} GROUP BY g HAVING count(DISTINCT i) >= {enough}),
+d{r} AS MATERIALIZED (SELECT i, d, pos, row(i, d, pos) = first AS stays FROM x{r} JOIN w{r} USING (g)),
+l{r} AS MATERIALIZED (SELECT g || '/' || top[2] || '=' || top[3] AS g, i, d, pos, n FROM e{r} ANTI JOIN d{r} USING (i, d, pos) WHERE top IS NOT NULL AND marked >= 0.5::DOUBLE * 0.8::DOUBLE * (n - 4)),
+s{r + 1} AS MATERIALIZED (SELECT l{r}.* FROM l{r} SEMI JOIN (SELECT g FROM l{r} GROUP BY g HAVING count(*) >= {enough}) USING (g))""")
+    drops = " UNION ".join(["SELECT k.i, k.d, k.pos FROM k JOIN alone USING (line) WHERE row(k.i, k.d, k.pos) <> first", *(f"SELECT i, d, pos FROM d{r} WHERE NOT stays" for r in range(rounds))])
+    parts.append(f"""
+gone AS (SELECT i, d, list(pos) AS gone FROM ({drops}) GROUP BY i, d)""")
+    last = f"""
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 WHEN (SELECT count(*) FROM s{rounds}) > 0 THEN error('more rounds') ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS n_lines, coalesce(len(gone), 0) AS n_dropped,
     CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, k: NOT list_contains(gone, k - 1)), chr(10)) END AS text
 FROM documents LEFT JOIN gone ON gone.i = doc_id AND gone.d = md5(text)
 """
+    return ",".join(parts) + last
+
+
+DEDUP_SQL = _dedup_sql()

@@ -266,6 +266,45 @@ def test_line_dedup(spark):
     assert {r["text"] for r in linededup.drop_recurring(two).collect()} == {r[1] for r in rows[:2]}
 
 
+def dropped_lines(frame):
+    """By Spark and by the SQL: text of every dropped line, with its document."""
+    other = duckdb.connect()
+    other.register("documents", frame.toPandas())
+    got = linededup.dedup(frame).select("row.doc_id", "n_lines", "n_dropped", F.col("kept_text").alias("text")).toPandas()
+    assert rows_of(got) == rows_of(other.sql(linededup.DEDUP_SQL).df())
+    left = dict(zip(got["doc_id"], got["text"], strict=True))
+    return {(r["doc_id"], line) for r in frame.collect() for line in r["text"].split("\n") if line not in left[r["doc_id"]].split("\n")}
+
+
+def test_line_dedup_many_templates(spark):
+    """A leaf (token count, four leading words) with three templates, one of them rare, among other lines."""
+    rng = random.Random(21)
+    names = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    one = "please read the whole {} of our terms before {} go on"
+    two = "please read the whole list of {} that members have {}"
+    three = "please read the whole page {} it was moved {} year"
+    lines = {k: [] for k in range(60)}
+    for template, docs in ((one, range(10)), (two, range(5, 15)), (three, range(30, 33))):
+        for k in docs:
+            lines[k].append(template.format(*(rng.choice(names) for _ in range(2))))
+    for k in range(60):  # other lines of the leaf, sharing a word here and there
+        lines[k].append("please read the whole " + " ".join(rng.choice(["of", "our", *names]) for _ in range(6)))
+    frame = spark.createDataFrame([(k, "\n".join(own), "en", "a", 0) for k, own in lines.items()], DOCS)
+    due = {(k, x) for docs in (range(1, 10), range(6, 15), range(31, 33)) for k in docs for x in lines[k][:-1]} - {(5, lines[5][1])}
+    assert dropped_lines(frame) == due
+
+
+def test_line_dedup_long_lines(spark):
+    """A line of 50 tokens recurs from two documents on, a shorter one from three; nearly equal long lines count too."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    long, short, varied = [word() for _ in range(50)], [word() for _ in range(49)], [word() for _ in range(60)]
+    other = [*varied[:20], word(), *varied[21:50], word(), *varied[51:]]
+    rows = [(1, [long, short, varied]), (2, [long, short, [word() for _ in range(60)]]), (3, [other])]
+    frame = spark.createDataFrame([(k, "\n".join(map(" ".join, own)), "en", "a", 0) for k, own in rows], DOCS)
+    assert dropped_lines(frame) == {(2, " ".join(long)), (3, " ".join(other))}
+
+
 def test_line_dedup_keeps_tables(spark):
     """Rows of unlike figures aren't a template; equal ones and masked lines with enough words still are."""
     table = lambda k: "\n".join(f"{k}{j} {k + j}.5 {k * j}%" for j in range(10, 14))
