@@ -13,11 +13,17 @@ BROADCAST_ROWS = 500_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's ``spark.checkpoint.dir``; sets a folder of its own only where none is set."""
+    """Keeps the cluster's ``spark.checkpoint.dir``; sets a folder of its own only where none is set.
+
+    Such a folder is machine-local, so a cluster without the setting is refused.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-ckpt-"))
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessella-ckpt-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
