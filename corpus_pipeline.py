@@ -53,13 +53,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between two is written to the shared checkpoint folder."""
+    """All stages over documents; what lies between two is written to the shared checkpoint folder.
+
+    A stage's table is deleted when the next one is written; the last one's input stays, as its
+    result is computed when it is read.
+    """
     ensure_checkpoint_dir(spark)
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{root}/{k}-{name}")
+        if k:
+            used = path(f"{root}/{k - 1}-{STAGES[k - 1][0]}")
+            used.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(used, True)
         docs = spark.read.parquet(f"{root}/{k}-{name}")
