@@ -5,9 +5,10 @@ half (a row of figures); its path in the tree is its token count and its leading
 masked text alone recurs are a template. The others of a leaf are generalised position by position:
 a token that most lines of a group share stays, other positions become variable; lines that fit such
 a template belong to it. A leaf starts as one group. Its lines that are in no recurring template are
-split, each by the commonest of its tokens (with its position) that not all lines of the group have,
+split, each by the commonest of its tokens (with its position) that most of the group don't share,
 and every part is generalised in its turn, until no part is left that could hold a template. So a
-leaf holds as many templates as there are, whatever other lines it has.
+leaf holds as many templates as there are, whatever other lines it has; a part has less than
+``share`` of its group's lines, so rounds are few.
 
 A template found in at least ``min_docs`` documents, or ``long_docs`` for one of ``long_tokens``
 tokens or more, is recurring: its first line (smallest doc_id, then line) stays, all others are
@@ -81,33 +82,33 @@ def recurring_lines(
     rest = slim.where(F.col("n") > lead).join(known, ["m1", "m2"], "left_anti")
     leaves = small(cut(spread(rest, "leaf").select("leaf")))
     own = lines.where(F.col("n") > lead).join(leaves, "leaf", "left_semi").join(known, ["m1", "m2"], "left_anti")
-    token = lambda x: F.when(F.length(x) > 64, F.md5(x.cast("binary"))).otherwise(x)
+    # p: a hash of each token after the leading ones, with its place; 0 for a variable one
     after = F.slice(F.split("line", " "), lead + 1, F.col("n"))
-    pairs = F.filter(F.transform(after, lambda x, k: F.struct((k + lead).alias("at"), token(x).alias("token"))), lambda p: p["token"] != "<*>")
-    group = cut(own.select(F.col("leaf").alias("g"), "i", "d", "pos", "n", pairs.alias("pairs")))
+    hashes = F.transform(after, lambda x, k: F.when(x == "<*>", F.lit(0).cast("long")).otherwise(F.xxhash64(k, x)))
+    group = cut(own.select(F.col("leaf").alias("g"), "i", "d", "pos", "n", hashes.alias("p")))
     turn = 0
     while group.limit(1).count():
         # a token that no two lines of a group share is of no use in it or its parts
-        places = group.select("g", "i", "d", "pos", "n", F.explode("pairs").alias("p")).select("g", "i", "d", "pos", "n", "p.at", "p.token")
-        tally = cut(places.groupBy("g", "at", "token").agg(F.count("*").alias("c")).where("c > 1"))
-        total = group.groupBy("g").agg(F.count("*").alias("total"))
-        best = tally.groupBy("g", "at").agg(F.max_by("token", F.struct("c", "token")).alias("token"), F.max("c").alias("c"))
-        fixed = best.join(total, "g").where(F.col("c") >= share * F.col("total")).select("g", "at", "token", F.lit(True).alias("fixed"))
-        need = fixed.groupBy("g").agg(F.count("*").alias("need"))
-        marks = small(cut(tally.join(total, "g").join(fixed, ["g", "at", "token"], "left").join(need, "g", "left")))
-        top = F.max(F.when(F.col("c") < F.col("total"), F.struct("c", "at", "token")))
-        each = places.join(marks, ["g", "at", "token"]).groupBy("g", "i", "d", "pos", "n")
-        each = cut(each.agg(F.count_if("fixed").alias("got"), F.max("need").alias("need"), top.alias("top"), F.collect_list(F.struct("at", "token")).alias("pairs")))
-        whole = F.col("need") + lead >= 0.5 * F.col("n") if not turn else F.col("need") >= 0.5 * (F.col("n") - lead)
-        fits = F.coalesce((F.col("got") >= fit * F.col("need")) & whole, F.lit(False))
-        recurring = small(cut(spread(each.where(fits), "g")))
-        met = each.join(recurring, "g", "left")
-        taken = fits & F.col("first").isNotNull()
-        dropped = dropped.unionByName(met.where(taken & (line != F.col("first"))).select("i", "d", "pos"))
-        left = met.where(~taken & F.col("top").isNotNull() & (F.size("pairs") >= 0.5 * fit * (F.col("n") - lead)))
-        left = cut(left.select(F.xxhash64("g", "top.at", "top.token").alias("g"), "i", "d", "pos", "n", "pairs"))
+        tally = group.select("g", F.explode("p").alias("h")).where("h != 0").groupBy("g", "h").agg(F.count("*").alias("c")).where("c > 1")
+        marks = cut(tally.join(group.groupBy("g").agg(F.count("*").alias("total")), "g"))
+        fixed = marks.where(F.col("c") >= share * F.col("total")).groupBy("g").agg(F.collect_list("h").alias("fixed"))
+        whole = F.size("fixed") + lead >= 0.5 * F.col("n") if not turn else F.size("fixed") >= 0.5 * (F.col("n") - lead)
+        fits = whole & (F.size(F.array_intersect("p", "fixed")) >= fit * F.size("fixed"))
+        fitted = group.join(fixed, "g", "left").select("g", "i", "d", "pos", "n", "p", F.coalesce(fits, F.lit(False)).alias("fits"))
+        met = fitted.join(spread(fitted.where("fits"), "g"), "g", "left")
+        taken = F.col("fits") & F.col("first").isNotNull()
+        met = cut(met.select("g", "i", "d", "pos", "n", F.when(~taken, F.col("p")).alias("p"), (taken & (line != F.col("first"))).alias("drop")))
+        dropped = dropped.unionByName(met.where("drop").select("i", "d", "pos"))
+        # a line's commonest token that isn't fixed in its group; of equals the last. So parts shrink by the share
+        left = met.where("p is not null").drop("drop")
+        cells = left.select("g", "i", "d", "pos", F.posexplode("p").alias("k", "h")).where("h != 0").join(marks, ["g", "h"])
+        top = F.max(F.when(F.col("c") < share * F.col("total"), F.shiftleft("c", 31).bitwiseOR(F.col("k").cast("long"))))
+        each = cells.groupBy("g", "i", "d", "pos").agg(top.alias("top"), F.count("*").alias("marked"))
+        left = left.join(each, ["g", "i", "d", "pos"]).where(F.col("top").isNotNull() & (F.col("marked") >= 0.5 * fit * (F.col("n") - lead)))
+        at = F.col("top").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        left = left.select(F.xxhash64("g", F.get("p", at)).alias("g"), "i", "d", "pos", "n", "p")
         large = left.groupBy("g").agg(F.count("*").alias("lines"), F.max("n").alias("n")).where(F.col("lines") >= enough)
-        group = cut(left.join(small(cut(large.select("g"))), "g", "left_semi"))
+        group = cut(left.join(large.select("g"), "g", "left_semi"))
         turn += 1
     return dropped
 
@@ -170,7 +171,7 @@ c{r} AS MATERIALIZED (SELECT g, place, token, count(*) AS c FROM s{r} JOIN place
 t{r} AS MATERIALIZED (SELECT g, count(*) AS total FROM s{r} GROUP BY g),
 f{r} AS MATERIALIZED (SELECT g, place, m[2] AS token, TRUE AS fixed FROM (SELECT g, place, max(row(c, token)) AS m, max(c) AS c FROM c{r} GROUP BY g, place) JOIN t{r} USING (g) WHERE c >= 0.6::DOUBLE * total),
 n{r} AS MATERIALIZED (SELECT g, count(*) AS need FROM f{r} GROUP BY g),
-e{r} AS MATERIALIZED (SELECT g, i, d, pos, n, count(fixed) AS got, max(need) AS need, max(row(c, place, token)) FILTER (c < total) AS top, count(*) AS marked
+e{r} AS MATERIALIZED (SELECT g, i, d, pos, n, count(fixed) AS got, max(need) AS need, max(row(c, place, token)) FILTER (c < 0.6::DOUBLE * total) AS top, count(*) AS marked
     FROM s{r} JOIN places USING (i, d, pos) JOIN c{r} USING (g, place, token) JOIN t{r} USING (g) LEFT JOIN f{r} USING (g, place, token) LEFT JOIN n{r} USING (g) GROUP BY g, i, d, pos, n),
 x{r} AS MATERIALIZED (SELECT g, i, d, pos, n FROM e{r} WHERE got >= 0.8::DOUBLE * need AND {whole}),
 w{r} AS MATERIALIZED (SELECT g, min(row(i, d, pos)) AS first FROM x{r} GROUP BY g HAVING count(DISTINCT i) >= {enough}),
