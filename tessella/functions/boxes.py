@@ -93,6 +93,29 @@ def to_level(value: Column, source: int, target: int) -> Column:
     return (value * F.lit(2.0 ** (source - target))).cast("int")
 
 
+def to_mask(value: Column, ratio: float, level: int = 0) -> Column:
+    """A slide coordinate at a pyramid level in a mask ``ratio`` times coarser than level 0, cut to an integer."""
+    return (value * F.lit(2.0**level / ratio)).cast("int")
+
+
+def from_mask(value: Column, ratio: float, level: int = 0) -> Column:
+    """The slide coordinate of a mask pixel's corner, cut to an integer."""
+    return (value * F.lit(ratio / 2.0**level)).cast("int")
+
+
+def corners(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """struct(from, to) of a box: its first and last corner."""
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    return F.struct(point(x, y).alias("from"), point(x + w, y + h).alias("to"))
+
+
+def from_corners(c: Column) -> Column:
+    """struct(x, y, w, h) of two corners in any order."""
+    ends = lambda k: (F.least(c["from"][k], c["to"][k]), F.abs(c["to"][k] - c["from"][k]))
+    (x, w), (y, h) = ends("x"), ends("y")
+    return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+
 def nearest_level(levels: Column, mpp: Column, wanted: float) -> Column:
     """Index of the pyramid level (array of downsample factors) whose resolution is nearest to ``wanted``; the first of equals."""
     gaps = F.transform(levels, lambda d: F.abs(d * mpp - F.lit(wanted)))
@@ -107,3 +130,12 @@ def tile_weight(x: Column, y: Column, w: int, h: int, overlap: float = 0.5) -> C
         return F.least(F.lit(1.0), v / (last * overlap), (F.lit(last) - v) / (last * overlap))
 
     return ramp(x, w) * ramp(y, h)
+
+
+def spline_weight(k: Column, size: int, power: int = 2) -> Column:
+    """Weight of pixel k of a side in overlap-add: a squared spline over the side, of mean 1."""
+    half = lambda t: (2 * t) ** power / 2
+    t = [1 - abs(2 * i + 1 - size) / size for i in range(size)]
+    flat = [half(v) if not size // 4 <= i < size - size // 4 else 1 - abs(2 * (v - 1)) ** power / 2 for i, v in enumerate(t)]
+    mean = sum(flat) / size
+    return F.element_at(F.array(*[F.lit(v / mean) for v in flat]), k + 1)

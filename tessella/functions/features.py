@@ -2,7 +2,7 @@
 
 A feature names its outputs and the inputs that it needs (mask, gray, image, contour) by its argument
 names. ``compute`` runs any set of them over a DataFrame with those columns; every output must be a
-finite real number.
+finite real number, else the object's ``failure`` says which feature failed and how.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 REGISTRY: dict[str, tuple[Callable, tuple[str, ...], tuple[str, ...]]] = {}
 
@@ -39,7 +40,11 @@ def _array(cell: dict | None) -> np.ndarray | None:
 
 
 def compute(objects: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """keys and all outputs of the named features, one row per object."""
+    """keys, all outputs of the named features, and failure, one row per object.
+
+    A feature that raises, gives another number of values or one that isn't finite has null outputs;
+    the others of the object stay.
+    """
     chosen = [REGISTRY[n] for n in names]
     outputs = [o for _, returns, _ in chosen for o in returns]
     inputs = sorted({a for _, _, args in chosen for a in args})
@@ -50,16 +55,24 @@ def compute(objects: DataFrame, names: Sequence[str], keys: Sequence[str]) -> Da
             rows = []
             for rec in pdf[inputs].to_dict("records"):
                 given = {k: (np.array([[p["x"], p["y"]] for p in v], float) if k == "contour" else _array(v)) for k, v in rec.items()}
-                row = []
+                row, failed = [], []
                 for fn, returns, args in chosen:
-                    got = [float(v) for v in np.atleast_1d(fn(*(given[a] for a in args)))]
-                    if len(got) != len(returns) or not np.isfinite(got).all():
-                        raise ValueError(f"{fn.__name__} gave {len(got)} values for {len(returns)} names, or one that isn't finite")
+                    try:
+                        got = [float(v) for v in np.atleast_1d(fn(*(given[a] for a in args)))]
+                        if len(got) != len(returns):
+                            raise ValueError(f"{len(got)} values for {len(returns)} names")
+                        if not np.isfinite(got).all():
+                            raise ValueError("a value that isn't finite")
+                    except Exception as e:
+                        got = [None] * len(returns)
+                        failed.append(f"{fn.__name__}: {e}")
                     row += got
-                rows.append(row)
-            yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame(rows, columns=outputs, dtype=float)], axis=1)
+                rows.append([*row, "; ".join(failed) or None])
+            values = pd.DataFrame(rows, columns=[*outputs, "failure"]).astype({o: float for o in outputs})
+            yield pd.concat([pdf[list(keys)].reset_index(drop=True), values], axis=1)
 
-    return objects.select(*keys, *inputs).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{o} double" for o in outputs)]))
+    out = objects.select(*keys, *inputs).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{o} double" for o in outputs), "failure string"]))
+    return out.select(*keys, *[F.when(~F.isnan(o), F.col(o)).alias(o) for o in outputs], "failure")
 
 
 def _moments(m: np.ndarray) -> tuple[float, float, float, Callable[[int, int], float]]:

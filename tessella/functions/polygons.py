@@ -104,11 +104,15 @@ def contains(poly: Column, px: Column, py: Column) -> Column:
     return F.exists(edges, on) | (F.size(F.filter(edges, crosses)) % 2 == 1)
 
 
+def probes(poly: Column, n: int = 3) -> Column:
+    """The first n points."""
+    return F.slice(poly, 1, n)
+
+
 def holds(poly: Column, child: Column, probes: int = 3, every: bool = False) -> Column:
     """Whether any (or every) of the child's first ``probes`` points lies in the polygon."""
-    some = F.slice(child, 1, probes)
     test = F.forall if every else F.exists
-    return test(some, lambda p: contains(poly, p["x"], p["y"]))
+    return test(F.slice(child, 1, probes), lambda p: contains(poly, p["x"], p["y"]))
 
 
 def distinct_points(poly: Column) -> Column:

@@ -10,15 +10,25 @@ import tempfile
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Keeps the cluster's ``spark.checkpoint.dir``; without a cluster, a temporary folder is set if there is none."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tessella-ckpt-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Ends df's lineage in the cluster's checkpoint folder (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessella-ckpt-"))
+    """Ends df's lineage in that folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -105,9 +115,24 @@ def _assigned(points: DataFrame, codebook: np.ndarray) -> DataFrame:
     return nearest_code(points, codes)
 
 
-def _sums(points: DataFrame, assigned: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, int]]:
-    """Per code: sum of its vectors, and their number (a fixed-size result)."""
-    dims = long(points).join(assigned.select("id", "code"), "id").groupBy("code", "dim").agg(F.sum("v").alias("v"), F.count("*").alias("n")).toPandas()
+def _sums(points: DataFrame, codebook: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """Per nearest code: sum of its vectors, and their number, in one pass (a fixed-size result a task)."""
+
+    def run(batches):
+        total, count = np.zeros_like(codebook), np.zeros(len(codebook), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("vec").to_pylist(), float)
+                for lo in range(0, len(x), 4096):
+                    part = x[lo : lo + 4096]
+                    best = ((codebook * codebook).sum(1)[None] - 2 * part @ codebook.T).argmin(1)
+                    np.add.at(total, best, part)
+                    count += np.bincount(best, minlength=len(count))
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at]), pa.array(total[at].tolist(), pa.list_(pa.float64()))], ["code", "n", "v"])
+
+    parts = points.select("vec").mapInArrow(run, "code int, n long, v array<double>").select("code", "n", F.posexplode("v").alias("dim", "v"))
+    dims = parts.groupBy("code", "dim").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas()
     sums, counts = {}, {}
     for code, g in dims.groupby("code"):
         sums[int(code)] = g.sort_values("dim")["v"].to_numpy()
@@ -134,7 +159,7 @@ def som(points: DataFrame, rows: int, columns: int, *, rounds: int = 8, seed: in
     apart = ((at[:, None] - at[None]) ** 2).sum(2)
     widths = np.geomspace(max(rows, columns) / 2, 0.5, rounds)
     for width in widths:
-        sums, counts = _sums(points, _assigned(points, book))
+        sums, counts = _sums(points, book)
         near = np.exp(-apart / (2 * width * width))
         total, weight = np.zeros_like(book), np.zeros(len(book))
         for code, v in sums.items():
@@ -148,7 +173,7 @@ def kmeans(points: DataFrame, k: int, *, rounds: int = 10, seed: int = 0) -> tup
     """Centres, and id with code; an empty cluster keeps its centre."""
     centres = seeds(points, k, seed)
     for _ in range(rounds):
-        sums, counts = _sums(points, _assigned(points, centres))
+        sums, counts = _sums(points, centres)
         new = np.array([sums[c] / counts[c] if c in sums else centres[c] for c in range(len(centres))])
         if np.allclose(new, centres, atol=1e-9):
             break
@@ -159,30 +184,31 @@ def kmeans(points: DataFrame, k: int, *, rounds: int = 10, seed: int = 0) -> tup
 def consensus(points: DataFrame, ks: Sequence[int], *, times: int = 5, share: float = 0.8, bins: int = 10, seed: int = 0) -> DataFrame:
     """k, area, delta: consensus clustering over resamples.
 
-    For each k, pairs of points are counted by how often they were drawn together and clustered
-    together; a pair's consensus index is the ratio. area is that under the indices' cumulative
-    histogram, delta its relative change from the k before. Pairs are formed within a bounded,
-    hash-chosen set of at most 300 points, which the index is a statistic of.
+    For each k, a pair's consensus index is how often it was clustered together among the draws that
+    have both. area is that under the indices' cumulative histogram over all pairs of points, delta
+    its relative change from the k before. Points with the same codes in all draws are one row with
+    a count (at most (k + 1) ** times rows), so pairs are counted by products and never formed.
     """
     from .stats import bin_of, cdf_areas
     from .tables import resample
 
-    watched = points.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(300).select("id")
-    parts = []
-    for k in ks:
-        for draw in range(times):
-            chosen = cut(resample(points.select("id", "vec"), "id", draw + 1, share, seed).where(F.col("draw") == draw).drop("draw"))
-            own = kmeans(chosen, k, rounds=5, seed=seed + draw)[1].join(watched, "id", "left_semi")
-            parts.append(cut(own.select(F.lit(k).alias("k"), F.lit(draw).alias("draw"), "id", "code")))
-    runs = parts[0]
-    for p in parts[1:]:
-        runs = runs.unionByName(p)
-    a, b = runs.alias("a"), runs.alias("b")
-    same = [F.col("a.k") == F.col("b.k"), F.col("a.draw") == F.col("b.draw"), F.col("a.id") < F.col("b.id")]
-    pairs = a.join(b, same).groupBy(F.col("a.k").alias("k"), F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.avg((F.col("a.code") == F.col("b.code")).cast("double")).alias("m"))
-    hist = pairs.withColumn("bin", bin_of(F.col("m"), F.lit(0.0), F.lit(1.0), bins)).groupBy("k", "bin").agg(F.count("*").alias("n"))
+    runs = None
+    for draw in range(times):
+        chosen = cut(resample(points.select("id", "vec"), "id", draw + 1, share, seed).where(F.col("draw") == draw).drop("draw"))
+        for k in ks:
+            own = kmeans(chosen, k, rounds=5, seed=seed + draw)[1].select(F.lit(k).alias("k"), "id", F.struct(F.lit(draw).alias("draw"), "code").alias("c"))
+            runs = own if runs is None else runs.unionByName(own)
+    tuples = runs.groupBy("k", "id").agg(F.map_from_entries(F.collect_list("c")).alias("m")).withColumn("codes", F.array(*[F.coalesce(F.element_at("m", F.lit(d)), F.lit(-1)) for d in range(times)]))
+    tuples = cut(tuples.groupBy("k", "codes").agg(F.count("*").alias("n")))
+    a, b = tuples.alias("a"), tuples.alias("b")
+    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.codes") <= F.col("b.codes")))
+    both = F.size(F.filter(F.arrays_zip(F.col("a.codes").alias("p"), F.col("b.codes").alias("q")), lambda e: (e["p"] >= 0) & (e["q"] >= 0)))
+    same = F.size(F.filter(F.arrays_zip(F.col("a.codes").alias("p"), F.col("b.codes").alias("q")), lambda e: (e["p"] >= 0) & (e["p"] == e["q"])))
+    n = F.when(F.col("a.codes") == F.col("b.codes"), F.col("a.n") * (F.col("a.n") - 1) / 2).otherwise(F.col("a.n") * F.col("b.n"))
+    met = pairs.select(F.col("a.k").alias("k"), both.alias("both"), same.alias("same"), n.alias("n")).where("both > 0 and n > 0")
+    hist = met.withColumn("bin", bin_of(F.try_divide("same", "both"), F.lit(0.0), F.lit(1.0), bins)).groupBy("k", "bin").agg(F.sum("n").alias("n"))
     domain = hist.select("k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return cdf_areas(domain.join(hist, ["k", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0))), "k", bins)
+    return cdf_areas(domain.join(hist, ["k", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0.0))), "k", bins)
 
 
 def principal(points: DataFrame, k: int) -> DataFrame:
@@ -267,42 +293,77 @@ def rand_index(table: DataFrame) -> DataFrame:
 
 
 def mutual_information(table: DataFrame) -> DataFrame:
-    """One row: mutual information (nats) and its share of the mean entropy."""
+    """One row: mutual information (nats), its share of the mean entropy, and the same adjusted for chance.
+
+    The expected mutual information sums over pairs of cluster sizes, each with its hypergeometric
+    distribution; equal sizes are taken together.
+    """
     total = table.agg(F.sum("n").alias("t"))
     r = table.groupBy("ka").agg(F.sum("n").alias("r"))
     c = table.groupBy("kb").agg(F.sum("n").alias("c"))
     t = table.join(r, "ka").join(c, "kb").crossJoin(F.broadcast(total))
     mi = t.agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("r") * F.col("c")))).alias("mi"))
     h = lambda df, k: df.crossJoin(F.broadcast(total)).agg((-F.sum(F.col(k) / F.col("t") * F.ln(F.col(k) / F.col("t")))).alias(f"h{k}"))
-    return mi.crossJoin(h(r, "r")).crossJoin(h(c, "c")).select("mi", F.when(F.col("hr") + F.col("hc") == 0, 1.0).otherwise(2 * F.col("mi") / (F.col("hr") + F.col("hc"))).alias("nmi"))
-
-
-def silhouette(points: DataFrame, clusters: DataFrame) -> DataFrame:
+    sizes = r.groupBy("r").agg(F.count("*").alias("nr")).crossJoin(c.groupBy("c").agg(F.count("*").alias("nc"))).crossJoin(F.broadcast(total))
+    low, high = F.greatest(F.lit(1), F.col("r") + F.col("c") - F.col("t")).cast("long"), F.least("r", "c").cast("long")
+    cells = sizes.select("r", "c", "t", (F.col("nr") * F.col("nc")).alias("k"), F.explode(F.sequence(low, high)).alias("x"))
+    cells = _log_choose(cells, {"p": (F.col("r"), F.col("x")), "q": (F.col("t") - F.col("r"), F.col("c") - F.col("x")), "all": (F.col("t"), F.col("c"))})
+    part = F.col("k") * F.col("x") / F.col("t") * F.ln(F.col("t") * F.col("x") / (F.col("r") * F.col("c"))) * F.exp(F.col("p") + F.col("q") - F.col("all"))
+    expected = cells.agg(F.sum(part).alias("emi"))
+    out = mi.crossJoin(h(r, "r")).crossJoin(h(c, "c")).crossJoin(expected)
+    mean = (F.col("hr") + F.col("hc")) / 2
+    ami = F.when(F.abs(mean - F.col("emi")) < 1e-15, 1.0).otherwise((F.col("mi") - F.col("emi")) / (mean - F.col("emi")))
+    return out.select("mi", F.when(mean == 0, 1.0).otherwise(F.col("mi") / mean).alias("nmi"), F.when(mean == 0, 1.0).otherwise(ami).alias("ami"))
+
+
+def _log_choose(df: DataFrame, terms: dict) -> DataFrame:
+    """Columns with ln(n over k) for each name: (n, k), by Stirling's series (ten digits from 10 on, exact below)."""
+    small = [0.0]
+    for k in range(1, 32):
+        small.append(small[-1] + float(np.log(k)))
+
+    def log_factorial(n):
+        n = n.cast("double")
+        series = (n + 0.5) * F.ln(n) - n + 0.5 * F.lit(float(np.log(2 * np.pi))) + 1 / (12 * n) - 1 / (360 * n * n * n) + 1 / (1260 * F.pow(n, F.lit(5.0)))
+        return F.when(n < 32, F.element_at(F.array(*map(F.lit, small)), n.cast("int") + 1)).otherwise(series)
+
+    for name, (n, k) in terms.items():
+        df = df.withColumn(name, log_factorial(n) - log_factorial(k) - log_factorial(n - k))
+    return df
+
+
+def silhouette(points: DataFrame, clusters: DataFrame, *, block: int = 4096) -> DataFrame:
     """One row: the mean silhouette (Euclidean), from each point's mean distance to every cluster.
 
-    Distances are taken block by block (a hash block of points against a hash block), and leave as
-    sums per point and cluster.
+    Distances are taken block by block (a hash block of about ``block`` points against another), and
+    leave as sums per point and cluster.
     """
     import pandas as pd
 
-    rows = points.select("id", "vec").join(clusters, "id").withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
-    left = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_l", F.lit(True))
-    right = rows.withColumn("_j", F.col("_b")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("_l", F.lit(False))
+    from .nearest import _distances, blocks_for
+
+    rows = points.select("id", "vec").join(clusters, "id")
+    blocks = blocks_for(rows, (), block)
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.withColumn("_j", every).withColumn("_l", F.lit(True))
+    right = rows.withColumnRenamed("_b", "_j").withColumn("_b", every).withColumn("_l", F.lit(False))
     kinds = dict(points.dtypes) | dict(clusters.dtypes)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["_l"]], g[~g["_l"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"id": [], "own": [], "cluster": [], "s": [], "n": []})
-        y = np.array(b["vec"].tolist(), float)
+        x, y = (np.array(side["vec"].tolist(), float) for side in (a, b))
         names, code = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-        out = []
-        for i, own, v in zip(a["id"], a["cluster"], a["vec"], strict=True):
-            d = np.sqrt(((y - np.array(v, float)) ** 2).sum(1))
-            out.append(pd.DataFrame({"id": i, "own": own, "cluster": names, "s": np.bincount(code, d, len(names)), "n": np.bincount(code, minlength=len(names))}))
-        return pd.concat(out)
-
-    part = left.unionByName(right).groupBy("_b", "_j").applyInPandas(run, f"id {kinds['id']}, own {kinds['cluster']}, cluster {kinds['cluster']}, s double, n long")
+        marks = np.eye(len(names))[code]
+        sums = np.concatenate([_distances(y, x[lo : lo + 1024]) @ marks for lo in range(0, len(x), 1024)])
+        n, k = len(a), len(names)
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), k), "own": np.repeat(a["cluster"].to_numpy(), k), "cluster": np.tile(names, n), "s": sums.ravel(), "n": np.tile(marks.sum(0).astype(np.int64), n)})
+
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced by size
+    met = left.unionByName(right).repartition(tasks, "_b", "_j").groupBy("_b", "_j")
+    part = met.applyInPandas(run, f"id {kinds['id']}, own {kinds['cluster']}, cluster {kinds['cluster']}, s double, n long")
     per = part.groupBy("id", "own", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     same = F.col("own") == F.col("cluster")
     each = per.groupBy("id").agg(F.max(F.when(same & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"), F.max(F.when(same, F.col("n"))).alias("n"), F.min(F.when(~same, F.col("s") / F.col("n"))).alias("b"))

@@ -8,22 +8,33 @@ from pyspark.sql import functions as F
 from .clustering import cut
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component (its smallest reachable node) of undirected edges (a, b).
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """node, component (its smallest reachable node) of undirected edges (a, b); rows with a null or a = b are ignored.
 
-    Every round each node takes the smallest label among its neighbours', then its label's label;
-    labels fall until a round changes none.
+    Rounds of two contractions: every node's larger neighbours move to its smallest one, then every
+    node with its smaller neighbours to the smallest of these. A round is grouped minima and joins on
+    the edge list, which shrinks towards one star per component; a hub is only ever reduced by min.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).select(F.col("a").alias("node"), "l"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        jump = step.join(labels.select(F.col("node").alias("_n"), F.col("l").alias("_l")), step["l"] == F.col("_n"), "left")
-        new = cut(jump.select("node", F.least("l", F.coalesce("_l", "l")).alias("l"), "old"))
-        changed = new.where("l != old").limit(1).count()
-        labels = new.select("node", "l")
-        if not changed:
-            return labels.withColumnRenamed("l", "component")
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    e = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    e = cut(e.distinct())
+    state = _state(e)
+    for _ in range(rounds if state[0] else 0):
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        e = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = e.groupBy("a").agg(F.min("b").alias("m"))
+        moved = e.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = cut(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        before, state = state, _state(e)
+        if state == before:
+            break
+    else:
+        if state[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """A fingerprint of an edge set that doesn't depend on its order."""
+    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
+    return row["n"], row["x"] or 0

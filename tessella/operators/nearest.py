@@ -1,8 +1,8 @@
 """Nearest-neighbour operators on feature vectors (arrays of doubles).
 
-Neighbours among n rows are found in blocks: rows meet blocks of candidates in Arrow batches, keep
-their k best of each block, and the partial lists are merged by an aggregate, so neither all pairs
-nor a group is ever a Spark row or in one task.
+Neighbours among n rows are found in blocks: a block of rows meets a block of candidates in a task,
+keeps the k best of each row, and the partial lists are ranked per row, so neither all pairs nor a
+group is ever a Spark row or in one task. The number of blocks follows the size of the largest group.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,41 +48,61 @@ def nearest_code(points: DataFrame, codes: DataFrame, *, limit: int = 20_000) ->
     return points.select("id", "vec").mapInArrow(run, f"id {kinds['id']}, code {kinds['code']}, dist double")
 
 
-def _block(df: DataFrame, on: Sequence[str], blocks: int) -> DataFrame:
-    return df.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+def blocks_for(df: DataFrame, on: Sequence[str], rows: int) -> int:
+    """How many hash blocks deal the largest group of df into about ``rows`` rows each."""
+    n = (df.groupBy(*on).agg(F.count("*").alias("n")).agg(F.max("n")) if on else df.agg(F.count("*"))).first()[0]
+    return max(1, -(-(n or 0) // rows))
 
 
-def k_nearest(points: DataFrame, k: int, on: Sequence[str] = (), *, blocks: int = 8, with_self: bool = True) -> DataFrame:
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances by one product, exact to about 1e-7 of the vectors' length."""
+    return np.sqrt(np.maximum((b * b).sum(1)[:, None] + (a * a).sum(1)[None] - 2 * b @ a.T, 0))
+
+
+def _k_best(names: np.ndarray, a: np.ndarray, asked: np.ndarray, b: np.ndarray, k: int, with_self: bool) -> pd.DataFrame:
+    """Exact: the product picks what may be among the k nearest, differences decide. names are in order."""
+    far = _distances(a, b)
+    if not with_self:
+        far[asked[:, None] == names[None]] = np.inf
+    some = min(k, len(names))
+    edge = np.partition(far, some - 1, axis=1)[:, some - 1]
+    slack = 1e-6 * (1 + np.sqrt((a * a).sum(1).max() + (b * b).sum(1)))
+    row, col = np.nonzero((far <= (edge + slack)[:, None]) & np.isfinite(far))
+    dist = np.sqrt(((a[col] - b[row]) ** 2).sum(1))
+    order = np.lexsort((col, dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return pd.DataFrame({"id": asked[row[keep]], "other": names[col[keep]], "dist": dist[keep]})
+
+
+def k_nearest(points: DataFrame, k: int, on: Sequence[str] = (), *, rows: int = 4096, with_self: bool = True) -> DataFrame:
     """id, rank, other, dist: each row's k nearest of its group (Euclidean; ties by id).
 
-    Every row meets each of ``blocks`` hash blocks of its group once. Choose blocks so that a
-    group's block fits in a task.
+    Both sides are dealt into blocks of about ``rows`` rows, from the size of the largest group; every
+    block of queries meets every block of its group in a task of its own, and the k best of all
+    blocks are ranked, each block's rows cut to k before the shuffle.
     """
-    rows = points.select(*on, "id", "vec")
-    index = _block(rows, on, blocks).withColumn("_q", F.lit(False))
-    asked = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_q", F.lit(True))
+    own = points.select(*on, "id", "vec")
+    blocks = blocks_for(own, on, rows)
+    dealt = own.withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    index = dealt.withColumnRenamed("_h", "_b").withColumn("_a", every).withColumn("_q", F.lit(False))
+    asked = dealt.withColumnRenamed("_h", "_a").withColumn("_b", every).withColumn("_q", F.lit(True))
     kind = dict(points.dtypes)["id"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         x, q = g[~g["_q"]].sort_values("id"), g[g["_q"]]
         out = []
         if len(x) and len(q):
-            names, a = x["id"].to_numpy(), np.array(x["vec"].tolist(), float)
-            for lo in range(0, len(q), 512):
-                part = q.iloc[lo : lo + 512]
-                b = np.array(part["vec"].tolist(), float)
-                far = np.stack([np.sqrt(((a - v) ** 2).sum(1)) for v in b])
-                if not with_self:
-                    far[part["id"].to_numpy()[:, None] == names[None]] = np.inf
-                top = np.argsort(far, axis=1, kind="stable")[:, :k]
-                d = np.take_along_axis(far, top, 1)
-                ok = np.isfinite(d)
-                out.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), top.shape[1])[ok.ravel()], "other": names[top.ravel()][ok.ravel()], "dist": d.ravel()[ok.ravel()]}))
+            names, a, b = x["id"].to_numpy(), np.array(x["vec"].tolist(), float), np.array(q["vec"].tolist(), float)
+            out = [_k_best(names, a, q["id"].to_numpy()[lo : lo + 1024], b[lo : lo + 1024], k, with_self) for lo in range(0, len(q), 1024)]
         return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "dist": []})
 
-    part = index.unionByName(asked).groupBy(*on, "_b").applyInPandas(run, f"id {kind}, other {kind}, dist double")
-    best = part.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "other"))), 1, k).alias("all"))
-    return best.select("id", F.posexplode("all").alias("rank", "e")).select("id", "rank", F.col("e.other").alias("other"), F.col("e.dist").alias("dist"))
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced by size
+    met = index.unionByName(asked).repartition(tasks, *on, "_a", "_b").groupBy(*on, "_a", "_b")
+    part = met.applyInPandas(run, f"id {kind}, other {kind}, dist double")
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "other")) - 1).where(F.col("rank") < k)
+    return ranked.select("id", "rank", "other", "dist")
 
 
 def neighbour_share(neighbours: DataFrame, labels: DataFrame, value) -> DataFrame:
@@ -117,21 +137,27 @@ def coverage(points: DataFrame, centres: DataFrame, radius: float, *, limit: int
         for batch in batches:
             if batch.num_rows:
                 x = np.array(batch.column("vec").to_pylist(), float)
-                hit = np.array([len(c) > 0 and bool((np.abs(c - v).sum(1) <= radius).any()) for v in x])
+                hit = np.zeros(len(x), bool)
+                for lo in range(0, len(x), 256):
+                    for v in range(0, len(c), 256):
+                        hit[lo : lo + 256] |= (np.abs(x[lo : lo + 256, None] - c[None, v : v + 256]).sum(2) <= radius).any(1)
                 yield pa.RecordBatch.from_arrays([batch.column("by"), pa.array(hit)], ["by", "hit"])
 
     hits = points.select("by", "vec").mapInArrow(run, f"by {dict(points.dtypes)['by']}, hit boolean")
     return hits.groupBy("by").agg(F.count_if("hit").alias("covered"), F.count("*").alias("n"))
 
 
-def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: float, *, blocks: int = 4, distinct: bool = True) -> DataFrame:
+def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: float, *, block: int = 4096, distinct: bool = True) -> DataFrame:
     """on, bin, n: Euclidean distances between all ordered pairs (with themselves) of points (x, y) of a group.
 
-    Pairs meet block by block and leave as counts; bins over [0, top], the last one closed. With
-    ``distinct``, equal points of a group count once.
+    Pairs meet block by block (of about ``block`` points, from the size of the largest group) and
+    leave as counts; bins over [0, top], the last one closed. With ``distinct``, equal points of a
+    group count once.
     """
     rows = points.select(*on, "x", "y")
-    rows = (rows.distinct() if distinct else rows).withColumn("_b", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int"))
+    rows = rows.distinct() if distinct else rows
+    blocks = blocks_for(rows, on, block)
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int"))
     # each pair of blocks meets once, the lower one on the left; unlike blocks stand for both orders
     left = rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1)))).withColumn("_l", F.lit(True))
     right = rows.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))).withColumn("_l", F.lit(False))

@@ -49,10 +49,17 @@ def points_in_boxes(points: DataFrame, areas: DataFrame, on: Sequence[str], cell
 
 
 def parents(objects: DataFrame, on: Sequence[str], cell: int, polygon: str = "points", probes: int = 3) -> DataFrame:
-    """Filter and refine: pairs whose boxes meet, the left area is larger, and the left polygon holds a probe of the right one."""
-    pairs = box_join(objects, objects, on, cell)
-    bigger = polygons.area(F.col(f"l.{polygon}")) > polygons.area(F.col(f"r.{polygon}"))
-    return pairs.where(bigger).where(polygons.holds(F.col(f"l.{polygon}"), F.col(f"r.{polygon}"), probes))
+    """Filter and refine: pairs whose boxes meet, the left area is larger, and the left polygon holds a probe of the right one.
+
+    Areas are measured once per object, the right side carries its probes only (as column ``polygon``),
+    and a polygon is tested only for probes within its box.
+    """
+    sized = objects.withColumn("_area", polygons.area(F.col(polygon)))
+    asked = sized.withColumn(polygon, polygons.probes(F.col(polygon), probes))
+    inside = F.filter(F.col(f"r.{polygon}"), lambda p: boxes.holds_point("l.", p["x"], p["y"]))
+    pairs = box_join(sized, asked, on, cell, (F.col("l._area") > F.col("r._area")) & (F.size(inside) > 0))
+    held = F.exists(inside, lambda p: polygons.contains(F.col(f"l.{polygon}"), p["x"], p["y"]))
+    return pairs.where(held).select(F.col("l").dropFields("_area").alias("l"), F.col("r").dropFields("_area").alias("r"))
 
 
 def first_match(items: DataFrame, areas: DataFrame, on: Sequence[str], cell: int, item: str, order: str) -> DataFrame:
@@ -70,22 +77,27 @@ def within_largest(items: DataFrame, areas: DataFrame, on: Sequence[str]) -> Dat
     return items.join(largest, list(on)).where(rel["position"].isin("contained", "overlap")).drop("_a")
 
 
-def close_circles(objects: DataFrame, on: Sequence[str], threshold: float, most_radius: float) -> DataFrame:
+def close_circles(objects: DataFrame, on: Sequence[str], threshold: float, usual_radius: float) -> DataFrame:
     """Pairs i < j of circles (id, cx, cy, r > 1) whose rims are nearer than threshold plus the group's mean radius.
 
-    most_radius bounds r and sets the grid's cell; larger circles raise an error rather than get lost.
+    Circles fall into classes of size: up to usual_radius, then each twice as large as the one before.
+    Every pair meets on the grid of its larger one's class, so a few large circles don't widen the
+    cells of all others; there are as many grids as classes (the logarithm of the largest radius).
     """
     mean = objects.groupBy(*on).agg(F.avg("r").alias("_mean"))
-    rows = objects.join(mean, list(on)).where("r > 1")
-    rows = rows.withColumn("r", F.when(F.col("r") <= most_radius, F.col("r")).otherwise(F.raise_error(F.lit("radius above most_radius"))))
-    cell = int(3 * most_radius + threshold) + 1
-    at = rows.withColumn("_cx", F.floor(F.col("cx") / cell)).withColumn("_cy", F.floor(F.col("cy") / cell))
+    kind = F.greatest(F.lit(0), F.ceil(F.log2(F.col("r") / usual_radius))).cast("int")
+    rows = objects.join(mean, list(on)).where("r > 1").withColumn("_s", kind)
+    top = rows.agg(F.max("_s")).first()[0] or 0
+    cell = 2 * usual_radius * F.pow(F.lit(2.0), F.col("_g")) + threshold + 1
+    at = rows.withColumn("_g", F.explode(F.sequence(F.col("_s"), F.lit(top)))).withColumn("_cx", F.floor(F.col("cx") / cell)).withColumn("_cy", F.floor(F.col("cy") / cell))
     around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> named_struct('i', i, 'j', j))))"))
-    near = rows.withColumn("_d", around).withColumn("_cx", F.floor(F.col("cx") / cell) + F.col("_d.i")).withColumn("_cy", F.floor(F.col("cy") / cell) + F.col("_d.j")).drop("_d")
+    near = rows.withColumn("_g", F.col("_s")).withColumn("_d", around).withColumn("_cx", F.floor(F.col("cx") / cell) + F.col("_d.i")).withColumn("_cy", F.floor(F.col("cy") / cell) + F.col("_d.j")).drop("_d")
     a, b = at.alias("a"), near.alias("b")
     gap = F.hypot(F.col("a.cx") - F.col("b.cx"), F.col("a.cy") - F.col("b.cy")) - (F.col("a.r") + F.col("b.r") - F.col("a._mean"))
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*on, "_cx", "_cy"]]
-    return a.join(b, same).where((F.col("a.id") < F.col("b.id")) & (gap < threshold)).select(*[F.col(f"a.{c}") for c in on], F.col("a.id").alias("i"), F.col("b.id").alias("j"), gap.alias("gap"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*on, "_g", "_cx", "_cy"]]
+    once = (F.col("a._s") < F.col("b._s")) | ((F.col("a._s") == F.col("b._s")) & (F.col("a.id") < F.col("b.id")))
+    pairs = a.join(b, same).where(once & (gap < threshold))
+    return pairs.select(*[F.col(f"a.{c}") for c in on], F.least("a.id", "b.id").alias("i"), F.greatest("a.id", "b.id").alias("j"), gap.alias("gap"))
 
 
 def grid_tiles(extent: DataFrame, tile: int, step: int) -> DataFrame:
@@ -94,6 +106,22 @@ def grid_tiles(extent: DataFrame, tile: int, step: int) -> DataFrame:
     return extent.withColumn("x", F.explode(walk("width"))).withColumn("y", F.explode(walk("height"))).withColumns({"w": F.lit(tile), "h": F.lit(tile)})
 
 
+def filled_tiles(tiles: DataFrame, mask: DataFrame, on: Sequence[str], threshold: float, size: int) -> DataFrame:
+    """Tiles (x, y, w, h) whose share of mask pixels (x, y, each ``size`` x ``size``) exceeds the threshold, with it as filled.
+
+    A pixel belongs to every tile that its corner lies in; pixels meet tiles on a grid of the tiles' size.
+    """
+    cell = tiles.agg(F.max(F.greatest("w", "h"))).first()[0] or 1
+    keys = [f"_on{k}" for k in range(len(on))]
+    dealt = _celled(tiles, cell, F.col("x"), F.col("y"), F.col("w") - 1, F.col("h") - 1)
+    at = mask.select(*(F.col(c).alias(k) for c, k in zip(on, keys, strict=True)), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    same = [*(F.col(c) == F.col(k) for c, k in zip(on, keys, strict=True)), F.col("_cx") == F.floor(F.col("_x") / cell), F.col("_cy") == F.floor(F.col("_y") / cell)]
+    inside = (F.col("_x") >= F.col("x")) & (F.col("_x") < F.col("x") + F.col("w")) & (F.col("_y") >= F.col("y")) & (F.col("_y") < F.col("y") + F.col("h"))
+    n = dealt.join(at, [*same, inside]).groupBy(*on, "x", "y", "w", "h").agg(F.count("*").alias("_n"))
+    filled = F.col("_n") * float(size * size) / (F.col("w") * F.col("h"))
+    return n.withColumn("filled", filled).where(F.col("filled") > threshold).drop("_n")
+
+
 def tile_label(objects: DataFrame, on: Sequence[str], tile: int, label: str = "label") -> DataFrame:
     """The commonest label among the objects of each grid tile (by their corner); the smallest of equals."""
     at = objects.select(*on, F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty"), label)

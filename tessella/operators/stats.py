@@ -11,17 +11,57 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clustering import cut
+
 
 def clean(value: Column) -> Column:
     """Infinite and NaN values become 0; nulls stay."""
     return F.when(F.isnan(value) | (F.abs(value) == float("inf")), 0.0).otherwise(value)
 
 
+def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """df with, for each of values, ``upto_<value>``: its sum over the group's rows up to this one (orders are unique in a group).
+
+    Also ``next_<first order>``, the next row's first order column. Rows are dealt to key ranges;
+    within a range a window adds up, and the ranges' totals (one row a group and range) give the
+    rest, so a group or the whole table may be as large as it likes.
+    """
+    first = order[0]
+    own = [c for c in dict.fromkeys([*by, *order])]
+    rows = cut(df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *own).withColumn("_p", F.spark_partition_id()))
+    totals = rows.groupBy(*by, "_p").agg(*(F.sum(v).alias(f"_t{k}") for k, v in enumerate(values)), F.min(first).alias("_first"))
+    ranges = Window.partitionBy(*by).orderBy("_p")
+    earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), F.col("_p").alias("_q"), *(F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)).alias(f"_t{k}") for k in range(len(values))), F.lead("_first").over(ranges).alias("_first"))
+    within = Window.partitionBy(*by, "_p").orderBy(*order)
+    same = [F.col("_p") == F.col("_q"), *(F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by))]
+    out = rows.join(totals, same).drop("_q", *(f"_g{k}" for k in range(len(by))))
+    sums = {f"upto_{v}": F.col(f"_t{k}") + F.sum(v).over(within.rowsBetween(Window.unboundedPreceding, 0)) for k, v in enumerate(values)}
+    return out.withColumns(sums | {f"next_{first}": F.coalesce(F.lead(first).over(within), F.col("_first"))}).drop("_p", "_first", *(f"_t{k}" for k in range(len(values))))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], qs: Sequence[float], value: str = "v") -> DataFrame:
+    """by, and q (array): the quantiles of a group's values, linear between ranks; nulls are left out.
+
+    Equal values are counted first; ranks come from prefix sums, so no group is held in one buffer.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    ranks = prefix_sums(counts, by, ["_v"], ["_n"])
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    ranks = ranks.join(total, list(by)) if by else ranks.crossJoin(F.broadcast(total))
+    at = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
+    holds = lambda k: (F.col("upto__n") - F.col("_n") <= k) & (k < F.col("upto__n"))
+    ends = [F.max(F.when(holds(end(at(q))), F.col("_v"))).alias(f"_{name}{k}") for k, q in enumerate(qs) for name, end in (("lo", F.floor), ("hi", F.ceil))]
+    got = ranks.groupBy(*by).agg(*ends, F.max("_all").alias("_all"))
+    part = lambda q: at(q) - F.floor(at(q))
+    return got.select(*by, F.array(*[F.col(f"_lo{k}") + part(q) * (F.col(f"_hi{k}") - F.col(f"_lo{k}")) for k, q in enumerate(qs)]).alias("q"))
+
+
 def summary(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
     """min, max, mean, std (n - 1), iqr, q5, q95 and n of each group."""
     v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(*map(F.lit, (0.05, 0.25, 0.75, 0.95))))
-    out = df.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), q.alias("_q"), F.count(v).alias("n"))
+    out = df.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"))
+    out = out.join(quantiles(df, by, (0.05, 0.25, 0.75, 0.95), value).withColumnRenamed("q", "_q"), list(by), "left")
     return out.select(*by, "min", "max", "mean", "std", (F.col("_q")[2] - F.col("_q")[1]).alias("iqr"), F.col("_q")[0].alias("q5"), F.col("_q")[3].alias("q95"), "n")
 
 
@@ -46,7 +86,7 @@ def histogram(df: DataFrame, by: Sequence[str], low: Column, high: Column, bins:
 
 def with_empty(counts: DataFrame, groups: DataFrame, domain: DataFrame, by: Sequence[str], count: str = "n") -> DataFrame:
     """counts with a 0 row for every absent pair of a group and a value of the (small) domain."""
-    full = groups.crossJoin(F.broadcast(domain))
+    full = groups.crossJoin(domain)
     return full.join(counts, [*groups.columns, *domain.columns], "left").withColumn(count, F.coalesce(count, F.lit(0)))
 
 
@@ -76,15 +116,9 @@ def min_max(df: DataFrame, by: Sequence[str], value: str = "v", top: float = 1.0
 def _steps(df: DataFrame, by: Sequence[str], side: str, value: str) -> DataFrame:
     """Per distinct value: how far each sample's distribution function has risen there (f0, f1), and the next value."""
     counts = df.groupBy(*by, value).agg(F.sum(F.when(F.col(side), 0).otherwise(1)).alias("n0"), F.sum(F.when(F.col(side), 1).otherwise(0)).alias("n1"))
-    w = Window.partitionBy(*by)
-    upto = w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns(
-        {
-            "f0": F.sum("n0").over(upto) / F.sum("n0").over(w),
-            "f1": F.sum("n1").over(upto) / F.sum("n1").over(w),
-            "next": F.lead(value).over(w.orderBy(value)),
-        }
-    )
+    whole = counts.groupBy(*by).agg(F.sum("n0").alias("_a0"), F.sum("n1").alias("_a1"))
+    steps = prefix_sums(counts, by, [value], ["n0", "n1"]).join(whole, list(by))
+    return steps.withColumns({"f0": F.col("upto_n0") / F.col("_a0"), "f1": F.col("upto_n1") / F.col("_a1"), "next": F.col(f"next_{value}")})
 
 
 def ks(df: DataFrame, by: Sequence[str], side: str, value: str = "v") -> DataFrame:
@@ -149,8 +183,8 @@ def mean_of_means(df: DataFrame, levels: Sequence[str], metrics: Sequence[str])
 def auc(df: DataFrame, by: Sequence[str], truth: str = "truth", score: str = "score") -> DataFrame:
     """Area under the ROC curve by ranks, ties counted half; null without both classes."""
     c = df.groupBy(*by, score).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    c = c.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    c = prefix_sums(c, by, [score], ["neg"])
+    c = c.withColumn("won", F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
     return c.groupBy(*by).agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
@@ -177,12 +211,12 @@ def lagged_distance(df: DataFrame, by: Sequence[str], order: Sequence[str], x: s
 
 def cumulative_index(df: DataFrame, key: str, count: str) -> DataFrame:
     """first and last: the global index range of each key's items, keys in order (one row a key)."""
-    upto = F.sum(count).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("last", upto - 1).withColumn("first", upto - F.col(count))
+    out = prefix_sums(df, [], [key], [count])
+    return out.withColumn("last", F.col(f"upto_{count}") - 1).withColumn("first", F.col(f"upto_{count}") - F.col(count)).drop(f"upto_{count}", f"next_{key}")
 
 
 def cdf_areas(hist: DataFrame, by: str, bins: int) -> DataFrame:
-    """Area under each group's cumulative histogram (bin, n over [0, 1]), and its relative change from the group before."""
+    """Area under each group's cumulative histogram (bin, n over [0, 1]), and its relative change from the group before (groups: parameter values, one row each)."""
     w = Window.partitionBy(by)
     cum = F.sum("n").over(w.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(w)
     areas = hist.withColumn("cum", cum).groupBy(by).agg((F.sum("cum") / bins).alias("area"))
@@ -192,7 +226,7 @@ def cdf_areas(hist: DataFrame, by: str, bins: int) -> DataFrame:
 
 def beyond_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.95, least: int = 20) -> DataFrame:
     """Rows above their group's q-quantile, in groups of more than ``least`` rows; other groups whole."""
-    s = df.groupBy(*by).agg(F.percentile(value, F.lit(q)).alias("_q"), F.count("*").alias("_n"))
+    s = df.groupBy(*by).agg(F.count("*").alias("_n")).join(quantiles(df, by, [q], value).select(*by, F.col("q")[0].alias("_q")), list(by), "left")
     return df.join(s, list(by)).where((F.col("_n") <= least) | (F.col(value) > F.col("_q"))).drop("_q", "_n")
 
 
@@ -201,3 +235,29 @@ def entropy(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     c = df.groupBy(*by, value).agg(F.count("*").alias("n"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy(*by))
     return c.withColumn("p", p).groupBy(*by).agg((-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
+
+
+def signed_unit(value: Column) -> Column:
+    """0..255 to -1..1."""
+    return (value / 255 - 0.5) / 0.5
+
+
+def rescaled_bytes(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
+    """byte: values of a group moved up to start at 0 if any is negative, then scaled so that the largest is 255, cut to whole numbers."""
+    s = df.groupBy(*by).agg(F.least(F.min(value), F.lit(0.0)).alias("_lo"), F.max(value).alias("_hi"))
+    top = F.col("_hi") - F.col("_lo")
+    out = df.join(s, list(by)) if by else df.crossJoin(F.broadcast(s))
+    return out.withColumn("byte", F.when(top == 0, 0).otherwise(F.floor((F.col(value) - F.col("_lo")) / top * 255)).cast("int")).drop("_lo", "_hi")
+
+
+def area_statistics(pairs: DataFrame, by: Sequence[str], area: str, whole: str) -> DataFrame:
+    """Per region: mean, median and population variance of the areas of its objects, their number, and the region's area per object."""
+    out = pairs.groupBy(*by).agg(F.avg(area).alias("mean"), F.median(area).alias("median"), F.var_pop(area).alias("var"), F.count("*").alias("n"), F.max(whole).alias("area"))
+    return out.withColumn("area_each", F.col("area") / F.col("n"))
+
+
+def with_mean_and_std(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Rows as text keys below two rows ``mean`` and ``std`` (n - 1) of all of them; place orders them."""
+    rows = df.select(F.lit(2).alias("place"), F.col(key).cast("string").alias(key), *(F.col(v).cast("double").alias(v) for v in values))
+    top = [df.select(F.lit(k).alias("place"), F.lit(name).alias(key), *values).groupBy("place", key).agg(*(f(v).alias(v) for v in values)) for k, (name, f) in enumerate((("mean", F.avg), ("std", F.stddev_samp)))]
+    return top[0].unionByName(top[1]).unionByName(rows)
