@@ -112,46 +112,121 @@ def density(neighbours: DataFrame, radius: float, least: int) -> DataFrame:
     return both.unionByName(rest)
 
 
-def hard_to_tell(points: DataFrame, label: str, *, times: int = 3, share: float = 0.7, keep: float = 0.5, trees: int = 20, seed: int = 0) -> DataFrame:
+def hard_to_tell(points: DataFrame, label: str, *, times: int = 3, share: float = 0.7, keep: float = 0.5, trees: int = 20, boosted: bool = False, seed: int = 0) -> DataFrame:
     """id, n, wrong: how often each row was tested and misclassified over repeated splits.
 
-    Each split fits its own forest on the ``keep`` share of features with the highest variance
-    between classes, and only rows outside its training part are tested.
+    Each split fits its own forest (``boosted``: gradient-boosted trees, one against the rest for more
+    than two classes) on the ``keep`` share of features with the highest variance between classes,
+    and only rows outside its training part are tested.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import UnivariateFeatureSelector
     from pyspark.ml.functions import array_to_vector
 
     rows = points.select("id", array_to_vector("vec").alias("x"), F.col(label).cast("double").alias("y"))
     tests = None
+    learner = RandomForestClassifier(featuresCol="f", labelCol="y", numTrees=trees, seed=seed)
+    if boosted:
+        learner = GBTClassifier(featuresCol="f", labelCol="y", maxIter=trees, maxDepth=3, seed=seed)
+        if rows.select("y").distinct().limit(3).count() > 2:
+            learner = OneVsRest(classifier=learner, featuresCol="f", labelCol="y")
     for t in range(times):
-        point = tables.hash_point(F.col("id"), seed + t)
+        point = tables.hash_point(F.col("id"), seed=seed + t)
         chosen = UnivariateFeatureSelector(featuresCol="x", outputCol="f", labelCol="y", selectionMode="percentile").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(keep)
-        model = Pipeline(stages=[chosen, RandomForestClassifier(featuresCol="f", labelCol="y", numTrees=trees, seed=seed)]).fit(rows.where(point < share))
+        model = Pipeline(stages=[chosen, learner]).fit(rows.where(point < share))
         out = model.transform(rows.where(point >= share)).select("id", (F.col("prediction") != F.col("y")).alias("bad"))
         tests = out if tests is None else tests.unionByName(out)
     return tests.groupBy("id").agg(F.count("*").alias("n"), F.count_if("bad").alias("wrong"))
 
 
+def reachability(points: DataFrame, by: Sequence[str], least: int, radius: float = float("inf"), *, most: int = 20_000) -> DataFrame:
+    """by, id, place, core, reach: the order in which density-reachable points (id, vec) of each group are visited (OPTICS).
+
+    reach is null for the first point of an ordering; clusters at a radius are its runs of smaller
+    values. A group is ordered one point after the other in one task; one of more than ``most`` rows
+    is refused.
+    """
+    kinds = dict(points.dtypes)
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        if len(g) > most:
+            raise ValueError(f"a group of more than {most} rows")
+        g = g.sort_values("id")
+        x = np.array(g["vec"].tolist(), float)
+        n = len(x)
+        far = lambda k: np.sqrt(((x - x[k]) ** 2).sum(1))
+        core = np.array([np.partition(far(k), min(least, n) - 1)[min(least, n) - 1] if n >= least else np.inf for k in range(n)])
+        core[core > radius] = np.inf
+        reach, done, order = np.full(n, np.inf), np.zeros(n, bool), []
+        while len(order) < n:
+            k = int(np.argmin(np.where(done, np.inf, reach))) if np.isfinite(np.where(done, np.inf, reach)).any() else int(np.argmin(done))
+            done[k] = True
+            order.append(k)
+            if np.isfinite(core[k]):
+                d = far(k)
+                near = ~done & (d <= radius)
+                reach[near] = np.minimum(reach[near], np.maximum(core[k], d[near]))
+        out = g[[*by, "id"]].iloc[order].assign(place=np.arange(n, dtype=np.int32), core=core[order], reach=reach[order])
+        return out.replace([np.inf], np.nan)
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), f"id {kinds['id']}, place int, core double, reach double"])
+    out = points.select(*by, "id", "vec").groupBy(*by).applyInPandas(run, schema)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("core", "reach")})
+
+
+def ordered_clusters(order: DataFrame, by: Sequence[str], radius: float) -> DataFrame:
+    """order with cluster: runs of points whose reach is within the radius (a run's first point is the core before it); noise is -1."""
+    w = tables.Window.partitionBy(*by).orderBy("place")
+    starts = (F.coalesce(F.col("reach"), F.lit(float("inf"))) > radius) & (F.coalesce(F.col("core"), F.lit(float("inf"))) <= radius)
+    noise = (F.coalesce(F.col("reach"), F.lit(float("inf"))) > radius) & (F.coalesce(F.col("core"), F.lit(float("inf"))) > radius)
+    run = F.sum(starts.cast("int")).over(w.rowsBetween(tables.Window.unboundedPreceding, 0)) - 1
+    return order.withColumn("cluster", F.when(noise, -1).otherwise(run).cast("int"))
+
+
+def closest_to_prototypes(points: DataFrame, prototypes: DataFrame, n: int) -> DataFrame:
+    """cluster, rank, id, prototype: n rows nearest to each cluster's prototypes (cluster, prototype, vec), in turns, no row twice.
+
+    A prototype's k-th turn takes its nearest row that isn't nearer to an earlier turn's: every row
+    goes to its nearest prototype of the cluster (ties by number), whose rows are then dealt by rank.
+    """
+    from .nearest import euclidean
+
+    pairs = points.select("cluster", "id", "vec").join(prototypes.select("cluster", "prototype", F.col("vec").alias("_c")), "cluster")
+    near = pairs.withColumn("dist", euclidean(F.col("vec"), F.col("_c"))).groupBy("cluster", "id").agg(F.min(F.struct("dist", "prototype")).alias("m"))
+    turn = F.row_number().over(tables.Window.partitionBy("cluster", "m.prototype").orderBy("m.dist", "id"))
+    ranked = near.select("cluster", "id", F.col("m.prototype").alias("prototype"), turn.alias("turn")).where(F.col("turn") <= n)
+    rank = F.row_number().over(tables.Window.partitionBy("cluster").orderBy("turn", "prototype"))
+    return ranked.withColumn("rank", rank).where(F.col("rank") <= n).select("cluster", "rank", "id", "prototype")
+
+
 def closest_examples(assigned: DataFrame, n: int) -> DataFrame:
     """The n rows nearest to each code (id, code, dist), ties by id; codes in order claim no row twice as a row has one code."""
     return assigned.withColumn("rank", F.row_number().over(tables.Window.partitionBy("code").orderBy("dist", "id"))).where(F.col("rank") <= n)
 
 
 def explained(points: DataFrame, share: float = 0.99) -> DataFrame:
-    """One row: the number of principal components whose variance first exceeds the share of all."""
-    from .clustering import long
-
-    x = long(points)
-    mean = x.groupBy("dim").agg(F.avg("v").alias("m"))
-    c = x.join(F.broadcast(mean), "dim").withColumn("v", F.col("v") - F.col("m")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("r"))
-    cells = c.select(F.posexplode(F.transform("r", lambda e: e["v"])).alias("i", "a"), "r").select("i", "a", F.posexplode(F.transform("r", lambda e: e["v"])).alias("j", "b"))
-    cov = cells.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s")).toPandas()
-    d = int(cov["i"].max()) + 1
-    m = np.zeros((d, d))
-    m[cov["i"], cov["j"]] = cov["s"]
-    value = np.sort(np.linalg.eigvalsh(m))[::-1]
+    """One row: the number of principal components whose variance first exceeds the share of all.
+
+    Sums and products of dimensions are added up per task in one pass (dims squared numbers a task).
+    """
+    dims = points.select(F.size("vec").alias("d")).agg(F.max("d")).first()[0] or 0
+
+    def run(batches):
+        n, total, square = 0, np.zeros(dims), np.zeros((dims, dims))
+        for pdf in batches:
+            if len(pdf):
+                x = np.array(pdf["vec"].tolist(), float)
+                n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
+        if n:
+            yield pd.DataFrame({"k": np.arange(dims + 1), "row": [*square.tolist(), [*total.tolist(), float(n)]]})
+
+    parts = points.select("vec").mapInPandas(run, "k int, row array<double>").select("k", F.posexplode("row").alias("j", "v"))
+    cells = parts.groupBy("k", "j").agg(F.sum("v").alias("v")).toPandas()
+    m = np.zeros((dims + 1, dims + 1))
+    m[cells["k"], cells["j"]] = cells["v"]
+    n, total = m[dims, dims], m[dims, :dims]
+    value = np.sort(np.linalg.eigvalsh(m[:dims, :dims] - np.outer(total, total) / n))[::-1]
     return points.sparkSession.range(1).select(F.lit(int(np.argmax(np.cumsum(value) / value.sum() > share)) + 1).alias("components"))
 
 

@@ -6,13 +6,18 @@ tiles (neighbours, overlaps, labels) is a join or a grouped aggregate.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import boxes
+
 CELL = "struct<h:int,w:int,data:binary>"
 
 
@@ -44,26 +49,35 @@ def fill(shape: tuple[int, int], points: np.ndarray) -> np.ndarray:
     return out
 
 
-def rasterise(objects: DataFrame, keys: Sequence[str], values: dict[str, int]) -> DataFrame:
+def rasterise(objects: DataFrame, keys: Sequence[str], values: dict[str, int], order: Sequence[str] | None = None) -> DataFrame:
     """keys and mask of each box (x, y, w, h) with its objects (points, label), painted by area, large ones first.
 
-    One row of input per pair of box and object (from a spatial join): a box's objects are one group.
+    order: labels from the bottom to the top, which then goes before the area. Objects whose label
+    has no value are left out. One row of input per pair of box and object (from a spatial join): a
+    box's objects are one group.
     """
     kinds = dict(objects.dtypes)
+    boxed = objects.groupBy(*keys).agg(*(F.first(c).alias(f"_{c}") for c in "xywh"), F.collect_list(F.struct("label", "points")).alias("_all"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        first = g.iloc[0]
-        mask = np.zeros((first["h"], first["w"]), np.uint8)
+    def paint(x: int, y: int, w: int, h: int, all_) -> np.ndarray:
+        mask = np.zeros((h, w), np.uint8)
         shapes = []
-        for pts, label in zip(g["points"], g["label"], strict=True):
-            xy = np.array([[p["x"] - first["x"], p["y"] - first["y"]] for p in pts], float)
-            size = abs((xy[:, 0] * np.roll(xy[:, 1], -1) - np.roll(xy[:, 0], -1) * xy[:, 1]).sum())
-            shapes.append((-size, label, xy))
-        for _, label, xy in sorted(shapes, key=lambda s: (s[0], s[1])):
+        for o in all_:
+            if o["label"] in values:
+                xy = np.array([(p["x"] - x, p["y"] - y) for p in o["points"]], float)
+                size = abs((xy[:, 0] * np.roll(xy[:, 1], -1) - np.roll(xy[:, 0], -1) * xy[:, 1]).sum())
+                shapes.append((order.index(o["label"]) if order else 0, -size, o["label"], xy))
+        for _, _, label, xy in sorted(shapes, key=lambda s: s[:3]):
             mask[fill(mask.shape, xy)] = values[label]
-        return pd.DataFrame({**{k: [first[k]] for k in keys}, "mask": [pack(mask)]})
+        return mask
+
+    def run(batches):
+        for batch in batches:
+            boxes_ = zip(*(batch.column(f"_{c}").to_pylist() for c in "xywh"), batch.column("_all").to_pylist(), strict=True)
+            cells = pa.array([pack(paint(*b)) for b in boxes_], pa.struct([("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), cells], [*keys, "mask"])
 
-    return objects.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"]))
+    return boxed.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"]))
 
 
 def _boundary(mask: np.ndarray, start: tuple[int, int]) -> list[tuple[int, int]]:
@@ -88,15 +102,34 @@ def _boundary(mask: np.ndarray, start: tuple[int, int]) -> list[tuple[int, int]]
 
 
 def label_components(mask: np.ndarray) -> np.ndarray:
-    """Eight-connected components numbered from 1, by falling labels along rows and columns."""
-    lab = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        pad = np.pad(lab, 1)
-        near = [pad[1 + dy : pad.shape[0] - 1 + dy, 1 + dx : pad.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-        new = np.where(mask, np.max(near, axis=0), 0)
-        if (new == lab).all():
-            return np.unique(lab, return_inverse=True)[1].reshape(mask.shape) + (0 if (lab == 0).any() else 1)
-        lab = new
+    """Eight-connected components numbered from 1 in scan order: runs of each row, joined with those that they touch in the row above."""
+    mask = np.asarray(mask, bool)
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    up = list(range(len(row)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    first = np.searchsorted(row, np.arange(mask.shape[0] + 1))
+    for y in range(1, mask.shape[0]):
+        i, j = first[y - 1], first[y]
+        while i < first[y] and j < first[y + 1]:
+            if start[i] <= end[j] and start[j] <= end[i]:
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+            if end[i] < end[j]:
+                i += 1
+            else:
+                j += 1
+    number = np.unique([top(k) for k in range(len(row))], return_inverse=True)[1] + 1 if len(row) else np.zeros(0, int)
+    out = np.zeros(mask.shape, int)
+    out[mask] = np.repeat(number, end - start)
+    return out
 
 
 def contours(masks: DataFrame, keys: Sequence[str], intervals: dict[str, tuple[int, int]], least: int = 3) -> DataFrame:
@@ -156,6 +189,177 @@ def tissue_tiles(tiles: DataFrame, image: str = "image") -> DataFrame:
     return tiles.withColumn("tissue", test(F.col(image)))
 
 
+def overlap_add(pixels: DataFrame, keys: Sequence[str], size: int, subdivisions: int = 2) -> DataFrame:
+    """keys, x, y, value: patches (px, py: pixel in the patch; x0, y0: the patch's corner; value) added up under a squared-spline window."""
+    weight = boxes.spline_weight(F.col("px"), size) * boxes.spline_weight(F.col("py"), size)
+    at = pixels.select(*keys, (F.col("x0") + F.col("px")).alias("x"), (F.col("y0") + F.col("py")).alias("y"), (F.col("value") * weight).alias("v"))
+    return at.groupBy(*keys, "x", "y").agg((F.sum("v") / float(subdivisions**2)).alias("value"))
+
+
+def _per_mask(masks: DataFrame, keys: Sequence[str], fn, *columns: str) -> DataFrame:
+    """keys, mask: fn(mask, *columns) of every row."""
+    kinds = dict(masks.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            done = [pack(fn(unpack(m), *rest)) for m, *rest in zip(pdf["mask"], *(pdf[c] for c in columns), strict=True)]
+            yield pdf[list(keys)].assign(mask=done)
+
+    return masks.select(*dict.fromkeys([*keys, "mask", *columns])).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"]))
+
+
+def union_masks(masks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys and mask: 255 where any mask of a group (all of one size) isn't 0; a group's masks are few."""
+    grouped = masks.groupBy(*keys).agg(F.collect_list("mask").alias("mask"))
+    kinds = dict(masks.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[list(keys)].assign(mask=[pack(np.where(np.logical_or.reduce([unpack(m) > 0 for m in all_]), 255, 0)) for all_ in pdf["mask"]])
+
+    return grouped.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"]))
+
+
+def mark_points(masks: DataFrame, keys: Sequence[str], value: int = 50, radius: int = 0) -> DataFrame:
+    """keys and mask with a filled circle at each row's point (px, py, in the mask's pixels).
+
+    Without a radius it is a tenth of the square root of the mask's area, at least 1.
+    """
+
+    def mark(mask: np.ndarray, px: int, py: int) -> np.ndarray:
+        h, w = mask.shape[:2]
+        r = max(1, radius or int(np.sqrt(h * w) / 10))
+        y, x = np.ogrid[:h, :w]
+        out = mask.copy()
+        out[(x - px) ** 2 + (y - py) ** 2 <= r * r] = value
+        return out
+
+    return _per_mask(masks, keys, mark, "px", "py")
+
+
+def smooth(mask: np.ndarray, sigma: float) -> np.ndarray:
+    """Pixels whose Gaussian mean over the mask (0 outside) exceeds a half."""
+    if sigma <= 0:
+        return mask
+    k = np.arange(-int(4 * sigma + 0.5), int(4 * sigma + 0.5) + 1)
+    g = np.exp(-(k**2) / (2 * sigma * sigma))
+    g /= g.sum()
+    out = mask.astype(float)
+    for axis in (0, 1):
+        out = np.apply_along_axis(lambda v: np.convolve(v, g)[len(k) // 2 : len(k) // 2 + len(v)], axis, out)
+    return out > 0.5
+
+
+def smooth_labels(masks: DataFrame, keys: Sequence[str], values: dict[str, int], sigma: float) -> DataFrame:
+    """keys and mask: every label's pixels smoothed on their own, later labels over earlier ones."""
+
+    def run(mask: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(mask)
+        for v in values.values():
+            out[smooth(mask == v, sigma)] = v
+        return out
+
+    return _per_mask(masks, keys, run)
+
+
+def region_masks(objects: DataFrame, tiles: DataFrame, on: Sequence[str], values: dict[str, int], *, cell: int, sigma: float = 0.0) -> DataFrame:
+    """on, x, y and mask of every tile (x, y, w, h) that objects (x, y, w, h, label, points) meet, painted in the order of values and smoothed per label."""
+    from .spatial import box_join
+
+    pairs = box_join(tiles, objects, on, cell)
+    rows = pairs.select(*(F.col(f"l.{c}").alias(c) for c in [*on, "x", "y", "w", "h"]), F.col("r.label").alias("label"), F.col("r.points").alias("points"))
+    masks = rasterise(rows, [*on, "x", "y"], values, list(values))
+    return smooth_labels(masks, [*on, "x", "y"], values, sigma) if sigma else masks
+
+
+def instance_masks(pairs: DataFrame, values: dict[str, int]) -> DataFrame:
+    """parent and mask of each outer object with its children painted in, in the order of values.
+
+    pairs: structs l (the parent) and r (a child), each with obj_id, x, y, w, h, label, points (see
+    ``spatial.parents``; the child's points must be whole). The parent is painted first.
+    """
+    box = [F.col(f"l.{c}").alias(c) for c in "xywh"]
+    child = pairs.select(F.col("l.obj_id").alias("parent"), *box, F.col("r.label").alias("label"), F.col("r.points").alias("points"))
+    own = pairs.select(F.col("l.obj_id").alias("parent"), *box, F.lit("").alias("label"), F.col("l.points").alias("points"), F.col("l.label").alias("_of")).dropDuplicates(["parent"])
+    own = own.withColumn("label", F.concat(F.lit("parent:"), "_of")).drop("_of")
+    all_ = {f"parent:{k}": v for k, v in values.items()} | values
+    return rasterise(child.unionByName(own), ["parent"], all_, list(all_))
+
+
+def png(a: np.ndarray) -> bytes:
+    """A uint8 image, grey or RGB, as a PNG file."""
+    rows = np.ascontiguousarray(a, np.uint8).reshape(a.shape[0], -1)
+    raw = np.hstack([np.zeros((len(rows), 1), np.uint8), rows]).tobytes()
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2 if a.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw)) + part(b"IEND", b"")
+
+
+def from_png(data: bytes) -> np.ndarray:
+    """The image of a file that ``png`` made."""
+    w, h, _, kind = struct.unpack(">IIBB", data[16:26])
+    n = struct.unpack(">I", data[33:37])[0]
+    rows = np.frombuffer(zlib.decompress(data[41 : 41 + n]), np.uint8).reshape(h, -1)[:, 1:]
+    return rows.reshape((h, w, 3) if kind == 2 else (h, w))
+
+
+def png_column(cells: Column) -> Column:
+    """Masks or tiles as PNG files in a binary column."""
+
+    @F.pandas_udf("binary")
+    def run(v: pd.DataFrame) -> pd.Series:
+        return pd.Series([png(unpack(c)) for c in v.to_dict("records")])
+
+    return run(cells)
+
+
+def png_cells(files: Column) -> Column:
+    """Their inverse."""
+
+    @F.pandas_udf(CELL)
+    def run(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([pack(from_png(bytes(d))) for d in v])
+
+    return run(files)
+
+
+def write_tiles(tiles: DataFrame, path: str, by: Sequence[str], image: str = "mask") -> None:
+    """Tiles with their image as a PNG in a binary column, in folders by the given keys."""
+    tiles.withColumn(image, png_column(F.col(image))).write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def value_counts(tiles: DataFrame, keys: Sequence[str], image: str = "mask") -> DataFrame:
+    """keys, value, n: pixels of each value in every tile."""
+    kinds = dict(tiles.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            found = [np.unique(unpack(c), return_counts=True) for c in pdf[image]]
+            at = np.repeat(np.arange(len(pdf)), [len(v) for v, _ in found])
+            values = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1)]
+            yield pdf[list(keys)].iloc[at].assign(value=values[0].astype(np.int32), n=values[1].astype(np.int64))
+
+    return tiles.select(*keys, image).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "value int, n long"]))
+
+
+def pixels(tiles: DataFrame, keys: Sequence[str], image: str = "mask") -> DataFrame:
+    """keys, px, py, value of every pixel of grey tiles."""
+    cell = F.col(image)
+    byte = F.posexplode(F.transform(F.sequence(F.lit(1), cell["h"] * cell["w"]), lambda k: F.conv(F.hex(F.substring(cell["data"], k, F.lit(1))), 16, 10).cast("int"))).alias("_k", "value")
+    rows = tiles.select(*keys, cell["w"].alias("_w"), byte)
+    return rows.select(*keys, (F.col("_k") % F.col("_w")).alias("px"), F.floor(F.col("_k") / F.col("_w")).cast("int").alias("py"), "value")
+
+
+def blurred(_tile: Column) -> Column:
+    """No tile counts as blurred: a placeholder to be replaced by a test on ``tiles.sharpness``."""
+    return F.lit(False)
+
+
+def folded(_tile: Column) -> Column:
+    """No tile counts as folded."""
+    return F.lit(False)
+
+
 def blend(a: DataFrame, b: DataFrame, keys: Sequence[str], overlap: float = 0.5) -> DataFrame:
     """Pixelwise weighted mean of two pixel tables (keys, x, y, w, h, value): a's weight falls towards its borders, b has the rest."""
     pairs = a.join(b.select(*keys, "x", "y", F.col("value").alias("other")), [*keys, "x", "y"])
@@ -187,6 +391,11 @@ def image_scores(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "mse double, psnr double, ssim double"]))
 
 
+def one_hot(value: Column, intervals: dict[str, tuple[int, int]]) -> Column:
+    """A 0 or 1 per label: whether its closed interval holds the value."""
+    return F.array(*[value.between(lo, hi).cast("int") for lo, hi in intervals.values()])
+
+
 def label_of(value: Column, intervals: dict[str, tuple[int, int]]) -> Column:
     """The label whose closed interval holds the value; two of them raise an error; none gives null."""
     hits = F.filter(F.array(*[F.when(value.between(lo, hi), name) for name, (lo, hi) in intervals.items()]), lambda v: v.isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -103,37 +104,42 @@ def slices(df: DataFrame, by: Sequence[str], order: Sequence[Column], parts: int
 
 def folds(df: DataFrame, strata: Sequence[str], key: str, parts: int, seed: int | None = None) -> DataFrame:
     """fold 0..parts-1, evenly within each stratum; in key order, or in hash order with a seed."""
-    order = [F.col(key)] if seed is None else [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    order = [F.col(key)] if seed is None else [hash_text(F.col(key), seed=seed), F.col(key)]
     return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1, F.lit(parts)).cast("int"))
 
 
-def hash_point(key: Column, seed: int) -> Column:
-    """A fixed random-looking number in [0, 1) for a key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def hash_text(*keys: Column, seed: int = 0) -> Column:
+    """A fixed random-looking text for keys; any engine with md5 gives the same."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)).cast("binary"))
+
+
+def hash_point(*keys: Column, seed: int = 0) -> Column:
+    """The same as a number in [0, 1)."""
+    return F.conv(F.substring(hash_text(*keys, seed=seed), 1, 10), 16, 10).cast("long") / F.lit(float(1 << 40))
 
 
 def train_test(df: DataFrame, strata: Sequence[str], key: str, test: float, seed: int = 0) -> DataFrame:
     """phase: train or test, by key (all its rows alike), ``test`` of each stratum's keys to the nearest."""
     keys = df.select(*strata, key).distinct()
     w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
+    rank = F.row_number().over(w.orderBy(hash_text(F.col(key), seed=seed), F.col(key)))
     phase = F.when(rank <= F.round(F.count("*").over(w) * F.lit(test)), "test").otherwise("train")
     return df.join(keys.withColumn("phase", phase), [*strata, key])
 
 
 def sample_each(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int = 0) -> DataFrame:
     """At most n rows of each group, in hash order of the key (the same ones at every run)."""
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(hash_text(F.col(key), seed=seed), F.col(key)))
     return df.withColumn("_k", rank).where(F.col("_k") <= n).drop("_k")
 
 
 def sample_share(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
-    return df.where(hash_point(F.col(key), seed) < share)
+    return df.where(hash_point(F.col(key), seed=seed) < share)
 
 
 def sample_weighted(df: DataFrame, by: Sequence[str], key: str, weight: str, n: int, seed: int = 0) -> DataFrame:
     """n rows of each group without replacement, by weight (exponential race on hashed keys)."""
-    race = -F.ln(hash_point(F.col(key), seed) + F.lit(2.0**-41)) / F.col(weight)
+    race = -F.ln(hash_point(F.col(key), seed=seed) + F.lit(2.0**-41)) / F.col(weight)
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(race, F.col(key)))
     return df.where(F.col(weight) > 0).withColumn("_k", rank).where(F.col("_k") <= n).drop("_k")
 
@@ -141,13 +147,112 @@ def sample_weighted(df: DataFrame, by: Sequence[str], key: str, weight: str, n:
 def resample(df: DataFrame, key: str, times: int, share: float, seed: int = 0) -> DataFrame:
     """``times`` samples of ``share`` of the rows without replacement, numbered by ``draw``."""
     draws = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    return draws.where(F.pmod(F.xxhash64(F.col(key), F.col("draw"), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40)) < share)
+    return draws.where(hash_point(F.col(key), F.col("draw"), seed=seed) < share)
+
+
+def bootstrap(df: DataFrame, key: str, times: int, rate: float = 1.0, seed: int = 0) -> DataFrame:
+    """``times`` samples with replacement, numbered by ``draw``: each row as often as a Poisson number of mean ``rate`` says.
+
+    The sum of such numbers is the row count but for its root, and no row needs to know of others.
+    """
+    draws = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    point = hash_point(F.col(key), F.col("draw"), seed=seed)
+    rises, term, total = [], math.exp(-rate), 0.0
+    for k in range(1, 33):
+        total += term
+        rises.append((point >= total).cast("int"))
+        term *= rate / k
+    copies = draws.withColumn("_n", reduce(lambda a, b: a + b, rises)).where("_n > 0")
+    return copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
+
+
+def repeated_splits(df: DataFrame, strata: Sequence[str], key: str, test: float, times: int, seed: int = 0) -> DataFrame:
+    """draw 0..times-1, and phase: ``times`` independent train and test splits by key, stratified."""
+    draws = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    keys = draws.select("draw", *strata, key).distinct()
+    w = Window.partitionBy("draw", *strata)
+    rank = F.row_number().over(w.orderBy(hash_text(F.col(key), F.col("draw"), seed=seed), F.col(key)))
+    phase = F.when(rank <= F.round(F.count("*").over(w) * F.lit(test)), "test").otherwise("train")
+    return draws.join(keys.withColumn("phase", phase), ["draw", *strata, key])
+
+
+def class_weights(df: DataFrame, label: str, inverse: bool = False) -> DataFrame:
+    """df with weight: a positive row has the share of negatives (or one over the share of positives), a negative one the rest of 1."""
+    rate = df.agg(F.avg(F.col(label).cast("double")).alias("_rate"))
+    positive, negative = (1 / F.col("_rate"), 1 - F.col("_rate")) if inverse else (1 - F.col("_rate"), F.col("_rate"))
+    return df.crossJoin(F.broadcast(rate)).withColumn("weight", F.when(F.col(label), positive).otherwise(negative)).drop("_rate")
+
+
+def sub_boxes(tiles: DataFrame, by: Sequence[str], key: str, *, side: float, tile: int, most: int, budget: float, tries: int = 64, seed: int = 0) -> DataFrame:
+    """by, try, x, y, w, h, covered: boxes at random tiles (x, y) of each group until ``budget`` pixels or ``most`` boxes are taken.
+
+    Try k puts a box of about side x side (10 % off square, up to twice as large) at the k-th tile in
+    hash order and takes it if it covers 0.99 ** k of side squared in tiles.
+    """
+    w = Window.partitionBy(*by)
+    ranked = tiles.withColumn("try", F.row_number().over(w.orderBy(hash_text(F.col(key), seed=seed), F.col(key))) - 1).where(F.col("try") < tries)
+    skew, grow = hash_point(F.col(key), seed=seed + 1), 1 + hash_point(F.col(key), seed=seed + 2)
+    wide = side * (0.9 + 0.2 * skew)
+    boxes = ranked.select(*by, "try", "x", "y", (wide * grow).alias("w"), (side * side / wide * grow).alias("h"))
+    own = tiles.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    inside = F.col("_x").between(F.col("x"), F.col("x") + F.col("w")) & F.col("_y").between(F.col("y"), F.col("y") + F.col("h"))
+    met = boxes.join(own, [*(F.col(c) == F.col(f"_{c}") for c in by), inside]).groupBy(*by, "try", "x", "y", "w", "h").agg((F.count("*") * tile * tile).alias("covered"))
+    good = met.where(F.col("covered") >= side * side * F.pow(F.lit(0.99), F.col("try")))
+    order = w.orderBy("try")
+    before = F.coalesce(F.sum("covered").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return good.withColumn("_before", before).withColumn("_k", F.row_number().over(order)).where((F.col("_before") < budget) & (F.col("_k") <= most)).drop("_before", "_k")
+
+
+def run_statistics(results: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Mean and population deviation of each metric over a group's runs."""
+    return results.groupBy(*by).agg(*(f(m).alias(f"{m}_{name}") for m in metrics for name, f in (("mean", F.avg), ("std", F.stddev_pop))))
+
+
+def breakdown(df: DataFrame, reason: str, metrics: Sequence[str]) -> DataFrame:
+    """code, n and the mean of each metric by the digit that the reason starts with; -1 for none."""
+    code = F.coalesce(F.substring(F.col(reason).cast("string"), 1, 1).try_cast("int"), F.lit(-1))
+    return df.groupBy(code.alias("code")).agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in metrics))
+
+
+def lookup(rows: DataFrame, reference: DataFrame, on: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """rows with the columns of the first matching row of the reference (in the given order); absent without one."""
+    return rows.join(first_row(reference, on, order), list(on))
+
+
+def beside(frames: Mapping[str, DataFrame], on: Sequence[str]) -> DataFrame:
+    """Tables next to each other by key, every key of any of them; columns are named table_column."""
+    named = [df.select(*on, *(F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in on)) for name, df in frames.items()]
+    return reduce(lambda a, b: a.join(b, list(on), "full"), named)
+
+
+def prefix_groups(names: Sequence[str]) -> dict[str, str]:
+    """Name → the shortest name that it starts with (itself, if no other)."""
+    return {n: min((p for p in names if n.startswith(p)), key=len) for n in names}
+
+
+def grouped_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Long form (keys, title, name, value) of metric columns, those that share a start under one title."""
+    names = [c for c in df.columns if c not in keys]
+    titles = F.create_map(*[F.lit(v) for pair in prefix_groups(names).items() for v in pair])
+    long = df.select(*keys, *(F.col(c).cast("double").alias(c) for c in names)).unpivot(list(keys), names, "name", "value")
+    return long.select(*keys, titles[F.col("name")].alias("title"), "name", "value")
+
+
+def keep_large(df: DataFrame, by: Sequence[str], more_than: int) -> DataFrame:
+    """Rows of groups with more than so many rows."""
+    large = df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).drop("_n")
+    return df.join(large, list(by), "left_semi")
+
+
+def with_label(df: DataFrame, labels: DataFrame, on: Sequence[str], label: str, value) -> DataFrame:
+    """Rows whose key has the label value in the label table."""
+    return df.join(labels.where(F.col(label) == value), list(on), "left_semi")
 
 
 def balanced(df: DataFrame, stratum: str, key: str, wanted: Mapping[str, float], total: int, seed: int = 0) -> DataFrame:
     """About ``total`` rows with the wanted share of each stratum: its quota in hash order, as far as it has rows."""
     quota = F.create_map(*[F.lit(v) for s, w in wanted.items() for v in (s, round(total * w / sum(wanted.values())))])
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_text(F.col(key), seed=seed), F.col(key)))
     return df.where(F.col(stratum).isin(list(wanted))).withColumn("_k", rank).where(F.col("_k") <= quota[F.col(stratum)]).drop("_k")
 
 

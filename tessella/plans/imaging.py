@@ -122,7 +122,15 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _I = f"{BOXES_SQL}, it AS (SELECT CAST(slide_id AS VARCHAR) AS slide_id, label AS layer, obj_id AS id, x, y, w, h FROM boxes)"
+_GREY = "list_transform(embedding, lambda v: greatest(0, least(255, trunc((CAST(v AS DOUBLE) + 1) * 127.5::DOUBLE))))"
 ORACLE_SQL = {
+    "annotation_shrink": f"""WITH {BOXES_SQL}, r AS (SELECT slide_id, x + 50 AS cx, y + 50 AS cy, 20.0::DOUBLE + obj_id % 10 AS r FROM boxes),
+ b AS (SELECT slide_id, list_transform(range(0, 24), lambda k: cx + r * cos(k * (2 * pi() / 24))) AS px, list_transform(range(0, 24), lambda k: cy + r * sin(k * (2 * pi() / 24))) AS py FROM r),
+ s AS (SELECT slide_id, trunc(list_max(px) - list_min(px) + 1) AS w, trunc(list_max(py) - list_min(py) + 1) AS h FROM b)
+SELECT CAST(slide_id AS VARCHAR) AS slide_id, count(*) AS n, CAST(sum(CASE WHEN 6 / sqrt(w * h) < 0.1::DOUBLE THEN 24 ELSE 12 END) AS BIGINT) AS points FROM s GROUP BY slide_id""",
+    "image_scores": f"""WITH g AS (SELECT vec_id AS id, {_GREY} AS g FROM embeddings), p AS (SELECT a.id, unnest(a.g) AS p, unnest(b.g) AS q FROM g a JOIN g b ON b.id = a.id + 1),
+ m AS (SELECT id, avg((p - q) * (p - q)) AS mse, avg(p) AS mp, avg(q) AS mq, var_pop(p) AS vp, var_pop(q) AS vq, covar_pop(p, q) AS c FROM p GROUP BY id)
+SELECT id, round(mse, 4) AS mse, round(CASE WHEN mse > 0 THEN 10 * log10(65025 / mse) END, 4) AS psnr, round((2 * mp * mq + 6.5025::DOUBLE) * (2 * c + 58.5225::DOUBLE) / ((mp * mp + mq * mq + 6.5025::DOUBLE) * (vp + vq + 58.5225::DOUBLE)), 6) AS ssim FROM m""",
     "annotation_round_trip": f"WITH {_I} SELECT slide_id, layer, count(*) AS n, CAST(sum(w * h) AS BIGINT) AS area FROM it GROUP BY ALL",
     "annotation_split_merge": f"WITH {_I}, p AS (SELECT slide_id, layer, ntile(4) OVER (PARTITION BY slide_id, layer ORDER BY id) - 1 AS part, count(*) OVER (PARTITION BY slide_id, layer) AS c FROM it), q AS (SELECT slide_id, layer, unnest(CASE WHEN c < 5 THEN [0, 1, 2, 3] ELSE [part] END) AS part FROM p) SELECT slide_id, layer, CAST(part AS INT) AS part, count(*) AS n FROM q GROUP BY ALL",
     "annotation_concat": f"WITH {_I}, c AS (SELECT slide_id, layer, count(*) FILTER (id % 2 = 0) AS a, count(*) FILTER (id % 2 = 1) AS b FROM it GROUP BY ALL) SELECT slide_id, layer, a AS n, CAST(a - 1 AS INT) AS last FROM c WHERE a > 0 UNION ALL SELECT slide_id, CASE WHEN a > 0 THEN layer || '_b' ELSE layer END, b, CAST(b - 1 AS INT) FROM c WHERE b > 0",

@@ -48,7 +48,7 @@ def ari_contingency(spark, root):
     v = vectors(spark, root)
     near = nearest.nearest_code(v, _codebook(v)).select("id", F.col("code").cast("int").alias("k"))
     t = clustering.contingency(v.select("id", F.col("label").alias("k")), near)
-    return clustering.rand_index(t).crossJoin(clustering.mutual_information(t)).select(*[F.round(c, 6).alias(c) for c in ("ari", "mi", "nmi")])
+    return clustering.rand_index(t).crossJoin(clustering.mutual_information(t)).select(*[F.round(c, 6).alias(c) for c in ("ari", "mi", "nmi", "ami")])
 
 
 def cluster_spread(spark, root):
@@ -143,8 +143,10 @@ SELECT slide_id, count(*) FILTER (d <= 7.6::DOUBLE) AS covered, count(*) AS n FR
 SELECT a.slide_id, CAST(least(floor(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / 1000), 99) AS INT) AS bin, count(*) AS n FROM c a JOIN c b ON a.slide_id = b.slide_id GROUP BY ALL""",
     "ari_contingency": f"""WITH {_V}, {_NEAR}, t AS (SELECT label AS ka, code AS kb, CAST(count(*) AS DOUBLE) AS n FROM near JOIN v USING (id) GROUP BY ALL), r AS (SELECT ka, sum(n) AS m FROM t GROUP BY ka), c AS (SELECT kb, sum(n) AS m FROM t GROUP BY kb),
  x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS c, (SELECT sum(m * (m - 1) / 2) FROM r) AS a, (SELECT sum(m * (m - 1) / 2) FROM c) AS b, (SELECT sum(n) FROM t) AS n),
+ z AS (SELECT r.m AS a, c.m AS b, x.n AS n, unnest(range(CAST(greatest(1, r.m + c.m - x.n) AS BIGINT), CAST(least(r.m, c.m) AS BIGINT) + 1)) AS k FROM r, c, x),
+ em AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(n - a + 1) + lgamma(n - b + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(n - a - b + k + 1))) AS emi FROM z),
  y AS (SELECT sum(t.n / x.n * ln(t.n * x.n / (r.m * c.m))) AS mi FROM t JOIN r USING (ka) JOIN c USING (kb), x), h AS (SELECT (SELECT -sum(m / n * ln(m / n)) FROM r, x) AS hr, (SELECT -sum(m / n * ln(m / n)) FROM c, x) AS hc)
-SELECT round((c - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) AS ari, round(mi, 6) AS mi, round(2 * mi / (hr + hc), 6) AS nmi FROM x, y, h""",
+SELECT round((c - a * b / (n * (n - 1) / 2)) / ((a + b) / 2 - a * b / (n * (n - 1) / 2)), 6) AS ari, round(mi, 6) AS mi, round(2 * mi / (hr + hc), 6) AS nmi, round((mi - emi) / ((hr + hc) / 2 - emi), 6) AS ami FROM x, y, h, em""",
     "cluster_spread": f"""WITH {_V}, x AS (SELECT id, label, unnest(range(0, 64)) AS dim, unnest(vec) AS v FROM v), c AS (SELECT label, dim, avg(v) AS c, count(*) AS n FROM x GROUP BY ALL), m AS (SELECT dim, avg(v) AS m FROM x GROUP BY dim),
  bt AS (SELECT sum(n * (c - m) * (c - m)) AS b FROM c JOIN m USING (dim)), d AS (SELECT label, id, sum((v - c) * (v - c)) AS d2 FROM x JOIN c USING (label, dim) GROUP BY ALL), s AS (SELECT label, avg(sqrt(d2)) AS s, sum(d2) AS wi, count(*) AS n FROM d GROUP BY label),
  g AS (SELECT a.label AS p, b.label AS q, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS gap FROM c a JOIN c b ON a.dim = b.dim AND a.label <> b.label GROUP BY ALL), r AS (SELECT p, max((s1.s + s2.s) / gap) AS r FROM g JOIN s s1 ON s1.label = p JOIN s s2 ON s2.label = q GROUP BY p)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, nearest, tables, tiles
+from ..operators import clustering, experiment, models, nearest, tables, tiles
 from ..session import table
 from .projections import BOXES_SQL, boxes, vectors
 
@@ -78,10 +78,66 @@ def sampled_neighbours(spark, root):
     return models.closest_examples(near, 3).select("code", "rank", "id")
 
 
-QUERIES = {f.__name__: f for f in (isolation_scores, density_clusters, spectral_clusters, class_auc, explained_components, tile_cuts, region_tiles, grown_boxes, id_equivalence, hard_examples, mean_of_copies, sampled_neighbours)}
+def misclassified(spark, root):
+    """Vectors of two classes: how often each was tested, and misclassified by boosted trees, over two splits."""
+    v = vectors(spark, root).where("label < 2")
+    return models.hard_to_tell(v, "label", times=2, trees=3, boosted=True).select("id", "n", "wrong")
+
+
+def independent_components(spark, root):
+    """The spread of three independent components of the vectors."""
+    c = models.independent(vectors(spark, root), 3, rounds=50).select("id", F.posexplode("components").alias("k", "v"))
+    return c.groupBy("k").agg(F.count("*").alias("n"), F.round(F.var_pop("v"), 4).alias("variance"))
+
+
+def inlier_vectors(spark, root):
+    return models.inliers(vectors(spark, root), 0.5, trees=20).select("id")
+
+
+def reach_order(spark, root):
+    """Vectors of each label in the order of density, with the clusters at a radius."""
+    o = models.reachability(vectors(spark, root), ["label"], 5)
+    return models.ordered_clusters(o, ["label"], 1.3).groupBy("label", "cluster").agg(F.count("*").alias("n"))
+
+
+def prototype_examples(spark, root):
+    """Three vectors nearest to each label's first two vectors, in turns."""
+    v = vectors(spark, root)
+    p = v.where("id < 40").select(F.col("label").alias("cluster"), F.col("id").alias("prototype"), "vec")
+    return models.closest_to_prototypes(v.withColumnRenamed("label", "cluster"), p, 3)
+
+
+def experiment_search(spark, root):
+    """K-means after two principal components, for two numbers of clusters, scored by the silhouette."""
+    chain = {
+        "pca": lambda df: clustering.principal(df, 2).withColumnRenamed("components", "vec"),
+        "kmeans": lambda df, k: clustering.kmeans(df, int(k), rounds=3)[1].withColumnRenamed("code", "cluster"),
+    }
+    e = experiment.Experiment(chain, {"silhouette": lambda x, c: clustering.silhouette(x.select("id", "vec"), c)}).read_data(vectors(spark, root).select("id", "vec"))
+    results = e.evaluate({"k": [2.0, 3.0]})
+    best = e.apply({"k": e.select_best(results, "silhouette")["k"]})
+    return best.groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def matched_points(spark, root):
+    """Box corners of each slide matched with the nearest unused corners of others."""
+    b = boxes(spark, root).where("w > 20").select("slide_id", "obj_id", "x", "y")
+    return tiles.matched(b.where("obj_id % 2 = 0"), b.where("obj_id % 2 = 1"), ["slide_id"], 300.0).select("slide_id", "near", "far")
+
+
+QUERIES = {f.__name__: f for f in (misclassified, independent_components, inlier_vectors, reach_order, prototype_examples, experiment_search, matched_points, isolation_scores, density_clusters, spectral_clusters, class_auc, explained_components, tile_cuts, region_tiles, grown_boxes, id_equivalence, hard_examples, mean_of_copies, sampled_neighbours)}
 
 _CUT = "CASE WHEN {0} >= 64 THEN list_transform(range(0, CAST(ceil({0} / 64.0) AS BIGINT)), lambda k: least(k * 64, {0} - 64)) ELSE [CAST(-floor((64 - {0}) / 2.0) AS BIGINT)] END"
+_NEAR = "n AS (SELECT id, other, dist FROM (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS k FROM embeddings a JOIN embeddings b ON TRUE) WHERE k <= 20)"
 ORACLE_SQL = {
+    "prototype_examples": """WITH v AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), d AS (SELECT v.cluster, v.id, p.id AS prototype, list_distance(v.vec, p.vec) AS dist FROM v JOIN v p ON p.cluster = v.cluster AND p.id < 40),
+ m AS (SELECT cluster, id, min(row(dist, prototype)) AS m FROM d GROUP BY ALL), t AS (SELECT cluster, id, m[2] AS prototype, row_number() OVER (PARTITION BY cluster, m[2] ORDER BY m[1], id) AS turn FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY turn, prototype) AS rank FROM t WHERE turn <= 3)
+SELECT cluster, CAST(rank AS INT) AS rank, id, prototype FROM r WHERE rank <= 3""",
+    "density_clusters": f"""WITH RECURSIVE {_NEAR}, near AS MATERIALIZED (SELECT * FROM n WHERE dist <= 1.15::DOUBLE), core AS MATERIALIZED (SELECT id FROM near GROUP BY id HAVING count(*) >= 5),
+ e AS MATERIALIZED (SELECT id AS a, other AS b FROM near SEMI JOIN core USING (id) WHERE other IN (SELECT id FROM core) AND id <> other), twoway AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+ reach AS (SELECT id AS node, id AS other FROM core UNION SELECT r.node, t.b FROM reach r JOIN twoway t ON r.other = t.a), own AS (SELECT node AS id, min(other) AS cluster FROM reach GROUP BY node),
+ edge AS (SELECT near.id, min(cluster) AS cluster FROM near JOIN own ON own.id = near.other WHERE near.id NOT IN (SELECT id FROM core) GROUP BY near.id), both_ AS (SELECT * FROM own UNION ALL SELECT * FROM edge)
+SELECT coalesce(cluster, -1) AS cluster, count(*) AS n FROM embeddings LEFT JOIN both_ ON id = vec_id GROUP BY 1""",
     "class_auc": """WITH v AS (SELECT vec_id, label, unnest(range(0, 10)) AS class, unnest(list_transform(embedding[1:10], lambda x: round(CAST(x AS DOUBLE), 4))) AS score FROM embeddings),
  r AS (SELECT *, label = class AS t, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2 AS k, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS ka FROM v),
  a AS (SELECT class, (sum(k) FILTER (t) - count(*) FILTER (t) * (count(*) FILTER (t) + 1) / 2) / (count(*) FILTER (t) * count(*) FILTER (NOT t)) AS auc FROM r GROUP BY class),

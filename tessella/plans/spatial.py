@@ -158,6 +158,7 @@ _AXES = """(b.{0} BETWEEN a.{0} AND a.{0} + a.{1} OR b.{0} + b.{1} BETWEEN a.{0}
 _REL = f"SELECT a.*, b.obj_id AS other, {_AXES.format('x', 'w', 'x')}, {_AXES.format('y', 'h', 'y')}, a.x + a.w <= b.x AS al, b.x + b.w <= a.x AS bl, a.y + a.h <= b.y AS aa, b.y + b.h <= a.y AS ba, a.w * a.h >= b.w * b.h AS big, a.y <= b.y AS up"
 
 ORACLE_SQL = {
+    "slide_sample": f"WITH {BOXES_SQL}, r AS (SELECT slide_id, obj_id, row_number() OVER (PARTITION BY slide_id ORDER BY md5('0:' || obj_id), obj_id) AS k FROM boxes) SELECT slide_id, obj_id FROM r WHERE k <= 25",
     "box_overlap_summary": f"""WITH {BOXES_SQL}, m AS (SELECT a.slide_id, a.label, count(*) AS meetings FROM boxes a JOIN boxes b ON a.slide_id = b.slide_id AND a.label <> b.label AND {_MEETS} GROUP BY ALL),
  s AS (SELECT slide_id, label, count(*) AS objects, round(CAST(min(w * h) AS DOUBLE), 6) AS area_min, round(CAST(max(w * h) AS DOUBLE), 6) AS area_max, round(avg(w * h), 6) AS area_mean, round(stddev_samp(w * h), 6) AS area_std,
   round(quantile_cont(CAST(w * h AS DOUBLE), 0.75) - quantile_cont(CAST(w * h AS DOUBLE), 0.25), 6) AS area_iqr, round(quantile_cont(CAST(w * h AS DOUBLE), 0.05), 6) AS area_q5, round(quantile_cont(CAST(w * h AS DOUBLE), 0.95), 6) AS area_q95 FROM boxes GROUP BY ALL)

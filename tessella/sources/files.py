@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _slide(raw: DataFrame):
+    """The slide of a row: its folder's (slide_id=...), else its file's name."""
+    name = F.col("slide_id").cast("string") if "slide_id" in raw.columns else F.regexp_replace(F.col("_metadata.file_name"), "\\.json$", "")
+    return name.alias("slide_id")
+
+
 def feature_json(spark: SparkSession, path: str) -> DataFrame:
-    """slide_id, key, feature, v of files {columns, index, data} (one a slide)."""
+    """slide_id, key, feature, v of files {columns, index, data} (one a slide, named after it or in its folder)."""
     raw = spark.read.schema("columns array<string>, index array<string>, data array<array<double>>").option("multiLine", True).json(path)
-    rows = raw.select(F.regexp_replace(F.col("_metadata.file_name"), "\\.json$", "").alias("slide_id"), "columns", F.explode(F.arrays_zip("index", "data")).alias("r"))
+    rows = raw.select(_slide(raw), "columns", F.explode(F.arrays_zip("index", "data")).alias("r"))
     cells = rows.select("slide_id", F.col("r.index").alias("key"), F.explode(F.arrays_zip(F.col("columns").alias("feature"), F.col("r.data").alias("v"))).alias("c"))
     return cells.select("slide_id", "key", F.col("c.feature").alias("feature"), F.col("c.v").alias("v"))
 
@@ -46,7 +52,7 @@ def typed_table(spark: SparkSession, paths: Sequence[str], columns: Mapping[str,
     if skip:
         raw = raw.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
         first = raw.groupBy(F.col("_at.file_path").alias("_f")).agg(F.min(F.col("_at")[raw.schema["_at"].dataType.names[1]]).alias("_0"))
-        raw = raw.join(F.broadcast(first), F.col("_at.file_path") == F.col("_f")).where(~(F.col("_at")[raw.schema["_at"].dataType.names[1]] - F.col("_0")).isin(list(skip)))
+        raw = raw.join(first, F.col("_at.file_path") == F.col("_f")).where(~(F.col("_at")[raw.schema["_at"].dataType.names[1]] - F.col("_0")).isin(list(skip)))
     if replace:
         raw = raw.replace(dict(replace), subset=[c for c in columns if c in raw.columns])
     out = []
@@ -124,3 +130,10 @@ def rows_to_documents(table: DataFrame, root: str) -> None:
 def with_failures(df: DataFrame, value: str, ok) -> tuple[DataFrame, DataFrame]:
     """Rows that pass, and the others with a message, for a side table."""
     return df.where(ok), df.where(~ok | ok.isNull()).select("*", F.concat(F.lit(f"bad {value}: "), F.col(value).cast("string")).alias("message"))
+
+
+def resolution_table(spark: SparkSession, path: str) -> DataFrame:
+    """slide_id and the numbers of resolution files (one a slide); tissue locations are left out."""
+    names = ["target_mpp", "target_qc_mpp", "read_level", "qc_read_level", "read_mpp", "qc_mpp"]
+    raw = spark.read.schema(", ".join(f"{c} double" for c in names)).option("multiLine", True).json(path)
+    return raw.select(_slide(raw), *names)
