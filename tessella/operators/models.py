@@ -132,7 +132,7 @@ def hard_to_tell(points: DataFrame, label: str, *, times: int = 3, share: float
         if rows.select("y").distinct().limit(3).count() > 2:
             learner = OneVsRest(classifier=learner, featuresCol="f", labelCol="y")
     for t in range(times):
-        point = tables.hash_point(F.col("id"), seed=seed + t)
+        point = F.pmod(F.xxhash64("id", F.lit(seed + t)), F.lit(1 << 40)) / F.lit(float(1 << 40))
         chosen = UnivariateFeatureSelector(featuresCol="x", outputCol="f", labelCol="y", selectionMode="percentile").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(keep)
         model = Pipeline(stages=[chosen, learner]).fit(rows.where(point < share))
         out = model.transform(rows.where(point >= share)).select("id", (F.col("prediction") != F.col("y")).alias("bad"))

@@ -161,8 +161,8 @@ def overlapping_patches(spark, root):
     return out.select("slide_id", "x", "y", F.round("value", 6).alias("value"))
 
 
-def _own_masks(spark, root, scale: int = 4):
-    """Every object alone on a mask of its size and four pixels more each side."""
+def _own_masks(spark, root, scale: int = 16):
+    """Every object alone on a mask of its size (at a sixteenth of the scale) and four pixels more each side."""
     o = boxes(spark, root).select("obj_id", "label", (F.floor(F.col("w") / scale) + 1).cast("int").alias("bw"), (F.floor(F.col("h") / scale) + 1).cast("int").alias("bh"))
     o = o.select("obj_id", "label", F.lit(0).alias("x"), F.lit(0).alias("y"), (F.col("bw") + 8).alias("w"), (F.col("bh") + 8).alias("h"), P.of_box(F.lit(4), F.lit(4), F.col("bw") - 1, F.col("bh") - 1).alias("points"), "bw", "bh")
     return o
@@ -185,7 +185,7 @@ def tidy_mask_pixels(spark, root):
 
 def mask_union_pixels(spark, root):
     """Masks of a slide's objects of one size united: pixels that any covers."""
-    o = _own_masks(spark, root, 8).join(boxes(spark, root).select("obj_id", "slide_id"), "obj_id").withColumns({"w": F.lit(40), "h": F.lit(40)})
+    o = _own_masks(spark, root).join(boxes(spark, root).select("obj_id", "slide_id"), "obj_id").withColumns({"w": F.lit(40), "h": F.lit(40)})
     masks = raster.rasterise(o.where("bw <= 30 and bh <= 30"), ["obj_id", "slide_id", "x", "y"], VALUES)
     u = raster.union_masks(masks, ["slide_id"])
     return raster.value_counts(u, ["slide_id"]).where("value = 255").groupBy("slide_id").agg(F.sum("n").alias("n"))
@@ -285,9 +285,9 @@ SELECT slide_id, CAST(t.x AS INT) AS x, CAST(t.y AS INT) AS y, round(count(*) *
  w AS (SELECT id, x, a, b, least(1.0, x / 3.5::DOUBLE, (7 - x) / 3.5::DOUBLE) * least(1.0, y / 3.5::DOUBLE, (7 - y) / 3.5::DOUBLE) AS w FROM x) SELECT id, round(sum(w * a + (1 - w) * b), 5) AS total, round(sum((w * a + (1 - w) * b) * (x + 1)), 5) AS along FROM w GROUP BY id""",
     "overlapping_patches": f"""WITH {_V}, p AS (SELECT slide_id, id % 5 * 4 AS x0, id // 100 * 4 AS y0, unnest(range(0, 64)) AS k, unnest(vec) AS a FROM v)
 SELECT slide_id, CAST(x0 + k % 8 AS INT) AS x, CAST(y0 + k // 8 AS INT) AS y, round(sum(a * {_SPLINE_SQL}[k % 8 + 1] * {_SPLINE_SQL}[k // 8 + 1]) / 4, 6) AS value FROM p GROUP BY ALL""",
-    "mask_outlines": f"WITH {BOXES_SQL}, o AS (SELECT obj_id, label, w // 4 + 1 AS bw, h // 4 + 1 AS bh FROM boxes) SELECT obj_id, label, CAST(2 * (bw + bh) - 4 AS INT) AS points FROM o WHERE bw > 1 AND bh > 1",
-    "tidy_mask_pixels": f"WITH {BOXES_SQL}, o AS (SELECT obj_id, (w // 4 + 1) * (h // 4 + 1) AS n FROM boxes) SELECT obj_id, n FROM o WHERE n >= 20",
-    "mask_union_pixels": f"WITH {BOXES_SQL}, o AS (SELECT slide_id, w // 8 + 1 AS bw, h // 8 + 1 AS bh FROM boxes), r AS (SELECT slide_id, bh, unnest(range(0, bw)) AS px FROM o WHERE bw <= 30 AND bh <= 30), q AS (SELECT DISTINCT slide_id, px, unnest(range(0, bh)) AS py FROM r) SELECT slide_id, count(*) AS n FROM q GROUP BY slide_id",
+    "mask_outlines": f"WITH {BOXES_SQL}, o AS (SELECT obj_id, label, w // 16 + 1 AS bw, h // 16 + 1 AS bh FROM boxes) SELECT obj_id, label, CAST(2 * (bw + bh) - 4 AS INT) AS points FROM o WHERE bw > 1 AND bh > 1",
+    "tidy_mask_pixels": f"WITH {BOXES_SQL}, o AS (SELECT obj_id, (w // 16 + 1) * (h // 16 + 1) AS n FROM boxes) SELECT obj_id, n FROM o WHERE n >= 20",
+    "mask_union_pixels": f"WITH {BOXES_SQL}, o AS (SELECT slide_id, w // 16 + 1 AS bw, h // 16 + 1 AS bh FROM boxes), r AS (SELECT slide_id, bh, unnest(range(0, bw)) AS px FROM o WHERE bw <= 30 AND bh <= 30), q AS (SELECT DISTINCT slide_id, px, unnest(range(0, bh)) AS py FROM r) SELECT slide_id, count(*) AS n FROM q GROUP BY slide_id",
     "painted_in_order": _PIXELS,
     "png_round_trip": f"SELECT * FROM ({_PIXELS}) WHERE slide_id < 4",
     "pyramid_level": f"""WITH {BOXES_SQL}, s AS (SELECT DISTINCT slide_id FROM boxes), t AS (SELECT slide_id, c, r, slide_id * 5 + r * 8 + c * 2 AS v FROM s, range(0, 4) a(c), range(0, 4) b(r))
