@@ -32,12 +32,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same by a Parquet table in that folder, for rows that compress well or are read by column."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes df as a Parquet table in that folder; the table, and its path for ``remove``."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that no later step reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same without a path, for rows that compress well or are read by column."""
+    return stored(df)[0]
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

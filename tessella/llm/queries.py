@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, packing, ppm, quality, secrets, urlfilter, vectors
+from . import langid, linededup, mixing, neardup, packing, ppm, quality, secrets, sortmeans, urlfilter, vectors
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return urlfilter.judge(_read(spark, root, "pages"))
 
 
+def op11_sort_means(spark: SparkSession, root: str) -> DataFrame:
+    return sortmeans.digests(_read(spark, root, "embeddings"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_ppm_score": op8_ppm_score,
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
+    "op11_sort_means": op11_sort_means,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +94,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_minhash_near_dedup": neardup.GROUPS_SQL,
     "op7_vector_near_dedup": vectors.LINKS_SQL,
     "op10_url_filter": urlfilter.JUDGE_SQL,
+    "op11_sort_means": sortmeans.CLUSTER_SQL,
 }
