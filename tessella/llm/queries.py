@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, packing, ppm, quality, secrets, sortmeans, urlfilter, vectors
+from . import langid, linededup, mixing, neardup, packing, ppm, quality, repair, secrets, sortmeans, urlfilter, vectors
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op11_sort_means(spark: SparkSession, root: str) -> DataFrame:
     return sortmeans.digests(_read(spark, root, "embeddings"))
 
 
+def op12_turn_repair(spark: SparkSession, root: str) -> DataFrame:
+    return repair.repair(repair.damage(_read(spark, root, "conversations")))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_url_filter": op10_url_filter,
     "op11_sort_means": op11_sort_means,
+    "op12_turn_repair": op12_turn_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -95,4 +100,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_vector_near_dedup": vectors.LINKS_SQL,
     "op10_url_filter": urlfilter.JUDGE_SQL,
     "op11_sort_means": sortmeans.CLUSTER_SQL,
+    "op12_turn_repair": repair.REPAIR_SQL,
 }
