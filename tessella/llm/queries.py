@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, mixing, neardup, packing, ppm, quality, repair, secrets, sortmeans, urlfilter, vectors
+from . import chat, langid, linededup, mixing, neardup, packing, ppm, quality, repair, secrets, sortmeans, urlfilter, vectors
 
 
 def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op12_turn_repair(spark: SparkSession, root: str) -> DataFrame:
     return repair.repair(repair.damage(_read(spark, root, "conversations")))
 
 
+def op13_chat_format(spark: SparkSession, root: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.with_test_conversation(_read(spark, root, "conversations"))))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_secret_scan": op2_secret_scan,
@@ -90,6 +94,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_sort_means": op11_sort_means,
     "op12_turn_repair": op12_turn_repair,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +106,5 @@ ORACLE_SQL: dict[str, str] = {
     "op10_url_filter": urlfilter.JUDGE_SQL,
     "op11_sort_means": sortmeans.CLUSTER_SQL,
     "op12_turn_repair": repair.REPAIR_SQL,
+    "op13_chat_format": chat.FORMAT_SQL,
 }
