@@ -6,6 +6,7 @@ checkpoint folder each round; what reaches the driver is a codebook or a few tot
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 from collections.abc import Sequence
 
@@ -187,7 +188,8 @@ def consensus(points: DataFrame, ks: Sequence[int], *, times: int = 5, share: fl
     For each k, a pair's consensus index is how often it was clustered together among the draws that
     have both. area is that under the indices' cumulative histogram over all pairs of points, delta
     its relative change from the k before. Points with the same codes in all draws are one row with
-    a count (at most (k + 1) ** times rows), so pairs are counted by products and never formed.
+    a count (at most (k + 1) ** times rows); pairs are counted by grouped sums over patterns of
+    draws (3 ** times of them) and never formed.
     """
     from .stats import bin_of, cdf_areas
     from .tables import resample
@@ -200,12 +202,24 @@ def consensus(points: DataFrame, ks: Sequence[int], *, times: int = 5, share: fl
             runs = own if runs is None else runs.unionByName(own)
     tuples = runs.groupBy("k", "id").agg(F.map_from_entries(F.collect_list("c")).alias("m")).withColumn("codes", F.array(*[F.coalesce(F.element_at("m", F.lit(d)), F.lit(-1)) for d in range(times)]))
     tuples = cut(tuples.groupBy("k", "codes").agg(F.count("*").alias("n")))
-    a, b = tuples.alias("a"), tuples.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.codes") <= F.col("b.codes")))
-    both = F.size(F.filter(F.arrays_zip(F.col("a.codes").alias("p"), F.col("b.codes").alias("q")), lambda e: (e["p"] >= 0) & (e["q"] >= 0)))
-    same = F.size(F.filter(F.arrays_zip(F.col("a.codes").alias("p"), F.col("b.codes").alias("q")), lambda e: (e["p"] >= 0) & (e["p"] == e["q"])))
-    n = F.when(F.col("a.codes") == F.col("b.codes"), F.col("a.n") * (F.col("a.n") - 1) / 2).otherwise(F.col("a.n") * F.col("b.n"))
-    met = pairs.select(F.col("a.k").alias("k"), both.alias("both"), same.alias("same"), n.alias("n")).where("both > 0 and n > 0")
+    # per draw: 0 asks nothing of a pair, 1 that the draw has both, 2 that both have one code. Grouping by the codes
+    # that a pattern of such wishes names counts the pairs that meet it; differences give those of exactly a pattern
+    wishes = list(itertools.product(range(3), repeat=times))
+    asked = F.explode(F.array(*[F.array(*map(F.lit, w)) for w in wishes])).alias("w")
+    met = tuples.select("k", "n", "codes", asked).where(F.forall(F.zip_with("w", "codes", lambda w, c: (w == 0) | (c >= 0)), lambda ok: ok))
+    alike = met.groupBy("k", "w", F.zip_with("w", "codes", lambda w, c: F.when(w == 2, c).otherwise(-1)).alias("named")).agg(F.sum("n").alias("n"))
+    pairs = alike.groupBy("k", "w").agg(F.sum((F.col("n") * (F.col("n") - 1)).cast("double") / 2).alias("n")).collect()  # 3 ** times rows a k
+    rows = []
+    for k in ks:
+        count = np.zeros([3] * times)
+        for r in pairs:
+            if r["k"] == k:
+                count[tuple(r["w"])] = r["n"]
+        for axis in range(times):
+            any_, both, same = (np.take(count, v, axis) for v in range(3))
+            count = np.stack([any_ - both, both - same, same], axis)
+        rows += [(k, sum(v > 0 for v in w), w.count(2), float(count[w])) for w in wishes if any(w) and count[w] > 0]
+    met = tuples.sparkSession.createDataFrame(rows, "k int, both int, same int, n double")
     hist = met.withColumn("bin", bin_of(F.try_divide("same", "both"), F.lit(0.0), F.lit(1.0), bins)).groupBy("k", "bin").agg(F.sum("n").alias("n"))
     domain = hist.select("k").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return cdf_areas(domain.join(hist, ["k", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0.0))), "k", bins)

@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+INDEXED = 4  #: blocks up to which comparing all is cheaper than an index
+
+
 def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda acc, v: acc + v))
 
@@ -80,10 +83,15 @@ def k_nearest(points: DataFrame, k: int, on: Sequence[str] = (), *, rows: int =
 
     Both sides are dealt into blocks of about ``rows`` rows, from the size of the largest group; every
     block of queries meets every block of its group in a task of its own, and the k best of all
-    blocks are ranked, each block's rows cut to k before the shuffle.
+    blocks are ranked, each block's rows cut to k before the shuffle. Without groups, and beyond INDEXED
+    blocks, the pivot index answers instead (``pivots.k_nearest``), with the same rows.
     """
     own = points.select(*on, "id", "vec")
     blocks = blocks_for(own, on, rows)
+    if not on and blocks > INDEXED:
+        from . import pivots
+
+        return pivots.k_nearest(own, k, rows=rows, with_self=with_self)
     dealt = own.withColumn("_h", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     index = dealt.withColumnRenamed("_h", "_b").withColumn("_a", every).withColumn("_q", F.lit(False))

@@ -208,16 +208,33 @@ def _per_mask(masks: DataFrame, keys: Sequence[str], fn, *columns: str) -> DataF
     return masks.select(*dict.fromkeys([*keys, "mask", *columns])).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"]))
 
 
-def union_masks(masks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys and mask: 255 where any mask of a group (all of one size) isn't 0; a group's masks are few."""
-    grouped = masks.groupBy(*keys).agg(F.collect_list("mask").alias("mask"))
+def union_masks(masks: DataFrame, keys: Sequence[str], parts: int = 16) -> DataFrame:
+    """keys and mask: 255 where any mask of a group (all of one size) isn't 0.
+
+    Masks are united in each task, then in up to ``parts`` parts of a group, then these; so a task
+    gathers few masks of a group however many it has.
+    """
     kinds = dict(masks.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"])
 
-    def run(batches):
+    def within(batches):
+        for pdf in batches:
+            for _, g in pdf.groupby(list(keys), dropna=False, sort=False):
+                yield g[list(keys)].head(1).assign(mask=[united(g["mask"])])
+
+    def gathered(batches):
         for pdf in batches:
-            yield pdf[list(keys)].assign(mask=[pack(np.where(np.logical_or.reduce([unpack(m) > 0 for m in all_]), 255, 0)) for all_ in pdf["mask"]])
+            yield pdf[list(keys)].assign(mask=[united(all_) for all_ in pdf["mask"]])
 
-    return grouped.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"]))
+    def united(all_) -> dict:
+        whole = None
+        for m in all_:
+            whole = unpack(m) > 0 if whole is None else whole | (unpack(m) > 0)
+        return pack(np.where(whole, 255, 0))
+
+    dealt = masks.select(*keys, "mask").mapInPandas(within, schema).withColumn("_p", F.pmod(F.xxhash64("mask.data"), F.lit(parts)))
+    some = dealt.groupBy(*keys, "_p").agg(F.collect_list("mask").alias("mask")).drop("_p").mapInPandas(gathered, schema)
+    return some.groupBy(*keys).agg(F.collect_list("mask").alias("mask")).mapInPandas(gathered, schema)
 
 
 def mark_points(masks: DataFrame, keys: Sequence[str], value: int = 50, radius: int = 0) -> DataFrame:
@@ -400,3 +417,55 @@ def label_of(value: Column, intervals: dict[str, tuple[int, int]]) -> Column:
     """The label whose closed interval holds the value; two of them raise an error; none gives null."""
     hits = F.filter(F.array(*[F.when(value.between(lo, hi), name) for name, (lo, hi) in intervals.items()]), lambda v: v.isNotNull())
     return F.when(F.size(hits) > 1, F.raise_error(F.lit("value in two intervals"))).otherwise(F.get(hits, F.lit(0)))
+
+
+def gaussian(a: np.ndarray, sigma: float, reach: float = 4.0) -> np.ndarray:
+    """A Gaussian mean along both axes, cut off at ``reach`` deviations, the image mirrored beyond its borders."""
+    r = int(reach * sigma + 0.5)
+    weight = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    weight /= weight.sum()
+    for axis in (0, 1):
+        n = a.shape[axis]
+        at = np.arange(-r, n + r) % (2 * n)
+        wide = np.take(a, np.where(at < n, at, 2 * n - 1 - at), axis)
+        windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * r + 1, axis)
+        a = windows @ weight
+    return a
+
+
+def fidelity(reference: np.ndarray, image: np.ndarray, *, scales: int = 4, noise: float = 2.0) -> float:
+    """Visual information fidelity in the pixel domain: the information about the reference that the image keeps.
+
+    At each scale, windowed variances and the covariance say how much of the image is the reference
+    times a gain and how much is distortion; information is log(1 + signal / noise), summed over
+    pixels and scales. 1 for equal images and for a reference without any.
+    """
+    a, b = reference.astype(float), image.astype(float)
+    tiny, kept, whole = 1e-10, 0.0, 0.0
+    for scale in range(scales):
+        sigma = (2 ** (scales - scale) + 1) / 5
+        if scale:
+            a, b = gaussian(a, sigma)[::2, ::2], gaussian(b, sigma)[::2, ::2]
+        ma, mb = gaussian(a, sigma), gaussian(b, sigma)
+        va, vb = (np.maximum(gaussian(v * v, sigma) - m * m, 0) for v, m in ((a, ma), (b, mb)))
+        gain = (gaussian(a * b, sigma) - ma * mb) / (va + tiny)
+        rest = vb - gain * (gain * (va + tiny))
+        flat, lost = va < tiny, vb < tiny
+        unlike = (gain < 0) & ~lost
+        rest = np.where(lost, 0, np.where(flat | unlike, vb, rest))
+        gain = np.where(flat | lost | (gain < 0), 0, gain)
+        va = np.where(flat, 0, va)
+        kept += np.log10(1 + gain * gain * va / (np.maximum(rest, tiny) + noise)).sum()
+        whole += np.log10(1 + va / noise).sum()
+    return float(kept / whole) if whole else 1.0
+
+
+def image_fidelity(pairs: DataFrame, keys: Sequence[str], **options) -> DataFrame:
+    """keys and vif: the fidelity of image b to its reference a (grey)."""
+    kinds = dict(pairs.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[list(keys)].assign(vif=[fidelity(unpack(a), unpack(b), **options) for a, b in zip(pdf["a"], pdf["b"], strict=True)])
+
+    return pairs.select(*keys, "a", "b").mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "vif double"]))

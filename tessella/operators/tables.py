@@ -62,6 +62,17 @@ def parse_param(text: str) -> list[float]:
     return [float(text)]
 
 
+def param_values(text: Column) -> Column:
+    """The same of a column of texts, as an array; a text of another form raises an error."""
+    number = lambda v: v.cast("double")
+    parts = F.split(text, ":")
+    start, stop = number(parts[0]), number(F.get(parts, F.lit(1)))
+    step = F.coalesce(number(F.get(parts, F.lit(2))), F.lit(1.0))
+    n = F.ceil((stop - start) / step).cast("int")
+    spread = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: start + k * step)).otherwise(F.array().cast("array<double>"))
+    return F.when(text.contains(";"), F.transform(F.split(text, ";"), number)).when(text.contains(":"), spread).otherwise(F.array(number(text)))
+
+
 def merge_batches(batches: Sequence[DataFrame], rename: Sequence[Mapping[str, str]], drop: Sequence[str] = ()) -> DataFrame:
     """Batches below each other, each with its own renames; absent columns are null; ``batch`` numbers them."""
     named = [df.withColumnsRenamed(dict(r)).drop(*drop).withColumn("batch", F.lit(k)) for k, (df, r) in enumerate(zip(batches, rename, strict=True))]
@@ -97,15 +108,35 @@ def last_streak(log: DataFrame, by: Sequence[str], idx: str, epoch: str) -> Data
     return rows.withColumn("_end", end[idx]).where(F.col(idx) < F.col("_end")).drop("_start", "_end")
 
 
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """df with _rank (from 0, in this order) and _all (rows of the group), by prefix sums over key ranges.
+
+    No group, nor the whole table, is sorted in one task. Rows alike in ``order`` get ranks in any order.
+    Starts jobs when it is called (see ``stats.prefix_sums``).
+    """
+    from .stats import prefix_sums
+
+    names = [f"_o{k}" for k in range(len(order))]
+    rows = df.withColumns(dict(zip(names, order, strict=True)) | {"_one": F.lit(1).cast("long")})
+    rows = prefix_sums(rows, by, names, ["_one"]).drop(*names, "_one", "next__o0")
+    total = df.groupBy(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by))).agg(F.count("*").alias("_all"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by)]
+    rows = rows.join(total, same) if by else rows.crossJoin(F.broadcast(total))
+    return rows.drop(*(f"_g{k}" for k in range(len(by)))).withColumn("_rank", F.col("upto__one") - 1).drop("upto__one")
+
+
 def slices(df: DataFrame, by: Sequence[str], order: Sequence[Column], parts: int) -> DataFrame:
     """part 0..parts-1: contiguous, sizes differ by one at most, larger ones first."""
-    return df.withColumn("part", F.ntile(parts).over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    size, more = F.floor(F.col("_all") / parts), F.col("_all") % parts
+    wide = more * (size + 1)
+    part = F.when(F.col("_rank") < wide, F.floor(F.col("_rank") / (size + 1))).otherwise(more + F.floor((F.col("_rank") - wide) / F.greatest(size, F.lit(1))))
+    return ranked(df, by, order).withColumn("part", part.cast("int")).drop("_rank", "_all")
 
 
 def folds(df: DataFrame, strata: Sequence[str], key: str, parts: int, seed: int | None = None) -> DataFrame:
     """fold 0..parts-1, evenly within each stratum; in key order, or in hash order with a seed."""
     order = [F.col(key)] if seed is None else [hash_text(F.col(key), seed=seed), F.col(key)]
-    return df.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1, F.lit(parts)).cast("int"))
+    return ranked(df, strata, order).withColumn("fold", F.pmod(F.col("_rank"), F.lit(parts)).cast("int")).drop("_rank", "_all")
 
 
 def hash_text(*keys: Column, seed: int = 0) -> Column:
@@ -120,11 +151,13 @@ def hash_point(*keys: Column, seed: int = 0) -> Column:
 
 def train_test(df: DataFrame, strata: Sequence[str], key: str, test: float, seed: int = 0) -> DataFrame:
     """phase: train or test, by key (all its rows alike), ``test`` of each stratum's keys to the nearest."""
-    keys = df.select(*strata, key).distinct()
-    w = Window.partitionBy(*strata)
-    rank = F.row_number().over(w.orderBy(hash_text(F.col(key), seed=seed), F.col(key)))
-    phase = F.when(rank <= F.round(F.count("*").over(w) * F.lit(test)), "test").otherwise("train")
-    return df.join(keys.withColumn("phase", phase), [*strata, key])
+    keys = ranked(df.select(*strata, key).distinct(), strata, [hash_text(F.col(key), seed=seed), F.col(key)])
+    return df.join(_phases(keys, test), [*strata, key])
+
+
+def _phases(keys: DataFrame, test: float) -> DataFrame:
+    phase = F.when(F.col("_rank") < F.round(F.col("_all") * F.lit(test)), "test").otherwise("train")
+    return keys.withColumn("phase", phase).drop("_rank", "_all")
 
 
 def sample_each(df: DataFrame, by: Sequence[str], key: str, n: int, seed: int = 0) -> DataFrame:
@@ -169,11 +202,8 @@ def bootstrap(df: DataFrame, key: str, times: int, rate: float = 1.0, seed: int
 def repeated_splits(df: DataFrame, strata: Sequence[str], key: str, test: float, times: int, seed: int = 0) -> DataFrame:
     """draw 0..times-1, and phase: ``times`` independent train and test splits by key, stratified."""
     draws = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    keys = draws.select("draw", *strata, key).distinct()
-    w = Window.partitionBy("draw", *strata)
-    rank = F.row_number().over(w.orderBy(hash_text(F.col(key), F.col("draw"), seed=seed), F.col(key)))
-    phase = F.when(rank <= F.round(F.count("*").over(w) * F.lit(test)), "test").otherwise("train")
-    return draws.join(keys.withColumn("phase", phase), ["draw", *strata, key])
+    keys = ranked(draws.select("draw", *strata, key).distinct(), ["draw", *strata], [hash_text(F.col(key), F.col("draw"), seed=seed), F.col(key)])
+    return draws.join(_phases(keys, test), ["draw", *strata, key])
 
 
 def class_weights(df: DataFrame, label: str, inverse: bool = False) -> DataFrame:
@@ -275,7 +305,9 @@ def first_of(df: DataFrame, by: Sequence[str], column: str, order: Sequence[Colu
 
 def hard_examples(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
     """Rows whose metric is below their group's median (of the whole group, not only of earlier rows)."""
-    m = df.groupBy(*by).agg(F.median(metric).alias("_m"))
+    from .stats import quantiles
+
+    m = quantiles(df, by, [0.5], metric).select(*by, F.col("q")[0].alias("_m"))
     return df.join(m, list(by)).where(F.col(metric) < F.col("_m")).drop("_m")
 
 

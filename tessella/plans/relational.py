@@ -103,7 +103,9 @@ def incremental_left(spark, root):
 
 
 def param_grid(spark, root):
-    g = tables.grid(spark, {"k": tables.parse_param("2:6:2"), "inflation": tables.parse_param("1.1;1.5;2"), "seed": tables.parse_param("7")})
+    """Combinations of a range and lists of parameters, the seeds one per region."""
+    seeds = table(spark, root, "region").select(F.col("r_regionkey").cast("double").alias("seed"))
+    g = tables.grid(spark, {"k": tables.parse_param("2:6:2"), "inflation": tables.parse_param("1.1;1.5;2")}).crossJoin(F.broadcast(seeds))
     return g.select("k", "inflation", "seed", L.run_key(F.create_map(F.lit("k"), F.col("k"), F.lit("inflation"), F.col("inflation"))).alias("name"))
 
 
@@ -229,7 +231,7 @@ SELECT r.user_id, event_id, epoch FROM r JOIN m ON r.user_id = m.user_id AND idx
     "slides_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "slides_except": "SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "incremental_left": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "param_grid": "SELECT k, inflation, 7.0::DOUBLE AS seed, 'inflation:' || CAST(inflation AS VARCHAR) || ',k:' || CAST(k AS VARCHAR) AS name FROM (VALUES (2.0::DOUBLE), (4.0::DOUBLE)) a(k), (VALUES (1.1::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) b(inflation)",
+    "param_grid": "SELECT k, inflation, CAST(r_regionkey AS DOUBLE) AS seed, 'inflation:' || CAST(inflation AS VARCHAR) || ',k:' || CAST(k AS VARCHAR) AS name FROM (VALUES (2.0::DOUBLE), (4.0::DOUBLE)) a(k), (VALUES (1.1::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) b(inflation), region",
     "best_runs": "SELECT event_id AS run_id, event_type, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS k FROM events) WHERE k = 1",
     "tile_status_explode": "WITH e AS (SELECT user_id, unnest(json_keys(props)) AS key, props FROM events) SELECT user_id, key, count(*) AS n, CAST(sum(CAST(json_extract_string(props, key) AS INT)) AS BIGINT) AS total FROM e GROUP BY ALL",
     "bytes_human": f"WITH d AS (SELECT doc_id, n_chars * 1954 + 1 AS n FROM documents) SELECT doc_id, {_BYTES} AS size FROM d",

@@ -108,8 +108,9 @@ def masks_beside_images(spark, root):
 
 
 def run_manifest(spark, root):
-    """One command line per combination of parameters."""
-    return files.manifest_lines(tables.grid(spark, {"k": [1.0, 2.5], "inflation": [1.1, 2.0]}))
+    """One command line per combination of parameters and source of documents."""
+    runs = table(spark, root, "documents").select(F.coalesce("source", F.lit("none")).alias("source")).distinct()
+    return files.manifest_lines(tables.grid(spark, {"k": [1.0, 2.5], "inflation": [1.1, 2.0]}).crossJoin(F.broadcast(runs)))
 
 
 def split_manifest_read(spark, root):
@@ -156,8 +157,12 @@ def run_keys(spark, root):
 
 
 def param_strings(spark, root):
-    rows = [(text, k, v) for text in ("3", "1:4", "1:2:0.25", "1;9;2.5", "4:1") for k, v in enumerate(tables.parse_param(text))]
-    return spark.createDataFrame(rows, "text string, place int, value double")
+    """Lists, ranges and numbers written by the nations' keys, as values."""
+    a, b = F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")
+    kind = F.col("n_nationkey") % 4
+    text = F.when(kind == 0, b).when(kind == 1, F.concat_ws(":", a, b)).when(kind == 2, F.concat_ws(":", a, b, F.lit("0.75"))).otherwise(F.concat_ws(";", b, a, F.lit("2.5")))
+    n = table(spark, root, "nation").select("n_nationkey", text.alias("text"))
+    return n.select("n_nationkey", "text", F.posexplode(tables.param_values(F.col("text"))).alias("place", "value"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -177,7 +182,7 @@ ORACLE_SQL = {
     "annotator_documents": "SELECT 'a' || n_regionkey AS annotator, count(*) AS n, max(n_name) AS last FROM nation GROUP BY ALL",
     "file_listing": "SELECT DISTINCT CAST(n_regionkey AS INT) AS region, TRUE AS filled, TRUE AS named FROM nation",
     "masks_beside_images": "SELECT '/data/image/' || n_name || '_image.png' AS path, '/data/mask/' || n_name || '_mask.png' AS mask_path FROM nation WHERE n_regionkey < 3",
-    "run_manifest": "SELECT '--k=' || k || ',--inflation=' || i AS line FROM (VALUES ('1.0'), ('2.5')) a(k), (VALUES ('1.1'), ('2.0')) b(i)",
+    "run_manifest": "SELECT '--k=' || k || ',--inflation=' || i || ',--source=' || s AS line FROM (VALUES ('1.0'), ('2.5')) a(k), (VALUES ('1.1'), ('2.0')) b(i), (SELECT DISTINCT coalesce(source, 'none') AS s FROM documents)",
     "split_manifest_read": "SELECT CAST(s AS INT) AS split_num, CASE WHEN n_nationkey % 3 = s THEN 'test' ELSE 'train' END AS phase, n_name AS item FROM nation, range(0, 3) r(s)",
     "measures_append": "SELECT event_type, count(DISTINCT event_id % 2) AS rows, count(*) AS n FROM events GROUP BY event_type",
     "failure_log": "SELECT CASE WHEN o_orderstatus IN ('F', 'O') THEN 'ok' ELSE 'bad o_orderstatus: ' || o_orderstatus END AS message, count(*) AS n FROM orders GROUP BY ALL",
@@ -185,5 +190,8 @@ ORACLE_SQL = {
 SELECT CAST(0 AS INT) AS place, 'mean' AS slide_id, round(avg(target_mpp), 8) AS target_mpp, round(avg(read_level), 8) AS read_level FROM n UNION ALL SELECT 1, 'std', round(stddev_samp(target_mpp), 8), round(stddev_samp(read_level), 8) FROM n
 UNION ALL SELECT 2, slide_id, round(target_mpp, 8), round(read_level, 8) FROM n""",
     "run_keys": "SELECT event_id, 'area. min:' || event_id % 3 || ',k:' || event_id % 5 AS key, 'area__min:' || event_id % 3 || ',k:' || event_id % 5 AS safe, CAST(event_id % 5 AS DOUBLE) AS k FROM events",
-    "param_strings": "SELECT * FROM (VALUES ('3', 0, 3.0::DOUBLE), ('1:4', 0, 1), ('1:4', 1, 2), ('1:4', 2, 3), ('1:2:0.25', 0, 1), ('1:2:0.25', 1, 1.25), ('1:2:0.25', 2, 1.5), ('1:2:0.25', 3, 1.75), ('1;9;2.5', 0, 1), ('1;9;2.5', 1, 9), ('1;9;2.5', 2, 2.5)) t(text, place, value)",
+    "param_strings": """WITH n AS (SELECT n_nationkey, n_nationkey % 4 AS kind, CAST(n_regionkey AS DOUBLE) AS a, CAST(n_nationkey AS DOUBLE) AS b, CAST(n_regionkey AS VARCHAR) AS r, CAST(n_nationkey AS VARCHAR) AS k FROM nation),
+ t AS (SELECT n_nationkey, CASE kind WHEN 0 THEN k WHEN 1 THEN r || ':' || k WHEN 2 THEN r || ':' || k || ':0.75' ELSE k || ';' || r || ';2.5' END AS text,
+  CASE kind WHEN 0 THEN [b] WHEN 1 THEN list_transform(range(0, CAST(greatest(b - a, 0) AS BIGINT)), lambda i: a + i) WHEN 2 THEN list_transform(range(0, CAST(greatest(ceil((b - a) / 0.75::DOUBLE), 0) AS BIGINT)), lambda i: a + i * 0.75::DOUBLE) ELSE [b, a, 2.5::DOUBLE] END AS v FROM n)
+SELECT n_nationkey, text, CAST(unnest(range(0, len(v))) AS INT) AS place, unnest(v) AS value FROM t""",
 }
