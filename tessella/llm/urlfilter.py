@@ -34,11 +34,12 @@ RULES = [
     ("block", "net", "/fr/"),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = [
-    "(?is)<link\\b[^>]*\\brel\\s*=\\s*[\"']?canonical\\b[^>]*\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)",
-    "(?is)<link\\b[^>]*\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+)[^>]*\\brel\\s*=\\s*[\"']?canonical\\b",
-]
-_REFRESH = "(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*[\"']?refresh\\b[^>]*\\burl\\s*=\\s*['\"]?([^\"'\\s>]+)"
+#: An unclosed comment hides the rest of the page; a tag ends where the next one begins. Every pattern
+#: reads a text, and then each tag, once.
+_COMMENT = "(?s)<!--.*?(?:-->|\\z)"
+_TAG = "(?is)<(?:link|meta)\\b[^<>]*+>"
+_CANONICAL, _REFRESH = "(?i)\\brel\\s*+=\\s*+[\"']?canonical\\b", "(?i)\\bhttp-equiv\\s*+=\\s*+[\"']?refresh\\b"
+_HREF, _URL = "(?i)\\bhref\\s*+=\\s*+[\"']?([^\"'\\s>]++)", "(?i)\\burl\\s*+=\\s*+['\"]?([^\"'\\s>]++)"
 
 
 def host_of(url: Column) -> Column:
@@ -86,9 +87,11 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def aliases(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between url nodes: canonical and refresh links of pages, and redirects (source, target)."""
     linked = pages.select("url", "html").where(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|http-equiv"))
-    linked = linked.withColumn("html", F.regexp_replace("html", "(?s)<!--.*?-->", ""))
-    targets = F.array_distinct(F.concat(*(F.regexp_extract_all("html", F.lit(p), F.lit(1)) for p in [*_CANONICAL, _REFRESH])))
-    edges = linked.select("url", F.explode(F.filter(targets, lambda t: t != "")).alias("target"))
+    tags = F.regexp_extract_all(F.regexp_replace("html", _COMMENT, ""), F.lit(_TAG), F.lit(0))
+    linked = linked.select("url", F.explode(F.array_distinct(tags)).alias("tag"))
+    is_link = F.lower(F.substring("tag", 2, 4)) == "link"
+    target = F.when(is_link & F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(~is_link & F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _URL, 1))
+    edges = linked.select("url", target.alias("target")).where("target != ''").distinct()
     edges = edges.select("url", resolved(F.col("url"), F.regexp_replace("target", "(?i)&(?:amp|#38|#x26);", "&")).alias("target"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.col("source").alias("url"), "target"))
@@ -114,11 +117,10 @@ parsed AS (SELECT page_id, html, url, good,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^#]*)', 1), '') AS rest FROM p),
-links AS (SELECT host || rest AS a, host, path, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS html FROM parsed WHERE good AND html IS NOT NULL),
-t AS (SELECT a, host, path, regexp_replace(target, '(?i)&(?:amp|#38|#x26);', '&', 'g') AS target FROM (SELECT a, host, path, unnest(
-    regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-    || regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1)
-    || regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*[''"]?([^"''\s>]+)', 1)) AS target FROM links) WHERE target <> ''),
+links AS (SELECT host || rest AS a, host, path, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g'), '(?is)<(?:link|meta)\b[^<>]*>')) AS tag FROM parsed WHERE good AND html IS NOT NULL),
+t AS (SELECT DISTINCT a, host, path, regexp_replace(target, '(?i)&(?:amp|#38|#x26);', '&', 'g') AS target FROM (SELECT a, host, path,
+    CASE WHEN lower(tag[2:5]) = 'link' AND regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN lower(tag[2:5]) = 'meta' AND regexp_matches(tag, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?i)\burl\s*=\s*[''"]?([^"''\s>]+)', 1) END AS target FROM links) WHERE target <> ''),
 s AS (SELECT *, regexp_extract(target, '(?s)^([^?#]*)', 1) AS own FROM t),
 f AS (SELECT *, CASE WHEN own LIKE '/%' THEN own WHEN own = '' THEN path WHEN path LIKE '%/%' THEN regexp_extract(path, '(?s)^(.*/)', 1) || own ELSE '/' || own END AS full_path FROM s),
 u AS (SELECT a, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN target LIKE '//%' THEN 'http:' || target
