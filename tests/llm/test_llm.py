@@ -420,6 +420,29 @@ def test_vectors(spark, root, monkeypatch, most):
     assert all(got[k] == (0, k) for k in (1000, 1001, 1002, 1003)) and got[1004] == (1, 1004) and got[1005] == (1, 1004)
 
 
+def test_audit_by_kind(spark):
+    """A tight group whose links are all found can't hide pairs of which none is."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    group = unit(unit(rng.normal(size=64)) + 0.002 * rng.normal(size=(100, 64)))
+    first = unit(rng.normal(size=(150, 64)))
+    second = unit(first + 0.03 * rng.normal(size=(150, 64)))
+    x = np.concatenate([group, first, second])
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    assert set(true[:100]) == {99} and set(true[100:]) == {1}
+    classes = spark.createDataFrame([(k, 64, 1, v.tobytes()) for k, v in enumerate(x)], "id long, len long, n long, v binary")
+
+    def audit(found):
+        counted = [(k, int(found[k]), 99 if k < 100 else 0) for k in range(len(x))]
+        return vectors.recall(classes, spark.createDataFrame(counted, "id long, links long, certain long"), 0.95)
+
+    assert audit(true) == 1.0
+    assert audit(np.where(np.arange(len(x)) < 100, 99, 0)) == 0.0
+    lost = true.copy()
+    lost[100:130] = 0
+    assert audit(lost) == pytest.approx(0.9)
+
+
 @pytest.mark.parametrize("bits", [(ppm.WINDOW_BITS, ppm.WORD_BITS), (5, 3)])
 def test_ppm(spark, monkeypatch, bits):
     """The second case broadcasts next to nothing: windows and words go by the joins."""
@@ -548,6 +571,33 @@ def test_urls(spark):
     assert got[10] == got[11] == ("", "", None, "allow") and got[12][3] == got[13][3] == "allow"
 
 
+@pytest.mark.parametrize("part", ["<link rel=x ", "<!--", "<meta http-equiv = ", "<link rel" + " " * 50, "<link rel=canonical href=a ", "<!-- <link "])
+def test_long_pages(spark, part):
+    """Two megabytes of unclosed tags or comments are read once, and hide no link before them."""
+    import time
+
+    link = '<link rel="canonical" href="http://b.net/es/1">'
+    rows = [(1, "http://a.org/x", link + part * (2_000_000 // len(part))), (2, "http://c.org/y", part * (2_000_000 // len(part)) + ">")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    start = time.monotonic()
+    assert {(r["a"], r["b"]) for r in urlfilter.aliases(frame).collect() if r["a"] == "a.org/x"} == {("a.org/x", "b.net/es/1")}
+    assert time.monotonic() - start < 5
+
+
+def test_tags(spark):
+    """A tag's first href or url counts, in any order of attributes; tags in comments, closed or not, don't."""
+    rows = [
+        (1, "http://a.org/1", '<LINK HREF=/x rel = canonical href=/y>'), (2, "http://a.org/2", '<!-- <link rel=canonical href=/x> --><meta content="1; URL=/z" http-equiv=Refresh>'),
+        (3, "http://a.org/3", '<!-- <link rel=canonical href=/x>'), (4, "http://a.org/4", '<link rel=canonical <link rel=canonical href=/w>'), (5, "http://a.org/5", '<links rel=canonical href=/v><link rel=alternate href=/u>'),
+    ]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r["a"][-1], r["b"]) for r in urlfilter.aliases(frame).collect()} == {("1", "a.org/x"), ("2", "a.org/z"), ("4", "a.org/w")}
+    other = duckdb.connect()
+    other.register("frame", frame.toPandas())
+    other.sql("CREATE VIEW pages AS SELECT * FROM frame")
+    assert rows_of(urlfilter.judge(frame).toPandas()) == rows_of(other.sql(urlfilter.JUDGE_SQL).df())
+
+
 def test_url_links(spark):
     """Relative targets, entities, comments and further links of a page, as in the SQL."""
     link = '<link rel="canonical" href="{}">'
