@@ -85,22 +85,13 @@ def _moments(m: np.ndarray) -> tuple[float, float, float, Callable[[int, int], f
     return total, cx, cy, lambda p, q: float((((x - cx) ** p) * ((y - cy) ** q) * v).sum())
 
 
-@feature("area", "eccentricity", "extent", "inertia_1", "inertia_2", *(f"hu_{k}" for k in range(1, 8)))
-def region(mask):
-    """Area, shape of the inertia ellipse, share of the bounding box, and Hu's invariants."""
-    total, _, _, mu = _moments((mask > 0).astype(float))
-    if not total:
-        return [0.0] * 12
-    a, b, c = mu(2, 0) / total, mu(1, 1) / total, mu(0, 2) / total
-    half, root = (a + c) / 2, np.sqrt(((a - c) / 2) ** 2 + b * b)
-    l1, l2 = half + root, max(0.0, half - root)
-    y, x = np.nonzero(mask)
-    box = (np.ptp(x) + 1) * (np.ptp(y) + 1)
+def _hu(total: float, mu: Callable[[int, int], float]) -> list[float]:
+    """Hu's seven invariants from central moments."""
     n = {(p, q): mu(p, q) / total ** (1 + (p + q) / 2) for p in range(4) for q in range(4) if 2 <= p + q <= 3}
     s, d = n[3, 0] + n[1, 2], n[2, 1] + n[0, 3]
     u, v = n[3, 0] - 3 * n[1, 2], 3 * n[2, 1] - n[0, 3]
     w = n[2, 0] - n[0, 2]
-    hu = [
+    return [
         n[2, 0] + n[0, 2],
         w * w + 4 * n[1, 1] ** 2,
         u * u + v * v,
@@ -109,7 +100,130 @@ def region(mask):
         w * (s * s - d * d) + 4 * n[1, 1] * s * d,
         v * s * (s * s - 3 * d * d) - u * d * (3 * s * s - d * d),
     ]
-    return [total, np.sqrt(1 - l2 / l1) if l1 else 0.0, total / box, l1, l2, *hu]
+
+
+def _inertia(total: float, mu: Callable[[int, int], float]) -> tuple[float, float]:
+    """The larger and the smaller eigenvalue of the inertia tensor."""
+    a, b, c = mu(2, 0) / total, mu(1, 1) / total, mu(0, 2) / total
+    half, root = (a + c) / 2, np.sqrt(((a - c) / 2) ** 2 + b * b)
+    return half + root, max(0.0, half - root)
+
+
+@feature("area", "eccentricity", "extent", "inertia_1", "inertia_2", *(f"hu_{k}" for k in range(1, 8)))
+def region(mask):
+    """Area, shape of the inertia ellipse, share of the bounding box, and Hu's invariants."""
+    total, _, _, mu = _moments((mask > 0).astype(float))
+    if not total:
+        return [0.0] * 12
+    l1, l2 = _inertia(total, mu)
+    y, x = np.nonzero(mask)
+    box = (np.ptp(x) + 1) * (np.ptp(y) + 1)
+    return [total, np.sqrt(1 - l2 / l1) if l1 else 0.0, total / box, l1, l2, *_hu(total, mu)]
+
+
+def _hull(points) -> np.ndarray:
+    """The corners of the convex hull, in turn."""
+    pts = sorted(set(map(tuple, points)))
+
+    def half(order):
+        hull: list = []
+        for p in order:
+            while len(hull) > 1 and (hull[-1][0] - hull[-2][0]) * (p[1] - hull[-2][1]) <= (hull[-1][1] - hull[-2][1]) * (p[0] - hull[-2][0]):
+                hull.pop()
+            hull.append(p)
+        return hull[:-1]
+
+    return np.array(half(pts) + half(pts[::-1]) or [[0, 0]], float)
+
+
+def _solidity(mask: np.ndarray) -> float:
+    """Share of the pixels whose middle lies in the convex hull of the pixels' edge middles."""
+    y, x = np.nonzero(mask)
+    ends = np.ones(len(y), bool)  # of each line, the first and last pixel can be corners
+    ends[1:-1] = (y[1:-1] != y[:-2]) | (y[1:-1] != y[2:])
+    ex, ey = x[ends], y[ends]
+    corners = np.concatenate([np.stack([ex + dx, ey + dy], 1) for dx, dy in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))])
+    hull = _hull(corners.tolist())
+    inside = 0
+    for line in range(int(y.min()), int(y.max()) + 1):
+        p, q = hull, np.roll(hull, -1, axis=0)
+        meets = (np.minimum(p[:, 1], q[:, 1]) <= line) & (np.maximum(p[:, 1], q[:, 1]) >= line)
+        p, q = p[meets], q[meets]
+        flat = p[:, 1] == q[:, 1]
+        t = np.where(flat, 0, (line - p[:, 1]) / np.where(flat, 1, q[:, 1] - p[:, 1]))
+        at = np.concatenate([p[:, 0] + t * (q[:, 0] - p[:, 0]), q[flat, 0]])
+        inside += int(np.floor(at.max() + 1e-9) - np.ceil(at.min() - 1e-9)) + 1
+    return len(y) / inside
+
+
+def _shape(mask: np.ndarray) -> tuple[list[float], list[float]]:
+    """Hu's invariants (along rows first); eccentricity, solidity, extent, both eigenvalues and the area."""
+    total, _, _, mu = _moments(mask.astype(float).T)
+    l1, l2 = _inertia(total, mu)
+    y, x = np.nonzero(mask)
+    extent = total / ((np.ptp(x) + 1) * (np.ptp(y) + 1))
+    return _hu(total, mu), [np.sqrt(1 - l2 / l1) if l1 else 0.0, _solidity(mask), extent, l1, l2, total]
+
+
+def _filled(mask: np.ndarray) -> np.ndarray:
+    """The mask's box with its holes (four-connected, off the border) filled: what a flood from outside doesn't reach."""
+    y, x = np.nonzero(mask)
+    own = np.pad(mask[y.min() : y.max() + 1, x.min() : x.max() + 1], 1)
+    out = np.zeros(own.shape, bool)
+    out[0, 0] = True
+    while True:
+        grown = out.copy()
+        for axis in (0, 1):
+            for way in (1, -1):
+                # spread along free runs: a pixel is reached if its run holds one that is
+                wall = np.flip(own, axis) if way < 0 else own
+                seen = np.flip(grown, axis) if way < 0 else grown
+                at = np.indices(own.shape)[axis]
+                last_wall = np.maximum.accumulate(np.where(wall, at, -1), axis)
+                last_seen = np.maximum.accumulate(np.where(seen, at, -1), axis)
+                reached = (last_seen > last_wall) & ~wall
+                grown = grown | (np.flip(reached, axis) if way < 0 else reached)
+        if (grown == out).all():
+            return ~out[1:-1, 1:-1]
+        out = grown
+
+
+def _at_side(mask: np.ndarray, side: int) -> np.ndarray:
+    """The mask with its longer side ``side`` pixels long, by the nearest pixel."""
+    h, w = mask.shape
+    f = side / max(h, w)
+    y, x = ((np.arange(max(1, round(n * f))) + 0.5) * n / max(1, round(n * f)) for n in (h, w))
+    return mask[np.minimum(y.astype(int), h - 1)][:, np.minimum(x.astype(int), w - 1)]
+
+
+def _named(prefix: str, weighted: bool) -> list[str]:
+    hu = [f"{prefix}_hu_{k}" for k in range(1, 8)] + ([f"{prefix}_weighted_hu_{k}" for k in range(1, 8)] if weighted else [])
+    return [*hu, *(f"{prefix}_{n}" for n in ("eccentricity", "solidity", "extent", "inertia_1", "inertia_2", "area"))]
+
+
+SIDE = 256  #: longer side of the resized forms
+
+
+@feature(*_named("outer", True), *_named("resized_outer", False), *_named("inner", True), *_named("resized_inner", False), "inner_regions")
+def regions(mask, gray):
+    """The shape of the largest region (a mask's value) and of the second largest one, if there is one, as they are and resized.
+
+    Weighted invariants take the grey values as mass. With exactly two regions the one of the smaller
+    value is the outer one.
+    """
+    values, sizes = np.unique(mask[mask > 0], return_counts=True)
+    if not len(values):
+        return [0.0] * 67
+    order = values if len(values) == 2 else values[np.argsort(-sizes, kind="stable")]
+    out: list[float] = []
+    for v in order[:2]:
+        own = mask == v
+        hu, rest = _shape(own)
+        total, _, _, mu = _moments((gray.astype(float) * own).T)
+        weighted = _hu(total, mu) if total else [0.0] * 7
+        small_hu, small = _shape(_at_side(_filled(own), SIDE))
+        out += [*hu, *weighted, *rest, *small_hu, *small]
+    return [*out, *[0.0] * (66 - len(out)), float(len(values) - 1)]
 
 
 def cooccurrence(gray: np.ndarray, distance: int, angle: float, levels: int = 8) -> np.ndarray:
@@ -139,32 +253,97 @@ def glcm(gray):
     return [v for d in (5, 20, 100) for a in (0, 45, 90, 135) for v in _texture(cooccurrence(gray, d, np.deg2rad(a)))]
 
 
+def _thirteen(p: np.ndarray) -> list[float]:
+    """Haralick's first thirteen texture measures of a co-occurrence matrix; 0 for one without pairs."""
+    i, j = np.nonzero(p)
+    if not len(i):
+        return [0.0] * 13
+    n, v = len(p), p[i, j]
+    px, py = p.sum(1), p.sum(0)
+    plus, minus = np.bincount(i + j, v, 2 * n - 1), np.bincount(np.abs(i - j), v, n)
+    h = lambda q: float(-(q[q > 0] * np.log2(q[q > 0])).sum())
+    mi, mj = (i * v).sum(), (j * v).sum()
+    si, sj = np.sqrt(((i - mi) ** 2 * v).sum()), np.sqrt(((j - mj) ** 2 * v).sum())
+    corr = float(((i - mi) * (j - mj) * v).sum() / (si * sj)) if si * sj > 1e-12 else 1.0
+    avg = (np.arange(2 * n - 1) * plus).sum()
+    hxy, hx, hy = h(v), h(px), h(py)
+    hxy1, hxy2 = float(-(v * np.log2(px[i] * py[j])).sum()), hx + hy
+    k = np.arange(n)
+    return [
+        (v**2).sum(), float(((i - j) ** 2 * v).sum()), corr, ((i - mi) ** 2 * v).sum(), (v / (1 + (i - j) ** 2)).sum(), avg, ((np.arange(2 * n - 1) - avg) ** 2 * plus).sum(),
+        h(plus), hxy, (k * k * minus).sum() - ((k * minus).sum()) ** 2, h(minus), (hxy - hxy1) / max(hx, hy, 1e-12), np.sqrt(max(0.0, 1 - np.exp(-2 * (hxy2 - hxy)))),
+    ]
+
+
 @feature(*(f"haralick_{k}" for k in range(1, 14)))
 def haralick(gray):
     """Haralick's first thirteen texture measures, averaged over the four directions at distance 1."""
-    out = []
-    for a in (0, 45, 90, 135):
-        p = cooccurrence(gray, 1, np.deg2rad(a), 32)
-        if not p.sum():
-            return [0.0] * 13
-        i, j = np.indices(p.shape)
-        n = len(p)
-        px, py = p.sum(1), p.sum(0)
-        plus, minus = np.bincount((i + j).ravel(), p.ravel(), 2 * n - 1), np.bincount(np.abs(i - j).ravel(), p.ravel(), n)
-        h = lambda v: float(-(v[v > 0] * np.log2(v[v > 0])).sum())
-        contrast, corr = _texture(p)
-        mean = (i * p).sum()
-        avg = (np.arange(2 * n - 1) * plus).sum()
-        hxy, hx, hy = h(p), h(px), h(py)
-        outer = np.outer(px, py)
-        ok = outer > 0
-        hxy1, hxy2 = float(-(p[ok] * np.log2(outer[ok])).sum()), h(outer)
-        k = np.arange(n)
-        out.append(
-            [(p**2).sum(), contrast, corr, ((i - mean) ** 2 * p).sum(), (p / (1 + (i - j) ** 2)).sum(), avg, ((np.arange(2 * n - 1) - avg) ** 2 * plus).sum(),
-             h(plus), hxy, (k * k * minus).sum() - ((k * minus).sum()) ** 2, h(minus), (hxy - hxy1) / max(hx, hy, 1e-12), np.sqrt(max(0.0, 1 - np.exp(-2 * (hxy2 - hxy))))]
-        )
-    return np.mean(out, axis=0)
+    all_ = [cooccurrence(gray, 1, np.deg2rad(a), 32) for a in (0, 45, 90, 135)]
+    return np.mean([_thirteen(p) for p in all_], axis=0) if all(p.sum() for p in all_) else [0.0] * 13
+
+
+def _haralick_of(channel: np.ndarray, mask: np.ndarray) -> list[float]:
+    """Thirteen measures for each of four directions, of all 256 levels; pixels outside of the mask are 0."""
+    own = np.where(mask > 0, channel, 0)
+    return [v for a in (0, 45, 90, 135) for v in _thirteen(cooccurrence(own, 1, np.deg2rad(a), 256))]
+
+
+def _directions(channel: str) -> list[str]:
+    return [f"{channel}_haralick_{a}_{k}" for a in (0, 45, 90, 135) for k in range(1, 14)]
+
+
+@feature(*_directions("gray"))
+def gray_haralick(gray, mask):
+    return _haralick_of(gray, mask)
+
+
+@feature(*_directions("red"))
+def red_haralick(image, mask):
+    return _haralick_of(image[..., 0], mask)
+
+
+@feature(*_directions("green"))
+def green_haralick(image, mask):
+    return _haralick_of(image[..., 1], mask)
+
+
+@feature(*_directions("blue"))
+def blue_haralick(image, mask):
+    return _haralick_of(image[..., 2], mask)
+
+
+TISSUE, CLEARED = 200, (200, 250)  #: the value of tissue, and the values that aren't nuclei
+
+
+@feature("radius_mean", "radius_std", "radius_kurtosis", "chain_length", "nuclei", "nuclei_to_tissue")
+def nuclei(mask):
+    """Radii of the nuclei's outlines (their length over 2 pi), the path through their middles, their number, and their share of the tissue.
+
+    Nuclei are the pixels of all other values than CLEARED; outlines of fewer than three points don't
+    count. The share weighs pixels by their value, line by line.
+    """
+    from ..operators.raster import traced
+
+    left = np.where(np.isin(mask, CLEARED), 0, mask)
+    own, tissue = left.sum(1, dtype=float).sum(), np.where(mask == TISSUE, mask, 0).sum(1, dtype=float).sum()
+    lines = [np.array(line, float) for _, line in traced(left > 0) if len(line) > 2]
+    if not lines:
+        return [0.0] * 6
+    lengths = [np.hypot(*(np.roll(a, -1, axis=0) - a).T).sum() for a in lines]
+    r = np.array(lengths) / (2 * np.pi)
+    spread = r.std()
+    middles = np.array([_middle(a) for a in lines])
+    chain = np.hypot(*np.diff(middles, axis=0).T).sum() if len(middles) > 1 else 0.0
+    return [r.mean(), spread, ((r - r.mean()) ** 4).mean() / spread**4 - 3 if spread > 1e-12 else -3.0, chain, len(lines), own / tissue if tissue else 0.0]
+
+
+def _middle(line: np.ndarray) -> np.ndarray:
+    """An outline's centre of mass (y, x), cut to whole numbers; its points' mean if it has no area."""
+    y, x = line.T
+    cross = x * np.roll(y, -1) - np.roll(x, -1) * y
+    if not cross.sum():
+        return np.trunc(line.mean(0))
+    return np.trunc([((v + np.roll(v, -1)) * cross).sum() / (3 * cross.sum()) for v in (y, x)])
 
 
 @feature("outline_area", "outline_length", "solidity")
@@ -173,16 +352,6 @@ def outline(contour):
     x, y = contour[:, 0], contour[:, 1]
     area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
     length = np.hypot(np.roll(x, -1) - x, np.roll(y, -1) - y).sum()
-    pts = sorted(map(tuple, contour.tolist()))
-
-    def half(order):
-        hull: list = []
-        for p in order:
-            while len(hull) > 1 and (hull[-1][0] - hull[-2][0]) * (p[1] - hull[-2][1]) <= (hull[-1][1] - hull[-2][1]) * (p[0] - hull[-2][0]):
-                hull.pop()
-            hull.append(p)
-        return hull[:-1]
-
-    hull = np.array(half(pts) + half(pts[::-1]) or [[0, 0]], float)
+    hull = _hull(contour.tolist())
     whole = abs((hull[:, 0] * np.roll(hull[:, 1], -1) - np.roll(hull[:, 0], -1) * hull[:, 1]).sum()) / 2
     return [area, length, area / whole if whole else 0.0]

@@ -73,6 +73,26 @@ def human_bytes(n: Column) -> Column:
     return out
 
 
+#: Twelve colours for labels 0 to 11 (red, green, blue).
+PALETTE = [
+    (166, 206, 227), (31, 120, 180), (178, 223, 138), (51, 160, 44), (251, 154, 153), (227, 26, 28),
+    (253, 191, 111), (255, 127, 0), (202, 178, 214), (106, 61, 154), (255, 255, 153), (177, 89, 40),
+]
+
+
+def colour(label: Column) -> Column:
+    """struct(hue in whole degrees, lightness, saturation) of a label: from PALETTE, hashed beyond it."""
+    rgb = F.get(F.array(*[F.array(*[F.lit(v / 255) for v in c]) for c in PALETTE]), label.cast("int"))
+    hashed = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.pmod(F.xxhash64(label, k), F.lit(256)) / 255.0)
+    c = F.when(label.between(0, len(PALETTE) - 1), rgb).otherwise(hashed)
+    top, low = F.array_max(c), F.array_min(c)
+    span, light = top - low, (top + low) / 2
+    saturation = F.when(span == 0, 0.0).when(light <= 0.5, span / (top + low)).otherwise(span / (2 - top - low))
+    turn = F.when(c[0] == top, (c[1] - c[2]) / span).when(c[1] == top, 2 + (c[2] - c[0]) / span).otherwise(4 + (c[0] - c[1]) / span)
+    degrees = F.when(span == 0, 0).otherwise(F.floor(F.pmod(turn / 6, F.lit(1.0)) * 360 + 1e-9)).cast("int")
+    return F.struct(degrees.alias("hue"), light.alias("lightness"), saturation.alias("saturation"))
+
+
 def hue(label: Column, colours: int = 12) -> Column:
     """A stable hue in degrees: evenly spread for labels below ``colours``, hashed beyond."""
     spread = (label * F.lit(360.0 / colours)).cast("int")

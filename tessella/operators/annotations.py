@@ -99,3 +99,25 @@ def stitch(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
     comps = components(pairs.select(F.col("i").alias("a"), F.col("j").alias("b")))
     return items.join(comps.select(F.col("node").alias("id"), F.col("component").alias("whole")), "id", "left").withColumn("whole", F.coalesce("whole", "id"))
+
+
+def clear_layers(items: DataFrame, layers: Sequence[str]) -> DataFrame:
+    """items without those of the given layers."""
+    return items.where(~F.col("layer").isin(list(layers)))
+
+
+def replace_items(items: DataFrame, new: DataFrame, layers: Sequence[str]) -> DataFrame:
+    """The given layers' items replaced by new's, numbered anew in each layer; a layer that new lacks is left empty."""
+    fresh = new.where(F.col("layer").isin(list(layers)))
+    fresh = fresh.withColumn("idx", F.row_number().over(Window.partitionBy("slide_id", "layer").orderBy("idx")) - 1)
+    return clear_layers(items, layers).unionByName(fresh, allowMissingColumns=True)
+
+
+def to_segments(points: Column) -> Column:
+    """Points as the older schema's segments: structs that hold a point."""
+    return F.transform(points, lambda p: F.struct(p.alias("point")))
+
+
+def from_segments(segments: Column) -> Column:
+    """The inverse."""
+    return F.transform(segments, lambda s: s["point"])

@@ -156,9 +156,12 @@ def som(points: DataFrame, rows: int, columns: int, *, rounds: int = 8, seed: in
     book = seeds(points, rows * columns, seed)
     while len(book) < rows * columns:
         book = np.vstack([book, book])[: rows * columns]
+    return _trained(points, book, rows, columns, np.geomspace(max(rows, columns) / 2, 0.5, rounds))
+
+
+def _trained(points: DataFrame, book: np.ndarray, rows: int, columns: int, widths: Sequence[float]) -> np.ndarray:
     at = np.array([(r, c) for r in range(rows) for c in range(columns)], float)
     apart = ((at[:, None] - at[None]) ** 2).sum(2)
-    widths = np.geomspace(max(rows, columns) / 2, 0.5, rounds)
     for width in widths:
         sums, counts = _sums(points, book)
         near = np.exp(-apart / (2 * width * width))
@@ -170,6 +173,35 @@ def som(points: DataFrame, rows: int, columns: int, *, rounds: int = 8, seed: in
     return book
 
 
+def plane(points: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """Codes of a rows x columns lattice spread over the plane of the two main components, two deviations either way."""
+    from .components import fit
+
+    model, _ = fit(points, 2)
+    first, second = model.directions[0], model.directions[min(1, len(model.directions) - 1)]
+    a, b = np.sqrt(model.variance[0]), np.sqrt(model.variance[min(1, len(model.variance) - 1)])
+    u = np.linspace(-2, 2, rows) if rows > 1 else np.zeros(1)
+    v = np.linspace(-2, 2, columns) if columns > 1 else np.zeros(1)
+    return np.array([model.mean + x * a * first + y * b * second for x in u for y in v])
+
+
+def phased_som(points: DataFrame, rows: int, columns: int, *, rough: int = 6, fine: int = 6) -> np.ndarray:
+    """Codebook of a batch self-organising map from the main plane: ``rough`` rounds with wide neighbourhoods, ``fine`` rounds with narrow ones.
+
+    Nothing is drawn, so reruns agree.
+    """
+    from_, to = max(1.0, max(rows, columns) / 2), max(1.0, max(rows, columns) / 8)
+    return _trained(points, plane(points, rows, columns), rows, columns, [*np.linspace(from_, to, rough), *np.linspace(to, 0.3, fine)])
+
+
+def quantisation_error(points: DataFrame, book: np.ndarray) -> float:
+    """Mean distance of points to their nearest code."""
+    from .nearest import nearest_code
+
+    codes = points.sparkSession.createDataFrame([(k, [float(x) for x in c]) for k, c in enumerate(book)], "code int, vec array<double>")
+    return nearest_code(points, codes).agg(F.avg("dist")).first()[0]
+
+
 def kmeans(points: DataFrame, k: int, *, rounds: int = 10, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
     """Centres, and id with code; an empty cluster keeps its centre."""
     centres = seeds(points, k, seed)

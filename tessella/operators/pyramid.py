@@ -382,3 +382,33 @@ def tiled(images: DataFrame, tile: int, *, overlap: int = 0) -> DataFrame:
             yield pd.DataFrame(rows, columns=[*TILE_KEYS, "image"])
 
     return images.select("slide", "image").mapInPandas(run, f"slide {kind}, level int, col int, row int, image {CELL}")
+
+
+def fit_to_tiles(image: np.ndarray, mask: np.ndarray, size: int, *, several: float = 1.0, least_fill: float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Square tiles of an image and its mask: one padded by reflection if a side is too short, else several, the last ones
+    flush with the end (those with less than ``least_fill`` of mask left out), or the middle if no side exceeds ``several`` tiles."""
+    h, w = image.shape[:2]
+    if h < size or w < size:
+        more = [(max(0, size - n) // 2, max(0, size - n) - max(0, size - n) // 2) for n in (h, w)]
+        return [tuple(np.pad(a, [*more, *[(0, 0)] * (a.ndim - 2)], mode="symmetric")[:size, :size] for a in (image, mask))]
+    if max(h, w) > size * several:
+        starts = [[min(k, n - size) for k in range(0, n, size)] for n in (h, w)]
+        parts = [(slice(r, r + size), slice(c, c + size)) for r in starts[0] for c in starts[1]]
+        return [(image[p], mask[p]) for p in parts if (mask[p] > 0).mean() >= least_fill]
+    top, left = round((h - size) / 2), round((w - size) / 2)
+    middle = (slice(top, top + size), slice(left, left + size))
+    return [(image[middle], mask[middle])]
+
+
+def fitted(objects: DataFrame, keys: Sequence[str], size: int, **options) -> DataFrame:
+    """keys, tile (number), image and mask: the tiles of ``fit_to_tiles`` of every object (image, mask)."""
+    kinds = dict(objects.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            found = [fit_to_tiles(unpack(a), unpack(b), size, **options) for a, b in zip(pdf["image"], pdf["mask"], strict=True)]
+            at = np.repeat(np.arange(len(pdf)), [len(f) for f in found])
+            out = pdf[list(keys)].iloc[at].reset_index(drop=True)
+            yield out.assign(tile=pd.Series([k for f in found for k in range(len(f))], dtype="int32"), image=[pack(a) for f in found for a, _ in f], mask=[pack(b) for f in found for _, b in f])
+
+    return objects.select(*keys, "image", "mask").mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"tile int, image {CELL}, mask {CELL}"]))

@@ -132,6 +132,21 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def traced(mask: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
+    """number, outline (y, x) of every component, in scan order; each is traced within its own box."""
+    number = label_components(mask)
+    y, x = np.nonzero(number)
+    k = number[y, x]
+    order = np.argsort(k, kind="stable")
+    y, x, k = y[order], x[order], k[order]
+    out = []
+    for a, b in zip(*(np.searchsorted(k, np.unique(k), side) for side in ("left", "right")), strict=True):
+        y0, x0, y1, x1 = int(y[a]), int(x[a:b].min()), int(y[b - 1]), int(x[a:b].max())
+        own = number[y0 : y1 + 1, x0 : x1 + 1] == k[a]
+        out.append((int(k[a]), [(p + y0, q + x0) for p, q in _boundary(own, (0, int(x[a]) - x0))]))
+    return out
+
+
 def contours(masks: DataFrame, keys: Sequence[str], intervals: dict[str, tuple[int, int]], least: int = 3) -> DataFrame:
     """keys, label, idx, points of the outlines of each label's pixels (value strictly within its interval), moved by x, y."""
     kinds = dict(masks.dtypes)
@@ -142,10 +157,7 @@ def contours(masks: DataFrame, keys: Sequence[str], intervals: dict[str, tuple[i
             for rec in pdf.to_dict("records"):
                 image = unpack(rec["mask"])
                 for label, (lo, hi) in intervals.items():
-                    lab = label_components((image > lo) & (image < hi))
-                    for k in range(1, lab.max() + 1):
-                        y, x = np.nonzero(lab == k)
-                        line = _boundary(lab == k, (int(y[0]), int(x[0])))
+                    for k, line in traced((image > lo) & (image < hi)):
                         if len(line) >= least:
                             rows.append([*(rec[c] for c in keys), label, k - 1, [{"x": float(b + rec["x"]), "y": float(a + rec["y"])} for a, b in line]])
             yield pd.DataFrame(rows, columns=[*keys, "label", "idx", "points"])

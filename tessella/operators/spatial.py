@@ -153,3 +153,9 @@ def top_k(objects: DataFrame, on: Sequence[str], by: Sequence[Column], k: int) -
     """The k first rows of each group by the given order (planned with a group limit before the shuffle)."""
     rank = F.row_number().over(Window.partitionBy(*on).orderBy(*by))
     return objects.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def related(tiles: DataFrame, areas: DataFrame, on: Sequence[str], cell: int, positions: Sequence[str] = ("overlap", "contained")) -> DataFrame:
+    """Pairs (l: tile, r: area) that stand in one of the given relations, with ``rel`` (see ``boxes.relation``)."""
+    pairs = box_join(tiles, areas, on, cell).withColumn("rel", boxes.relation("l.", "r."))
+    return pairs.where(F.col("rel.position").isin(list(positions)))

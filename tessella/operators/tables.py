@@ -24,6 +24,35 @@ def prefix_join(slides: DataFrame, patients: DataFrame, slide: str, patient: str
     return s.join(p, "_p", "left").join(q, "_q", "left").withColumn(patient, F.coalesce("_long", "_short")).where(F.col(patient).isNotNull()).drop("_p", "_q", "_long", "_short")
 
 
+def merge_sorted(annotations: DataFrame, slides: DataFrame, annotation: str, slide: str) -> DataFrame:
+    """Pairs in which the slide's id begins with the annotation's: each annotation with its first such slide in order.
+
+    An annotation without a slide, and a slide without an annotation, has no pair. The join is on
+    the ids' common beginnings by length, so neither list is walked in one place.
+    """
+    sizes = annotations.select(F.length(annotation).alias("_n")).distinct()
+    begun = slides.select(F.col(slide).alias("_slide")).join(F.broadcast(sizes), F.length("_slide") >= F.col("_n")).select("_slide", F.expr("left(_slide, _n)").alias("_b"))
+    first = begun.groupBy("_b").agg(F.min("_slide").alias("_first"))
+    return annotations.join(first, F.col(annotation) == F.col("_b")).drop("_b").withColumnRenamed("_first", slide)
+
+
+def balanced_pairs(cases: DataFrame, pairs: DataFrame, case: str, stratum: str, wanted: Mapping[str, float], total: int, seed: int = 0) -> DataFrame:
+    """Pairs (a, b) of cases chosen until about ``total`` cases are taken, each stratum of a as near its wanted share as its pairs allow.
+
+    A pair belongs to the stratum of its a and is taken with its b; no case is in two pairs: of pairs
+    that share one, the first in hash order stays. The quotas are filled in hash order, as if the
+    stratum with the largest deficit always drew next.
+    """
+    order = F.struct(hash_text(F.col("a"), F.col("b"), seed=seed), F.col("a"), F.col("b"))
+    own = pairs.select("a", "b").where(F.col("a") != F.col("b")).withColumn("_o", order)
+    ends = own.select(F.explode(F.array("a", "b")).alias("_c"), "_o").groupBy("_c").agg(F.min("_o").alias("_least"))
+    for side in ("a", "b"):
+        own = own.join(ends.select(F.col("_c").alias(side), F.col("_least").alias(f"_{side}")), side)
+    own = own.where((F.col("_a") == F.col("_o")) & (F.col("_b") == F.col("_o"))).drop("_a", "_b", "_o")
+    named = own.join(cases.select(F.col(case).alias("a"), F.col(stratum).alias("stratum")), "a").withColumn("_key", F.concat_ws(":", "a", "b"))
+    return balanced(named, "stratum", "_key", wanted, total // 2, seed).select("a", "b", "stratum")
+
+
 def both_ways(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs in both directions, as a and b."""
     return pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(pairs.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct()
@@ -111,7 +140,7 @@ def last_streak(log: DataFrame, by: Sequence[str], idx: str, epoch: str) -> Data
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """df with _rank (from 0, in this order) and _all (rows of the group), by prefix sums over key ranges.
 
-    No group, nor the whole table, is sorted in one task. Rows alike in ``order`` get ranks in any order.
+    order: values, the smaller ones first, nulls before all. No group, nor the whole table, is sorted in one task. Rows alike in ``order`` get ranks in any order.
     Starts jobs when it is called (see ``stats.prefix_sums``).
     """
     from .stats import prefix_sums
@@ -325,3 +354,10 @@ def filter_jobs(jobs: DataFrame, *, name: str | None = None, strict: bool = Fals
 def mean_of_copies(df: DataFrame, order: str, copies: int, values: Sequence[str]) -> DataFrame:
     """item, and the mean of each value over its ``copies`` consecutive rows (order counts from 0)."""
     return df.groupBy(F.floor(F.col(order) / copies).alias("item")).agg(*(F.avg(v).alias(v) for v in values))
+
+
+def parameter_map(results: DataFrame, x: str, y: str, z: str, columns: Sequence, fixed: Mapping[str, object], order: str) -> DataFrame:
+    """y and a column per value of x: z of the first run (by ``order``) with these parameters and the fixed ones; null where no run has them."""
+    runs = results.where(reduce(lambda a, b: a & b, (F.col(k) == v for k, v in fixed.items()), F.lit(True)))
+    first = runs.groupBy(y, x).agg(F.min_by(z, order).alias(z))
+    return first.groupBy(y).pivot(x, list(columns)).agg(F.first(z))

@@ -137,3 +137,38 @@ def resolution_table(spark: SparkSession, path: str) -> DataFrame:
     names = ["target_mpp", "target_qc_mpp", "read_level", "qc_read_level", "read_mpp", "qc_mpp"]
     raw = spark.read.schema(", ".join(f"{c} double" for c in names)).option("multiLine", True).json(path)
     return raw.select(_slide(raw), *names)
+
+
+#: The columns of patient, primary and secondary pattern and score in the two clinical tables.
+LABEL_SETS = [
+    ("bcr_patient_barcode", "gleason_pattern_primary", "gleason_pattern_secondary", "gleason_score"),
+    ("SpecimenIdentifier", "PrimaryGleason", "SecondaryGleason", "TotalGleason"),
+]
+
+
+def clinical_table(spark: SparkSession, paths: Sequence[str], *, sep: str = "\t", skip: Sequence[int] = (0, 1)) -> DataFrame:
+    """patient, first, second, total of clinical tables with either set of columns.
+
+    The first set's tables have two lines below their header that are no rows (``skip``).
+    """
+    header = set(spark.read.option("header", True).option("sep", sep).csv(list(paths)).columns)
+    for k, names in enumerate(LABEL_SETS):
+        if set(names) <= header:
+            kinds = dict(zip(names, ("text", "number", "number", "number"), strict=True))
+            return typed_table(spark, paths, kinds, sep=sep, names=dict(zip(names, ("patient", "first", "second", "total"), strict=True)), skip=skip if k == 0 else ())
+    raise ValueError(f"neither {LABEL_SETS[0]} nor {LABEL_SETS[1]} among {sorted(header)}")
+
+
+def level_catalogue(slides: DataFrame, target: float, done: DataFrame | None = None) -> DataFrame:
+    """slide_id, downsamples, dimensions, mpp, target_mpp, read_level and read_mpp of slides (slide_id, w, h, mpp, levels).
+
+    Level k has 1 / 2 ** k of the size; read_level is the coarsest one that is at least as fine as the
+    target (else 0). Slides that done has are left out.
+    """
+    new = slides if done is None else slides.join(done, "slide_id", "left_anti")
+    levels = F.sequence(F.lit(0), F.col("levels") - 1)
+    scale = F.transform(levels, lambda k: F.pow(F.lit(2.0), k))
+    size = F.transform(scale, lambda s: F.struct(F.ceil(F.col("w") / s).cast("int").alias("w"), F.ceil(F.col("h") / s).cast("int").alias("h")))
+    fine = F.size(F.filter(scale, lambda s: F.col("mpp") * s <= target))
+    level = F.greatest(fine - 1, F.lit(0))
+    return new.select("slide_id", scale.alias("downsamples"), size.alias("dimensions"), "mpp", F.lit(float(target)).alias("target_mpp"), level.alias("read_level"), (F.col("mpp") * F.pow(F.lit(2.0), level)).alias("read_mpp"))
