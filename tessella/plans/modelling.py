@@ -79,8 +79,8 @@ def sampled_neighbours(spark, root):
 
 
 def misclassified(spark, root):
-    """Vectors of two classes: how often each was tested, and misclassified by boosted trees, over two splits."""
-    v = vectors(spark, root).where("label < 2")
+    """Vectors of three classes: how often each was tested, and misclassified by boosted trees, over two splits."""
+    v = vectors(spark, root).withColumn("label", F.col("label") % 3)
     return models.hard_to_tell(v, "label", times=2, trees=3, boosted=True).select("id", "n", "wrong")
 
 
@@ -121,7 +121,7 @@ def experiment_search(spark, root):
 
 def matched_points(spark, root):
     """Box corners of each slide matched with the nearest unused corners of others."""
-    b = boxes(spark, root).where("w > 20").select("slide_id", "obj_id", "x", "y")
+    b = boxes(spark, root).select("slide_id", "obj_id", "x", "y")
     return tiles.matched(b.where("obj_id % 2 = 0"), b.where("obj_id % 2 = 1"), ["slide_id"], 300.0).select("slide_id", "near", "far")
 
 
@@ -130,6 +130,13 @@ QUERIES = {f.__name__: f for f in (misclassified, independent_components, inlier
 _CUT = "CASE WHEN {0} >= 64 THEN list_transform(range(0, CAST(ceil({0} / 64.0) AS BIGINT)), lambda k: least(k * 64, {0} - 64)) ELSE [CAST(-floor((64 - {0}) / 2.0) AS BIGINT)] END"
 _NEAR = "n AS (SELECT id, other, dist FROM (SELECT a.vec_id AS id, b.vec_id AS other, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), b.vec_id) AS k FROM embeddings a JOIN embeddings b ON TRUE) WHERE k <= 20)"
 ORACLE_SQL = {
+    "matched_points": f"""WITH RECURSIVE {BOXES_SQL}, a AS (SELECT slide_id, obj_id AS near, x, y, row_number() OVER (PARTITION BY slide_id ORDER BY obj_id) AS k FROM boxes WHERE obj_id % 2 = 0),
+ b AS (SELECT slide_id, obj_id AS far, x, y FROM boxes WHERE obj_id % 2 = 1), n AS (SELECT slide_id, max(k) AS n FROM a GROUP BY slide_id),
+ c AS (SELECT a.slide_id, k, near, far, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS d FROM a JOIN b ON a.slide_id = b.slide_id AND b.x BETWEEN a.x - 300 AND a.x + 300 AND (b.x - a.x) ** 2 + (b.y - a.y) ** 2 < 90000),
+ g(slide_id, k, used, near, far) AS (SELECT slide_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM n UNION ALL
+  SELECT slide_id, k, CASE WHEN far IS NULL THEN used ELSE list_append(used, far) END, near, far FROM (SELECT g.slide_id, g.k + 1 AS k, g.used, any_value(c.near) AS near, (min(row(c.d, c.far)) FILTER (c.far IS NOT NULL))[2] AS far
+  FROM g JOIN n ON n.slide_id = g.slide_id AND g.k < n.n LEFT JOIN c ON c.slide_id = g.slide_id AND c.k = g.k + 1 AND NOT list_contains(g.used, c.far) GROUP BY g.slide_id, g.k, g.used))
+SELECT slide_id, near, far FROM g WHERE far IS NOT NULL""",
     "prototype_examples": """WITH v AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), d AS (SELECT v.cluster, v.id, p.id AS prototype, list_distance(v.vec, p.vec) AS dist FROM v JOIN v p ON p.cluster = v.cluster AND p.id < 40),
  m AS (SELECT cluster, id, min(row(dist, prototype)) AS m FROM d GROUP BY ALL), t AS (SELECT cluster, id, m[2] AS prototype, row_number() OVER (PARTITION BY cluster, m[2] ORDER BY m[1], id) AS turn FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY turn, prototype) AS rank FROM t WHERE turn <= 3)
 SELECT cluster, CAST(rank AS INT) AS rank, id, prototype FROM r WHERE rank <= 3""",

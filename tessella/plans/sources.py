@@ -37,7 +37,7 @@ def annotation_duplicates(spark, root):
 
 
 def _cells(spark, root):
-    f = features(spark, root).where("dim < 8")
+    f = features(spark, root)
     return f.select("slide_id", F.col("id").cast("string").alias("key"), F.concat(F.lit("f"), "dim").alias("feature"), "v")
 
 
@@ -170,7 +170,7 @@ QUERIES = {f.__name__: f for f in (
     masks_beside_images, run_manifest, split_manifest_read, measures_append, failure_log, resolution_statistics, run_keys, param_strings,
 )}
 
-_C = f"{FEATURES_SQL}, c AS (SELECT CAST(slide_id AS VARCHAR) AS slide_id, id, 'f' || dim AS feature, v FROM features WHERE dim < 8)"
+_C = f"{FEATURES_SQL}, c AS (SELECT CAST(slide_id AS VARCHAR) AS slide_id, id, 'f' || dim AS feature, v FROM features)"
 ORACLE_SQL = {
     "annotation_scan": f"WITH {BOXES_SQL} SELECT CAST(slide_id AS VARCHAR) AS slide_id, label AS layer, count(*) AS n, CAST(sum(w + 1) AS BIGINT) AS w, CAST(sum(h + 1) AS BIGINT) AS h FROM boxes GROUP BY ALL",
     "annotation_duplicates": f"WITH {BOXES_SQL} SELECT CAST(slide_id AS VARCHAR) AS slide_id, label AS layer, CAST(2 AS BIGINT) AS n FROM boxes GROUP BY slide_id, label HAVING count(*) % 2 = 1",

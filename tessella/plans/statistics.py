@@ -122,11 +122,11 @@ def moments(spark, root):
 
 
 def density_by_group(spark, root):
-    """Mean and deviation over slides of the share of a slide's values per bin of dimension 0, by label half."""
-    f = features(spark, root).where("dim = 0").withColumn("side", F.col("label") < 5)
-    h = stats.histogram(f, ["slide_id", "side"], F.lit(-1.0), F.lit(1.0), 10)
-    d = h.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("slide_id", "side")))
-    return d.groupBy("side", "bin").agg(F.round(F.avg("share"), 6).alias("mean"), F.round(F.stddev_pop("share"), 6).alias("std"))
+    """Mean and deviation over slides of the share of a slide's values per bin of each dimension, by label half."""
+    f = features(spark, root).withColumn("side", F.col("label") < 5)
+    h = stats.histogram(f, ["slide_id", "dim", "side"], F.lit(-1.0), F.lit(1.0), 10)
+    d = h.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("slide_id", "dim", "side")))
+    return d.groupBy("dim", "side", "bin").agg(F.round(F.avg("share"), 6).alias("mean"), F.round(F.stddev_pop("share"), 6).alias("std"))
 
 
 def area_by_label_layer(spark, root):
@@ -207,7 +207,7 @@ SELECT user_id, round(coalesce(sum(step), 0), 4) AS path FROM s GROUP BY user_id
  c AS (SELECT k, sum(n) OVER (PARTITION BY k ORDER BY bin) / sum(n) OVER (PARTITION BY k) AS cum FROM f), a AS (SELECT k, sum(cum) / 20 AS area FROM c GROUP BY k)
 SELECT k, round(area, 6) AS area, round(CASE WHEN lag(area) OVER (ORDER BY k) IS NULL THEN area ELSE (area - lag(area) OVER (ORDER BY k)) / lag(area) OVER (ORDER BY k) END, 6) AS delta FROM a""",
     "feature_moments": f"WITH {FEATURES_SQL} SELECT dim, round(kurtosis_pop(v), 5) AS k, round(var_pop(v), 5) AS vp, round(avg(v), 5) AS m, round(quantile_cont(v, 0.5), 5) AS md FROM features GROUP BY dim",
-    "density_by_group": f"""WITH {FEATURES_SQL}, h AS (SELECT slide_id, label < 5 AS side, CAST(least(floor((v + 1) / 0.2::DOUBLE), 9) AS INT) AS bin, count(*) AS n FROM features WHERE dim = 0 AND v BETWEEN -1 AND 1 GROUP BY ALL),
- d AS (SELECT side, bin, n / sum(n) OVER (PARTITION BY slide_id, side) AS share FROM h) SELECT side, bin, round(avg(share), 6) AS mean, round(stddev_pop(share), 6) AS std FROM d GROUP BY ALL""",
+    "density_by_group": f"""WITH {FEATURES_SQL}, h AS (SELECT slide_id, dim, label < 5 AS side, CAST(least(floor((v + 1) / 0.2::DOUBLE), 9) AS INT) AS bin, count(*) AS n FROM features WHERE v BETWEEN -1 AND 1 GROUP BY ALL),
+ d AS (SELECT dim, side, bin, n / sum(n) OVER (PARTITION BY slide_id, dim, side) AS share FROM h) SELECT dim, side, bin, round(avg(share), 6) AS mean, round(stddev_pop(share), 6) AS std FROM d GROUP BY ALL""",
     "area_by_label_layer": f"WITH {BOXES_SQL} SELECT slide_id, label, count(*) AS n, round(avg(w * h), 6) AS mean, round(stddev_pop(w * h), 6) AS std, round(avg(w * h) / count(*), 6) AS per FROM boxes GROUP BY ALL",
 }

@@ -50,9 +50,11 @@ def typed_table(spark: SparkSession, paths: Sequence[str], columns: Mapping[str,
     """
     raw = spark.read.option("header", True).option("sep", sep).csv(list(paths))
     if skip:
-        raw = raw.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
-        first = raw.groupBy(F.col("_at.file_path").alias("_f")).agg(F.min(F.col("_at")[raw.schema["_at"].dataType.names[1]]).alias("_0"))
-        raw = raw.join(first, F.col("_at.file_path") == F.col("_f")).where(~(F.col("_at")[raw.schema["_at"].dataType.names[1]] - F.col("_0")).isin(list(skip)))
+        # a file's first rows are those of its first split, in order: numbers within it begin at the split's least one
+        at = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+        raw = raw.withColumns({"_f": F.col("_metadata.file_path"), "_k": at})
+        first = raw.groupBy("_f").agg(F.min("_k").alias("_0"))
+        raw = raw.join(first, "_f").where(~F.coalesce((F.col("_k") - F.col("_0")).isin(list(skip)), F.lit(False)))
     if replace:
         raw = raw.replace(dict(replace), subset=[c for c in columns if c in raw.columns])
     out = []
