@@ -238,16 +238,17 @@ def area_of(loops: Column) -> Column:
 
 
 def united(pieces: DataFrame, on: Sequence[str], cell: float, *, fan: int = FAN) -> DataFrame:
-    """on, pieces (how many) and loops: the union of all outlines (points) of each group.
+    """on, pieces (how many) and loops: the union of all outlines (points), or regions (loops), of each group.
 
     Pieces meet in cells of side ``cell`` first (a piece belongs to the cell of its least corner),
     then in fan x fan cells of those, and so on up to the widest group's extent.
     """
     kinds = dict(pieces.dtypes)
     keys = ", ".join(f"{k} {kinds[k]}" for k in on)
-    x, y = F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"])
-    place = [F.floor(F.array_min(v) / cell).alias(c) for v, c in ((x, "cx"), (y, "cy"))]
-    rows = pieces.where(F.size("points") > 2).select(*on, *place, F.lit(1).cast("long").alias("pieces"), F.array("points").cast(LOOPS).alias("loops"))
+    loops = F.col("loops") if "loops" in pieces.columns else F.array("points")
+    held = pieces.select(*on, loops.cast(LOOPS).alias("loops")).where(F.size(F.flatten("loops")) > 2)
+    least = lambda axis: F.floor(F.array_min(F.transform(F.flatten("loops"), lambda p: p[axis])) / cell)
+    rows = held.select(*on, least("x").alias("cx"), least("y").alias("cy"), F.lit(1).cast("long").alias("pieces"), "loops")
 
     def merged(df: DataFrame, first: bool = False) -> DataFrame:
         held = df.groupBy(*on, "cx", "cy").agg(F.sum("pieces").alias("pieces"), F.collect_list("loops").alias("all"))

@@ -101,8 +101,12 @@ def _boundary(mask: np.ndarray, start: tuple[int, int]) -> list[tuple[int, int]]
     return out
 
 
-def label_components(mask: np.ndarray) -> np.ndarray:
-    """Eight-connected components numbered from 1 in scan order: runs of each row, joined with those that they touch in the row above."""
+def label_components(mask: np.ndarray, corners: bool = True) -> np.ndarray:
+    """Components numbered from 1 in scan order: runs of each row, joined with those that they touch in the row above.
+
+    Pixels touch along edges and, unless ``corners`` is off, at corners.
+    """
+    reach = 1 if corners else 0
     mask = np.asarray(mask, bool)
     edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edge == 1)
@@ -119,7 +123,7 @@ def label_components(mask: np.ndarray) -> np.ndarray:
     for y in range(1, mask.shape[0]):
         i, j = first[y - 1], first[y]
         while i < first[y] and j < first[y + 1]:
-            if start[i] <= end[j] and start[j] <= end[i]:
+            if start[i] < end[j] + reach and start[j] < end[i] + reach:
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
             if end[i] < end[j]:

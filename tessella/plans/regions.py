@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from ..functions import polygons as P
-from ..operators import outlines, pivots, pyramid, raster, separation, tables
+from ..operators import deploy, outlines, pivots, pyramid, raster, separation, tables
 from .projections import BOXES_SQL, boxes, vectors
 from .samples import _point
 from .sources import scratch
@@ -33,7 +33,9 @@ def _tiles(spark, root):
     places = F.explode(F.sequence(F.lit(0), F.lit(SIDE // TILE - 1)))
     every = boxes(spark, root).select(F.col("slide_id").cast("string").alias("slide")).distinct().withColumn("col", places).withColumn("row", places)
     empty = F.struct(F.lit(TILE).alias("h"), F.lit(TILE).alias("w"), F.lit(bytes(TILE * TILE)).alias("data"))
-    return every.join(painted, ["slide", "col", "row"], "left").select("slide", F.lit(0).alias("level"), "col", "row", F.coalesce("mask", empty).alias("image"))
+    tiles = every.join(painted, ["slide", "col", "row"], "left").select("slide", F.lit(0).alias("level"), "col", "row", F.coalesce("mask", empty).alias("image"))
+    # masks are small and much work: as many tasks as the session has partitions, whatever their bytes
+    return tiles.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slide", "col", "row")
 
 
 def _painted(image):
@@ -93,6 +95,12 @@ def outline_unions(spark, root):
     return u.select("slide_id", "label", "pieces", outlines.area_of(F.col("loops")).cast("long").alias("area"))
 
 
+def gathered_objects(spark, root):
+    """Objects of every slide from its tiles' masks: their pixels, and the area that their outlines hold."""
+    found, _ = deploy.objects(_tiles(spark, root), TILE)
+    return found.groupBy("slide").agg(F.sum("n").alias("pixels"), F.sum(outlines.area_of(F.col("loops"))).cast("long").alias("area"))
+
+
 def pieces_made_whole(spark, root):
     """Boxes cut along tiles of 100 pixels, and put together again: pieces, area and corners."""
     b = boxes(spark, root)
@@ -118,7 +126,7 @@ def density_sample(spark, root):
 
 
 QUERIES = {f.__name__: f for f in (
-    clear_distances, separated_objects, region_crops, tile_files, turned_pixels, outline_unions, pieces_made_whole, indexed_neighbours, density_sample,
+    clear_distances, separated_objects, region_crops, tile_files, turned_pixels, outline_unions, gathered_objects, pieces_made_whole, indexed_neighbours, density_sample,
 )}
 
 _SMALL = "{name} AS (SELECT slide_id, obj_id, label, x // {n} AS x, y // {n} AS y, w // {n} + 1 AS w, h // {n} + 1 AS h FROM boxes)"
@@ -136,6 +144,7 @@ SELECT r.obj_id, count(px.px) AS pixels FROM r LEFT JOIN px ON px.slide_id = r.s
     "turned_pixels": f"WITH {_PAINTED} SELECT CAST(slide_id AS VARCHAR) AS slide, CAST((1279 - py) // 256 AS INT) AS col, CAST(px // 256 AS INT) AS row, count(*) AS pixels FROM px GROUP BY ALL",
     "outline_unions": f"""WITH {BOXES_SQL}, {_SMALL.format(name="small", n=16)}, px AS (SELECT DISTINCT slide_id, label, px, y + unnest(range(0, h)) AS py FROM (SELECT slide_id, label, y, h, x + unnest(range(0, w)) AS px FROM small)),
  n AS (SELECT slide_id, label, count(*) AS pieces FROM boxes GROUP BY ALL) SELECT slide_id, label, any_value(pieces) AS pieces, count(*) AS area FROM px JOIN n USING (slide_id, label) GROUP BY ALL""",
+    "gathered_objects": f"WITH {_PAINTED} SELECT CAST(slide_id AS VARCHAR) AS slide, count(*) AS pixels, count(*) AS area FROM px GROUP BY slide_id",
     "pieces_made_whole": f"WITH {BOXES_SQL} SELECT obj_id, CAST(((x + w - 1) // 100 - x // 100 + 1) * ((y + h - 1) // 100 - y // 100 + 1) AS BIGINT) AS pieces, CAST(w * h AS BIGINT) AS area, 4 AS corners FROM boxes",
     "indexed_neighbours": """WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), n AS (SELECT a.id, b.id AS other, list_distance(a.vec, b.vec) AS dist FROM v a JOIN v b ON a.id <> b.id),
  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, other) AS k FROM n) SELECT id, round(sum(dist), 5) AS dist, CAST(sum(other) AS BIGINT) AS others FROM r WHERE k <= 10 GROUP BY id""",

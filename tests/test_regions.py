@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import outlines, pivots, pyramid, raster, separation
+from tessella.operators import deploy, outlines, pivots, pyramid, raster, separation, tiles
 
 TILES = f"slide string, level int, col int, row int, image {raster.CELL}"
 REGIONS = "region long, slide string, level int, x int, y int, w int, h int"
@@ -389,3 +389,54 @@ def test_kernel_density(spark, dims, error):
     got = pivots.kernel_density(vectors(spark, x), 0.7, error=error, rows=64).collect()
     assert len(got) == len(x) and max(abs(r["density"] - want[r["id"]]) for r in got) <= error + 1e-12
     assert pivots.kernel_density(vectors(spark, x).where("false")).count() == 0
+
+
+# workers and their gathering
+
+
+def test_objects_over_tiles(spark):
+    rng = np.random.default_rng(9)
+    masks = {"a": rng.random((50, 70)) < 0.55, "b": np.ones((33, 17), bool), "c": np.zeros((20, 20), bool)}
+    masks["b"][5:9, 6:12] = False  # a hole
+    parts = tiles_of(spark, {s: m * np.uint8(255) for s, m in masks.items()}, 16)
+    found, failed = deploy.objects(parts, 16)
+    got = found.collect()
+    assert failed.count() == 0
+    for s, mask in masks.items():
+        number = raster.label_components(mask, corners=False)
+        own = [r for r in got if r["slide"] == s]
+        assert sorted(r["n"] for r in own) == sorted(np.bincount(number.ravel())[1:].tolist())
+        seen = set()
+        for r in own:
+            loops = [np.array([(p["x"], p["y"]) for p in loop]) for loop in r["loops"]]
+            assert sum(map(outlines.signed_area, loops)) == r["n"]
+            y, x = np.mgrid[: mask.shape[0], : mask.shape[1]]
+            held = inside(loops, x + 0.5, y + 0.5)
+            assert len(set(number[held])) == 1 and held.sum() == r["n"]
+            seen.add(int(number[held][0]))
+        assert len(seen) == number.max()
+    assert [len(r["loops"]) for r in got if r["slide"] == "b"] == [2]
+
+
+def test_workers_fail_alone(spark):
+    def work(image, slide, col, row):
+        if col == 1:
+            raise ValueError("no")
+        return [{"n": int(image.sum()), "at": [col, row]}]
+
+    rows = deploy.workers(tiles_of(spark, {"a": np.ones((10, 30))}, 10), work, "n long, at array<int>", ["slide", "col", "row"]).collect()
+    assert {(r["col"], r["n"], r["failure"]) for r in rows} == {(0, 100, None), (1, None, "ValueError: no"), (2, 100, None)}
+
+
+@pytest.mark.parametrize("n,most", [(40, 30.0), (250, 12.0), (60, 1000.0)])
+def test_offers_equal_turns(spark, n, most):
+    rng = np.random.default_rng(n)
+    rows = [("ab"[k % 2], k, int(x), int(y), k % 3 == 0) for k, (x, y) in enumerate(rng.integers(0, 100, (n, 2)))]
+    df = spark.createDataFrame(rows, "g string, obj_id long, x int, y int, side boolean")
+    got = {(r["g"], r["near"], r["far"]) for r in tiles.matched(df.where("side"), df.where("not side"), ["g"], most).collect()}
+    want = set()
+    for g in "ab":
+        near, far = ([r for r in rows if r[0] == g and r[4] == s] for s in (True, False))
+        pairs = tiles.match_points(np.array([r[2:4] for r in near], float), np.array([r[2:4] for r in far], float), most)
+        want |= {(g, near[i][1], far[j][1]) for i, j in pairs}
+    assert got == want
