@@ -32,6 +32,16 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+def _blocks(values: Column) -> Column:
+    """An array in parts of about the root of its size, at least 64: folds that copy what they gathered stay in a part."""
+
+    def cut(v: Column) -> Column:
+        size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: F.slice(v, k * size + 1, size))
+
+    return F.transform(F.array(values), cut)[0]  # values are computed once
+
+
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     """start, end, value (the group's text) of a pattern's matches, leftmost and non-overlapping."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -45,8 +55,16 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
         one = F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["v"].alias("value"))
         return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    all_of = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), all_of).otherwise(none)
+    # positions within each part, then the parts' own
+    parts = F.transform(_blocks(steps), lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), add))
+    first = F.array().cast("array<struct<at:int,out:array<struct<start:int,end:int,value:string>>>>")
+
+    def place(acc, part):
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), part["out"].alias("out")))).alias("out"))
+
+    placed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), first.alias("out")), place, lambda acc: acc["out"])
+    moved = F.transform(placed, lambda p: F.transform(p["out"], lambda x: F.struct((x["start"] + p["at"]).alias("start"), (x["end"] + p["at"]).alias("end"), x["value"].alias("value"))))
+    return F.when(text.rlike(pattern), F.flatten(moved)).otherwise(none)
 
 
 def _base(text: Column) -> dict[str, Column]:
@@ -109,12 +127,20 @@ def scan(docs: DataFrame, model: list[float], *, least: float = 10.0) -> DataFra
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = F.array_sort(F.concat(*(_as_spans(m, k) for k, m in _base(F.col("text")).items())).cast(SPAN))
     rows = rows.select("doc_id", base.alias("base"), _matches(F.col("text"), CANDIDATE).alias("runs"))
+    # base spans by parts, with how far each part reaches
+    parts = F.transform(_blocks(F.col("base")), lambda p: F.struct(p[0]["start"].alias("start"), F.array_max(F.transform(p, lambda b: b["end"])).alias("end"), p.alias("spans")))
+    parts = F.when(F.size("base") > 0, parts).otherwise(F.array().cast(f"array<struct<start:int,end:int,spans:{SPAN}>>"))
+
+    def meets(a: Column, b: Column) -> Column:
+        return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
-    def added(x: Column) -> Column:
-        touched = F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return ~touched & (_ratio(x["value"], weights) >= least)
+    def added(parts: Column) -> Column:
+        """Runs that no base span touches and that the models tell apart; parts are computed once for all runs."""
+        touched = lambda x: F.exists(parts, lambda p: meets(p, x) & F.exists(p["spans"], lambda b: meets(b, x)))
+        return F.filter("runs", lambda x: ~touched(x) & (_ratio(x["value"], weights) >= least))
 
-    return rows.select("doc_id", "base", _as_spans(F.filter("runs", added), "markov").cast(SPAN).alias("more")).select("doc_id", F.array_sort(F.concat("base", "more")).alias("spans"))
+    more = F.transform(F.array(parts), added)[0]
+    return rows.select("doc_id", "base", _as_spans(more, "markov").cast(SPAN).alias("more")).select("doc_id", F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
 def count_of(spans: Column, kind: str) -> Column:

@@ -598,6 +598,29 @@ def test_tags(spark):
     assert rows_of(urlfilter.judge(frame).toPandas()) == rows_of(other.sql(urlfilter.JUDGE_SQL).df())
 
 
+def test_many_secrets(spark, docs):
+    """Positions and overlaps in texts of many matches, and 100,000 of them in one text within a bounded time."""
+    import time
+
+    model = secrets.train(docs)
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choices(secrets.ALPHABET[:62], k=rng.choice([12, 20, 40])))
+    part = lambda: rng.choice([key(), hashlib.md5(key().encode()).hexdigest(), f"token: {key()}", f"api_key={key()}", "AKIA" + "".join(rng.choices("ABCDEF0123", k=16)), "an ordinary word"])
+    texts = [rng.choice([" ", "\n", "ü "]).join(part() for _ in range(n)) for n in (1, 63, 64, 65, 400, 5000)]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in secrets.scan(frame, model).collect():
+        text, spans = texts[r["doc_id"]], [tuple(s) for s in r["spans"]]
+        assert spans == sorted(spans)
+        base = sorted((m.start(), k, m.end()) for k, p in enumerate((secrets.ASSIGN, secrets.ACCESS, secrets.HEX)) for m in re.finditer(p, text) if k or len(m[2]) >= 8)
+        assert [s for s in spans if s[1] < 3] == base
+        free = {(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, text) if not any(a < m.end() and m.start() < b for a, _, b in base)}
+        assert {(a, b) for a, k, b in spans if k == 3} <= free
+    large = " ".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(100_000))
+    start = time.monotonic()
+    assert secrets.scan(spark.createDataFrame([(1, large)], "doc_id long, text string"), model).select(F.size("spans")).first()[0] == 100_000
+    assert time.monotonic() - start < 20
+
+
 def test_url_links(spark):
     """Relative targets, entities, comments and further links of a page, as in the SQL."""
     link = '<link rel="canonical" href="{}">'
