@@ -6,8 +6,9 @@ family votes for the language. Fitting takes a bounded, hash-chosen sample of la
 (``max_rows`` in all); prediction is one pass over whole texts without a shuffle.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; an empty table gives an
-empty result; a language seen in fitting whose code has no listed family is a family of its own;
-with a single learned language every text with a letter gets it, with score 1; with none learned
+empty result; a language seen in fitting whose code has no listed family is a family of its own, or,
+beyond ALONE of them, in a family that is learned from the languages' mean vectors (halved until each
+has at most MEMBERS), so the number of pairs grows little faster than that of languages; with a single learned language every text with a letter gets it, with score 1; with none learned
 every text is ``und``. Repeated rows are predicted alike; only the named columns are read.
 """
 
@@ -35,6 +36,7 @@ FAMILIES = {
 }
 FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
+ALONE, MEMBERS = 12, 24
 DIM = 2048
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -79,11 +81,12 @@ class Model:
     langs: list[str] = field(default_factory=list)
     family_pairs: list[tuple[str, str, np.ndarray]] = field(default_factory=list)
     lang_pairs: dict[str, list[tuple[str, str, np.ndarray]]] = field(default_factory=dict)
+    family_of: dict[str, str] = field(default_factory=dict)
 
     def families(self) -> dict[str, list[str]]:
         out: dict[str, list[str]] = {}
         for lang in self.langs:
-            out.setdefault(FAMILY.get(lang, lang), []).append(lang)
+            out.setdefault(self.family_of.get(lang, FAMILY.get(lang, lang)), []).append(lang)
         return out
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,12 +129,45 @@ def _one_vs_one(x: np.ndarray, y: np.ndarray) -> list[tuple[str, str, np.ndarray
     return out
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2000, max_langs: int = 200) -> Model:
+def _halves(x: np.ndarray) -> np.ndarray:
+    """Which of two groups each row is in, by 2-means from the first row and the one farthest from it; halves by order if one is empty."""
+    c = x[[0, int(np.argmin(x @ x[0]))]]
+    for _ in range(10):
+        own = np.argmax(x @ c.T, axis=1)
+        if not 0 < own.sum() < len(x):
+            return (np.arange(len(x)) >= len(x) / 2).astype(int)
+        c = np.array([x[own == k].mean(0) for k in (0, 1)])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
+    own = np.argmax(x @ c.T, axis=1)
+    return own if 0 < own.sum() < len(x) else (np.arange(len(x)) >= len(x) / 2).astype(int)
+
+
+def _family_of(x: np.ndarray, y: np.ndarray) -> dict[str, str]:
+    """Every language's family: listed, its own, or learned."""
+    langs = sorted(set(y))
+    out = {v: FAMILY.get(v, v) for v in langs}
+    others = [v for v in langs if v not in FAMILY]
+    if len(others) > ALONE:
+        mean = np.array([x[y == v].mean(0) for v in others])
+        mean /= np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+        waiting, done = [np.arange(len(others))], []
+        while waiting:
+            at = waiting.pop()
+            if len(at) <= MEMBERS:
+                done.append(at)
+            else:
+                own = _halves(mean[at])
+                waiting += [at[own == 0], at[own == 1]]
+        out |= {others[k]: f"learned {others[int(at.min())]}" for at in done for k in at}
+    return out
+
+
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = 2000, max_langs: int = 1000) -> Model:
     """Fits on labelled rows: those with a text and a language, at most about ``max_rows`` of them.
 
     Rows are chosen by a hash of their key, as many of each language as the bound allows, so the
     sample doesn't depend on partitions or reruns. A table with more than ``max_langs`` languages is
-    refused: every pair of them has an SVM. The sample's vectors (8 KB each) go to the driver.
+    refused: a thousand have some 12,000 SVMs of 8 KB. The sample's vectors (8 KB each) go to the driver.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("t is not null and l is not null")
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs + 1).collect()}
@@ -147,8 +183,9 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     if not len(y):
         return Model()
     x = np.frombuffer(b"".join(table["v"].to_pylist()), np.float32).reshape(-1, DIM)
-    family = np.array([FAMILY.get(v, v) for v in y], object)
-    model = Model(sorted(set(y)), _one_vs_one(x, family))
+    family_of = _family_of(x, y)
+    family = np.array([family_of[v] for v in y], object)
+    model = Model(sorted(set(y)), _one_vs_one(x, family), family_of=family_of)
     for name in sorted(set(family)):
         at = family == name
         model.lang_pairs[name] = _one_vs_one(x[at], y[at])
