@@ -637,6 +637,26 @@ def test_many_languages(spark):
         langid.fit(docs, max_langs=100)
 
 
+@pytest.mark.parametrize("shared,own", [(0, 200), (140, 26)])
+def test_near_pairs_at_the_threshold(spark, shared, own):
+    """Every pair at a similarity of 0.80 to 0.82 is found, among unlike texts and inside a template of more rows than a region."""
+    rng = random.Random(shared)
+    shingles = lambda w: {(w[i], w[i + 1]) for i in range(len(w) - 1)}
+    rows, want = [], []
+    while len(want) < 400:
+        first = [f"c{i}" for i in range(shared)] + [f"w{rng.randrange(10**7)}" for _ in range(own)]
+        second, likeness = list(first), 1.0
+        while likeness >= 0.82:
+            second[rng.randrange(shared, len(second))] = f"w{rng.randrange(10**7)}"
+            a, b = shingles(first), shingles(second)
+            likeness = len(a & b) / len(a | b)
+        if likeness >= 0.8:
+            want.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(first)), (len(rows) + 1, " ".join(second))]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert all(got[b] == got[a] == a for a, b in want)
+
+
 def test_url_links(spark):
     """Relative targets, entities, comments and further links of a page, as in the SQL."""
     link = '<link rel="canonical" href="{}">'
