@@ -284,7 +284,7 @@ def _open_blocks(num: int, den: int):
                 p, q = a[near == x], b[far == y]
                 at = np.union1d(p, q)
                 where = np.where(~np.isin(at, q), 0, np.where(~np.isin(at, p), 1, 2))
-                out.append(pd.DataFrame({"region": g["region"].iloc[0], "sub": f"{x} {y}", "r": rows.r[at], "c": c[at], "side": where}))
+                out.append(pd.DataFrame({"region": g["region"].iloc[0], "sub": int(x) << 32 | int(y), "r": rows.r[at], "c": c[at], "side": where}))
         return pd.concat(out) if out else pd.DataFrame({"region": [], "sub": [], "r": [], "c": [], "side": []})
 
     return run
@@ -381,7 +381,7 @@ def _wide_links(found: DataFrame, trees: DataFrame, texts: DataFrame, comps: Dat
     sides = small(cut(left.unionByName(right).distinct()))
     tasks = shuffle_partitions(texts.sparkSession)  # a given number isn't coalesced by size
     met = dealt.join(sides, [*run, "block"]).select("region", "side", "r", "n", "s1", "s2", "c").repartition(tasks, "region")
-    open_rows = cut(met.groupBy("region").applyInPandas(_open_blocks(num, den), "region long, sub string, r long, c long, side int"))
+    open_rows = cut(met.groupBy("region").applyInPandas(_open_blocks(num, den), "region long, sub long, r long, c long, side int"))
     near = texts.withColumnRenamed("i", "r").join(small(open_rows), "r").repartition(tasks, "region", "sub")
     return cut(near.groupBy("region", "sub").applyInPandas(_verify_blocks(k, num, den), "a long, b long").distinct())
 
