@@ -657,6 +657,20 @@ def test_near_pairs_at_the_threshold(spark, shared, own):
     assert all(got[b] == got[a] == a for a, b in want)
 
 
+def test_wide_runs_in_small_parts(spark, monkeypatch):
+    """A run above a region whose blocks' rows are dealt again, as their sets are too large for one task."""
+    monkeypatch.setattr(neardup, "TOGETHER", 3000)
+    rng = random.Random(1)
+    rows = []
+    for k in range(700):
+        own = [f"w{rng.randrange(10**7)}" for _ in range(26)]
+        rows.append((2 * k, " ".join([f"c{i}" for i in range(140)] + own)))
+        if k % 70 == 0:
+            rows.append((2 * k + 1, " ".join([f"c{i}" for i in range(140)] + own[:-1] + ["other"])))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_url_links(spark):
     """Relative targets, entities, comments and further links of a page, as in the SQL."""
     link = '<link rel="canonical" href="{}">'
