@@ -104,7 +104,8 @@ def k_nearest(points: DataFrame, k: int, on: Sequence[str] = (), *, rows: int =
         if len(x) and len(q):
             names, a, b = x["id"].to_numpy(), np.array(x["vec"].tolist(), float), np.array(q["vec"].tolist(), float)
             out = [_k_best(names, a, q["id"].to_numpy()[lo : lo + 1024], b[lo : lo + 1024], k, with_self) for lo in range(0, len(q), 1024)]
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "dist": []})
+        # one frame from whole columns: frames put together hold text in several chunks
+        return pd.DataFrame({c: np.concatenate([o[c].to_numpy() for o in out]) for c in ("id", "other", "dist")}) if out else pd.DataFrame({"id": [], "other": [], "dist": []})
 
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced by size
     met = index.unionByName(asked).repartition(tasks, *on, "_a", "_b").groupBy(*on, "_a", "_b")

@@ -22,7 +22,8 @@ def clean(value: Column) -> Column:
 def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """df with, for each of values, ``upto_<value>``: its sum over the group's rows up to this one (orders are unique in a group).
 
-    Also ``next_<first order>``, the next row's first order column. Rows are dealt to key ranges;
+    Also ``all_<value>``, its sum over the whole group, and ``next_<first order>``, the next row's first
+    order column. The input is read once: what follows reads its checkpoint. Rows are dealt to key ranges;
     within a range a window adds up, and the ranges' totals (one row a group and range) give the
     rest, so a group or the whole table may be as large as it likes.
     """
@@ -32,7 +33,10 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], values:
     totals = rows.groupBy(*by, "_p").agg(*(F.sum(v).alias(f"_t{k}") for k, v in enumerate(values)), F.min(first).alias("_first"))
     ranges = Window.partitionBy(*by).orderBy("_p")
     earlier = ranges.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), F.col("_p").alias("_q"), *(F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)).alias(f"_t{k}") for k in range(len(values))), F.lead("_first").over(ranges).alias("_first"))
+    whole = Window.partitionBy(*by)
+    sums_ = [F.coalesce(F.sum(f"_t{k}").over(earlier), F.lit(0)).alias(f"_t{k}") for k in range(len(values))]
+    alls = [F.sum(f"_t{k}").over(whole).alias(f"all_{v}") for k, v in enumerate(values)]
+    totals = totals.select(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by)), F.col("_p").alias("_q"), *sums_, *alls, F.lead("_first").over(ranges).alias("_first"))
     within = Window.partitionBy(*by, "_p").orderBy(*order)
     same = [F.col("_p") == F.col("_q"), *(F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by))]
     out = rows.join(totals, same).drop("_q", *(f"_g{k}" for k in range(len(by))))
@@ -46,23 +50,34 @@ def quantiles(df: DataFrame, by: Sequence[str], qs: Sequence[float], value: str
     Equal values are counted first; ranks come from prefix sums, so no group is held in one buffer.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-    ranks = prefix_sums(counts, by, ["_v"], ["_n"])
-    total = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    ranks = ranks.join(total, list(by)) if by else ranks.crossJoin(F.broadcast(total))
+    ranks = prefix_sums(counts, by, ["_v"], ["_n"]).withColumnRenamed("all__n", "_all")
+    return _quantiles_of(ranks, by, qs)
+
+
+def _quantiles_of(ranks: DataFrame, by: Sequence[str], qs: Sequence[float], more: Sequence[Column] = ()) -> DataFrame:
+    """by, q and the aggregates ``more`` of distinct values (_v, _n) with upto__n and _all."""
     at = lambda q: F.lit(float(q)) * (F.col("_all") - 1)
     holds = lambda k: (F.col("upto__n") - F.col("_n") <= k) & (k < F.col("upto__n"))
     ends = [F.max(F.when(holds(end(at(q))), F.col("_v"))).alias(f"_{name}{k}") for k, q in enumerate(qs) for name, end in (("lo", F.floor), ("hi", F.ceil))]
-    got = ranks.groupBy(*by).agg(*ends, F.max("_all").alias("_all"))
+    got = ranks.groupBy(*by).agg(*ends, F.max("_all").alias("_all"), *more)
+    names = [c for c in got.columns if not c.startswith("_") and c not in by]
     part = lambda q: at(q) - F.floor(at(q))
-    return got.select(*by, F.array(*[F.col(f"_lo{k}") + part(q) * (F.col(f"_hi{k}") - F.col(f"_lo{k}")) for k, q in enumerate(qs)]).alias("q"))
+    return got.select(*by, F.array(*[F.col(f"_lo{k}") + part(q) * (F.col(f"_hi{k}") - F.col(f"_lo{k}")) for k, q in enumerate(qs)]).alias("q"), *names)
 
 
 def summary(df: DataFrame, by: Sequence[str], value: str = "v") -> DataFrame:
     """min, max, mean, std (n - 1), iqr, q5, q95 and n of each group."""
     v = F.col(value).cast("double")
-    out = df.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.count(v).alias("n"))
-    out = out.join(quantiles(df, by, (0.05, 0.25, 0.75, 0.95), value).withColumnRenamed("q", "_q"), list(by), "left")
-    return out.select(*by, "min", "max", "mean", "std", (F.col("_q")[2] - F.col("_q")[1]).alias("iqr"), F.col("_q")[0].alias("q5"), F.col("_q")[3].alias("q95"), "n")
+    # equal values once; a group of nulls keeps its row. The group's mean comes with the ranks
+    counts = df.groupBy(*by, v.alias("_v")).agg(F.count("*").alias("_n")).withColumn("_n", F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0))
+    ranks = prefix_sums(counts.withColumn("_t", F.coalesce(F.col("_v") * F.col("_n"), F.lit(0.0))), by, ["_v"], ["_n", "_t"]).withColumnRenamed("all__n", "_all")
+    n, v = F.col("_n"), F.col("_v")
+    mean = F.col("all__t") / F.nullif(F.col("_all"), F.lit(0))
+    held = F.when(n > 0, v)
+    moments = [F.min(held).alias("min"), F.max(held).alias("max"), F.max(mean).alias("mean"), F.sum(n * (v - mean) * (v - mean)).alias("squares"), F.sum("_n").alias("n")]
+    got = _quantiles_of(ranks, by, (0.05, 0.25, 0.75, 0.95), moments)
+    q = F.col("q")
+    return got.select(*by, "min", "max", "mean", F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1))).alias("std"), (q[2] - q[1]).alias("iqr"), q[0].alias("q5"), q[3].alias("q95"), "n")
 
 
 def summary_of_summaries(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -116,9 +131,8 @@ def min_max(df: DataFrame, by: Sequence[str], value: str = "v", top: float = 1.0
 def _steps(df: DataFrame, by: Sequence[str], side: str, value: str) -> DataFrame:
     """Per distinct value: how far each sample's distribution function has risen there (f0, f1), and the next value."""
     counts = df.groupBy(*by, value).agg(F.sum(F.when(F.col(side), 0).otherwise(1)).alias("n0"), F.sum(F.when(F.col(side), 1).otherwise(0)).alias("n1"))
-    whole = counts.groupBy(*by).agg(F.sum("n0").alias("_a0"), F.sum("n1").alias("_a1"))
-    steps = prefix_sums(counts, by, [value], ["n0", "n1"]).join(whole, list(by))
-    return steps.withColumns({"f0": F.col("upto_n0") / F.col("_a0"), "f1": F.col("upto_n1") / F.col("_a1"), "next": F.col(f"next_{value}")})
+    steps = prefix_sums(counts, by, [value], ["n0", "n1"])
+    return steps.withColumns({"f0": F.col("upto_n0") / F.col("all_n0"), "f1": F.col("upto_n1") / F.col("all_n1"), "next": F.col(f"next_{value}")})
 
 
 def ks(df: DataFrame, by: Sequence[str], side: str, value: str = "v") -> DataFrame:
@@ -212,7 +226,7 @@ def lagged_distance(df: DataFrame, by: Sequence[str], order: Sequence[str], x: s
 def cumulative_index(df: DataFrame, key: str, count: str) -> DataFrame:
     """first and last: the global index range of each key's items, keys in order (one row a key)."""
     out = prefix_sums(df, [], [key], [count])
-    return out.withColumn("last", F.col(f"upto_{count}") - 1).withColumn("first", F.col(f"upto_{count}") - F.col(count)).drop(f"upto_{count}", f"next_{key}")
+    return out.withColumn("last", F.col(f"upto_{count}") - 1).withColumn("first", F.col(f"upto_{count}") - F.col(count)).drop(f"upto_{count}", f"all_{count}", f"next_{key}")
 
 
 def cdf_areas(hist: DataFrame, by: str, bins: int) -> DataFrame:

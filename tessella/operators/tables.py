@@ -147,11 +147,8 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFra
 
     names = [f"_o{k}" for k in range(len(order))]
     rows = df.withColumns(dict(zip(names, order, strict=True)) | {"_one": F.lit(1).cast("long")})
-    rows = prefix_sums(rows, by, names, ["_one"]).drop(*names, "_one", "next__o0")
-    total = df.groupBy(*(F.col(c).alias(f"_g{k}") for k, c in enumerate(by))).agg(F.count("*").alias("_all"))
-    same = [F.col(c).eqNullSafe(F.col(f"_g{k}")) for k, c in enumerate(by)]
-    rows = rows.join(total, same) if by else rows.crossJoin(F.broadcast(total))
-    return rows.drop(*(f"_g{k}" for k in range(len(by)))).withColumn("_rank", F.col("upto__one") - 1).drop("upto__one")
+    rows = prefix_sums(rows, by, names, ["_one"]).withColumn("_rank", F.col("upto__one") - 1)
+    return rows.withColumnRenamed("all__one", "_all").drop(*names, "_one", "upto__one", "next__o0")
 
 
 def slices(df: DataFrame, by: Sequence[str], order: Sequence[Column], parts: int) -> DataFrame:

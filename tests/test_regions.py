@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import deploy, outlines, pivots, pyramid, raster, separation, tiles
+from tessella.operators import deploy, nearest, outlines, pivots, pyramid, raster, separation, tiles
 
 TILES = f"slide string, level int, col int, row int, image {raster.CELL}"
 REGIONS = "region long, slide string, level int, x int, y int, w int, h int"
@@ -366,6 +366,8 @@ def test_pivots_odd_tables(spark):
     assert len(got) == 140 and all(r["other"] == [j for j in range(70) if j != r["id"]][r["rank"]] for r in got)
     names = few.withColumn("id", F.concat(F.lit("n"), "id"))
     assert pivots.k_nearest(names, 1).where("id = other").count() == 3
+    many = vectors(spark, np.random.default_rng(2).random((1500, 2))).withColumn("id", F.format_string("n%04d", "id"))
+    assert pivots.k_nearest(many, 1).where("id = other").count() == nearest.k_nearest(many, 1).where("id = other").count() == 1500
 
 
 def test_pivots_compare_less_than_all(spark):
