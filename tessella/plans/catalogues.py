@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -12,7 +14,7 @@ from ..operators import annotations as A
 from ..operators import clustering, components, nearest, pyramid, raster, spatial, tables, tiles
 from ..session import table
 from ..sources import files, store
-from .imaging import _I, _images, _items
+from .imaging import _GREY, _I, _images, _items
 from .projections import BOXES_SQL, FEATURES_SQL, boxes, features, vectors
 from .sources import scratch
 from .spatial import _MEETS, _REL, _RELATION
@@ -171,8 +173,43 @@ QUERIES = {f.__name__: f for f in (
     layer_replacement, segment_points, pair_quota, clinical_labels, level_catalogue, parameter_map, label_colours,
 )}
 
+
+
+def _fidelity_sql(side: int = 8, scales: int = 4) -> str:
+    """Fidelity of images of side x side pixels: filters as tables of weights between pixels, a scale after the other."""
+    weights, parts, n = [], [], side
+    sigmas = [(2 ** (scales - k) + 1) / 5 for k in range(scales)]
+
+    def table(n: int, scale: int) -> None:
+        reach = int(4 * sigmas[scale] + 0.5)
+        total = sum(math.exp(-0.5 * (d / sigmas[scale]) ** 2) for d in range(-reach, reach + 1))
+        for i in range(n):
+            row = [0.0] * n
+            for d in range(-reach, reach + 1):
+                at = (i + d) % (2 * n)  # mirrored beyond the borders
+                row[at if at < n else 2 * n - 1 - at] += math.exp(-0.5 * (d / sigmas[scale]) ** 2) / total
+            weights.extend(f"({n}, {scale}, {i}, {j}, {w!r}::DOUBLE)" for j, w in enumerate(row))
+
+    for scale in range(scales):
+        if scale:
+            table(n, scale)
+            parts.append(f"p{scale} AS MATERIALIZED (SELECT id, u.i // 2 AS y, v.i // 2 AS x, sum(u.w * v.w * a) AS a, sum(u.w * v.w * b) AS b FROM p{scale - 1} JOIN g u ON u.n = {n} AND u.s = {scale} AND u.j = y AND u.i % 2 = 0 JOIN g v ON v.n = {n} AND v.s = {scale} AND v.j = x AND v.i % 2 = 0 GROUP BY ALL)")
+            n = -(-n // 2)
+        table(n, scale)
+        parts.append(f"f{scale} AS (SELECT id, u.i AS y, v.i AS x, sum(u.w * v.w * a) AS ma, sum(u.w * v.w * b) AS mb, sum(u.w * v.w * a * a) AS aa, sum(u.w * v.w * b * b) AS bb, sum(u.w * v.w * a * b) AS ab FROM p{scale} JOIN g u ON u.n = {n} AND u.s = {scale} AND u.j = y JOIN g v ON v.n = {n} AND v.s = {scale} AND v.j = x GROUP BY ALL)")
+    every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(scales))
+    return f"""WITH im AS (SELECT vec_id AS id, {_GREY} AS g FROM embeddings), g(n, s, i, j, w) AS (VALUES {", ".join(dict.fromkeys(weights))}),
+p0 AS MATERIALIZED (SELECT id, k // {side} AS y, k % {side} AS x, CAST(p AS DOUBLE) AS a, CAST(q AS DOUBLE) AS b FROM (SELECT a.id, unnest(range(0, {side * side})) AS k, unnest(a.g) AS p, unnest(b.g) AS q FROM im a JOIN im b ON b.id = a.id + 1)),
+{", ".join(parts)},
+c AS (SELECT id, greatest(aa - ma * ma, 0) AS va, greatest(bb - mb * mb, 0) AS vb, ab - ma * mb AS cov FROM ({every})),
+t AS (SELECT *, cov / (va + 1e-10::DOUBLE) AS gain, va < 1e-10::DOUBLE AS flat, vb < 1e-10::DOUBLE AS lost FROM c),
+r AS (SELECT id, CASE WHEN flat THEN 0 ELSE va END AS va, CASE WHEN flat OR lost OR gain < 0 THEN 0 ELSE gain END AS gain, CASE WHEN lost THEN 0 WHEN flat OR gain < 0 THEN vb ELSE vb - gain * cov END AS rest FROM t)
+SELECT id, round(CASE WHEN sum(log10(1 + va / 2)) > 0 THEN sum(log10(1 + gain * gain * va / (greatest(rest, 1e-10::DOUBLE) + 2))) / sum(log10(1 + va / 2)) ELSE 1 END, 6) AS vif FROM r GROUP BY id"""
+
+
 _RGB = ", ".join(f"({k}, {r}, {g}, {b})" for k, (r, g, b) in enumerate(L.PALETTE))
 ORACLE_SQL = {
+    "image_fidelity": _fidelity_sql(),
     "store_consolidation": f"""WITH {FEATURES_SQL} SELECT CAST(slide_id AS VARCHAR) AS slide_id, count(*) AS n, round(sum(CASE WHEN dim % 7 = 3 THEN 0 ELSE v END), 4) AS v, CAST(CASE WHEN slide_id % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS failures
  FROM features GROUP BY slide_id""",
     "component_states": f"""WITH {FEATURES_SQL}, d AS (SELECT slide_id, dim, count(*) AS n, var_pop(v) * count(*) AS s FROM features GROUP BY ALL) SELECT slide_id, any_value(n) AS n, round(sum(s), 6) AS scatter FROM d GROUP BY slide_id""",

@@ -131,7 +131,31 @@ _NEAR = "near AS (SELECT id, code, dist FROM (SELECT v.id, c.id AS code, list_di
 _KNN = "n AS (SELECT a.id, b.id AS other, list_distance(a.vec, b.vec) AS dist, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.vec, b.vec), b.id) AS k FROM v a JOIN v b ON {0})"
 _MEETS = "a.slide_id = b.slide_id AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h"
 
+
+
+def _fuzzy_sql(k: int) -> str:
+    """The fuzzy graph of the k nearest neighbours, as e(i, j, w); the bisection is a recursion of 40 steps."""
+    return f"""{_V}, {_KNN.format("TRUE")}, a AS (SELECT id, list(dist) AS d, coalesce(min(dist) FILTER (dist > 0), 0) AS rho, log2(count(*)) AS want FROM n WHERE k <= {k} AND id <> other GROUP BY id),
+ h(id, step, lo, hi) AS (SELECT id, 0, 1e-9::DOUBLE, greatest(1e-3::DOUBLE, 100 * list_max(d)) FROM a UNION ALL
+  SELECT id, step + 1, CASE WHEN total > want THEN lo ELSE mid END, CASE WHEN total > want THEN mid ELSE hi END
+  FROM (SELECT h.*, want, (lo + hi) / 2 AS mid, list_sum(list_transform(d, lambda x: exp(-greatest(0, x - rho) / ((lo + hi) / 2)))) AS total FROM h JOIN a USING (id) WHERE step < 40)),
+ s AS (SELECT id, hi AS s FROM h WHERE step = 40), w AS MATERIALIZED (SELECT n.id AS i, n.other AS j, exp(-greatest(0, dist - rho) / s) AS w FROM n JOIN a USING (id) JOIN s USING (id) WHERE k <= {k} AND n.id <> other),
+ e AS MATERIALIZED (SELECT i, j, coalesce(x.w, 0) + coalesce(y.w, 0) - coalesce(x.w, 0) * coalesce(y.w, 0) AS w FROM w x FULL JOIN (SELECT j AS i, i AS j, w FROM w) y USING (i, j))"""
+
+
+def _markov_sql(rounds: int, inflation: float, threshold: float) -> str:
+    """Rounds of squaring, raising and dropping on e, as m0 .. m<rounds>, with a loop at every node."""
+    parts = ["m0 AS MATERIALIZED (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM (SELECT i, j, w FROM e WHERE w > 0 AND i <> j UNION ALL SELECT DISTINCT i, i, 1.0::DOUBLE FROM e))"]
+    for r in range(rounds):
+        parts.append(f"""q{r} AS (SELECT a.i, b.j, pow(sum(a.w * b.w), {inflation}::DOUBLE) AS w FROM m{r} a JOIN m{r} b ON a.j = b.i GROUP BY ALL),
+ g{r} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM q{r}), m{r + 1} AS MATERIALIZED (SELECT i, j, w / sum(w) OVER (PARTITION BY j) AS w FROM g{r} WHERE w >= {threshold}::DOUBLE)""")
+    return ",\n ".join(parts)
+
+
 ORACLE_SQL = {
+    "fuzzy_graph_weights": f"WITH RECURSIVE {_fuzzy_sql(15)} SELECT i, count(*) AS n, round(sum(w), 6) AS w FROM e GROUP BY i",
+    "mcl_clusters": f"""WITH RECURSIVE {_fuzzy_sql(8)}, {_markov_sql(12, 1.6, 1e-3)}, k AS (SELECT i, min(j) AS cluster FROM m12 GROUP BY i), c AS (SELECT j AS node, min(cluster) AS cluster FROM m12 JOIN k USING (i) GROUP BY j)
+SELECT cluster, count(*) AS n FROM c GROUP BY cluster""",
     "nearest_codebook": f"WITH {_V}, {_NEAR} SELECT id, code, round(dist, 5) AS dist FROM near",
     "knn_label_ratio": f"""WITH {_V}, {_KNN.format('TRUE')}, j AS (SELECT n.id, dist, label < 5 AS s FROM n JOIN v ON v.id = n.other WHERE k <= 50)
 SELECT id, round(avg(CAST(s AS INT)), 6) AS share, round(quantile_cont(dist, 0.5) FILTER (s), 5) AS median_with, round(quantile_cont(dist, 0.5) FILTER (NOT s), 5) AS median_without FROM j GROUP BY id""",
