@@ -52,3 +52,32 @@ def test_masks_are_painted_object_by_object(spark, most, batch):
                 assert (got[g] == want).all()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_equal_masks_are_worked_once():
+    calls = []
+    done, at = raster.of_each([raster.pack(np.full((2, 2 + k % 2), k % 3)) for k in range(12)], lambda m: calls.append(m) or (m["w"], m["data"][0]))
+    assert len(calls) == 6 and [done[k] for k in at] == [(2 + k % 2, k % 3) for k in range(12)]
+
+
+def test_equal_masks_keep_their_rows(spark):
+    """Outlines, counts and cleaning of masks that repeat: each row has its own key and place."""
+    from tessella.operators import tiles
+
+    a, b = np.zeros((6, 7), np.uint8), np.zeros((6, 7), np.uint8)
+    a[1:3, 1:3], a[4:6, 4:7], b[2:5, 2:4] = 200, 200, 100
+    kinds = [a, b, np.zeros((6, 7), np.uint8)]
+    df = spark.createDataFrame([(k, 10 * k, -k, raster.pack(kinds[k % 3])) for k in range(9)], f"id int, x int, y int, mask {raster.CELL}").coalesce(1)
+    found = {}
+    for r in raster.contours(df, ["id"], {"low": (50, 150), "high": (150, 250)}).collect():
+        found[r["id"], r["label"], r["idx"]] = [(p["x"] - 10 * r["id"], p["y"] + r["id"]) for p in r["points"]]
+    want = {}
+    for k in range(9):
+        for label, (lo, hi) in {"low": (50, 150), "high": (150, 250)}.items():
+            for n, line in raster.traced((kinds[k % 3] > lo) & (kinds[k % 3] < hi)):
+                want[k, label, n - 1] = [(float(q), float(p)) for p, q in line]
+    assert found == want and len(want) == 9
+    n = {(r["id"], r["value"]): r["n"] for r in raster.value_counts(df, ["id"]).collect()}
+    assert n == {(k, int(v)): int(c) for k in range(9) for v, c in zip(*np.unique(kinds[k % 3], return_counts=True), strict=True)}
+    clean = {r["id"]: raster.unpack(r["mask"].asDict()) for r in tiles.tidy_masks(df, ["id"], opening=0, least=5, holes=0).collect()}
+    assert all((clean[k] == np.where(tiles.tidy(kinds[k % 3] > 0, opening=0, least=5, holes=0), 255, 0)).all() for k in range(9))
