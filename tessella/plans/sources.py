@@ -11,7 +11,7 @@ from ..operators import clustering, stats, tables
 from ..session import table
 from ..sources import annotations as src
 from ..sources import files
-from .imaging import _items
+from .imaging import PART, _items
 from .projections import BOXES_SQL, FEATURES_SQL, features
 
 
@@ -24,7 +24,7 @@ def scratch(spark, name: str) -> str:
 def annotation_scan(spark, root):
     """Annotation files read back: contours of three points or more, and their areas' bounds."""
     path = scratch(spark, "annotations")
-    src.write(src.nest(_items(spark, root)), path)
+    src.write(src.nest(_items(spark, root), most=PART), path)
     rows = src.contours(src.documents(spark, path), least=3)
     return rows.groupBy("slide_id", "layer").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum("h").alias("h"))
 

@@ -15,7 +15,7 @@ from ..functions import polygons
 
 XY = "struct<x:double,y:double>"
 ITEM = f"struct<class:string,type:string,closed:boolean,color:string,segments:string,x:double,y:double,width:double,height:double,`from`:{XY},to:{XY},center:{XY},radius:double>"
-DOC = f"name string, project_name string, slide_id string, layer_names array<string>, layers array<struct<name:string,opacity:double,items:array<{ITEM}>>>"
+DOC = f"name string, project_name string, slide_id string, layer_names array<string>, layers array<struct<name:string,opacity:double,first:int,items:array<{ITEM}>>>"
 SCHEMA = f"{DOC}, annotation struct<{', '.join(c.replace(' ', ':', 1) for c in DOC.split(', '))}>"
 
 
@@ -53,12 +53,17 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def items(docs: DataFrame, slides: list[str] | None = None) -> DataFrame:
-    """slide_id, layer, layer_idx, idx, class, type, closed, color, points of every item; slides: exact file stems to keep."""
+    """slide_id, layer, layer_idx, idx, class, type, closed, color, points of every item; slides: exact file stems to keep.
+
+    idx counts from the layer's ``first`` (0 if it has none): that of a part of a document (see ``nest``).
+    """
     rows = docs if slides is None else docs.where(F.col("stem").isin(slides))
     # name and items part before the items are exploded, so that no row carries its whole layer
-    rows = rows.select("slide_id", F.posexplode("layers").alias("layer_idx", "l")).select("slide_id", "layer_idx", F.col("l.name").alias("layer"), F.col("l.items").alias("items"))
-    rows = rows.select("slide_id", "layer_idx", "layer", F.posexplode("items").alias("idx", "i"))
-    return rows.select("slide_id", "layer", "layer_idx", "idx", "i.class", "i.type", "i.closed", "i.color", outline(F.col("i")).alias("points"))
+    rows = rows.select("slide_id", F.posexplode("layers").alias("layer_idx", "l"))
+    first = F.coalesce(F.col("l.first"), F.lit(0)) if "first" in rows.schema["l"].dataType.names else F.lit(0)
+    rows = rows.select("slide_id", "layer_idx", F.col("l.name").alias("layer"), first.alias("first"), F.col("l.items").alias("items"))
+    rows = rows.select("slide_id", "layer_idx", "layer", "first", F.posexplode("items").alias("idx", "i"))
+    return rows.select("slide_id", "layer", "layer_idx", (F.col("first") + F.col("idx")).alias("idx"), "i.class", "i.type", "i.closed", "i.color", outline(F.col("i")).alias("points"))
 
 
 def contours(docs: DataFrame, slides: list[str] | None = None, least: int = 2) -> DataFrame:
@@ -67,23 +72,39 @@ def contours(docs: DataFrame, slides: list[str] | None = None, least: int = 2) -
     return rows.select("*", "b.*").drop("b")
 
 
-def nest(rows: DataFrame, opacity: float = 1.0) -> DataFrame:
+def nest(rows: DataFrame, opacity: float = 1.0, most: int | None = None) -> DataFrame:
     """items back to one document per slide: layers by name, items by index, points as segments.
 
-    Two layers of a slide that share a name raise an error.
+    Two layers of a slide that share a name raise an error. most: so many of each layer's indices go
+    to one document, the next ones to another of the same slide, so that no row holds a whole slide;
+    a layer then says which index is its ``first``. All names are in every document's layer_names,
+    and a layer without items in a part is there without any.
     """
     point = lambda p: F.struct(F.struct(p["x"].alias("x"), p["y"].alias("y")).alias("point"))
     item = F.struct("idx", F.struct(F.col("class"), F.lit("path").alias("type"), F.coalesce("closed", F.lit(True)).alias("closed"), F.col("color"), F.transform("points", point).alias("segments")).alias("item"))
-    layers = rows.groupBy("slide_id", "layer").agg(F.array_sort(F.collect_list(item)).alias("all"), F.count_distinct("layer_idx").alias("n"))
-    layers = layers.withColumn("n", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("two layers named "), "layer"))).otherwise(F.col("n")))
-    layer = F.struct(F.col("layer").alias("name"), F.lit(opacity).alias("opacity"), F.transform("all", lambda e: e["item"]).alias("items"), F.col("n"))
-    docs = layers.groupBy("slide_id").agg(F.array_sort(F.collect_list(layer)).alias("layers"))
-    return docs.select(F.col("slide_id").alias("name"), F.col("slide_id").alias("project_name"), "slide_id", F.transform("layers", lambda x: x["name"]).alias("layer_names"), F.transform("layers", lambda x: x.dropFields("n")).alias("layers"))
+    clash = lambda n: F.when(n > 1, F.raise_error(F.concat(F.lit("two layers named "), "layer"))).otherwise(n)
+    by = ["slide_id"] if most is None else ["slide_id", "_part"]
+    dealt = rows if most is None else rows.withColumn("_part", F.floor(F.col("idx") / most).cast("int"))
+    layers = dealt.groupBy(*by, "layer").agg(F.array_sort(F.collect_list(item)).alias("all"), F.count_distinct("layer_idx").alias("n"))
+    if most is None:
+        layers = layers.withColumn("n", clash(F.col("n")))
+        own = [F.col("layer").alias("name"), F.lit(opacity).alias("opacity")]
+    else:
+        known = rows.groupBy("slide_id", "layer").agg(F.count_distinct("layer_idx").alias("n")).withColumn("n", clash(F.col("n")))
+        # every part has every layer, as layers are told apart by their place, too
+        every = dealt.select(*by).distinct().join(known, "slide_id")
+        layers = every.join(layers.drop("n"), [every["slide_id"].eqNullSafe(layers["slide_id"]), every["_part"] == layers["_part"], every["layer"].eqNullSafe(layers["layer"])], "left")
+        layers = layers.select(*(every[c] for c in by), every["layer"], every["n"], F.coalesce("all", F.array().cast(layers.schema["all"].dataType)).alias("all"))
+        own = [F.col("layer").alias("name"), F.lit(opacity).alias("opacity"), (F.col("_part") * most).cast("int").alias("first")]
+    layer = F.struct(*own, F.transform("all", lambda e: e["item"]).alias("items"), F.col("n"))
+    docs = layers.groupBy(*by).agg(F.array_sort(F.collect_list(layer)).alias("layers"))
+    return docs.select(F.col("slide_id").alias("name"), F.col("slide_id").alias("project_name"), "slide_id", F.transform("layers", lambda x: x["name"]).alias("layer_names"), F.transform("layers", lambda x: x.dropFields("n")).alias("layers"), *([] if most is None else [F.col("_part").alias("part")]))
 
 
 def write(docs: DataFrame, path: str) -> None:
-    """One JSON line per document, in folders by slide."""
-    docs.withColumn("slide", F.col("slide_id")).write.mode("overwrite").partitionBy("slide").json(path)
+    """One JSON line per document, each in a file of its own, in folders by slide (and part)."""
+    by = ["slide", *(c for c in ("part",) if c in docs.columns)]
+    docs.withColumn("slide", F.col("slide_id")).write.mode("overwrite").partitionBy(*by).json(path)
 
 
 def duplicate_layers(docs: DataFrame) -> DataFrame:
