@@ -10,6 +10,8 @@ covers (w/cell + 1)(h/cell + 1) cells.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,14 +54,22 @@ def parents(objects: DataFrame, on: Sequence[str], cell: int, polygon: str = "po
     """Filter and refine: pairs whose boxes meet, the left area is larger, and the left polygon holds a probe of the right one.
 
     Areas are measured once per object, the right side carries its probes only (as column ``polygon``),
-    and a polygon is tested only for probes within its box.
+    and a polygon is tested only for probes within its box; one that is its box isn't tested again.
     """
-    sized = objects.withColumn("_area", polygons.area(F.col(polygon)))
-    asked = sized.withColumn(polygon, polygons.probes(F.col(polygon), probes))
-    inside = F.filter(F.col(f"r.{polygon}"), lambda p: boxes.holds_point("l.", p["x"], p["y"]))
-    pairs = box_join(sized, asked, on, cell, (F.col("l._area") > F.col("r._area")) & (F.size(inside) > 0))
-    held = F.exists(inside, lambda p: polygons.contains(F.col(f"l.{polygon}"), p["x"], p["y"]))
-    return pairs.where(held).select(F.col("l").dropFields("_area").alias("l"), F.col("r").dropFields("_area").alias("r"))
+    box = polygons.of_box(*boxes.cols())
+    plain = F.coalesce(F.col(polygon).cast(f"array<{polygons.POINT}>") == box, F.lit(False))
+    whole = all(dict(objects.dtypes)[c] in ("int", "bigint") for c in "xywh")
+    area = polygons.area(F.col(polygon))
+    # null where the box test has said it all, so that outlines of plain boxes don't travel either
+    outer = objects.withColumn("_outline", F.when(~plain, F.col(polygon)))
+    sized = outer.withColumn("_area", F.when(F.col("_outline").isNull() & F.col(polygon).isNotNull(), (F.col("w").cast("double") * F.col("h"))).otherwise(area) if whole else area)
+    asked = sized.drop("_outline").withColumn(polygon, polygons.probes(F.col(polygon), probes))
+    at = lambda side, k, c: F.get(F.col(f"{side}{polygon}"), F.lit(k))[c]
+    asked = asked.withColumns({f"_{c}{k}": at("", k, c) for k in range(probes) for c in "xy"})
+    inside = [F.coalesce(boxes.holds_point("l.", F.col(f"r._x{k}"), F.col(f"r._y{k}")), F.lit(False)) for k in range(probes)]
+    held = [i & (F.col("l._outline").isNull() | polygons.contains(F.col("l._outline"), F.col(f"r._x{k}"), F.col(f"r._y{k}"))) for k, i in enumerate(inside)]
+    pairs = box_join(sized, asked, on, cell, (F.col("l._area") > F.col("r._area")) & reduce(or_, inside) & reduce(or_, held))
+    return pairs.select(F.col("l").dropFields("_area", "_outline").alias("l"), F.col("r").dropFields("_area", *(f"_{c}{k}" for k in range(probes) for c in "xy")).alias("r"))
 
 
 def first_match(items: DataFrame, areas: DataFrame, on: Sequence[str], cell: int, item: str, order: str) -> DataFrame:
