@@ -81,6 +81,14 @@ def modularity(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return inside.crossJoin(F.broadcast(total)).select((F.col("e") / F.col("m") - F.col("dd") / (F.col("m") * F.col("m"))).alias("modularity"))
 
 
+def modularity_between(edges: DataFrame) -> DataFrame:
+    """``modularity`` of edges (ci, cj, w; both directions present) that carry their ends' clusters: they leave their tasks as sums."""
+    sums = edges.where("ci is not null and cj is not null").groupBy("ci", "cj").agg(F.sum("w").alias("w"))
+    per = sums.groupBy("ci").agg(F.sum("w").alias("d"), F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w"))).alias("e"))
+    e, m, dd = F.coalesce(F.sum("e"), F.lit(0.0)), F.sum("d"), F.sum(F.col("d") * F.col("d"))
+    return per.agg((e / m - dd / (m * m)).alias("modularity"))
+
+
 def fuzzy_graph(neighbours: DataFrame, rounds: int = 40) -> DataFrame:
     """i, j, w: the fuzzy union of each row's weighted nearest neighbours (id, rank, other, dist; itself left out).
 

@@ -13,10 +13,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes, polygons
+from . import graph
 
 
 def _celled(df: DataFrame, cell: int, x: Column, y: Column, w: Column, h: Column) -> DataFrame:
@@ -42,6 +45,67 @@ def overlaps(objects: DataFrame, on: Sequence[str], cell: int, different: str |
     return box_join(objects, objects, on, cell, None if different is None else F.col(f"l.{different}") != F.col(f"r.{different}"))
 
 
+def _link(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """up (each place's smallest known place of its set, itself pointing to itself) after the sets of a and b are joined."""
+    while True:
+        p, q = up[a], up[b]
+        apart = p != q
+        if not apart.any():
+            return up
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while True:
+            further = up[up]
+            if (further == up).all():
+                break
+            up = further
+
+
+def _met(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+    """Each box's smallest place in its set of boxes that meet, by a sweep along x over about ``most`` pairs at a time."""
+    order = np.argsort(x, kind="stable")
+    x, y, w, h, at = x[order], y[order], w[order], h[order], place[order]
+    n = np.searchsorted(x, x + w, "right") - np.arange(len(x)) - 1  # boxes that begin before this one ends
+    before = np.concatenate([[0], np.cumsum(np.maximum(n, 0))])
+    up = np.arange(len(x))
+    for lo in range(0, int(before[-1]), most):
+        k = np.arange(lo, min(lo + most, before[-1]))
+        a = np.searchsorted(before, k, "right") - 1
+        b = a + 1 + k - before[a]
+        meet = (y[a] <= y[b] + h[b]) & (y[b] <= y[a] + h[a])
+        up = _link(up, at[a[meet]], at[b[meet]])
+    return up[place]
+
+
+def touching(objects: DataFrame, on: Sequence[str], cell: int, item: str = "obj_id", *, most: int = 1 << 20) -> DataFrame:
+    """on, item (unique) and component (the smallest item reached) of every box; one that meets no other is its own.
+
+    Boxes that meet have a grid cell in common. A task joins the boxes of a cell into sets, named by
+    their smallest item; sets of neighbouring cells are linked by the boxes that lie in both. What is
+    shuffled are boxes and sets, never the pairs that meet.
+    """
+    kinds = dict(objects.dtypes)
+    first = [F.floor(F.col(c) / cell).cast("int") for c in "xy"]
+    last = [F.floor((F.col(c) + F.col(side)) / cell).cast("int") for c, side in zip("xy", "wh", strict=True)]
+    own = objects.select(*on, item, *"xywh", ((first[0] != last[0]) | (first[1] != last[1])).alias("_wide"))
+    rows = _celled(own, cell, *boxes.cols()).withColumn("_home", (F.col("_cx") == first[0]) & (F.col("_cy") == first[1]))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(item)
+        least = _met(*(g[c].to_numpy() for c in "xywh"), np.arange(len(g)), most)
+        return g[[*on, item, "_home", "_wide"]].assign(_set=g[item].to_numpy()[least])
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in on), f"{item} {kinds[item]}, _home boolean, _wide boolean, _set {kinds[item]}"])
+    tasks = int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced by size
+    keys = [*on, "_cx", "_cy"]
+    found = graph.cut(rows.repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, schema))
+    home = found.where("_home").drop("_home")
+    away = found.where("not _home").select(item, F.col("_set").alias("_other"))
+    links = home.where("_wide").join(away, item).select(F.col("_set").alias("a"), F.col("_other").alias("b"))
+    named = graph.components(links).select(F.col("node").alias("_set"), "component")
+    return home.join(named, "_set", "left").select(*on, item, F.coalesce("component", "_set").alias("component"))
+
+
 def points_in_boxes(points: DataFrame, areas: DataFrame, on: Sequence[str], cell: int) -> DataFrame:
     """The rows of points (columns x, y) that lie in any box of their group: a semi-join by grid cell."""
     dealt = _celled(areas, cell, *boxes.cols()).select(*on, "_cx", "_cy", *(F.col(c).alias(f"_{c}") for c in "xywh"))

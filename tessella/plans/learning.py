@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import clustering, graph, nearest, spatial
+from ..operators import clustering, nearest, spatial
 from ..session import table
 from .projections import BOXES_SQL, boxes, features, vectors
 
@@ -65,15 +65,15 @@ def silhouette_score(spark, root):
 def modularity_score(spark, root):
     """Modularity of the box meeting graph with labels as clusters."""
     b = boxes(spark, root)
-    e = spatial.overlaps(b, ["slide_id"], 200).select(F.col("l.obj_id").alias("i"), F.col("r.obj_id").alias("j"), F.lit(1.0).alias("w"))
-    return clustering.modularity(e, b.select(F.col("obj_id").alias("node"), (F.col("slide_id") % 5).alias("cluster"))).select(F.round("modularity", 8).alias("modularity"))
+    b = b.withColumn("cluster", F.col("slide_id") % 5)
+    e = spatial.overlaps(b, ["slide_id"], 200).select(F.col("l.cluster").alias("ci"), F.col("r.cluster").alias("cj"), F.lit(1.0).alias("w"))
+    return clustering.modularity_between(e).select(F.round("modularity", 8).alias("modularity"))
 
 
 def touching_groups(spark, root):
     """Connected groups of meeting boxes, whatever their labels."""
-    pairs = spatial.overlaps(boxes(spark, root), ["slide_id"], 200, None).where("l.obj_id < r.obj_id").select(F.col("l.obj_id").alias("a"), F.col("r.obj_id").alias("b"))
-    c = graph.components(pairs)
-    return c.groupBy("component").agg(F.count("*").alias("n"))
+    c = spatial.touching(boxes(spark, root), ["slide_id"], 2000)
+    return c.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def fuzzy_graph_weights(spark, root):

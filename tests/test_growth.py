@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import boxes as B
 from tessella.functions import polygons as P
-from tessella.operators import spatial
+from tessella.operators import clustering, graph, spatial
+from tessella.plans import learning
 
 
 def _plan(df):
@@ -25,3 +26,26 @@ def test_plain_boxes_take_no_polygon_test(spark):
     assert got == {tuple(r) for r in every.select("l.obj_id", "r.obj_id").collect()} and got
     pairs = spatial.parents(own, ["slide_id"], 25).select("l.obj_id", "r.obj_id")
     assert "_extract_points" not in _plan(pairs)
+
+
+def test_touching_boxes_by_cells(spark, root, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(k % 2), k, *(int(v) for v in rng.integers(-300, 300, 2)), *(int(v) for v in rng.integers(1, 60, 2))) for k in range(120)] + [(0, 500, -400, 10, 900, 3), (1, 501, 900, 900, 5, 5)]
+    own = spark.createDataFrame(rows, "slide_id int, obj_id long, x int, y int, w int, h int")
+    meets = spatial.overlaps(own, ["slide_id"], 50, None).where("l.obj_id != r.obj_id").select(F.col("l.obj_id").alias("a"), F.col("r.obj_id").alias("b"))
+    want = {r["node"]: r["component"] for r in graph.components(meets).collect()}
+    for most in (7, 1 << 20):
+        got = {r["obj_id"]: r["component"] for r in spatial.touching(own, ["slide_id"], 100, most=most).collect()}
+        assert got == {r[1]: want.get(r[1], r[1]) for r in rows} and len(set(want.values())) > 2
+    # pairs that meet must not be shuffled
+    monkeypatch.setattr(spatial, "box_join", None)
+    assert learning.touching_groups(spark, root).count()
+
+
+def test_modularity_from_sums(spark):
+    pairs = [(1, 2, 1.0), (2, 3, 2.0), (3, 1, 1.0), (4, 5, 1.0), (3, 4, 0.5)]
+    edges = spark.createDataFrame([e for i, j, w in pairs for e in ((i, j, w), (j, i, w))], "i long, j long, w double")
+    own = spark.createDataFrame([(k, int(k > 3)) for k in range(1, 6)], "node long, cluster int")
+    want = clustering.modularity(edges, own).first()[0]
+    ends = edges.join(own.toDF("i", "ci"), "i").join(own.toDF("j", "cj"), "j").select("ci", "cj", "w")
+    assert clustering.modularity_between(ends).first()[0] == pytest.approx(want)
