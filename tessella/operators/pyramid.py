@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -175,17 +176,19 @@ def crops(regions: DataFrame, tiles: DataFrame, tile: int, *, overlap: int = 0,
     kind = dict(regions.dtypes)["region"]
 
     def cut(batches):
-        for pdf in batches:
-            rows = []
-            for cell, needs in zip(pdf["image"], pdf["needs"], strict=True):
-                image = _image(cell, decode)
-                for n in needs:
-                    part = image[n["from_y"] : n["from_y"] + n["part_h"], n["from_x"] : n["from_x"] + n["part_w"]]
-                    if part.size:
-                        rows.append((n["region"], n["to_x"], n["to_y"], pack(part)))
-            yield pd.DataFrame(rows, columns=["region", "to_x", "to_y", "part"])
-
-    pieces = met.select("image", "needs").mapInPandas(cut, f"region {kind}, to_x int, to_y int, part {CELL}")
+        """A tile's parts leave as one batch each, so that no more of them are held at once."""
+        fields = ("from_x", "from_y", "to_x", "to_y", "part_w", "part_h")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                image = _image(batch.column("image")[k].as_py(), decode)
+                needs = batch.column("needs").slice(k, 1).flatten()
+                x, y, to_x, to_y, w, h = (needs.field(f).to_numpy(zero_copy_only=False) for f in fields)
+                parts = [image[b : b + n, a : a + m] for a, b, m, n in zip(x.tolist(), y.tolist(), w.tolist(), h.tolist(), strict=True)]
+                some = np.array([i for i, p in enumerate(parts) if p.size], np.int64)
+                cells = pa.array([pack(parts[i]) for i in some], pa.struct([("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary())]))
+                yield pa.RecordBatch.from_arrays([needs.field("region").take(pa.array(some)), pa.array(to_x[some], pa.int32()), pa.array(to_y[some], pa.int32()), cells], ["region", "to_x", "to_y", "part"])
+
+    pieces = met.select("image", "needs").mapInArrow(cut, f"region {kind}, to_x int, to_y int, part {CELL}")
     whole = pieces.groupBy("region").agg(F.collect_list(F.struct("to_x", "to_y", "part")).alias("_parts"))
     rest = [c for c in regions.columns]
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,6 +213,50 @@ def masks_of(pixels: DataFrame, keys: Sequence[str], h: int, w: int, value: int
     return rows.mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"]))
 
 
+def masks_of_boxes(boxes: DataFrame, keys: Sequence[str], h: int, w: int, value: int = 255) -> DataFrame:
+    """keys and mask of h x w pixels, ``value`` in each row's box (x, y, w, h: whole numbers; what lies beyond the mask is cut).
+
+    A mask's boxes reach a task one after the other and are added up at their corners, so a task holds
+    one mask's sums, however many boxes it has and however large they are.
+    """
+    kinds = dict(boxes.dtypes)
+    tasks = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced by size
+    rows = boxes.select(*keys, *(F.col(c).cast("long").alias(f"_{c}") for c in "xywh")).repartition(tasks, *keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        held, corners = None, np.zeros((h + 1) * (w + 1), np.int64)
+
+        def finished(head: pa.RecordBatch) -> pa.RecordBatch:
+            covered = corners.reshape(h + 1, w + 1).cumsum(0).cumsum(1)[:-1, :-1] > 0
+            mask = pa.array([pack(np.where(covered, value, 0))], pa.struct([("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary())]))
+            corners[:] = 0
+            return pa.RecordBatch.from_arrays([*(head.column(k) for k in keys), mask], [*keys, "mask"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fresh = np.zeros(batch.num_rows, bool)
+            fresh[0] = True
+            for k in keys:
+                code = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                fresh[1:] |= code[1:] != code[:-1]
+            heads = batch.select(list(keys))
+            x, y, wide, high = (batch.column(f"_{c}").to_numpy() for c in "xywh")
+            x0, x1, y0, y1 = np.clip(x, 0, w), np.clip(x + np.maximum(wide, 0), 0, w), np.clip(y, 0, h), np.clip(y + np.maximum(high, 0), 0, h)
+            starts = np.flatnonzero(fresh)
+            for a, b in zip(starts, np.append(starts[1:], len(fresh)), strict=True):
+                head = heads.slice(int(a), 1)
+                if held is not None and not held.equals(head):
+                    yield finished(held)
+                held = head
+                for v, u, sign in ((y0, x0, 1), (y0, x1, -1), (y1, x0, -1), (y1, x1, 1)):
+                    np.add.at(corners, v[a:b] * (w + 1) + u[a:b], sign)
+        if held is not None:
+            yield finished(held)
+
+    return rows.mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"mask {CELL}"]))
+
+
 def distance_moments(masks: DataFrame, keys: Sequence[str], inside: bool = True) -> DataFrame:
     """keys, n, total and most: of the squared distances of each mask's pixels to the others (inside = False: of the others to the mask)."""
     kinds = dict(masks.dtypes)

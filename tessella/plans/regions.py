@@ -28,8 +28,10 @@ def _pixels(spark, root, scale: int):
 
 def _tiles(spark, root):
     """Every slide's painted pixels at a sixteenth of the scale, as a pyramid's level of 5 x 5 tiles."""
-    at = _pixels(spark, root, 16).select(F.col("slide_id").cast("string").alias("slide"), F.floor(F.col("px") / TILE).cast("int").alias("col"), F.floor(F.col("py") / TILE).cast("int").alias("row"), (F.col("px") % TILE).alias("px"), (F.col("py") % TILE).alias("py"))
-    painted = separation.masks_of(at, ["slide", "col", "row"], TILE, TILE)
+    cells = lambda at, side: F.explode(F.sequence(F.floor(F.col(at) / TILE).cast("int"), F.floor((F.col(at) + F.col(side) - 1) / TILE).cast("int")))
+    at = _small(spark, root, 16).withColumn("col", cells("x", "w")).withColumn("row", cells("y", "h"))
+    at = at.select(F.col("slide_id").cast("string").alias("slide"), "col", "row", (F.col("x") - F.col("col") * TILE).alias("x"), (F.col("y") - F.col("row") * TILE).alias("y"), "w", "h")
+    painted = separation.masks_of_boxes(at, ["slide", "col", "row"], TILE, TILE)
     places = F.explode(F.sequence(F.lit(0), F.lit(SIDE // TILE - 1)))
     every = boxes(spark, root).select(F.col("slide_id").cast("string").alias("slide")).distinct().withColumn("col", places).withColumn("row", places)
     empty = F.struct(F.lit(TILE).alias("h"), F.lit(TILE).alias("w"), F.lit(bytes(TILE * TILE)).alias("data"))

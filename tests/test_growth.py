@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import boxes as B
 from tessella.functions import polygons as P
-from tessella.operators import clustering, graph, spatial
-from tessella.plans import learning
+from tessella.operators import clustering, graph, separation, spatial
+from tessella.operators.raster import unpack
+from tessella.plans import learning, regions
 
 
 def _plan(df):
@@ -49,3 +50,17 @@ def test_modularity_from_sums(spark):
     want = clustering.modularity(edges, own).first()[0]
     ends = edges.join(own.toDF("i", "ci"), "i").join(own.toDF("j", "cj"), "j").select("ci", "cj", "w")
     assert clustering.modularity_between(ends).first()[0] == pytest.approx(want)
+
+
+def test_masks_of_boxes(spark, root, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [("ab"[k % 2], int(k % 3), *(int(v) for v in rng.integers(-4, 20, 2)), *(int(v) for v in rng.integers(0, 7, 2))) for k in range(90)] + [(None, 1, 2, 2, 3, 3)]
+    want = {}
+    for slide, col, x, y, w, h in rows:
+        m = want.setdefault((slide, col), np.zeros((15, 12), np.uint8))
+        m[max(y, 0) : max(y + h, 0), max(x, 0) : max(x + w, 0)] = 255
+    got = separation.masks_of_boxes(spark.createDataFrame(rows, "slide string, col int, x int, y int, w int, h int"), ["slide", "col"], 15, 12).collect()
+    assert len(got) == len(want) and all((unpack(r["mask"]) == want[r["slide"], r["col"]]).all() for r in got)
+    # boxes, not their pixels, go to the tiles
+    monkeypatch.setattr(regions, "_pixels", None)
+    assert regions._tiles(spark, root).count()
