@@ -173,12 +173,52 @@ def _without_straight(loop: list[Point]) -> list[Point]:
     return [q for p, q, r in zip([loop[-1], *loop[:-1]], loop, [*loop[1:], loop[0]], strict=True) if bends(p, q, r)]
 
 
+def _outline_by_cells(regions: list[list[np.ndarray]]) -> list[tuple[Point, Point]]:
+    """The union's directed edges, inside to the left, of regions whose edges are all along the axes, from the cells between their coordinates."""
+    every = np.concatenate([loop for region in regions for loop in region])
+    xs, ys = np.unique(every[:, 0]), np.unique(every[:, 1])
+    held = np.zeros((len(xs) + 1, len(ys) + 1), bool)  # a border of empty cells around; cell (i, j) ends at xs[i], ys[j]
+    for region in regions:
+        points = np.concatenate(region)
+        x0, x1 = np.searchsorted(xs, [points[:, 0].min(), points[:, 0].max()])
+        y0, y1 = np.searchsorted(ys, [points[:, 1].min(), points[:, 1].max()])
+        odd = np.zeros((x1 - x0, y1 - y0), bool)
+        for loop in region:
+            following = np.roll(loop, -1, axis=0)
+            up = np.flatnonzero(loop[:, 1] != following[:, 1])
+            at = np.searchsorted(xs, loop[up, 0]) - x0
+            low, high = (np.searchsorted(ys, f(loop[up, 1], following[up, 1])) - y0 for f in (np.minimum, np.maximum))
+            for i, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
+                odd[i:, a:b] ^= True
+        held[x0 + 1 : x1 + 1, y0 + 1 : y1 + 1] |= odd
+    px, py = [_exact(v) for v in xs.tolist()], [_exact(v) for v in ys.tolist()]
+    out = []
+    for i, j in zip(*(k.tolist() for k in np.nonzero(held[1:] != held[:-1])), strict=True):  # along y, at xs[i]
+        p, q = (px[i], py[j - 1]), (px[i], py[j])
+        out.append((p, q) if held[i, j] else (q, p))
+    for i, j in zip(*(k.tolist() for k in np.nonzero(held[:, 1:] != held[:, :-1])), strict=True):
+        p, q = (px[i - 1], py[j]), (px[i], py[j])
+        out.append((q, p) if held[i, j] else (p, q))
+    return out
+
+
+def _along_axes(regions: list[list[np.ndarray]], most: int = 1 << 22) -> bool:
+    """Whether all edges are along the axes, and the cells between their coordinates, few enough."""
+    if not all(((loop == np.roll(loop, -1, axis=0)).any(1)).all() for region in regions for loop in region):
+        return False
+    every = np.concatenate([loop for region in regions for loop in region])
+    return len(np.unique(every[:, 0])) * len(np.unique(every[:, 1])) <= most
+
+
 def union(regions: Sequence[Sequence[np.ndarray]]) -> list[np.ndarray]:
     """The loops of the union of regions, each from its least point, in order; without points on straight stretches."""
+    regions = [[np.rint(np.asarray(loop, float).reshape(-1, 2) * GRID) / GRID for loop in region if len(loop)] for region in regions]
+    regions = [region for region in regions if region]
+    if regions and _along_axes(regions):
+        return _loops(_outline_by_cells(regions))
     edges, ends, owner = [], [], []
     for k, region in enumerate(regions):
         for loop in region:
-            loop = np.rint(np.asarray(loop, float).reshape(-1, 2) * GRID) / GRID
             keep = (loop != np.roll(loop, -1, axis=0)).any(1)
             for (x1, y1), (x2, y2) in zip(loop[keep].tolist(), np.roll(loop, -1, axis=0)[keep].tolist(), strict=True):
                 edges.append(((_exact(x1), _exact(y1)), (_exact(x2), _exact(y2))))
@@ -219,6 +259,10 @@ def union(regions: Sequence[Sequence[np.ndarray]]) -> list[np.ndarray]:
                 outline.append((p, q) if left else (q, p))
         if _balanced(outline):
             break
+    return _loops(outline)
+
+
+def _loops(outline: list[tuple[Point, Point]]) -> list[np.ndarray]:
     loops = [_without_straight(loop) for loop in _walk(outline)]
     out = []
     for loop in loops:
@@ -232,6 +276,26 @@ def _region(cell) -> list[np.ndarray]:
     return [np.array([[p["x"], p["y"]] for p in loop], float) for loop in cell]
 
 
+def _rectangle(cells, most: int = 32) -> list[list[dict]] | None:
+    """The union of regions (loops of points as dicts), if each of them is one rectangle along the axes, and so is the union."""
+    boxes = set()
+    for region in cells:
+        if len(region) != 1 or len(region[0]) != 4 or len(boxes) > most:
+            return None
+        a, b, c, d = ((round(p["x"] * GRID) / GRID, round(p["y"] * GRID) / GRID) for p in region[0])
+        if not (a[0] == b[0] and b[1] == c[1] and c[0] == d[0] and d[1] == a[1] or a[1] == b[1] and b[0] == c[0] and c[1] == d[1] and d[0] == a[0]):
+            return None
+        if a[0] == c[0] or a[1] == c[1]:
+            return None
+        boxes.add((min(a[0], c[0]), min(a[1], c[1]), max(a[0], c[0]), max(a[1], c[1])))
+    x0, y0, x1, y1 = (f(v) for f, v in zip((min, min, max, max), zip(*boxes, strict=True), strict=True))
+    if len(boxes) > 1:
+        xs, ys = (sorted({v for b in boxes for v in (b[k], b[k + 2])}) for k in (0, 1))
+        if not all(any(b[0] <= x < b[2] and b[1] <= y < b[3] for b in boxes) for x in xs[:-1] for y in ys[:-1]):
+            return None
+    return [[{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]]
+
+
 def area_of(loops: Column) -> Column:
     """Area of a region: holes count against it."""
     return F.aggregate(loops, F.lit(0.0), lambda acc, loop: acc + P.signed_area(loop))
@@ -256,12 +320,15 @@ def united(pieces: DataFrame, on: Sequence[str], cell: float, *, fan: int = FAN)
         def one(cells):
             if len(cells) == 1 and not first:  # a union already
                 return cells[0]
-            return [[{"x": float(a), "y": float(b)} for a, b in loop] for loop in union([_region(c) for c in cells])]
+            plain = _rectangle(cells)
+            return plain if plain is not None else [[{"x": float(a), "y": float(b)} for a, b in loop] for loop in union([_region(c) for c in cells])]
 
         def run(batches):
-            for batch in batches:
-                loops = pa.array([one(cells) for cells in batch.column("all").to_pylist()], batch.schema.field("all").type.value_type)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], loops], [*batch.schema.names[:-1], "loops"])
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 64):  # lists of points as Python objects are some thirty times as large
+                    batch = whole.slice(lo, 64)
+                    loops = pa.array([one(cells.as_py()) for cells in batch.column("all")], batch.schema.field("all").type.value_type)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], loops], [*batch.schema.names[:-1], "loops"])
 
         return held.mapInArrow(run, f"{keys}, cx long, cy long, pieces long, loops {LOOPS}")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import boxes as B
 from tessella.functions import polygons as P
-from tessella.operators import clustering, graph, separation, spatial
+from tessella.operators import clustering, graph, outlines, separation, spatial
 from tessella.operators.raster import unpack
 from tessella.plans import learning, regions
 
@@ -64,3 +64,23 @@ def test_masks_of_boxes(spark, root, monkeypatch):
     # boxes, not their pixels, go to the tiles
     monkeypatch.setattr(regions, "_pixels", None)
     assert regions._tiles(spark, root).count()
+
+
+def test_unions_along_the_axes(monkeypatch):
+    rng = np.random.default_rng(10)
+    box = lambda x, y, w, h: np.array([(x, y), (x, y + h), (x + w, y + h), (x + w, y)], float)
+    cases = [[[box(*rng.integers(0, 12, 2), *rng.integers(1, 6, 2)) / 4] for _ in range(n)] for n in (1, 2, 3, 5, 8, 13, 21)]
+    cases += [[outlines.union(cases[4]), *cases[3]], [[box(0, 0, 9, 9), box(2, 2, 3, 3)], [box(3, 3, 1, 1)]], [[box(0, 0, 1, 1)], [box(1, 1, 1, 1)]], [[box(0, 0, 2, 0)], [box(1, 1, 1, 1)]]]
+    got = [outlines.union(c) for c in cases]
+    monkeypatch.setattr(outlines, "_along_axes", lambda regions: False)
+    for c, loops in zip(cases, got, strict=True):
+        want = outlines.union(c)
+        assert [v.tolist() for v in loops] == [v.tolist() for v in want]
+        plain = outlines._rectangle([[[{"x": x, "y": y} for x, y in v] for v in region] for region in c])
+        assert plain is None or [[(p["x"], p["y"]) for p in v] for v in plain] == [[tuple(p) for p in v.tolist()] for v in want]
+    halves = [[[{"x": x, "y": y} for x, y in box(x0, 0, 2, 3)]] for x0 in (0, 2, 1)]
+    assert outlines._rectangle(halves) == [[{"x": x, "y": y} for x, y in ((0, 0), (4, 0), (4, 3), (0, 3))]]
+    # edges along the axes need no fractions
+    monkeypatch.undo()
+    monkeypatch.setattr(outlines, "_split", None)
+    outlines.union(cases[-3])
