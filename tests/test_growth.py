@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import boxes as B
 from tessella.functions import polygons as P
-from tessella.operators import clustering, graph, outlines, separation, spatial
+from tessella.operators import clustering, graph, models, nearest, outlines, pivots, separation, spatial
 from tessella.operators.raster import unpack
 from tessella.plans import learning, regions
 
@@ -84,3 +84,45 @@ def test_unions_along_the_axes(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(outlines, "_split", None)
     outlines.union(cases[-3])
+
+
+def test_asking_rows_travel_once(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 4))
+    points = spark.createDataFrame([(k, [float(c) for c in v]) for k, v in enumerate(x)], "id long, vec array<double>")
+    kept = []
+    monkeypatch.setattr(pivots, "cut", lambda df: kept.append(clustering.cut(df)) or kept[-1])
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = {(r["id"], r["rank"]): r["other"] for r in pivots.k_nearest(points, 3, rows=16, with_self=False).collect()}
+    np.fill_diagonal(far, np.inf)
+    want = np.argsort(far, axis=1, kind="stable")[:, :3]
+    assert near == {(i, r): want[i, r] for i in range(600) for r in range(3)}
+    np.fill_diagonal(far, 0)
+    got = {r["id"]: r["density"] for r in pivots.kernel_density(points, 0.5, error=1e-9, rows=16).collect()}
+    assert [got[k] for k in range(600)] == pytest.approx(np.exp(-2 * far**2).mean(1), abs=1e-8)
+    # rows with the shares that they ask are many times the table: they go to their tasks, not to files as well
+    assert kept and not any("share" in df.columns for df in kept)
+
+
+def test_few_wide_blocks(spark):
+    rng = np.random.default_rng(12)
+    points = spark.createDataFrame([(k, [float(c) for c in v], int(k % 3)) for k, v in enumerate(rng.normal(size=(400, 3)))], "id long, vec array<double>, cluster int")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # blocks don't multiply with the rows while wider ones hold them
+    assert nearest.wide_blocks(points, (), 4, 400) <= np.ceil(np.sqrt(2 * parts)) and nearest.wide_blocks(points, (), 4, 20) == 20
+    one, many = (clustering.silhouette(points, points.select("id", "cluster"), block=4, most=m).first()[0] for m in (400, 20))
+    assert one == pytest.approx(many)
+
+
+def test_neighbours_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [(i, j, abs(i - j) / 10 + 0.01 * i) for i in range(60) for j in range(60) if abs(i - j) < 4]
+    n = spark.createDataFrame(rows, "id long, other long, dist double")
+    clusters = models.density(n.mapInArrow(count, n.schema), 0.5, 3)
+    assert clusters.count() == 60 and seen.value == len(rows)
