@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import graph, stats, tables
+from . import clustering, graph, stats, tables
 
 
 def _sample(points: DataFrame, n: int, seed: int) -> np.ndarray:
@@ -100,6 +100,7 @@ def density(neighbours: DataFrame, radius: float, least: int) -> DataFrame:
 
     neighbours: id, other, dist, with both directions, as far as the radius.
     """
+    neighbours = clustering.cut(neighbours.select("id", "other", "dist"))  # every step below reads it; its making would be repeated
     near = neighbours.where(F.col("dist") <= radius)
     core = near.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("id")
     inside = near.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
