@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import boxes as B
 from tessella.functions import polygons as P
-from tessella.operators import clustering, graph, models, nearest, outlines, pivots, separation, spatial
+from tessella.operators import clustering, graph, models, nearest, outlines, pivots, separation, spatial, tiles
 from tessella.operators.raster import unpack
 from tessella.plans import learning, regions
 
@@ -126,3 +126,20 @@ def test_neighbours_found_once(spark):
     n = spark.createDataFrame(rows, "id long, other long, dist double")
     clusters = models.density(n.mapInArrow(count, n.schema), 0.5, 3)
     assert clusters.count() == 60 and seen.value == len(rows)
+
+
+def test_turns_by_tiles_keep_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(int(k % 2), k, float(x), float(y), bool(k % 3)) for k, (x, y) in enumerate(rng.integers(0, 90, (400, 2)))] + [(0, 900, None, 1.0, True), (None, 901, 1.0, 1.0, True), (None, 902, 1.0, 1.0, False), (1, 903, float("nan"), 1.0, False)]
+    df = spark.createDataFrame(rows, "g int, obj_id long, x double, y double, side boolean")
+    kept = []
+    monkeypatch.setattr(tiles, "cut", lambda frame: kept.append(clustering.cut(frame)) or kept[-1])
+    for most, per in ((25.0, 20), (25.0, 4096), (6.0, 5)):
+        got = {(r["g"], r["near"], r["far"]) for r in tiles.matched(df.where("side"), df.where("not side"), ["g"], most, rows=per).collect()}
+        want = set()
+        for g in (0, 1):
+            near, far = ([r for r in rows[:400] if r[0] == g and r[4] == s] for s in (True, False))
+            want |= {(g, near[i][1], far[j][1]) for i, j in tiles.match_points(np.array([r[2:4] for r in near]), np.array([r[2:4] for r in far]), most)}
+        assert got == want and len(want) > 50
+    # points and turns are kept between rounds, never the pairs in reach
+    assert max(frame.count() for frame in kept) <= len(rows)
