@@ -307,9 +307,14 @@ def with_label(df: DataFrame, labels: DataFrame, on: Sequence[str], label: str,
 
 def balanced(df: DataFrame, stratum: str, key: str, wanted: Mapping[str, float], total: int, seed: int = 0) -> DataFrame:
     """About ``total`` rows with the wanted share of each stratum: its quota in hash order, as far as it has rows."""
-    quota = F.create_map(*[F.lit(v) for s, w in wanted.items() for v in (s, round(total * w / sum(wanted.values())))])
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_text(F.col(key), seed=seed), F.col(key)))
-    return df.where(F.col(stratum).isin(list(wanted))).withColumn("_k", rank).where(F.col("_k") <= quota[F.col(stratum)]).drop("_k")
+    quotas = {s: round(total * w / sum(wanted.values())) for s, w in wanted.items()}
+    quota = F.create_map(*[F.lit(v) for item in quotas.items() for v in item])
+    rows = df.where(F.col(stratum).isin(list(wanted))).withColumns({"_o": hash_text(F.col(key), seed=seed), "_p": F.pmod(F.xxhash64(key), F.lit(256))})
+    # first in parts, none of which may give more than the largest quota, so that no stratum is ranked in one task
+    for by in ([stratum, "_p"], [stratum]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("_o", key))
+        rows = rows.withColumn("_k", rank).where(F.col("_k") <= max(quotas.values(), default=0))
+    return rows.where(F.col("_k") <= quota[F.col(stratum)]).drop("_k", "_o", "_p")
 
 
 def id_map(df: DataFrame, canonical: str, others: Sequence[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import boxes as B
 from tessella.functions import polygons as P
-from tessella.operators import clustering, graph, models, nearest, outlines, pivots, separation, spatial, tiles
+from tessella.operators import clustering, graph, models, nearest, outlines, pivots, separation, spatial, tables, tiles
 from tessella.operators.raster import unpack
 from tessella.plans import learning, regions
 
@@ -109,7 +110,7 @@ def test_few_wide_blocks(spark):
     points = spark.createDataFrame([(k, [float(c) for c in v], int(k % 3)) for k, v in enumerate(rng.normal(size=(400, 3)))], "id long, vec array<double>, cluster int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # blocks don't multiply with the rows while wider ones hold them
-    assert nearest.wide_blocks(points, (), 4, 400) <= np.ceil(np.sqrt(2 * parts)) and nearest.wide_blocks(points, (), 4, 20) == 20
+    assert nearest.wide_blocks(points, (), 4, 400) <= max(4, np.ceil(np.sqrt(2 * parts))) and nearest.wide_blocks(points, (), 4, 20) == 20
     one, many = (clustering.silhouette(points, points.select("id", "cluster"), block=4, most=m).first()[0] for m in (400, 20))
     assert one == pytest.approx(many)
 
@@ -143,3 +144,23 @@ def test_turns_by_tiles_keep_no_pairs(spark, monkeypatch):
         assert got == want and len(want) > 50
     # points and turns are kept between rounds, never the pairs in reach
     assert max(frame.count() for frame in kept) <= len(rows)
+
+
+def test_strata_ranked_in_parts(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 3 == 1, "N").otherwise("R").alias("label"))
+    got = tables.balanced(rows, "label", "id", {"A": 1, "N": 2}, 90)
+    want = rows.where("label != 'R'").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.concat(F.lit("0:"), F.col("id").cast("string")).cast("binary")), "id"))).where("k <= if(label = 'A', 30, 60)")
+    assert {r["id"] for r in got.collect()} == {r["id"] for r in want.collect()}
+    # a stratum's rows are cut to its quota before they meet
+    assert "_p" in _plan(got) and _plan(got).count("row_number()") > _plan(want).count("row_number()")
+
+
+def test_histogram_in_few_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    points = spark.createDataFrame([(int(k % 2), int(x), int(y)) for k, (x, y) in enumerate(rng.integers(0, 400, (900, 2)))], "g int, x int, y int")
+    got = {m: {tuple(r) for r in nearest.distance_histogram(points, ["g"], 10, 500.0, block=8, most=m).collect()} for m in (4096, 40)}
+    assert got[4096] == got[40] and len(got[40]) > 10
+    dealt, wide = [], nearest.wide_blocks
+    monkeypatch.setattr(nearest, "wide_blocks", lambda *a: dealt.append(wide(*a)) or dealt[-1])
+    nearest.distance_histogram(points, ["g"], 10, 500.0, block=8)
+    assert dealt[0] <= max(4, np.ceil(np.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
