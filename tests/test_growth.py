@@ -164,3 +164,18 @@ def test_histogram_in_few_blocks(spark, monkeypatch):
     monkeypatch.setattr(nearest, "wide_blocks", lambda *a: dealt.append(wide(*a)) or dealt[-1])
     nearest.distance_histogram(points, ["g"], 10, 500.0, block=8)
     assert dealt[0] <= max(4, np.ceil(np.sqrt(int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def test_outlines_fitted_together(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    rows = []
+    for k in range(40):
+        a = rng.integers(0, 60, (3 + k % 3, 2)).astype(float)
+        b = a[::-1] @ np.array([[0.99, 0.1], [-0.1, 0.99]]) + rng.normal(0, 0.5, 2) if k % 2 else rng.integers(0, 60, (4, 2)).astype(float)
+        rows.append((k, *([tuple(map(float, p)) for p in v] for v in (a, b))))
+    want = {k: tiles.rigid_fit(np.array(a), np.array(b)) for k, a, b in rows}
+    monkeypatch.setattr(tiles, "rigid_fit", None)  # not one row at a time
+    df = spark.createDataFrame(rows, "id long, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    for r in tiles.align(df).collect():
+        turn, move, error = want[r["id"]]
+        assert [r["angle"], r["dx"], r["dy"], r["error"]] == pytest.approx([np.arctan2(turn[1, 0], turn[0, 0]), *move, error], abs=1e-9)
