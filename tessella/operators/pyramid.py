@@ -404,14 +404,24 @@ def fit_to_tiles(image: np.ndarray, mask: np.ndarray, size: int, *, several: flo
 
 
 def fitted(objects: DataFrame, keys: Sequence[str], size: int, **options) -> DataFrame:
-    """keys, tile (number), image and mask: the tiles of ``fit_to_tiles`` of every object (image, mask)."""
+    """keys, tile (number), image and mask: the tiles of ``fit_to_tiles`` of every object (image, mask); equal objects of a batch are cut once."""
     kinds = dict(objects.dtypes)
+    cell = pa.struct([("h", pa.int32()), ("w", pa.int32()), ("data", pa.binary())])
 
     def run(batches):
-        for pdf in batches:
-            found = [fit_to_tiles(unpack(a), unpack(b), size, **options) for a, b in zip(pdf["image"], pdf["mask"], strict=True)]
-            at = np.repeat(np.arange(len(pdf)), [len(f) for f in found])
-            out = pdf[list(keys)].iloc[at].reset_index(drop=True)
-            yield out.assign(tile=pd.Series([k for f in found for k in range(len(f))], dtype="int32"), image=[pack(a) for f in found for a, _ in f], mask=[pack(b) for f in found for _, b in f])
-
-    return objects.select(*keys, "image", "mask").mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"tile int, image {CELL}, mask {CELL}"]))
+        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
+            place, found, at = {}, [], np.zeros(batch.num_rows, int)
+            for i, key in enumerate(zip(*(batch.column(side).field(c).to_pylist() for side in ("image", "mask") for c in ("h", "w", "data")), strict=True)):
+                if key not in place:
+                    place[key] = len(found)
+                    image, mask = (unpack(dict(zip(("h", "w", "data"), part, strict=True))) for part in (key[:3], key[3:]))
+                    found.append([(pack(a), pack(b)) for a, b in fit_to_tiles(image, mask, size, **options)])
+                at[i] = place[key]
+            many = np.array([len(f) for f in found])
+            begin, n = (np.cumsum(many) - many)[at], many[at]
+            tile = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            images, masks = (pa.array([t[k] for f in found for t in f], cell).take(pa.array(np.repeat(begin, n) + tile)) for k in (0, 1))
+            own = batch.select(list(keys)).take(pa.array(np.repeat(np.arange(batch.num_rows), n)))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tile.astype(np.int32)), images, masks], [*keys, "tile", "image", "mask"])
+
+    return objects.select(*keys, "image", "mask").mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"tile int, image {CELL}, mask {CELL}"]))

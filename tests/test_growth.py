@@ -1,6 +1,7 @@
 """Work that must not grow faster than its input: what travels, and what is done once."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -179,3 +180,28 @@ def test_outlines_fitted_together(spark, monkeypatch):
     for r in tiles.align(df).collect():
         turn, move, error = want[r["id"]]
         assert [r["angle"], r["dx"], r["dy"], r["error"]] == pytest.approx([np.arctan2(turn[1, 0], turn[0, 0]), *move, error], abs=1e-9)
+
+
+def test_equal_tiles_are_worked_once(spark, monkeypatch):
+    from tessella.operators import pyramid, raster
+
+    rng = np.random.default_rng(16)
+    unlike = [rng.integers(0, 256, (h, w, 3)).astype(np.uint8) for h, w in ((4, 5), (9, 9), (12, 20))]
+    rows = [(k, raster.pack(unlike[k % 3]), raster.pack(unlike[k % 3][..., 0] // 2)) for k in range(90)]
+    df = spark.createDataFrame(rows, f"id long, image {raster.CELL}, mask {raster.CELL}").coalesce(1)
+    want = {(k, n): (raster.pack(a), raster.pack(b)) for k in range(90) for n, (a, b) in enumerate(pyramid.fit_to_tiles(unlike[k % 3], unlike[k % 3][..., 0] // 2, 8))}
+    tissue = {k: raster.is_tissue(unlike[k % 3]) for k in range(90)}
+    fitted = pyramid.fitted(df, ["id"], 8).collect()
+    assert {(r["id"], r["tile"]): tuple({**c.asDict(), "data": bytes(c["data"])} for c in (r["image"], r["mask"])) for r in fitted} == want
+    assert {r["id"]: r["tissue"] for r in raster.tissue_tiles(df).select("id", "tissue").collect()} == tissue
+    # the tasks' functions, run here on a batch: as many calls as unlike tiles
+    seen, tasks = [], []
+    for module, name in ((pyramid, "fit_to_tiles"), (raster, "is_tissue")):
+        monkeypatch.setattr(module, name, lambda *a, _fn=getattr(module, name), **o: seen.append(1) or _fn(*a, **o))
+    monkeypatch.setattr(type(df), "mapInArrow", lambda frame, fn, schema: tasks.append(fn) or frame)
+    monkeypatch.setattr(raster.F, "pandas_udf", lambda kind: lambda fn: tasks.append(fn) or (lambda c: F.lit(True)))
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    pyramid.fitted(df, ["id"], 8)
+    assert len(list(tasks[-1]([batch]))) == 1 and len(seen) == 3
+    raster.tissue_tiles(df)
+    assert list(tasks[-1](pd.DataFrame(batch.column("image").to_pylist()))) == list(tissue.values()) and len(seen) == 6
