@@ -64,7 +64,7 @@ def wide_blocks(df: DataFrame, on: Sequence[str], rows: int, most: int, groups:
     Every row travels once for each block, so their number, not the pairs, decides what is shuffled.
     """
     small, tasks = blocks_for(df, on, rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(-(-small * rows // most), min(small, math.ceil(math.sqrt(2 * tasks / groups))))
+    return max(-(-small * rows // most), min(small, max(4, math.ceil(math.sqrt(2 * tasks / groups)))))
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,16 +166,17 @@ def coverage(points: DataFrame, centres: DataFrame, radius: float, *, limit: int
     return hits.groupBy("by").agg(F.count_if("hit").alias("covered"), F.count("*").alias("n"))
 
 
-def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: float, *, block: int = 4096, distinct: bool = True) -> DataFrame:
+def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: float, *, block: int = 4096, most: int = 131_072, distinct: bool = True) -> DataFrame:
     """on, bin, n: Euclidean distances between all ordered pairs (with themselves) of points (x, y) of a group.
 
-    Pairs meet block by block (of about ``block`` points, from the size of the largest group) and
-    leave as counts; bins over [0, top], the last one closed. With ``distinct``, equal points of a
+    Pairs meet block by block (from about ``block`` points to ``most``, as few as keep all cores busy:
+    a point travels once for each block of its group) and leave as counts; bins over [0, top], the last one closed. With ``distinct``, equal points of a
     group count once.
     """
     rows = points.select(*on, "x", "y")
     rows = rows.distinct() if distinct else rows
-    blocks = blocks_for(rows, on, block)
+    groups = (rows.select(*on).distinct().count() or 1) if on else 1
+    blocks = wide_blocks(rows, on, block, most, groups)
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int"))
     # each pair of blocks meets once, the lower one on the left; unlike blocks stand for both orders
     left = rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1)))).withColumn("_l", F.lit(True))
@@ -186,11 +187,12 @@ def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: flo
         a, b = (g[g["_l"] == s][["x", "y"]].to_numpy(float) for s in (True, False))
         total = np.zeros(bins + 1, np.int64)
         for lo in range(0, len(a), 256):
-            d = (a[lo : lo + 256, None, 0] - b[None, :, 0]) ** 2
-            d += (a[lo : lo + 256, None, 1] - b[None, :, 1]) ** 2
-            np.sqrt(d, out=d)
-            k = np.where(d > top, bins, np.minimum(d / (top / bins), bins - 1)).astype(np.int32)
-            total += np.bincount(k.ravel(), minlength=bins + 1)
+            for at in range(0, len(b), 4096):
+                d = (a[lo : lo + 256, None, 0] - b[None, at : at + 4096, 0]) ** 2
+                d += (a[lo : lo + 256, None, 1] - b[None, at : at + 4096, 1]) ** 2
+                np.sqrt(d, out=d)
+                k = np.where(d > top, bins, np.minimum(d / (top / bins), bins - 1)).astype(np.int32)
+                total += np.bincount(k.ravel(), minlength=bins + 1)
         total = total[:bins] * (1 if g["_i"].iloc[0] == g["_j"].iloc[0] else 2)
         at = np.flatnonzero(total)
         return pd.DataFrame({**{c: [g[c].iloc[0]] * len(at) for c in on}, "bin": at, "n": total[at]})
