@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import boxes as B
 from tessella.functions import polygons as P
-from tessella.operators import clustering, graph, models, nearest, outlines, pivots, separation, spatial, tables, tiles
+from tessella.operators import clustering, graph, instances, models, nearest, outlines, pivots, separation, spatial, tables, tiles
 from tessella.operators.raster import unpack
 from tessella.plans import learning, regions
 
@@ -205,3 +205,36 @@ def test_equal_tiles_are_worked_once(spark, monkeypatch):
     assert len(list(tasks[-1]([batch]))) == 1 and len(seen) == 3
     raster.tissue_tiles(df)
     assert list(tasks[-1](pd.DataFrame(batch.column("image").to_pylist()))) == list(tissue.values()) and len(seen) == 6
+
+
+@pytest.mark.parametrize("rough", [False, True])
+def test_instances_keep_no_pairs(spark, rough):
+    from tessella.operators import raster
+
+    rng = np.random.default_rng(17)
+    rows = [(int(k % 2), k, "ANRX"[k % 4], *(int(v) for v in rng.integers(-60, 140, 2)), *(int(v) for v in rng.integers(0, 30, 2))) for k in range(150)] + [(0, 500, "N", -50, -40, 170, 90), (0, 501, None, 0, 0, 3, 2)]
+    own = spark.createDataFrame(rows, "slide_id int, obj_id long, label string, x int, y int, w int, h int").withColumn("points", P.of_box(*B.cols()))
+    if rough:  # every third outline is a triangle, every tenth is missing
+        own = own.withColumn("points", F.when(F.col("obj_id") % 10 == 9, F.lit(None)).when(F.col("obj_id") % 3 == 0, F.slice("points", 1, 3)).otherwise(F.col("points")))
+    values = {"A": 160, "N": 200, "R": 250}
+    pairs = spatial.parents(own, ["slide_id"], 25).select("l", F.col("r.obj_id").alias("child")).join(own.select(F.col("obj_id").alias("child"), F.col("label").alias("of"), F.col("points").alias("whole")), "child")
+    box = [F.col("l.obj_id").alias("parent"), *(F.col(f"l.{c}").alias(c) for c in "xywh")]
+    both = pairs.select(*box, F.col("of").alias("label"), F.col("whole").alias("points")).unionByName(pairs.select(*box, F.concat(F.lit("of "), "l.label").alias("label"), F.col("l.points").alias("points")).distinct())
+    order = {f"of {k}": v for k, v in values.items()} | values
+    want = {r["parent"]: raster.unpack(r["mask"]).tolist() for r in raster.rasterise(both, ["parent"], order, list(order)).collect()}
+    for cell, most in ((16, 50), (1024, 1 << 19)):
+        masks = instances.instance_masks(own, ["slide_id"], values, cell=cell, most=most)
+        got = masks.collect()
+        assert len(got) == len(want) > 20 and {r["parent"]: raster.unpack(r["mask"]).tolist() for r in got} == want
+    # objects travel, never the pairs of one in another
+    assert "Join" not in _plan(masks)
+
+
+def test_counts_of_many_masks(spark):
+    from tessella.operators import raster
+
+    rng = np.random.default_rng(18)
+    kinds = [rng.integers(0, 5, (int(h), int(w))).astype(np.uint8) for h, w in rng.integers(0, 9, (40, 2))]
+    df = spark.createDataFrame([(k, raster.pack(m)) for k, m in enumerate(kinds)], f"id int, mask {raster.CELL}").coalesce(1)
+    n = {(r["id"], r["value"]): r["n"] for r in raster.value_counts(df, ["id"]).collect()}
+    assert n == {(k, int(v)): int(c) for k, m in enumerate(kinds) for v, c in zip(*np.unique(m, return_counts=True), strict=True)}
