@@ -11,32 +11,60 @@ import inspect
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 REGISTRY: dict[str, tuple[Callable, tuple[str, ...], tuple[str, ...]]] = {}
+BATCHED: dict[str, Callable] = {}  #: of a feature's name: the same for a batch
 
 
-def feature(*returns: str):
-    """Registers a function that gives one number per name in ``returns``; names are unique."""
+def feature(*returns: str, many: Callable | None = None):
+    """Registers a function that gives one number per name in ``returns``; names are unique.
+
+    many: the same for a batch, a row of numbers per object; a row that isn't finite is worked alone.
+    """
 
     def register(fn: Callable) -> Callable:
         taken = {n for _, names, _ in REGISTRY.values() for n in names}
         if clash := taken & set(returns):
             raise ValueError(f"names in use: {sorted(clash)}")
         REGISTRY[fn.__name__] = (fn, returns, tuple(inspect.signature(fn).parameters))
+        if many is not None:
+            BATCHED[fn.__name__] = many
         return fn
 
     return register
 
 
-def _array(cell: dict | None) -> np.ndarray | None:
-    """A struct(h, w, data binary) as a uint8 array (h, w) or (h, w, 3)."""
-    if cell is None:
-        return None
-    flat = np.frombuffer(cell["data"], np.uint8)
-    return flat.reshape((cell["h"], cell["w"]) if len(flat) == cell["h"] * cell["w"] else (cell["h"], cell["w"], 3))
+class Contours:
+    """A batch's outlines as one array of points and where each begins; a missing outline is None."""
+
+    def __init__(self, lists: pa.ListArray):
+        x, y = (lists.values.flatten()[lists.type.value_type.get_field_index(c)] for c in "xy")
+        self.points = np.stack([v.cast(pa.float64()).to_numpy(zero_copy_only=False) for v in (x, y)], 1)
+        self.ends = lists.offsets.to_numpy()
+        self.missing = lists.is_null().to_numpy(zero_copy_only=False)
+
+    def __len__(self) -> int:
+        return len(self.missing)
+
+    def __getitem__(self, i: int) -> np.ndarray | None:
+        if self.missing[i]:
+            return None
+        a, b = self.ends[i : i + 2]
+        return self.points[a:b] if a < b else np.array([])
+
+
+def _arrays(cells: pa.StructArray) -> list[np.ndarray | None]:
+    """Structs (h, w, data binary) as uint8 arrays (h, w) or (h, w, 3)."""
+    out: list = []
+    for missing, h, w, data in zip(cells.is_null(), *(cells.field(c) for c in ("h", "w", "data")), strict=True):
+        if missing.as_py():
+            out.append(None)
+            continue
+        h, w, flat = h.as_py(), w.as_py(), np.frombuffer(data.as_buffer(), np.uint8)
+        out.append(flat.reshape((h, w) if len(flat) == h * w else (h, w, 3)))
+    return out
 
 
 def compute(objects: DataFrame, names: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -50,29 +78,33 @@ def compute(objects: DataFrame, names: Sequence[str], keys: Sequence[str]) -> Da
     inputs = sorted({a for _, _, args in chosen for a in args})
     kinds = dict(objects.dtypes)
 
+    def alone(fn: Callable, returns: Sequence[str], *args) -> list[float]:
+        got = [float(v) for v in np.atleast_1d(fn(*args))]
+        if len(got) != len(returns):
+            raise ValueError(f"{len(got)} values for {len(returns)} names")
+        if not np.isfinite(got).all():
+            raise ValueError("a value that isn't finite")
+        return got
+
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for rec in pdf[inputs].to_dict("records"):
-                given = {k: (np.array([[p["x"], p["y"]] for p in v], float) if k == "contour" else _array(v)) for k, v in rec.items()}
-                row, failed = [], []
-                for fn, returns, args in chosen:
+        for batch in batches:
+            given = {k: (Contours if k == "contour" else _arrays)(batch.column(k)) for k in inputs}
+            columns, failed = [], [[] for _ in range(batch.num_rows)]
+            for fn, returns, args in chosen:
+                values = np.full((batch.num_rows, len(returns)), np.nan)
+                if fn.__name__ in BATCHED:
+                    values[:] = BATCHED[fn.__name__](*(given[a] for a in args))
+                for i in np.flatnonzero(~np.isfinite(values).all(1)):
                     try:
-                        got = [float(v) for v in np.atleast_1d(fn(*(given[a] for a in args)))]
-                        if len(got) != len(returns):
-                            raise ValueError(f"{len(got)} values for {len(returns)} names")
-                        if not np.isfinite(got).all():
-                            raise ValueError("a value that isn't finite")
+                        values[i] = alone(fn, returns, *(given[a][i] for a in args))
                     except Exception as e:
-                        got = [None] * len(returns)
-                        failed.append(f"{fn.__name__}: {e}")
-                    row += got
-                rows.append([*row, "; ".join(failed) or None])
-            values = pd.DataFrame(rows, columns=[*outputs, "failure"]).astype({o: float for o in outputs})
-            yield pd.concat([pdf[list(keys)].reset_index(drop=True), values], axis=1)
+                        values[i] = np.nan
+                        failed[i].append(f"{fn.__name__}: {e}")
+                columns += [pa.array(v, mask=np.isnan(v)) for v in values.T.copy()]
+            failure = pa.array(["; ".join(f) or None for f in failed], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *columns, failure], [*keys, *outputs, "failure"])
 
-    out = objects.select(*keys, *inputs).mapInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{o} double" for o in outputs), "failure string"]))
-    return out.select(*keys, *[F.when(~F.isnan(o), F.col(o)).alias(o) for o in outputs], "failure")
+    return objects.select(*keys, *inputs).mapInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), *(f"{o} double" for o in outputs), "failure string"]))
 
 
 def _moments(m: np.ndarray) -> tuple[float, float, float, Callable[[int, int], float]]:
@@ -346,7 +378,44 @@ def _middle(line: np.ndarray) -> np.ndarray:
     return np.trunc([((v + np.roll(v, -1)) * cross).sum() / (3 * cross.sum()) for v in (y, x)])
 
 
-@feature("outline_area", "outline_length", "solidity")
+def _hull_areas(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Areas of the hulls of many outlines of one number of points (a row each): ``_hull`` for all rows at once."""
+    order = np.lexsort((y, x))
+    x, y = (np.take_along_axis(v, order, 1) for v in (x, y))
+    area, row = np.zeros(len(x)), np.arange(len(x))
+    for a, b in ((x, y), (x[:, ::-1], y[:, ::-1])):
+        hx, hy, size = np.zeros(x.shape), np.zeros(x.shape), np.zeros(len(x), int)
+        for k in range(x.shape[1]):
+            p, q = a[:, k], b[:, k]
+            left = np.flatnonzero(size > 1)
+            while len(left):
+                u, v = size[left] - 1, size[left] - 2
+                ux, uy, vx, vy = hx[left, u], hy[left, u], hx[left, v], hy[left, v]
+                left = left[(ux - vx) * (q[left] - vy) <= (uy - vy) * (p[left] - vx)]
+                size[left] -= 1
+                left = left[size[left] > 1]
+            hx[row, size], hy[row, size] = p, q
+            size += 1
+        cross = hx[:, :-1] * hy[:, 1:] - hx[:, 1:] * hy[:, :-1]
+        area += np.where(np.arange(cross.shape[1]) < (size - 1)[:, None], cross, 0).sum(1)
+    return np.abs(area) / 2
+
+
+def _outlines(contours: Contours) -> np.ndarray:
+    """``outline`` of a batch: contours of one number of points together, unless they are few."""
+    out, size = np.full((len(contours), 3), np.nan), np.diff(contours.ends)
+    for k in np.unique(size[size > 0]):
+        same = np.flatnonzero((size == k) & ~contours.missing)
+        for of in np.array_split(same, len(same) * int(k) // (1 << 20) + 1) if len(same) >= 16 else []:
+            x, y = np.moveaxis(contours.points[contours.ends[of][:, None] + np.arange(k)], 2, 0)
+            with np.errstate(invalid="ignore", over="ignore"):
+                nx, ny = np.roll(x, -1, 1), np.roll(y, -1, 1)
+                area, whole = np.abs((x * ny - nx * y).sum(1)) / 2, _hull_areas(x, y)
+                out[of] = np.stack([area, np.hypot(nx - x, ny - y).sum(1), np.divide(area, whole, out=np.zeros(len(of)), where=whole != 0)], 1)
+    return out
+
+
+@feature("outline_area", "outline_length", "solidity", many=_outlines)
 def outline(contour):
     """Area, length and share of the convex hull of a contour."""
     x, y = contour[:, 0], contour[:, 1]

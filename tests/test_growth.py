@@ -238,3 +238,22 @@ def test_counts_of_many_masks(spark):
     df = spark.createDataFrame([(k, raster.pack(m)) for k, m in enumerate(kinds)], f"id int, mask {raster.CELL}").coalesce(1)
     n = {(r["id"], r["value"]): r["n"] for r in raster.value_counts(df, ["id"]).collect()}
     assert n == {(k, int(v)): int(c) for k, m in enumerate(kinds) for v, c in zip(*np.unique(m, return_counts=True), strict=True)}
+
+
+def test_outlines_measured_together(spark, monkeypatch):
+    from tessella.functions import features
+
+    rng = np.random.default_rng(19)
+    lines = [rng.integers(0, 9, (1 + k % 7, 2)).astype(float).tolist() for k in range(210)] + [[], None, [[0.0, 0.0], [float("nan"), 1.0], [2.0, 2.0]], rng.normal(size=(90, 2)).tolist()]
+    df = spark.createDataFrame([(k, None if v is None else [tuple(p) for p in v]) for k, v in enumerate(lines)], f"id long, contour array<{P.POINT}>").coalesce(1)
+    got = {r["id"]: r for r in features.compute(df, ["outline"], ["id"]).collect()}
+    for k, v in enumerate(lines):
+        r = got[k]
+        if v and np.isfinite(v).all():
+            assert list(r[1:4]) == pytest.approx(list(map(float, features.outline(np.array(v))))) and r["failure"] is None
+        else:
+            assert list(r[1:4]) == [None] * 3 and r["failure"].startswith("outline: ")
+    # a batch's outlines of one number of points aren't worked one by one
+    monkeypatch.setattr(features, "_hull", None)
+    batch = df.where("id < 210").toArrow().combine_chunks().to_batches()[0]
+    assert np.isfinite(features._outlines(features.Contours(batch.column("contour")))).all()
