@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,20 +67,31 @@ def shrink(items: DataFrame, factor: float = 0.5, least_density: float = 0.1, le
     """Drops the points that are nearest to their successors until (1 - factor) of them remain.
 
     Paths of one point vanish; paths with few points, or few per pixel of their box's side, stay.
-    Ranking is inside the item's own array: no row is exploded.
+    Items of a batch that have as many points are ranked together, each inside its own array.
     """
-    p = F.col("points")
-    n = F.size(p)
-    b = polygons.bounds(p)
-    thin = (n / 4) / F.sqrt(b["w"].cast("double") * b["h"]) < least_density
-    keep = F.bround(n * (1 - factor), 0).cast("int")
-    follow = F.slice(p, 2, F.greatest(n - 1, F.lit(0)))
-    gaps = F.transform(F.zip_with(F.slice(p, F.lit(1), n - 1), follow, lambda a, c: F.hypot(a["x"] - c["x"], a["y"] - c["y"])), lambda d, i: F.struct(d.alias("d"), i.alias("i")))
-    gone = F.transform(F.slice(F.array_sort(gaps), F.lit(1), n - keep), lambda e: e["i"])
-    numbered = F.transform(p, lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    kept = F.transform(F.array(gone), lambda g: F.filter(numbered, lambda e: ~F.array_contains(g, e["i"])))[0]  # g is found once
-    small = F.transform(kept, lambda e: e["v"])
-    return items.where(n > 1).withColumn("points", F.when(thin | (n <= least_points), p).otherwise(small))
+
+    def shrunk(points: pa.Array) -> pa.Array:
+        lists = pa.ListArray.from_arrays(pa.array(points.offsets), points.values)
+        ends, size = lists.offsets.to_numpy(), np.diff(lists.offsets.to_numpy())
+        kind = lists.type.value_type
+        x, y = (lists.values.field(kind.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xy")
+        left = np.zeros(len(x), bool)
+        left[ends[0] : ends[-1]] = True
+        for n in np.unique(size[size > max(1, least_points)]).tolist():
+            gone = max(0, n - round(n * (1 - factor)))
+            same = np.flatnonzero(size == n)
+            for of in np.array_split(same, len(same) * n // (1 << 20) + 1):
+                at = ends[of][:, None] + np.arange(n)
+                px, py = x[at], y[at]
+                w, h = (np.trunc(v.max(1) - v.min(1) + 1) for v in (px, py))
+                dense = n / 4 / np.sqrt(w * h) >= least_density
+                gaps = np.hypot(np.diff(px[dense]), np.diff(py[dense]))
+                left[np.take_along_axis(at[dense], np.argsort(gaps, axis=1, kind="stable")[:, :gone], 1)] = False
+        kept = np.concatenate([[0], np.cumsum(left)])[ends].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(kept - kept[0]), lists.values.take(pa.array(np.flatnonzero(left))), mask=points.is_null())
+
+    small = F.arrow_udf(shrunk, items.schema["points"].dataType)
+    return items.where(F.size("points") > 1).withColumn("points", small("points"))
 
 
 def layer_summary(items: DataFrame) -> DataFrame:

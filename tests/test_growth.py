@@ -257,3 +257,25 @@ def test_outlines_measured_together(spark, monkeypatch):
     monkeypatch.setattr(features, "_hull", None)
     batch = df.where("id < 210").toArrow().combine_chunks().to_batches()[0]
     assert np.isfinite(features._outlines(features.Contours(batch.column("contour")))).all()
+
+
+def test_items_shrunk_together(spark):
+    from tessella.operators import annotations
+
+    rng = np.random.default_rng(20)
+    lines = [np.round(rng.normal(0, 9, (int(n), 2)), 3).tolist() for n in rng.integers(0, 40, 150)] + [None, [[0.0, 0.0], [900.0, 900.0]] * 8]
+    df = spark.createDataFrame([(k, None if v is None else [tuple(p) for p in v]) for k, v in enumerate(lines)], f"id long, points array<{P.POINT}>").coalesce(1)
+    for factor, density in ((0.5, 0.1), (0.3, 0.15), (1.0, 0.0)):
+        want = {}
+        for k, v in enumerate(lines):
+            if v is None or len(v) < 2:
+                continue
+            p, n = np.array(v), len(v)
+            w, h = (int(e) for e in np.ptp(p, axis=0) + 1)
+            gone = np.argsort(np.hypot(*np.diff(p, axis=0).T), kind="stable")[: n - round(n * (1 - factor))]
+            want[k] = v if n <= 10 or n / 4 / np.sqrt(w * h) < density else np.delete(p, gone, 0).tolist()
+        small = annotations.shrink(df, factor, density)
+        assert {r["id"]: [list(p) for p in r["points"]] for r in small.collect()} == want
+        assert any(len(v) < len(lines[k]) for k, v in want.items())
+    # points are ranked in arrays of a batch, not by lambdas row by row
+    assert "lambdafunction" not in _plan(small)
