@@ -7,6 +7,7 @@ finite real number, else the object's ``failure`` says which feature failed and
 
 from __future__ import annotations
 
+import functools
 import inspect
 from collections.abc import Callable, Sequence
 
@@ -114,7 +115,9 @@ def _moments(m: np.ndarray) -> tuple[float, float, float, Callable[[int, int], f
     if not total:
         return 0.0, 0.0, 0.0, lambda p, q: 0.0
     cx, cy = (x * v).sum() / total, (y * v).sum() / total
-    return total, cx, cy, lambda p, q: float((((x - cx) ** p) * ((y - cy) ** q) * v).sum())
+    dx, dy = (np.stack([np.ones(len(d)), d, d * d, d * d * d]) for d in (x - cx, y - cy))
+    sums = (dx * v) @ dy.T
+    return total, cx, cy, lambda p, q: float(sums[p, q])
 
 
 def _hu(total: float, mu: Callable[[int, int], float]) -> list[float]:
@@ -176,15 +179,16 @@ def _solidity(mask: np.ndarray) -> float:
     ex, ey = x[ends], y[ends]
     corners = np.concatenate([np.stack([ex + dx, ey + dy], 1) for dx, dy in ((0.5, 0), (-0.5, 0), (0, 0.5), (0, -0.5))])
     hull = _hull(corners.tolist())
-    inside = 0
-    for line in range(int(y.min()), int(y.max()) + 1):
-        p, q = hull, np.roll(hull, -1, axis=0)
-        meets = (np.minimum(p[:, 1], q[:, 1]) <= line) & (np.maximum(p[:, 1], q[:, 1]) >= line)
-        p, q = p[meets], q[meets]
-        flat = p[:, 1] == q[:, 1]
-        t = np.where(flat, 0, (line - p[:, 1]) / np.where(flat, 1, q[:, 1] - p[:, 1]))
-        at = np.concatenate([p[:, 0] + t * (q[:, 0] - p[:, 0]), q[flat, 0]])
-        inside += int(np.floor(at.max() + 1e-9) - np.ceil(at.min() - 1e-9)) + 1
+    inside, p, q = 0, hull, np.roll(hull, -1, axis=0)
+    low, high, flat = np.minimum(p[:, 1], q[:, 1]), np.maximum(p[:, 1], q[:, 1]), p[:, 1] == q[:, 1]
+    lines = np.arange(int(y.min()), int(y.max()) + 1)
+    for line in np.array_split(lines, len(lines) * len(hull) // (1 << 18) + 1):
+        line = line[:, None]
+        meets = (low <= line) & (high >= line)
+        at = p[:, 0] + np.where(flat, 0, (line - p[:, 1]) / np.where(flat, 1, q[:, 1] - p[:, 1])) * (q[:, 0] - p[:, 0])
+        left = np.where(meets, np.minimum(at, np.where(flat, q[:, 0], np.inf)), np.inf).min(1)
+        right = np.where(meets, np.maximum(at, np.where(flat, q[:, 0], -np.inf)), -np.inf).max(1)
+        inside += int((np.floor(right + 1e-9) - np.ceil(left - 1e-9) + 1).sum())
     return len(y) / inside
 
 
@@ -234,6 +238,25 @@ def _named(prefix: str, weighted: bool) -> list[str]:
 
 
 SIDE = 256  #: longer side of the resized forms
+SMALL = 1 << 14  #: bytes of a mask whose results are kept
+
+
+def _once(fn: Callable) -> Callable:
+    """fn(mask), whose last 256 results for small masks are kept, as masks of objects repeat."""
+
+    @functools.lru_cache(256)
+    def kept(h: int, w: int, data: bytes):
+        return fn(np.frombuffer(data, np.uint8).reshape(h, w))
+
+    return lambda mask: kept(*mask.shape, mask.tobytes()) if mask.ndim == 2 and mask.dtype == np.uint8 and mask.size <= SMALL else fn(mask)
+
+
+@_once
+def _parts_of(mask: np.ndarray) -> tuple[int, list[tuple]]:
+    """How many regions there are; of the outer and the inner one the value, its shape and that of its resized form."""
+    values, sizes = np.unique(mask[mask > 0], return_counts=True)
+    order = values if len(values) == 2 else values[np.argsort(-sizes, kind="stable")]
+    return len(values), [(v, _shape(mask == v), _shape(_at_side(_filled(mask == v), SIDE))) for v in order[:2]]
 
 
 @feature(*_named("outer", True), *_named("resized_outer", False), *_named("inner", True), *_named("resized_inner", False), "inner_regions")
@@ -243,19 +266,15 @@ def regions(mask, gray):
     Weighted invariants take the grey values as mass. With exactly two regions the one of the smaller
     value is the outer one.
     """
-    values, sizes = np.unique(mask[mask > 0], return_counts=True)
-    if not len(values):
+    many, parts = _parts_of(mask)
+    if not many:
         return [0.0] * 67
-    order = values if len(values) == 2 else values[np.argsort(-sizes, kind="stable")]
     out: list[float] = []
-    for v in order[:2]:
-        own = mask == v
-        hu, rest = _shape(own)
-        total, _, _, mu = _moments((gray.astype(float) * own).T)
+    for v, (hu, rest), (small_hu, small) in parts:
+        total, _, _, mu = _moments((gray.astype(float) * (mask == v)).T)
         weighted = _hu(total, mu) if total else [0.0] * 7
-        small_hu, small = _shape(_at_side(_filled(own), SIDE))
         out += [*hu, *weighted, *rest, *small_hu, *small]
-    return [*out, *[0.0] * (66 - len(out)), float(len(values) - 1)]
+    return [*out, *[0.0] * (66 - len(out)), float(many - 1)]
 
 
 def cooccurrence(gray: np.ndarray, distance: int, angle: float, levels: int = 8) -> np.ndarray:
@@ -320,26 +339,71 @@ def _haralick_of(channel: np.ndarray, mask: np.ndarray) -> list[float]:
     return [v for a in (0, 45, 90, 135) for v in _thirteen(cooccurrence(own, 1, np.deg2rad(a), 256))]
 
 
+def _haralick_many(channels: Sequence[np.ndarray | None], masks: Sequence[np.ndarray | None]) -> np.ndarray:
+    """``_haralick_of`` of a batch's small images, those of one shape together: levels that occur, not all pairs of levels."""
+    out, alike = np.full((len(masks), 4, 13), np.nan), {}
+    for k, (c, m) in enumerate(zip(channels, masks, strict=True)):
+        if c is not None and m is not None and c.shape == m.shape and c.ndim == 2 and 0 < c.size <= 4096:
+            alike.setdefault(c.shape, []).append(k)
+    for (h, w), which in alike.items():
+        for of in np.array_split(which, len(which) * (h * w + 512) // (1 << 19) + 1):
+            own = np.stack([np.where(masks[k] > 0, channels[k], 0) for k in of]).astype(int)
+            for d, (dy, dx) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
+                a = own[:, : h - dy, max(0, -dx) : w - max(0, dx)].reshape(len(of), -1)
+                b = own[:, dy:, max(0, dx) : w + min(0, dx)].reshape(len(of), -1)
+                out[of, d] = _thirteen_many(a, b) if a.size else 0.0
+    return out.reshape(len(masks), 52)
+
+
+def _thirteen_many(a: np.ndarray, b: np.ndarray, n: int = 256) -> np.ndarray:
+    """``_thirteen`` of many images, a row of pairs of levels each."""
+    m = len(a)
+    first = np.arange(m)[:, None] * (n * n)
+    code, count = np.unique(np.concatenate([first + a * n + b, first + b * n + a], 1), return_counts=True)
+    row, i, j = code // (n * n), code // n % n, code % n
+    v = count / (2 * a.shape[1])
+    total = lambda u: np.bincount(row, u, m)
+    over = lambda at, size: np.bincount(row * size + at, v, m * size).reshape(m, size)
+    h = lambda q: -(q * np.log2(np.where(q > 0, q, 1))).sum(1)
+    px, plus, minus = over(i, n), over(i + j, 2 * n - 1), over(np.abs(i - j), n)
+    mean = total(i * v)
+    spread = total((i - mean[row]) ** 2 * v)
+    corr = total((i - mean[row]) * (j - mean[row]) * v)
+    corr = np.where(spread > 1e-12, corr / np.where(spread > 1e-12, spread, 1), 1.0)
+    k, twice = np.arange(n), np.arange(2 * n - 1)
+    avg = plus @ twice
+    hxy, hx = -total(v * np.log2(v)), h(px)
+    hxy1 = -total(v * np.log2(px[row, i] * px[row, j]))
+    return np.stack([
+        total(v**2), total((i - j) ** 2 * v), corr, spread, total(v / (1 + (i - j) ** 2)), avg, ((twice - avg[:, None]) ** 2 * plus).sum(1),
+        h(plus), hxy, minus @ (k * k) - (minus @ k) ** 2, h(minus), (hxy - hxy1) / np.maximum(hx, 1e-12), np.sqrt(np.maximum(0.0, 1 - np.exp(-2 * (2 * hx - hxy)))),
+    ], 1)
+
+
+def _channel(images: Sequence[np.ndarray | None], k: int) -> list[np.ndarray | None]:
+    return [None if v is None or v.ndim < 3 else v[..., k] for v in images]
+
+
 def _directions(channel: str) -> list[str]:
     return [f"{channel}_haralick_{a}_{k}" for a in (0, 45, 90, 135) for k in range(1, 14)]
 
 
-@feature(*_directions("gray"))
+@feature(*_directions("gray"), many=lambda gray, mask: _haralick_many(gray, mask))
 def gray_haralick(gray, mask):
     return _haralick_of(gray, mask)
 
 
-@feature(*_directions("red"))
+@feature(*_directions("red"), many=lambda image, mask: _haralick_many(_channel(image, 0), mask))
 def red_haralick(image, mask):
     return _haralick_of(image[..., 0], mask)
 
 
-@feature(*_directions("green"))
+@feature(*_directions("green"), many=lambda image, mask: _haralick_many(_channel(image, 1), mask))
 def green_haralick(image, mask):
     return _haralick_of(image[..., 1], mask)
 
 
-@feature(*_directions("blue"))
+@feature(*_directions("blue"), many=lambda image, mask: _haralick_many(_channel(image, 2), mask))
 def blue_haralick(image, mask):
     return _haralick_of(image[..., 2], mask)
 
@@ -354,6 +418,11 @@ def nuclei(mask):
     Nuclei are the pixels of all other values than CLEARED; outlines of fewer than three points don't
     count. The share weighs pixels by their value, line by line.
     """
+    return _nuclei(mask)
+
+
+@_once
+def _nuclei(mask: np.ndarray) -> list[float]:
     from ..operators.raster import traced
 
     left = np.where(np.isin(mask, CLEARED), 0, mask)

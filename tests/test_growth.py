@@ -279,3 +279,25 @@ def test_items_shrunk_together(spark):
         assert any(len(v) < len(lines[k]) for k, v in want.items())
     # points are ranked in arrays of a batch, not by lambdas row by row
     assert "lambdafunction" not in _plan(small)
+
+
+def test_shapes_and_textures_of_a_batch(monkeypatch):
+    from tessella.functions import features
+
+    rng = np.random.default_rng(21)
+    shapes = [(8, 8), (1, 6), (5, 9), (1, 1), (70, 70)]
+    grays = [rng.integers(0, 256, shapes[k % 5]).astype(np.uint8) // (1 + 99 * (k % 3)) for k in range(40)]
+    masks = [rng.choice([0, 100, 200], shapes[k % 5]).astype(np.uint8) for k in range(40)]
+    got = features._haralick_many([*grays, None], [*masks, masks[0]])
+    for k in range(40):
+        if shapes[k % 5] == (70, 70):
+            assert np.isnan(got[k]).all()  # large images are worked alone
+        else:
+            assert got[k] == pytest.approx(np.array(features._haralick_of(grays[k], masks[k]), float), abs=1e-6)
+    assert np.isnan(got[40]).all()
+    # a mask's own shapes are found once, its grey values' moments each time
+    want = [features.regions(masks[0], g) for g in (grays[0], grays[0] // 2)]
+    assert want[0] != want[1]
+    monkeypatch.setattr(features, "_shape", None)
+    monkeypatch.setattr(features, "_filled", None)
+    assert [features.regions(masks[0].copy(), g) for g in (grays[0], grays[0] // 2)] == want
