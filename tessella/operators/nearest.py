@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import cut
 
 INDEXED = 4  #: blocks up to which comparing all is cheaper than an index
 
@@ -166,22 +167,171 @@ def coverage(points: DataFrame, centres: DataFrame, radius: float, *, limit: int
     return hits.groupBy("by").agg(F.count_if("hit").alias("covered"), F.count("*").alias("n"))
 
 
-def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: float, *, block: int = 4096, most: int = 131_072, distinct: bool = True) -> DataFrame:
+def _good(n: int, by: int = 1) -> int:
+    """A number from n on, ``by`` times twos, threes and fives, that transforms fast: twos cost least."""
+    each = ((2**a * 3**b * 5**c * by, 1 + 0.5 * a + 1.6 * b + 2 * c) for a in range(40) for b in range(5) for c in range(4))
+    return min((p for p in each if n <= p[0] < 4 * n + 4 * by), key=lambda p: p[0] * p[1])[0]
+
+
+def _bin(dx: np.ndarray, dy: np.ndarray, bins: int, top: float) -> np.ndarray:
+    """The bin of each distance, bins beyond the top."""
+    d = np.sqrt(dx * dx + dy * dy)
+    return np.where(d > top, bins, np.minimum(d / (top / bins), bins - 1)).astype(np.int32)
+
+
+class _Lattice:
+    """Whole coordinates from (x0, y0), ``size`` steps in either direction, and how the transforms of a group are cut.
+
+    A group's counts of differences are its autocorrelation. Of its frequencies along x a part takes those
+    that leave one rest when divided by ``cuts``, so what a task holds (``most`` bytes) doesn't grow with the points.
+    """
+
+    def __init__(self, first: tuple[int, int], last: tuple[int, int], step: tuple[int, int], most: int):
+        self.first, self.step = first, step
+        self.size = tuple((b - a) // s + 1 for a, b, s in zip(first, last, step, strict=True))
+        x, y = self.size
+        self.cuts = 2 * max(1, -(-2 * x * y * 16 // (2 * most)))
+        self.wide, self.high = _good(2 * x, self.cuts), _good(2 * y)
+        self.rests = self.cuts // 2 + 1  # of a rest and its opposite one does for both
+
+    def cost(self) -> float:
+        """What a group's transforms take, in pairs of points compared."""
+        return 13.0 * self.wide * self.high
+
+    def edges(self, bins: int, top: float) -> np.ndarray:
+        """For each difference in y and each bin: how many differences in x from 0 on lie in it or below."""
+        (x, y), (sx, sy) = self.size, self.step
+        dy = np.arange(y)[:, None] * float(sy)
+        reach = (np.arange(bins) + 1) * (top / bins)
+        n = np.sqrt(np.maximum(reach * reach - dy * dy, 0)) / sx
+        n = np.minimum(np.ceil(n), x).astype(np.int64)
+        known, bin_ = np.arange(bins), lambda k: _bin(k * float(sx), dy, bins, top)
+        while (off := (n > 0) & (bin_(n - 1) > known)).any():
+            n -= off
+        while (off := (n < x) & (bin_(n) <= known)).any():
+            n += off
+        return n
+
+    def counts(self, place: np.ndarray, rests: Sequence[int], edges: np.ndarray) -> np.ndarray:
+        """These rests' share of the number of ordered pairs by bin; ``place``: points as y * width + x."""
+        (x, y), m, length = self.size, self.cuts, self.wide // self.cuts
+        py, px = np.divmod(place, x)
+        at, out = py * length + px % length, np.zeros(edges.shape[1])
+        columns, f, half, power = np.zeros((16, self.high), complex), np.zeros(self.high, complex), np.zeros(self.high // 2 + 1, complex), np.zeros(self.high)
+        for r in rests:
+            g = np.empty(y * length, complex)
+            turn = 2 * np.pi * ((r * px) % self.wide) / self.wide
+            g.real, g.imag = np.bincount(at, np.cos(turn), y * length), np.bincount(at, -np.sin(turn), y * length)
+            g = g.reshape(y, length)
+            for lo in range(0, y, 256):
+                np.fft.fft(g[lo : lo + 256], axis=1, out=g[lo : lo + 256])
+            for lo in range(0, length, 16):
+                own = columns[: min(16, length - lo)]
+                own[:, :y] = g[:, lo : lo + 16].T
+                for column in own:
+                    column[y:] = 0
+                    np.fft.fft(column, out=f)
+                    np.multiply(f.real, f.real, out=power)
+                    np.multiply(f.imag, f.imag, out=f.imag)
+                    power += f.imag
+                    column[:y] = np.fft.rfft(power, out=half)[:y]
+                np.conjugate(own[:, :y], out=own[:, :y])
+                g[:, lo : lo + 16] = own[:, :y].T
+            phase = np.exp(2j * np.pi * r * np.arange(length) / self.wide)
+            turn = 2 * np.pi * ((r * np.arange(m)) % m) / m
+            c, s = np.cos(turn), np.sin(turn)
+            cs, ss = (np.concatenate([[0.0], np.cumsum(v)]) for v in (c, s))
+            c, s = np.append(c, 0.0), np.append(s, 0.0)
+            weight = (1 if r in (0, m // 2) else 2) / m / self.high
+            for lo in range(0, y, 256):
+                z = np.zeros((min(256, y - lo), length + 1), complex)  # sums over the differences in x before each
+                own = g[lo : lo + 256]
+                np.fft.ifft(own, axis=1, out=own)
+                own *= phase
+                np.cumsum(own, axis=1, out=z[:, 1:])
+                whole = z[:, -1:]
+
+                def before(n: np.ndarray, z=z, whole=whole) -> np.ndarray:
+                    k, u = np.divmod(n, length)
+                    p = np.take_along_axis(z, u, 1)
+                    return cs[k] * whole.real - ss[k] * whole.imag + c[k] * p.real - s[k] * p.imag
+
+                n = edges[lo : lo + 256]
+                right = before(n)
+                left = before(np.full((len(n), 1), self.wide)) - before(self.wide - np.maximum(n, 1) + 1)
+                both = np.diff(right + left, axis=1, prepend=0.0) * weight
+                out += 2 * both.sum(0) - (both[0] if lo == 0 else 0)
+        return out
+
+
+def _packed(on: Sequence[str]):
+    """Batches' whole points (x, y) by group: how many, their bounds, the bits that all have, or any, and x and y as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            df = pa.Table.from_batches([batch]).to_pandas() if batch.num_rows else None
+            if df is None:
+                continue
+            rows = []
+            for key, g in df.groupby(list(on), sort=False, dropna=False) if on else [((), df)]:
+                x, y = g["x"].to_numpy(np.int64), g["y"].to_numpy(np.int64)
+                sides = [f(v) for v in (x, y) for f in (np.min, np.max, np.bitwise_and.reduce, np.bitwise_or.reduce)]
+                rows.append([*key, len(g), *map(int, sides), x.tobytes() + y.tobytes()])
+            keys = [pa.array([r[k] for r in rows], batch.schema.field(c).type, from_pandas=True) for k, c in enumerate(on)]
+            rest = [pa.array([r[len(on) + k] for r in rows]) for k in range(9)]
+            yield pa.RecordBatch.from_arrays([*keys, *rest, pa.array([r[-1] for r in rows], pa.binary())], [*on, *_BOUNDS, "data"])
+
+    return run
+
+
+_BOUNDS = ["n", "x0", "x1", "xa", "xo", "y0", "y1", "ya", "yo"]
+
+
+def _points(data: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    halves = [np.frombuffer(d, np.int64).reshape(2, -1) for d in data]
+    return tuple(np.concatenate([h[k] for h in halves]) for k in (0, 1))
+
+
+def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: float, *, block: int = 4096, most: int = 131_072, distinct: bool = True, lattice: int = 320 << 20) -> DataFrame:
     """on, bin, n: Euclidean distances between all ordered pairs (with themselves) of points (x, y) of a group.
 
+    Bins over [0, top], the last one closed. With ``distinct``, equal points of a group count once.
     Pairs meet block by block (from about ``block`` points to ``most``, as few as keep all cores busy:
-    a point travels once for each block of its group) and leave as counts; bins over [0, top], the last one closed. With ``distinct``, equal points of a
-    group count once.
+    a point travels once for each block of its group) and leave as counts. Where whole coordinates lie
+    so densely that it costs less, the numbers of all differences come from transforms of the lattice
+    instead, in parts of about ``lattice`` bytes: the same counts, at a cost of its size, not of the pairs.
     """
+    kinds = dict(points.dtypes)
     rows = points.select(*on, "x", "y")
     rows = rows.distinct() if distinct else rows
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced by size
+    if lattice and all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in "xy"):
+        keys = "".join(f"{c} {kinds[c]}, " for c in on)
+        rows = rows.where("x is not null and y is not null")
+        packed = cut(rows.mapInArrow(_packed(on), f"{keys}{', '.join(f'{c} long' for c in _BOUNDS)}, data binary"))
+        folds = {"n": F.sum, "0": F.min, "1": F.max, "a": F.bit_and, "o": F.bit_or}
+        size = packed.groupBy(*on).agg(*(folds[c[-1]](c).alias(c) for c in _BOUNDS))
+        known = size.agg(F.count("*").alias("groups"), F.sum(F.col("n").cast("double") ** 2).alias("pairs"), *(folds[c[-1]](c).alias(c) for c in _BOUNDS[1:])).first()
+        if known["pairs"]:
+            step = [((v := known[f"{c}a"] ^ known[f"{c}o"]) & -v) or 1 for c in "xy"]
+            grid = _Lattice(*((known[f"x{k}"], known[f"y{k}"]) for k in "01"), step, lattice)
+            if grid.cost() * known["groups"] < known["pairs"]:
+                return _by_differences(packed, on, kinds, bins, top, grid, known["groups"], tasks)
+
+        def unpack(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    x, y = _points([batch.column("data")[k].as_py()])
+                    keys = [pa.array([batch.column(c)[k].as_py()] * len(x), batch.schema.field(c).type) for c in on]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(x), pa.array(y)], [*on, "x", "y"])
+
+        rows = packed.mapInArrow(unpack, f"{keys}x long, y long")
     groups = (rows.select(*on).distinct().count() or 1) if on else 1
     blocks = wide_blocks(rows, on, block, most, groups)
     rows = rows.withColumn("_b", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int"))
     # each pair of blocks meets once, the lower one on the left; unlike blocks stand for both orders
     left = rows.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1)))).withColumn("_l", F.lit(True))
     right = rows.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_b")))).withColumn("_l", F.lit(False))
-    kinds = dict(points.dtypes)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = (g[g["_l"] == s][["x", "y"]].to_numpy(float) for s in (True, False))
@@ -198,6 +348,23 @@ def distance_histogram(points: DataFrame, on: Sequence[str], bins: int, top: flo
         return pd.DataFrame({**{c: [g[c].iloc[0]] * len(at) for c in on}, "bin": at, "n": total[at]})
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in on), "bin int, n long"])
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number isn't coalesced by size
     both = left.unionByName(right).repartition(tasks, *on, "_i", "_j")
     return both.groupBy(*on, "_i", "_j").applyInPandas(run, schema).groupBy(*on, "bin").agg(F.sum("n").alias("n"))
+
+
+def _by_differences(packed: DataFrame, on: Sequence[str], kinds: dict[str, str], bins: int, top: float, grid: _Lattice, groups: int, tasks: int) -> DataFrame:
+    """``distance_histogram`` of packed whole points by ``_Lattice``: a task takes some rests of a group; their shares of the counts add up."""
+    parts = min(grid.rests, max(4, -(-2 * tasks // groups)))
+    dealt = packed.select(*on, "data", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = _points(g["data"].tolist())
+        place = (y - grid.first[1]) // grid.step[1] * grid.size[0] + (x - grid.first[0]) // grid.step[0]
+        n = grid.counts(place, range(int(g["_part"].iloc[0]), grid.rests, parts), grid.edges(bins, top))
+        return pd.DataFrame({**{c: [g[c].iloc[0]] * bins for c in on}, "bin": np.arange(bins), "n": n})
+
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in on), "bin int, n double"])
+    shares = dealt.repartition(groups * parts, *on, "_part").groupBy(*on, "_part").applyInPandas(run, schema)
+    n = F.round("n")
+    sure = F.when(F.abs(F.col("n") - n) > 0.1, F.raise_error(F.lit("counts by differences aren't whole"))).otherwise(n.cast("long"))
+    return shares.groupBy(*on, "bin").agg(F.sum("n").alias("n")).select(*on, "bin", sure.alias("n")).where("n > 0")

@@ -301,3 +301,25 @@ def test_shapes_and_textures_of_a_batch(monkeypatch):
     monkeypatch.setattr(features, "_shape", None)
     monkeypatch.setattr(features, "_filled", None)
     assert [features.regions(masks[0].copy(), g) for g in (grays[0], grays[0] // 2)] == want
+
+
+@pytest.mark.parametrize("distinct", [True, False])
+def test_dense_points_take_no_pairs(spark, monkeypatch, distinct):
+    """Distances on a dense lattice are counted without comparing pairs: the same counts as in blocks, at the bins' borders, too."""
+    rng = np.random.default_rng(4)
+    at = [(k % 2, 2 * int(x) - 31, 3 * int(y) + 5) for k, (x, y) in enumerate(rng.integers(0, 40, (5000, 2)))] + [(2, 7, 8)]
+    points = spark.createDataFrame(at, "slide int, x int, y long")
+    want = {tuple(r) for r in nearest.distance_histogram(points, ["slide"], 20, 100.0, distinct=distinct, lattice=0).collect()}
+    whole = {tuple(r) for r in nearest.distance_histogram(points.select("x", "y"), [], 5, 50.0, distinct=distinct, lattice=0).collect()}
+    monkeypatch.setattr(nearest, "wide_blocks", None)
+    for most in (4000, 320 << 20):
+        assert {tuple(r) for r in nearest.distance_histogram(points, ["slide"], 20, 100.0, distinct=distinct, lattice=most).collect()} == want
+    assert {tuple(r) for r in nearest.distance_histogram(points.select("x", "y"), [], 5, 50.0, distinct=distinct).collect()} == whole
+    assert not distinct or sum(n for slide, _, n in want if slide == 2) == 1
+
+
+def test_thin_points_still_meet_in_blocks(spark):
+    """A wide lattice with few points isn't transformed."""
+    points = spark.createDataFrame([(0, 0), (0, 10**8), (3 * 10**8, 4 * 10**8)], "x int, y int")
+    assert {tuple(r) for r in nearest.distance_histogram(points, [], 10, 1e9).collect()} == {(0, 3), (1, 2), (4, 2), (5, 2)}
+    assert not nearest.distance_histogram(points.limit(0), [], 10, 1e9).collect()
