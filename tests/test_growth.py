@@ -323,3 +323,36 @@ def test_thin_points_still_meet_in_blocks(spark):
     points = spark.createDataFrame([(0, 0), (0, 10**8), (3 * 10**8, 4 * 10**8)], "x int, y int")
     assert {tuple(r) for r in nearest.distance_histogram(points, [], 10, 1e9).collect()} == {(0, 3), (1, 2), (4, 2), (5, 2)}
     assert not nearest.distance_histogram(points.limit(0), [], 10, 1e9).collect()
+
+
+def _inner(spark):
+    rng = np.random.default_rng(23)
+    rows = [(int(k % 2), k, "ANR"[k % 3], *(int(v) for v in rng.integers(-60, 140, 2)), *(int(v) for v in rng.integers(1, 30, 2))) for k in range(200)] + [(0, 500, "N", -50, -40, 170, 90)]
+    own = spark.createDataFrame(rows, "slide_id int, obj_id long, label string, x int, y int, w int, h int").withColumn("points", P.of_box(*B.cols()))
+    return own.withColumn("points", F.when(F.col("obj_id") % 10 == 9, F.lit(None)).when(F.col("obj_id") % 4 == 0, F.slice("points", 1, 3)).otherwise(F.col("points")))
+
+
+def test_statistics_of_inner_objects_keep_no_pairs(spark):
+    """region_object_areas: pairs of objects in another are summed up where they are found."""
+    own = _inner(spark)
+    pairs = spatial.parents(own, ["slide_id"], 25).select(F.col("l.obj_id").alias("parent"), (F.col("r.w") * F.col("r.h")).cast("double").alias("a"), (F.col("l.w") * F.col("l.h")).cast("double").alias("own"))
+    want = pairs.groupBy("parent", "own").agg(F.count("*").alias("n"), F.avg("a").alias("mean"), F.median("a").alias("median"), F.var_pop("a").alias("var")).toPandas().sort_values("parent", ignore_index=True)
+    for cell, most in ((16, 50), (1024, 1 << 19)):
+        got = instances.inner_statistics(own.drop("label"), ["slide_id"], (F.col("w") * F.col("h")).cast("double"), cell=cell, most=most)
+        pd.testing.assert_frame_equal(got.select(*want.columns).toPandas().sort_values("parent", ignore_index=True), want, check_dtype=False)
+    assert len(want) > 20 and "Join" not in _plan(got)
+
+
+def test_pixels_of_instances_are_counted_where_they_are_painted(spark, root, monkeypatch):
+    """instance_mask_pixels: masks don't leave their tasks; the counts are those of the masks, of more labels than fit in one number, too."""
+    from tessella.operators import raster
+    from tessella.plans import objects
+
+    for own, values in ((_inner(spark), {"R": 250, "A": 160}), (_inner(spark).withColumn("label", F.concat("label", F.col("obj_id") % 8)), {f"{c}{k}": 9 * k + n for n, c in enumerate("NAR") for k in range(8)})):
+        masks = instances.instance_masks(own, ["slide_id"], values)
+        want = {tuple(r) for r in raster.value_counts(masks, ["parent"]).collect()}
+        for cell, most in ((16, 50), (1024, 1 << 19)):
+            assert {tuple(r) for r in instances.value_counts(own, ["slide_id"], values, cell=cell, most=most).collect()} == want
+        many = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("obj_id", F.col("obj_id") + 1000 * F.col("k")).where("k = 0 or w < 20")
+        assert {(r["parent"], r["mask"]) for r in instances.instance_masks(many, ["slide_id"], values).collect() if r["parent"] < 1000} == {(r["parent"], r["mask"]) for r in masks.collect()}
+    assert "mask" not in _plan(objects.instance_mask_pixels(spark, root))
