@@ -18,6 +18,7 @@ import math
 from collections import defaultdict
 from collections.abc import Sequence
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -301,9 +302,34 @@ def area_of(loops: Column) -> Column:
     return F.aggregate(loops, F.lit(0.0), lambda acc, loop: acc + P.signed_area(loop))
 
 
+def _tiled(rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """on, pieces, _whole and loops: groups, and whether rectangles along the axes cover their bounds an odd number of times everywhere.
+
+    That is so if all corners but those of the bounds cancel in pairs, which a sum of their hashes
+    shows; then the union is the rectangle of the bounds. What travels is one row for each group and task.
+    """
+    step = lambda v: F.rint(v.cast("double") * GRID) / GRID + 0.0
+    at = [F.get(F.get("loops", F.lit(0)), F.lit(k)) for k in range(4)]
+    own = rows.select(*on, *(step(p[c]).alias(f"_{c}{k}") for k, p in enumerate(at) for c in "xy"), (F.size("loops") == 1).alias("_one"), (F.size(F.get("loops", F.lit(0))) == 4).alias("_four"))
+    same = lambda c, a, b: F.col(f"_{c}{a}") == F.col(f"_{c}{b}")
+    turns = [same(u, 0, 1) & same(v, 1, 2) & same(u, 2, 3) & same(v, 3, 0) for u, v in ("xy", "yx")]
+    wide = [(F.abs(F.col(f"_{c}0") - F.col(f"_{c}2")) > 0) & (F.abs(F.col(f"_{c}0") - F.col(f"_{c}2")) < float("inf")) for c in "xy"]
+    plain = F.coalesce(F.col("_one") & F.col("_four") & (turns[0] | turns[1]) & wide[0] & wide[1], F.lit(False))
+    ends = [f(f"_{c}0", f"_{c}2").alias(f"_{n}{c}") for n, f in (("a", F.least), ("b", F.greatest)) for c in "xy"]
+    corners = lambda: reduce(lambda a, b: a.bitwiseXOR(b), [F.xxhash64(x, y) for x in ("_ax", "_bx") for y in ("_ay", "_by")])
+    own = own.select(*on, plain.alias("_plain"), *ends).withColumn("_left", corners())
+    bounds = [f(c).alias(c) for f, names in ((F.min, ("_ax", "_ay")), (F.max, ("_bx", "_by"))) for c in names]
+    groups = own.groupBy(*on).agg(F.count("*").alias("pieces"), F.bool_and("_plain").alias("_plain"), F.bit_xor("_left").alias("_left"), *bounds)
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    loop = F.array(point("_ax", "_ay"), point("_bx", "_ay"), point("_bx", "_by"), point("_ax", "_by"))
+    return groups.select(*on, "pieces", (F.col("_plain") & (F.col("_left") == corners())).alias("_whole"), F.array(loop).cast(LOOPS).alias("loops"))
+
+
 def united(pieces: DataFrame, on: Sequence[str], cell: float, *, fan: int = FAN) -> DataFrame:
     """on, pieces (how many) and loops: the union of all outlines (points), or regions (loops), of each group.
 
+    Groups of rectangles that make up one rectangle are told by their corners; others' pieces meet.
+
     Pieces meet in cells of side ``cell`` first (a piece belongs to the cell of its least corner),
     then in fan x fan cells of those, and so on up to the widest group's extent.
     """
@@ -312,6 +338,15 @@ def united(pieces: DataFrame, on: Sequence[str], cell: float, *, fan: int = FAN)
     loops = F.col("loops") if "loops" in pieces.columns else F.array("points")
     held = pieces.select(*on, loops.cast(LOOPS).alias("loops")).where(F.size(F.flatten("loops")) > 2)
     least = lambda axis: F.floor(F.array_min(F.transform(F.flatten("loops"), lambda p: p[axis])) / cell)
+    # cast here, each point read from a list would cast all of it
+    groups = _tiled(pieces.select(*on, loops.alias("loops")).where(F.size(F.flatten("loops")) > 2), on)
+    known = groups.agg(F.count_if("_whole").alias("whole"), F.count_if(~F.col("_whole")).alias("rest")).first()
+    plain = groups.where("_whole").select(*on, "pieces", "loops")
+    if not known["rest"]:
+        return plain
+    if known["whole"]:
+        rest = groups.where("not _whole").select(*(F.col(c).alias(f"_on{k}") for k, c in enumerate(on)))
+        held = held.join(rest, [F.col(c).eqNullSafe(F.col(f"_on{k}")) for k, c in enumerate(on)], "left_semi")
     rows = held.select(*on, least("x").alias("cx"), least("y").alias("cy"), F.lit(1).cast("long").alias("pieces"), "loops")
 
     def merged(df: DataFrame, first: bool = False) -> DataFrame:
@@ -337,7 +372,8 @@ def united(pieces: DataFrame, on: Sequence[str], cell: float, *, fan: int = FAN)
     while spread:
         rows, spread = cut(merged(rows.withColumns({c: F.floor(F.col(c) / fan) for c in ("cx", "cy")}))), spread // fan
     # a group may still lie on both sides of a cell's border
-    return merged(rows.withColumns({c: F.lit(0).cast("long") for c in ("cx", "cy")})).select(*on, "pieces", "loops")
+    found = merged(rows.withColumns({c: F.lit(0).cast("long") for c in ("cx", "cy")})).select(*on, "pieces", "loops")
+    return found.unionByName(plain) if known["whole"] else found
 
 
 def spliced(items: DataFrame, pairs: DataFrame, cell: float) -> DataFrame:

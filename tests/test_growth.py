@@ -356,3 +356,15 @@ def test_pixels_of_instances_are_counted_where_they_are_painted(spark, root, mon
         many = own.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("obj_id", F.col("obj_id") + 1000 * F.col("k")).where("k = 0 or w < 20")
         assert {(r["parent"], r["mask"]) for r in instances.instance_masks(many, ["slide_id"], values).collect() if r["parent"] < 1000} == {(r["parent"], r["mask"]) for r in masks.collect()}
     assert "mask" not in _plan(objects.instance_mask_pixels(spark, root))
+
+
+def test_rectangles_made_whole_by_their_corners(spark, monkeypatch):
+    """pieces_made_whole: pieces that tile a rectangle aren't gathered; gaps, overlaps and other outlines still give the union."""
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x0, y1), (x1, y1), (x1, y0)]
+    tiled = {1: [box(0, 0, 2, 3)], 2: [box(0, 0, 2, 3), box(2, 0, 5, 3)], 3: [box(-1, -1, 0, 0), box(0, -1, 4, 0), box(-1, 0, 0, 2), box(0, 0, 4, 2)], 4: [box(0, 0, 1, 1)] * 3, None: [box(-0.0, 0, 0.5, 1), box(0.5, 0, 1, 1)]}
+    other = {10: [box(0, 0, 1, 1), box(2, 0, 3, 1)], 11: [box(0, 0, 2, 2), box(1, 1, 3, 3)], 12: [box(0, 0, 1, 1)] * 2, 13: [[(0, 0), (4, 0), (0, 4)], box(0, 0, 1, 1)], 14: [box(0, 0, 3, 1), box(0, 1, 1, 2), box(2, 1, 3, 2), box(0, 2, 3, 3)], 15: [box(0, 0, 2, 1), box(0, 0, 2, 1), box(0, 0, 2, 1), box(0, 1, 2, 2)]}
+    pieces = lambda groups: spark.createDataFrame([(k, [(float(a), float(b)) for a, b in p]) for k, all_ in groups.items() for p in all_], "k int, points array<struct<x:double,y:double>>")
+    got = {r["k"]: (r["pieces"], [[(p["x"], p["y"]) for p in loop] for loop in r["loops"]]) for r in outlines.united(pieces(tiled | other), ["k"], 2.0).collect()}
+    assert got == {k: (len(v), [[tuple(p) for p in loop.tolist()] for loop in outlines.union([[np.array(p, float)] for p in v])]) for k, v in (tiled | other).items()}
+    monkeypatch.setattr(outlines, "cut", None)
+    assert {r["k"] for r in outlines.united(pieces(tiled), ["k"], 2.0).collect()} == set(tiled)
