@@ -39,7 +39,7 @@ def outline(item: Column) -> Column:
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, unwrapped; slide and project default to the file's name, layer_names to the layers' names."""
-    raw = spark.read.schema(SCHEMA).option("multiLine", True).json(path).withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), "\\.json$", ""))
+    raw = spark.read.schema(SCHEMA).option("multiLine", True).json(path).withColumn("stem", F.regexp_replace(F.col("_metadata.file_name"), "\\.json(\\.gz)?$", ""))
     take = lambda c: F.coalesce(F.col(f"annotation.{c}"), F.col(c))
     layers = take("layers")
     return raw.select(
@@ -81,11 +81,13 @@ def nest(rows: DataFrame, opacity: float = 1.0, most: int | None = None) -> Data
     and a layer without items in a part is there without any.
     """
     point = lambda p: F.struct(F.struct(p["x"].alias("x"), p["y"].alias("y")).alias("point"))
-    item = F.struct("idx", F.struct(F.col("class"), F.lit("path").alias("type"), F.coalesce("closed", F.lit(True)).alias("closed"), F.col("color"), F.transform("points", point).alias("segments")).alias("item"))
+    # points travel bare, and become an item's segments only where a document is put together
+    held = F.struct("idx", F.col("class"), F.coalesce("closed", F.lit(True)).alias("closed"), F.col("color"), F.col("points"))
+    item = lambda e: F.struct(e["class"].alias("class"), F.lit("path").alias("type"), e["closed"].alias("closed"), e["color"].alias("color"), F.transform(e["points"], point).alias("segments"))
     clash = lambda n: F.when(n > 1, F.raise_error(F.concat(F.lit("two layers named "), "layer"))).otherwise(n)
     by = ["slide_id"] if most is None else ["slide_id", "_part"]
     dealt = rows if most is None else rows.withColumn("_part", F.floor(F.col("idx") / most).cast("int"))
-    layers = dealt.groupBy(*by, "layer").agg(F.array_sort(F.collect_list(item)).alias("all"), F.count_distinct("layer_idx").alias("n"))
+    layers = dealt.groupBy(*by, "layer").agg(F.array_sort(F.collect_list(held)).alias("all"), F.count_distinct("layer_idx").alias("n"))
     if most is None:
         layers = layers.withColumn("n", clash(F.col("n")))
         own = [F.col("layer").alias("name"), F.lit(opacity).alias("opacity")]
@@ -93,18 +95,21 @@ def nest(rows: DataFrame, opacity: float = 1.0, most: int | None = None) -> Data
         known = rows.groupBy("slide_id", "layer").agg(F.count_distinct("layer_idx").alias("n")).withColumn("n", clash(F.col("n")))
         # every part has every layer, as layers are told apart by their place, too
         every = dealt.select(*by).distinct().join(known, "slide_id")
-        layers = every.join(layers.drop("n"), [every["slide_id"].eqNullSafe(layers["slide_id"]), every["_part"] == layers["_part"], every["layer"].eqNullSafe(layers["layer"])], "left")
-        layers = layers.select(*(every[c] for c in by), every["layer"], every["n"], F.coalesce("all", F.array().cast(layers.schema["all"].dataType)).alias("all"))
+        full = dealt.select(*by, "layer", held.alias("_held"), F.lit(None).cast("long").alias("n"))
+        both = full.unionByName(every.select(*by, "layer", F.lit(None).cast(full.schema["_held"].dataType).alias("_held"), "n"))
+        # dealt by document at once: neither layers nor documents are shuffled again
+        both = both.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+        layers = both.groupBy(*by, "layer").agg(F.array_sort(F.collect_list("_held")).alias("all"), F.max("n").alias("n"))
         own = [F.col("layer").alias("name"), F.lit(opacity).alias("opacity"), (F.col("_part") * most).cast("int").alias("first")]
-    layer = F.struct(*own, F.transform("all", lambda e: e["item"]).alias("items"), F.col("n"))
+    layer = F.struct(*own, F.transform("all", item).alias("items"), F.col("n"))
     docs = layers.groupBy(*by).agg(F.array_sort(F.collect_list(layer)).alias("layers"))
     return docs.select(F.col("slide_id").alias("name"), F.col("slide_id").alias("project_name"), "slide_id", F.transform("layers", lambda x: x["name"]).alias("layer_names"), F.transform("layers", lambda x: x.dropFields("n")).alias("layers"), *([] if most is None else [F.col("_part").alias("part")]))
 
 
 def write(docs: DataFrame, path: str) -> None:
-    """One JSON line per document, each in a file of its own, in folders by slide (and part)."""
+    """One JSON line per document, each in a packed file of its own, in folders by slide (and part)."""
     by = ["slide", *(c for c in ("part",) if c in docs.columns)]
-    docs.withColumn("slide", F.col("slide_id")).write.mode("overwrite").partitionBy(*by).json(path)
+    docs.withColumn("slide", F.col("slide_id")).write.mode("overwrite").partitionBy(*by).json(path, compression="gzip")
 
 
 def duplicate_layers(docs: DataFrame) -> DataFrame:

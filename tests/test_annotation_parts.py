@@ -26,6 +26,21 @@ def test_documents_in_parts(spark, tmp_path):
         src.nest(twice, most=3).collect()
 
 
+def test_items_are_shuffled_once_and_written_packed(spark, tmp_path):
+    """annotation_scan: points travel to their document once, and bare; files are packed, and read back under their names."""
+    df = spark.createDataFrame([("s1", "AB"[k % 2], k % 2, k // 2, "Path", "path", True, None, [(float(k), 0.0), (0.0, 2.0), (1.0, 5.0)]) for k in range(200)], ITEM)
+    docs = src.nest(df, most=30)
+    plan = docs._jdf.queryExecution().sparkPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange" in line or "Join" in line]
+    assert sum("_held" in line for line in plan.splitlines() if "Join" in line) == 0 and moved
+    src.write(docs, str(tmp_path / "out"))
+    files = list((tmp_path / "out").rglob("part-*"))
+    assert files and all(f.name.endswith(".json.gz") for f in files)
+    assert {r["stem"] for r in src.documents(spark, str(tmp_path / "out")).collect()} == {f.name.removesuffix(".json.gz") for f in files}
+    back = src.items(src.documents(spark, str(tmp_path / "out"))).select("slide_id", "layer", "layer_idx", "idx", "points")
+    assert sorted(back.collect(), key=str) == sorted(df.select("slide_id", "layer", "layer_idx", "idx", "points").collect(), key=str)
+
+
 def test_tiles_near_outlines(spark):
     """Tiles beside an outline's box never reach the test of the polygon, which none of their origins needs."""
     rows = [(k, float(x), float(y), [(0.0, 0.0), (30.0, 0.0), (15.0, 30.0)]) for k, (x, y) in enumerate((a, b) for a in range(-24, 60, 6) for b in range(-24, 60, 6))]
