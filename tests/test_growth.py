@@ -368,3 +368,29 @@ def test_rectangles_made_whole_by_their_corners(spark, monkeypatch):
     assert got == {k: (len(v), [[tuple(p) for p in loop.tolist()] for loop in outlines.union([[np.array(p, float)] for p in v])]) for k, v in (tiled | other).items()}
     monkeypatch.setattr(outlines, "cut", None)
     assert {r["k"] for r in outlines.united(pieces(tiled), ["k"], 2.0).collect()} == set(tiled)
+
+
+def test_turns_are_taken_together(monkeypatch):
+    """matched_points: points ask together, and only those without a free point near at hand look further, yet no farther than the next ring."""
+    seen = []
+    real = tiles._near_lists
+
+    def lists(near, *args):
+        seen.append((len(near), args[1]))
+        yield from real(near, *args)
+
+    rng = np.random.default_rng(31)
+    for n, m, side, most in ((60, 40, 9, 4.0), (300, 300, 400, 150.0), (50, 3, 30, 100.0), (5, 5, 1, 1.0)):
+        near, far = rng.integers(0, side, (n, 2)).astype(float), rng.integers(0, side, (m, 2)).astype(float)
+        for cap in (np.full(m, n), rng.integers(0, n + 2, m)):
+            free, want = np.ones(m, bool), []
+            for k, p in enumerate(near):
+                d = np.where(free & (cap > k), np.hypot(*(far - p).T), np.inf)
+                j = int(d.argmin())
+                if d[j] < most:
+                    free[j] = False
+                    want.append((k, j))
+            monkeypatch.setattr(tiles, "_near_lists", lists)
+            assert list(zip(*tiles._take_turns(np.arange(n), near, far, cap, most), strict=True)) == want
+    rings = [s for s in seen if s[0] > 0]
+    assert rings[0][0] == 60 and max(reach for _, reach in rings) <= 150.0 and any(k < 60 for k, _ in rings)
