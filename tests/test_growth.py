@@ -394,3 +394,29 @@ def test_turns_are_taken_together(monkeypatch):
             assert list(zip(*tiles._take_turns(np.arange(n), near, far, cap, most), strict=True)) == want
     rings = [s for s in seen if s[0] > 0]
     assert rings[0][0] == 60 and max(reach for _, reach in rings) <= 150.0 and any(k < 60 for k, _ in rings)
+
+
+def test_markov_products_stay_in_their_tasks(spark, monkeypatch):
+    """mcl_clusters: columns are squared whole, in blocks of any size, with the weights that joined products give; only columns travel."""
+    rng = np.random.default_rng(41)
+    m = {(int(i), int(j)): float(v) for i, j, v in zip(rng.integers(0, 30, 200), rng.integers(0, 30, 200), rng.random(200), strict=True)} | {(90, 91): 1.0}
+    columns = spark.createDataFrame([(j, *map(list, zip(*sorted((i, v) for (i, k), v in m.items() if k == j), strict=True))) for j in {k for _, k in m}], "j long, i array<long>, w array<double>")
+    square = {}
+    for (i, k), v in m.items():
+        for (l, j), u in m.items():
+            if l == k:
+                square[i, j] = square.get((i, j), 0) + v * u
+    grown = {p: v**1.5 for p, v in square.items()}
+    total = {j: sum(v for (_, k), v in grown.items() if k == j) for _, j in grown}
+    kept = {(i, j): v / total[j] for (i, j), v in grown.items() if v / total[j] >= 0.02}
+    total = {j: sum(v for (_, k), v in kept.items() if k == j) for _, j in kept}
+    want = {(i, j): v / total[j] for (i, j), v in kept.items()}
+    for sizes in ({"entries": 7, "most": 20}, {}):
+        new = clustering._squared(columns, 1.5, 0.02, **sizes)
+        rows = new.collect()
+        got = {(i, r["j"]): v for r in rows for i, v in zip(r["i"], r["w"], strict=True)}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+        moved = {j: max(abs(want.get(p, 0) - m.get(p, 0)) for p in want.keys() | m.keys() if p[1] == j) for _, j in m}
+        assert {r["j"] for r in rows} == moved.keys() and all(abs(r["moved"] - moved[r["j"]]) < 1e-12 for r in rows)
+    monkeypatch.setattr(clustering, "_squared", lambda *a: new.limit(0))
+    assert not clustering.markov(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "i long, j long, w double")).collect()
