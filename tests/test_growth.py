@@ -420,3 +420,20 @@ def test_markov_products_stay_in_their_tasks(spark, monkeypatch):
         assert {r["j"] for r in rows} == moved.keys() and all(abs(r["moved"] - moved[r["j"]]) < 1e-12 for r in rows)
     monkeypatch.setattr(clustering, "_squared", lambda *a: new.limit(0))
     assert not clustering.markov(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "i long, j long, w double")).collect()
+
+
+def test_cells_that_many_need_are_compared_together(spark, monkeypatch):
+    """purity_comparison: where nothing can be ruled out, cells meet by one product, not one by one, with the same neighbours."""
+    rng = np.random.default_rng(51)
+    rows = [(k, [float(v) for v in rng.normal(size=32)]) for k in range(900)]
+    rows += [(900 + k, rows[k][1]) for k in range(30)]
+    points = spark.createDataFrame(rows, "id long, vec array<double>")
+    kept, alone = [], spark.sparkContext.accumulator(0)
+    for together in (1, 8192):
+        monkeypatch.setattr(pivots, "TOGETHER", together)
+        kept.append({tuple(r) for r in pivots.k_nearest(points, 6, rows=64, pivots=40, with_self=False, counter=alone).collect()})
+    assert kept[0] == kept[1] and len(kept[0]) == 6 * 930
+    x = np.array([v for _, v in rows])
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert {(i, r, j) for i, r, j, _ in kept[1]} == {(i, r, int(j)) for i in range(930) for r, j in enumerate(np.lexsort((np.arange(930), d[i]))[:6])}
